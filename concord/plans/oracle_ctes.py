@@ -209,7 +209,7 @@ def parse_ctes(p: str, src: str, text: str, lang_sql: str, k: str | None = None,
   UNION ALL
   SELECT id, 2 AS stage, lang, pos, w FROM (
     SELECT id, lang, unnest(toks) AS w, generate_subscripts(toks, 1) AS pos FROM (
-      SELECT id, lang, list_concat(
+      SELECT id, {lang_sql} AS lang, list_concat(
           list_transform(list_slice({split_words(text)}, 1, {k} + 1), lambda x: replace(lower(x), '[eos]', '[EOS]')),
           ['[EOS]']) AS toks
       FROM {src} WHERE {k} IS NOT NULL))"""

@@ -321,3 +321,419 @@ def unknown_word_rate(spark, d):
     toks = A.tokens_for_parse(F.col("text"), max_words=None)
     n, unk = A.unknown_word_rate(toks, "en_RC_PP")
     return docs.select("doc_id", n.cast("int").alias("n_tokens"), unk.cast("int").alias("n_unknown"))
+
+
+# =====================================================================
+# E / F — grammaticality and metrics on predictions
+# =====================================================================
+_PREDS = O.corpus_ctes() + O.preds_ctes()
+
+
+def _scored(spark, d) -> DataFrame:
+    return FX.scored_input(FX.corpus(spark, d))
+
+
+@query("accepts_rcpp", _w(_PREDS + O.parse_ctes("a_", "preds", "pred", "'en_RC_PP'"), """
+SELECT p.id, a.ok AS accepted FROM preds p JOIN a_pacc a ON a.id = p.id AND a.stage = 1"""))
+def accepts_rcpp(spark, d):
+    """Does the (capped, lower-cased) prediction parse under the RC/PP grammar?"""
+    s = _scored(spark, d)
+    codes = A.tag_codes(A.tokens_for_parse(F.col("pred")), F.lit("en_RC_PP"))
+    return s.select("id", A.accepts(A.tags_of(codes), "en_RC_PP").alias("accepted"))
+
+
+@query("two_stage_accept", _w(_PREDS + O.parse_ctes("a_", "preds", "pred", "'en_RC_PP'", k="verb_pos") + [
+    "a_ch AS (SELECT id, min(stage) AS stage FROM a_pacc WHERE ok GROUP BY id)"], """
+SELECT p.id, CAST(c.stage AS INTEGER) AS stage FROM preds p LEFT JOIN a_ch c USING (id)"""))
+def two_stage_accept(spark, d):
+    """Which stage accepted the prediction (1 full, 2 first k+1 words + [EOS], NULL none)."""
+    s = _scored(spark, d)
+    return s.select("id", M.parse_stage(F.col("pred"), F.lit("en_RC_PP"), F.col("verb_pos")).alias("stage"))
+
+
+def _trunc_sql(x, k):
+    return f"(array_to_string(list_slice({O.split_words(x)}, 1, {k} + 1), ' ') || ' [EOS]')"
+
+
+_AGREE_SQL_CTES = _PREDS + O.parse_ctes("a_", "preds", "pred", "'en_RC_PP'", k="verb_pos") + [
+    "a_ch AS (SELECT id, min(stage) AS stage FROM a_pacc WHERE ok GROUP BY id)"] + O.subject_view_ctes("a_", "a_ch") + [
+    f"""agree AS (
+  SELECT p.id, CASE
+    WHEN p.tense = 'past' THEN NULL
+    WHEN ch.stage IS NULL THEN NULL
+    WHEN NOT d.has_dist THEN NULL
+    WHEN (CASE WHEN ch.stage = 1 THEN p.pred ELSE {_trunc_sql('p.pred', 'p.verb_pos')} END)
+       = (CASE WHEN ch.stage = 1 THEN p.gold ELSE {_trunc_sql('p.gold', 'p.verb_pos')} END) THEN FALSE
+    WHEN d.verb LIKE '%ed' THEN NULL
+    WHEN (d.subj = 'sg' AND d.verb LIKE '%s') OR (d.subj = 'pl' AND d.verb NOT LIKE '%s') THEN FALSE
+    ELSE TRUE END AS agreement_attraction
+  FROM preds p LEFT JOIN a_ch ch USING (id) LEFT JOIN a_cd d USING (id))"""]
+
+
+@query("agreement_attraction", _w(_AGREE_SQL_CTES, "SELECT id, agreement_attraction FROM agree"))
+def agreement_attraction(spark, d):
+    """F5 per prediction."""
+    s = _scored(spark, d)
+    return s.select("id", M.agreement_attraction("pred", "gold", F.col("lang"), "tense", "verb_pos")
+                    .alias("agreement_attraction"))
+
+
+def _first_word_sql(x):
+    return f"{O.split_words(x)}[1]"
+
+
+_ALL_METRICS_SQL = _AGREE_SQL_CTES + [f"""scored AS (
+  SELECT p.id, p.iteration, p.tense, g.agreement_attraction,
+    p.pred = p.gold AS exact_match,
+    {_first_word_sql('p.pred')} = {_first_word_sql('p.gold')} AS first_word_identical,
+    lower(p.pred) = lower(p.gold) AS ignorecase_exact_match,
+    {_first_word_sql('lower(p.pred)')} = {_first_word_sql('lower(p.gold)')} AS ignorecase_first_word_identical
+  FROM preds p JOIN agree g USING (id))""",
+    """long AS (
+  SELECT id, iteration, tense, 'agreement_attraction' AS metric, agreement_attraction AS value FROM scored
+  UNION ALL SELECT id, iteration, tense, 'exact_match', exact_match FROM scored
+  UNION ALL SELECT id, iteration, tense, 'first_word_identical', first_word_identical FROM scored
+  UNION ALL SELECT id, iteration, tense, 'ignorecase_exact_match', ignorecase_exact_match FROM scored
+  UNION ALL SELECT id, iteration, tense, 'ignorecase_first_word_identical', ignorecase_first_word_identical FROM scored)"""]
+
+
+def _summary_sql(src, by="", nulls_as_false=False):
+    v = "coalesce(value, FALSE)" if nulls_as_false else "value"
+    inc = "count(*)" if nulls_as_false else "count(value)"
+    g = f"{by}, metric" if by else "metric"
+    return f"""SELECT {g}, CAST(count(*) AS BIGINT) AS total_points, CAST({inc} AS BIGINT) AS included_points,
+  CAST(count(*) - {inc} AS BIGINT) AS omitted_points,
+  CAST(count(*) FILTER (WHERE {v}) AS BIGINT) AS true_points,
+  CAST(count(*) FILTER (WHERE NOT {v}) AS BIGINT) AS false_points,
+  round(avg(CAST({v} AS DOUBLE)), 6) AS mean
+FROM {src} GROUP BY {g}"""
+
+
+def _scored_metrics(spark, d) -> DataFrame:
+    s = _scored(spark, d)
+    return M.compute_metrics(s, k="verb_pos", keep=[c for c in s.columns if c not in ("pred", "gold")])
+
+
+@query("agreement_summary", _w(_ALL_METRICS_SQL, _summary_sql("long")))
+def agreement_summary(spark, d):
+    """every registered metric over the prediction table, one scan."""
+    return M.summarize(_scored_metrics(spark, d), sorted(M.METRICS))
+
+
+def _dormant_sql(name, body_case):
+    ctes = _PREDS + O.parse_ctes("b_", "preds", "pred", "'en_RC_PP'", max_words=None, strip=r" [.?]$") + [
+        "b_ch AS (SELECT id, 1 AS stage FROM b_pacc WHERE ok)"] + O.subject_view_ctes("b_", "b_ch") + [
+        """b_verbs AS (SELECT t.id, list(t.w ORDER BY t.pos) AS vs FROM b_ptoks t JOIN b_ch c USING (id)
+                        WHERE t.tag = 'V' GROUP BY t.id)"""]
+    return _w(ctes, f"""SELECT p.id, {body_case} AS {name}
+FROM preds p LEFT JOIN b_ch ch USING (id) LEFT JOIN b_cd d USING (id) LEFT JOIN b_verbs v USING (id)""")
+
+
+_AGREES = "((d.subj = 'sg' AND d.verb LIKE '%s') OR (d.subj = 'pl' AND d.verb NOT LIKE '%s'))"
+
+
+@query("main_verb_correct", _dormant_sql("main_verb_reinflected_correctly", f"""CASE
+  WHEN p.tense = 'past' THEN NULL WHEN p.pred = p.gold THEN TRUE WHEN ch.id IS NULL THEN NULL
+  ELSE ((d.verb NOT LIKE '%ed') AND d.subj = 'sg' AND d.verb LIKE '%s') OR (d.subj = 'pl' AND d.verb NOT LIKE '%s') END"""))
+def main_verb_correct(spark, d):
+    """F10 (dormant): main verb reinflected correctly."""
+    s = _scored(spark, d)
+    return s.select("id", M.main_verb_reinflected_correctly("pred", "gold", F.col("lang"), "tense")
+                    .alias("main_verb_reinflected_correctly"))
+
+
+@query("only_main_verb", _dormant_sql("only_main_verb_reinflected", f"""CASE
+  WHEN p.tense = 'past' THEN NULL WHEN p.pred = p.gold THEN TRUE WHEN ch.id IS NULL THEN NULL
+  WHEN d.verb LIKE '%ed' THEN NULL WHEN NOT {_AGREES} THEN NULL
+  WHEN len(v.vs) < 2 THEN NULL
+  ELSE list_bool_and(list_transform(v.vs[2:], lambda x: x LIKE '%ed')) END"""))
+def only_main_verb(spark, d):
+    """F10 (dormant): only the main verb was reinflected."""
+    s = _scored(spark, d)
+    return s.select("id", M.only_main_verb_reinflected("pred", "gold", F.col("lang"), "tense")
+                    .alias("only_main_verb_reinflected"))
+
+
+@query("closest_variant", _dormant_sql("agreement_attraction_closest", f"""CASE
+  WHEN p.tense = 'past' THEN NULL WHEN ch.id IS NULL THEN NULL WHEN NOT d.has_dist THEN NULL
+  WHEN p.pred = p.gold THEN FALSE WHEN d.verb LIKE '%ed' THEN NULL WHEN {_AGREES} THEN FALSE
+  WHEN d.final_number = d.subj THEN FALSE ELSE TRUE END"""))
+def closest_variant(spark, d):
+    """F10 (dormant): attraction to the final intervener."""
+    s = _scored(spark, d)
+    return s.select("id", M.agreement_attraction_closest("pred", "gold", F.col("lang"), "tense")
+                    .alias("agreement_attraction_closest"))
+
+
+# =====================================================================
+# G — learning curves
+# =====================================================================
+GROUPING_VARS = ["subject_number", "main_verb", "final_intervener_number", "n_distractors",
+                 "distractor_structures", "final_distractor_structure", "condition"]
+
+
+def _long_metrics(spark, d) -> DataFrame:
+    m = _scored_metrics(spark, d)
+    names = sorted(M.METRICS)
+    u = m.select("id", "iteration", "tense", *GROUPING_VARS,
+                 F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names]))
+                 .alias("_m"))
+    return u.select("id", "iteration", "tense", *GROUPING_VARS, "_m.metric", "_m.value")
+
+
+@query("curve_overall", _w(_ALL_METRICS_SQL, """
+SELECT iteration, tense, metric, round(avg(CAST(value AS DOUBLE)), 6) AS mean, CAST(count(*) AS BIGINT) AS n
+FROM long WHERE value IS NOT NULL GROUP BY iteration, tense, metric"""))
+def curve_overall(spark, d):
+    """Mean of every metric per (checkpoint, tense), NULL results dropped."""
+    u = _long_metrics(spark, d).filter(F.col("value").isNotNull())
+    return u.groupBy("iteration", "tense", "metric").agg(
+        F.round(F.avg(F.col("value").cast("double")), 6).alias("mean"), F.count("*").alias("n"))
+
+
+def _grouped_sql():
+    meta_cols = ", ".join(f"m.{v}" for v in GROUPING_VARS)
+    unions = " UNION ALL ".join(
+        f"SELECT l.iteration, l.metric, l.value, {O.q(v)} AS var, "
+        f"l.tense || ' + ' || coalesce(CAST(m.{v} AS VARCHAR), 'None') AS grp FROM long l JOIN meta m USING (id)"
+        for v in GROUPING_VARS)
+    return O.meta_ctes() + [f"glong AS ({unions})"]
+
+
+_GROUPED_CTES = _ALL_METRICS_SQL + _grouped_sql()
+
+
+def _grouped_long(spark, d) -> DataFrame:
+    u = _long_metrics(spark, d).filter(F.col("value").isNotNull())
+    vs = F.explode(F.array(*[F.struct(F.lit(v).alias("var"),
+                                      F.coalesce(F.col(v).cast("string"), F.lit("None")).alias("val"))
+                             for v in GROUPING_VARS])).alias("_v")
+    u = u.select("iteration", "metric", "value", "tense", vs)
+    return u.select("iteration", "metric", "value", F.col("_v.var").alias("var"),
+                    F.concat(F.col("tense"), F.lit(" + "), F.col("_v.val")).alias("grp"))
+
+
+@query("curve_by_group", _w(_GROUPED_CTES, """
+SELECT iteration, metric, var, grp, round(avg(CAST(value AS DOUBLE)), 6) AS mean, CAST(count(*) AS BIGINT) AS n
+FROM glong WHERE value IS NOT NULL GROUP BY iteration, metric, var, grp"""))
+def curve_by_group(spark, d):
+    """Per grouping variable, curves keyed 'tense + value' ('None' for NULL)."""
+    return _grouped_long(spark, d).groupBy("iteration", "metric", "var", "grp").agg(
+        F.round(F.avg(F.col("value").cast("double")), 6).alias("mean"), F.count("*").alias("n"))
+
+
+@query("legend_counts", _w(_GROUPED_CTES + [
+    """per_it AS (SELECT iteration, metric, var, grp, count(*) AS n FROM glong WHERE value IS NOT NULL
+                  GROUP BY iteration, metric, var, grp)"""], """
+SELECT metric, var, grp, CAST(arg_max(n, iteration) AS BIGINT) AS n_latest, max(iteration) AS latest_iteration
+FROM per_it GROUP BY metric, var, grp"""))
+def legend_counts(spark, d):
+    """Group size at the latest checkpoint in which the group occurs."""
+    per = _grouped_long(spark, d).groupBy("iteration", "metric", "var", "grp").agg(F.count("*").alias("n"))
+    return per.groupBy("metric", "var", "grp").agg(F.max_by("n", "iteration").alias("n_latest"),
+                                                    F.max("iteration").alias("latest_iteration"))
+
+
+@query("all_null_report", _w(_ALL_METRICS_SQL + O.meta_ctes() + [
+    "glong2 AS (" + " UNION ALL ".join(
+        f"SELECT l.metric, l.value, {O.q(v)} AS var, m.{v} IS NOT NULL AS has_var FROM long l JOIN meta m USING (id)"
+        for v in GROUPING_VARS) + ")"], """
+SELECT metric, var, CAST(count(value) FILTER (WHERE has_var) AS BIGINT) AS n_non_null,
+       count(value) FILTER (WHERE has_var) = 0 AS all_null
+FROM glong2 GROUP BY metric, var"""))
+def all_null_report(spark, d):
+    """Metrics that are entirely NULL for a grouping variable (no curve drawn)."""
+    u = _long_metrics(spark, d)
+    vs = F.explode(F.array(*[F.struct(F.lit(v).alias("var"), F.col(v).isNotNull().alias("has_var"))
+                             for v in GROUPING_VARS])).alias("_v")
+    u = u.select("metric", "value", vs).select("metric", "value", "_v.var", "_v.has_var")
+    nn = F.count(F.when(F.col("has_var"), F.col("value")))
+    return u.groupBy("metric", "var").agg(nn.alias("n_non_null"), (nn == 0).alias("all_null"))
+
+
+@query("curve_events", """
+SELECT CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS BIGINT) AS iteration, event_type AS tense,
+       round(avg(CASE WHEN value > 50 THEN 1.0 ELSE 0.0 END), 6) AS mean, CAST(count(*) AS BIGINT) AS n
+FROM events GROUP BY 1, 2""")
+def curve_events(spark, d):
+    """G7 over the event stream: iteration = day, tense = event type, metric = value > 50."""
+    e = FX.table(spark, d, "events")
+    day = F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).cast("bigint")
+    return e.groupBy(day.alias("iteration"), F.col("event_type").alias("tense")).agg(
+        F.round(F.avg((F.col("value") > 50).cast("double")), 6).alias("mean"), F.count("*").alias("n"))
+
+
+@query("natural_sort", """
+SELECT page_id, url, TRY_CAST(nullif(regexp_extract(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/$', ''),
+       '([0-9]*)$', 1), '') AS BIGINT)
+       AS sort_key FROM pages""")
+def natural_sort(spark, d):
+    """Human sort key = trailing integer of the path (checkpoint-N style)."""
+    from ..operators.curves import natural_key
+    p = FX.table(spark, d, "pages")
+    return p.select("page_id", "url", natural_key(F.regexp_replace("url", "[?#].*$", "")).alias("sort_key"))
+
+
+_RUN = {"model_name": "'google/t5-efficient-small'", "train_dataset": "en_RC_PP-nodist-pres-and-past",
+        "test_dataset": "en_RC_PP-dist-pres", "learning_rate": 5e-05, "num_train_epochs": 30.0,
+        "n_training_examples": 100000, "n_params": "60M"}
+
+
+@query("assemble_results", _w(_ALL_METRICS_SQL + O.meta_ctes() + [
+    "ntest AS (SELECT count(*) AS n FROM preds)"], f"""
+SELECT s.iteration, s.id, m.subject_number, m.object_number, m.main_verb, m.n_distractors,
+       m.final_intervener_number, m.distractor_structures, m.condition, s.tense,
+       'google/t5-efficient-small' AS model_name, {O.q(_RUN['train_dataset'])} AS train_dataset,
+       {O.q(_RUN['test_dataset'])} AS test_dataset, {_RUN['learning_rate']} AS learning_rate,
+       {_RUN['num_train_epochs']} AS num_train_epochs, CAST({_RUN['n_training_examples']} AS BIGINT) AS n_training_examples,
+       CAST(t.n AS BIGINT) AS n_test_examples, {O.q(_RUN['n_params'])} AS n_params,
+       s.agreement_attraction, s.exact_match, s.first_word_identical, s.ignorecase_exact_match,
+       s.ignorecase_first_word_identical
+FROM scored s JOIN meta m USING (id), ntest t"""))
+def assemble_results(spark, d):
+    """Metrics joined with metadata, run constants added, metrics last."""
+    from ..operators.curves import assemble
+    m = _scored_metrics(spark, d)
+    meta_cols = ["subject_number", "object_number", "main_verb", "n_distractors", "final_intervener_number",
+                 "distractor_structures", "condition", "tense"]
+    return assemble(m, meta_cols, sorted(M.METRICS), _RUN)
+
+
+@query("incremental_missing", _w(_PREDS, """
+SELECT c.iteration, CAST(count(*) AS BIGINT) AS n_missing
+FROM corpus k, (SELECT 520 * (1 + r.i) AS iteration FROM range(0, 15) r(i)) c
+WHERE NOT EXISTS (SELECT 1 FROM preds p WHERE p.id = k.id AND p.iteration = c.iteration)
+GROUP BY c.iteration"""))
+def incremental_missing(spark, d):
+    """(example, checkpoint) predictions still to compute = wanted anti-join done."""
+    from ..operators.curves import missing_predictions
+    c = FX.corpus(spark, d)
+    done = FX.corrupt(c).select("id", "iteration")
+    its = spark.createDataFrame([(FX.ITERATION_STEP * (1 + i),) for i in range(FX.N_CHECKPOINTS)], "iteration int")
+    return missing_predictions(c.select("id"), its, done).groupBy("iteration").agg(F.count("*").alias("n_missing"))
+
+
+# =====================================================================
+# D — text normalisation; F1-F4 on conversations
+# =====================================================================
+@query("format_sentences", f"SELECT doc_id, {O.fmt('text')} AS formatted FROM documents")
+def format_sentences(spark, d):
+    """D1 over whole documents."""
+    return FX.table(spark, d, "documents").select("doc_id", T.format_sentence("text").alias("formatted"))
+
+
+@query("strip_final_punct", f"""
+SELECT doc_id, regexp_replace(lower({O.fmt('text')}), ' [.?!]$', '') AS stripped FROM documents""")
+def strip_final_punct(spark, d):
+    """Lower-case and drop one final ' .'/' ?'/' !'."""
+    return FX.table(spark, d, "documents").select(
+        "doc_id", T.strip_final_punct(T.format_sentence("text")).alias("stripped"))
+
+
+@query("truncate_words", f"""
+SELECT doc_id, array_to_string(list_slice({O.split_words(O.fmt('text'))}, 1, {L.MAX_PARSE_WORDS}), ' ') AS truncated
+FROM documents""")
+def truncate_words(spark, d):
+    """D3: first 20 words (the parse cap)."""
+    return FX.table(spark, d, "documents").select(
+        "doc_id", T.truncate_words(T.format_sentence("text"), L.MAX_PARSE_WORDS).alias("truncated"))
+
+
+@query("eos_truncate", f"""
+SELECT doc_id, CAST(doc_id % 7 AS INTEGER) AS k, {_trunc_sql(O.fmt('text'), 'doc_id % 7')} AS truncated
+FROM documents""")
+def eos_truncate(spark, d):
+    """First k+1 words + ' [EOS]' with k = doc_id % 7."""
+    docs = FX.table(spark, d, "documents")
+    k = (F.col("doc_id") % 7).cast("int")
+    return docs.select("doc_id", k.alias("k"), T.eos_truncate(T.format_sentence("text"), k).alias("truncated"))
+
+
+@query("name_prefix", r"""
+SELECT page_id,
+  CASE WHEN regexp_extract(url, '([^/]*)$', 1) LIKE '%-%'
+       THEN regexp_extract(regexp_extract(url, '([^/]*)$', 1), '^(.*?)-', 1) END AS lang_prefix,
+  regexp_replace(regexp_extract(url, '([^/]*)$', 1), '\.json\.gz$', '') AS dataset_name
+FROM pages""")
+def name_prefix(spark, d):
+    """Language prefix (text before the first '-') and dataset name of a path."""
+    p = FX.table(spark, d, "pages")
+    base = F.regexp_extract("url", r"([^/]*)$", 1)
+    return p.select("page_id", F.when(base.contains("-"), T.name_prefix(F.col("url"))).alias("lang_prefix"),
+                    T.dataset_name(F.col("url")).alias("dataset_name"))
+
+
+@query("clean_names", """
+SELECT item_id, regexp_replace(text, '["'']', '', 'g') AS cleaned FROM benchmark""")
+def clean_names(spark, d):
+    """Quotes removed (model-name cleaning) over benchmark texts."""
+    return FX.table(spark, d, "benchmark").select("item_id", T.clean_model_name("text").alias("cleaned"))
+
+
+_CONV = [f"""pairs AS (
+  SELECT u.conv_id, u.turn, {O.fmt('a.text')} AS pred, {O.fmt('u.text')} AS gold
+  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+  WHERE u.role = 'user' AND a.role = 'assistant')"""]
+
+
+def _conv_pairs(spark, d) -> DataFrame:
+    c = FX.table(spark, d, "conversations")
+    u = c.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("utext"))
+    a = c.filter(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"),
+                                                       F.col("text").alias("atext"))
+    j = u.join(a, ["conv_id", "turn"])
+    return j.select("conv_id", "turn", T.format_sentence("atext").alias("pred"), T.format_sentence("utext").alias("gold"))
+
+
+def _conv_metric(name, fn, sql_expr):
+    def q_(spark, d):
+        p = _conv_pairs(spark, d)
+        return p.select("conv_id", "turn", fn("pred", "gold").alias(name))
+    q_.__doc__ = f"F1-F4: {name} on user -> assistant turn pairs."
+    QUERIES[{"exact_match": "exact_match", "ignorecase_exact_match": "ci_exact_match",
+             "first_word_identical": "first_word", "ignorecase_first_word_identical": "ci_first_word"}[name]] = q_
+    SQL[{"exact_match": "exact_match", "ignorecase_exact_match": "ci_exact_match",
+         "first_word_identical": "first_word", "ignorecase_first_word_identical": "ci_first_word"}[name]] = \
+        _w(_CONV, f"SELECT conv_id, turn, {sql_expr} AS {name} FROM pairs")
+
+
+_conv_metric("exact_match", M.exact_match, "pred = gold")
+_conv_metric("ignorecase_exact_match", M.ignorecase_exact_match, "lower(pred) = lower(gold)")
+_conv_metric("first_word_identical", M.first_word_identical, f"{_first_word_sql('pred')} = {_first_word_sql('gold')}")
+_conv_metric("ignorecase_first_word_identical", M.ignorecase_first_word_identical,
+             f"{_first_word_sql('lower(pred)')} = {_first_word_sql('lower(gold)')}")
+
+_CONV_LONG = _CONV + [f"""clong AS (
+  SELECT conv_id, turn, 'exact_match' AS metric, pred = gold AS value FROM pairs
+  UNION ALL SELECT conv_id, turn, 'first_word_identical', {_first_word_sql('pred')} = {_first_word_sql('gold')} FROM pairs
+  UNION ALL SELECT conv_id, turn, 'ignorecase_exact_match', lower(pred) = lower(gold) FROM pairs
+  UNION ALL SELECT conv_id, turn, 'ignorecase_first_word_identical',
+    {_first_word_sql('lower(pred)')} = {_first_word_sql('lower(gold)')} FROM pairs
+  UNION ALL SELECT conv_id, turn, 'agreement_attraction', CAST(NULL AS BOOLEAN) FROM pairs)"""]
+
+
+def _conv_scored(spark, d) -> DataFrame:
+    p = _conv_pairs(spark, d).withColumn("lang", F.lit("en_RC_PP")).withColumn("tense", F.lit("pres"))
+    return M.compute_metrics(p, keep=("conv_id", "turn"))
+
+
+@query("metric_summary", _w(_CONV_LONG, _summary_sql("clong")))
+def metric_summary(spark, d):
+    """proportion + total/included/omitted/true/false per metric (NULLs omitted)."""
+    return M.summarize(_conv_scored(spark, d), sorted(M.METRICS))
+
+
+@query("metric_summary_nulls_as_false", _w(_CONV_LONG, _summary_sql("clong", nulls_as_false=True)))
+def metric_summary_nulls_as_false(spark, d):
+    """F6 with the original wrapper's counting (NULL -> False, nothing omitted)."""
+    return M.summarize(_conv_scored(spark, d), sorted(M.METRICS), nulls_as_false=True)
+
+
+@query("metric_long", _w(_CONV_LONG, "SELECT conv_id, turn, metric, value FROM clong"))
+def metric_long(spark, d):
+    """F8: per-example results in long form (one row per example x metric)."""
+    s = _conv_scored(spark, d)
+    names = sorted(M.METRICS)
+    u = s.select("conv_id", "turn", F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value"))
+                                                        for n in names])).alias("_m"))
+    return u.select("conv_id", "turn", "_m.metric", "_m.value")
