@@ -61,3 +61,24 @@ def draw_sql(key: str, slot: str) -> str:
 
 def pick_sql(x: str, n) -> str:
     return f"(({x}) * CAST({n} AS BIGINT) // {MODULUS})"
+
+
+def stage(df, cols: dict):
+    """Add/replace columns in one projection.  Successive stages keep every
+    intermediate an attribute: expressions referenced several times are not
+    inlined into each other, which keeps generated code small and each value
+    computed once per row."""
+    names = set(cols)
+    return df.select(*[c for c in df.columns if c not in names], *[v.alias(k) for k, v in cols.items()])
+
+
+def with_draws(df, key_col: str, slots: dict):
+    """Add one draw column per ``{name: slot}``: seed, then two squaring rounds,
+    each round its own projection (the square references its input twice)."""
+    key = F.col(key_col).cast("bigint")
+    df = stage(df, {n: ((key * SLOTS_PER_KEY + s) % (MODULUS - 1) + 1) * MULTIPLIER % MODULUS
+                    for n, s in slots.items()})
+    for r in (1, 2):
+        df = stage(df, {n: ((F.col(n) * F.col(n)) % MODULUS + ROUND_OFFSET * r) % MODULUS * MULTIPLIER % MODULUS
+                        for n in slots})
+    return df

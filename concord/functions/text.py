@@ -33,7 +33,8 @@ def strip_final_punct(c) -> Column:
 
 def words(c) -> Column:
     """Whitespace tokens with empty strings removed (Python ``str.split()``)."""
-    return F.filter(F.split(_c(c), rf"{WS}+"), lambda w: w != "")
+    t = F.regexp_replace(strip_ws(_c(c)), rf"{WS}+", " ")
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
 
 
 def first_word(c) -> Column:

@@ -1,13 +1,15 @@
 """Sentence annotation and grammaticality.
 
 Tokens are tagged against a grammar's lexicon (a literal map: the lexicon is
-bounded by the grammar), and every tree-derived feature is read off the tag
-sequence with array expressions: head noun = first noun, main verb = first
-verb not directly after 'that', interveners = nouns between head and the
-verb that closes the subject, an intervener's own structure = its nearest
-preceding P (PP) or C (CP/RC).  Acceptance = all words known + a full-match
-regular pattern over the one-letter tag string.  No trees, no parser, no
-Python: everything stays inside the JVM and row-local (no shuffle).
+bounded by the grammar).  Each token gets a two-letter code (tag letter +
+number letter), the codes are joined into a tag string and a number string,
+and every tree-derived feature is read off those strings with native string
+functions: head noun = first N, main verb = first V not directly after
+'that' (C), interveners = nouns between the head and the verb closing the
+subject, an intervener's own structure = its nearest preceding P (PP) or C
+(CP/RC).  Acceptance = a full-match pattern over the tag string (unknown
+words are '?', so they never match).  No trees, no parser, no Python; the
+only array lambda is the per-token lexicon lookup; everything is row-local.
 """
 
 from __future__ import annotations
@@ -17,23 +19,45 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions.text import format_sentence, words
+from ..functions import draws as D
 from .synth import inflect_col
 
-TAG_NAMES = {"D": "D", "N": "N", "P": "P", "C": "C", "V": "V", "A": "ADJ", "K": "Comp", "E": "EOS"}
+TAG_NAMES = {"A": "ADJ", "K": "Comp", "E": "EOS"}
+UNKNOWN = "?-"
 
 
 def _c(c):
     return F.col(c) if isinstance(c, str) else c
 
 
+def _lit_lang(lang):
+    return lang if isinstance(lang, Column) else F.lit(lang)
+
+
+# ------------------------------------------------------------------ tokens
+split_words = words
+
+
+def tokens_for_parse(text: Column, max_words: int | None = L.MAX_PARSE_WORDS, strip_pattern: str = r" [.?!]$") -> Column:
+    """Lower-case, drop one final punctuation token, split, cap the word count."""
+    toks = split_words(F.regexp_replace(F.lower(text), strip_pattern, ""))
+    return F.slice(toks, 1, max_words) if max_words else toks
+
+
+def eos_tokens(text: Column, k: Column) -> Column:
+    """Fallback parse input: first k+1 words lower-cased, then '[EOS]'."""
+    low = F.regexp_replace(F.lower(text), r"\[eos\]", "[EOS]")
+    return F.concat(F.slice(split_words(low), 1, k + 1), F.array(F.lit(L.EOS)))
+
+
 # ------------------------------------------------------------------ C1
 def _lexicon_map(lang: str) -> Column:
-    """word -> code ('N' + s/p for nouns, else the tag letter)."""
+    """word -> two-letter code: tag letter + 's'/'p' for nouns, '-' otherwise."""
     lex = L.PARSE_LEXICONS[lang]
     keys, vals = [], []
     for w, (t, n) in sorted(lex.entries.items()):
         keys.append(F.lit(w))
-        vals.append(F.lit(t + ({"sg": "s", "pl": "p"}[n] if n else "")))
+        vals.append(F.lit(t + {"sg": "s", "pl": "p"}.get(n, "-")))
     return F.map_from_arrays(F.array(*keys), F.array(*vals))
 
 
@@ -47,88 +71,76 @@ def _per_lang(lang: Column, build) -> Column:
 
 def tag_codes(tokens: Column, lang) -> Column:
     """Lexicon code per token (NULL = unknown word or unsupported lang)."""
-    lang = lang if isinstance(lang, Column) else F.lit(lang)
-    if not isinstance(lang, Column):
-        lang = F.lit(lang)
-    m = _per_lang(lang, _lexicon_map)
+    m = _per_lang(_lit_lang(lang), _lexicon_map)
     return F.transform(tokens, lambda w: F.try_element_at(m, w))
 
 
-def tags_of(codes: Column) -> Column:
-    return F.transform(codes, lambda c: F.substring(c, 1, 1))
+def code_strings(codes: Column) -> tuple:
+    """(tag string, number string), aligned with the tokens; unknown -> '?' / '-'."""
+    cs = F.array_join(codes, "", UNKNOWN)
+    return F.regexp_replace(cs, "(.).", "$1"), F.regexp_replace(cs, ".(.)", "$1")
 
 
-def numbers_of(codes: Column) -> Column:
-    return F.transform(codes, lambda c: F.when(F.substring(c, 2, 1) == "s", "sg").when(F.substring(c, 2, 1) == "p", "pl"))
+def accepts_str(ts: Column, lang) -> Column:
+    """E1 on a tag string; NULL for an unsupported language."""
+    pat = _per_lang(_lit_lang(lang), lambda n: F.lit("^(" + L.TAG_PATTERNS[n] + ")$"))
+    return F.when(pat.isNotNull(), F.coalesce(F.regexp_like(ts, pat), F.lit(False)))
 
 
-def tag_string(tags: Column) -> Column:
-    return F.array_join(tags, "")
+def parse(tokens: Column, lang) -> dict:
+    """Tokens -> tag string, number string, acceptance."""
+    ts, ns = code_strings(tag_codes(tokens, lang))
+    return {"tokens": tokens, "ts": ts, "ns": ns, "ok": accepts_str(ts, lang)}
 
 
-# ------------------------------------------------------------------ E1
-def accepts(tags: Column, lang) -> Column:
-    """Every token known and the tag string fully matches the grammar's pattern.
-    NULL for an unsupported language."""
-    lang = lang if isinstance(lang, Column) else F.lit(lang)
-    pat = _per_lang(lang, lambda n: F.lit("^(" + L.TAG_PATTERNS[n] + ")$"))
-    # unknown words appear as '?' in the tag string, so the full match fails on them
-    return F.when(pat.isNotNull(), F.coalesce(F.regexp_like(tag_str(tags), pat), F.lit(False)))
+def parse_text(text: Column, lang, max_words: int | None = None) -> dict:
+    return parse(tokens_for_parse(format_sentence(text), max_words=max_words), lang)
 
 
 # ------------------------------------------------------------------ C2/C5/C6/C8
-# Positions are read off the one-letter tag string with native string
-# functions (codegen'd, linear): no nested array lambdas.
-def tag_str(tags: Column) -> Column:
-    """Tag letters joined, unknown words as '?', so string index = token index."""
-    return F.array_join(tags, "", "?")
-
-
-def num_str(numbers: Column) -> Column:
-    """'s' / 'p' for nouns, '-' elsewhere, aligned with ``tag_str``."""
-    return F.array_join(F.transform(numbers, lambda n: F.when(n == "sg", "s").when(n == "pl", "p").otherwise("-")), "")
-
-
 def _idx0(pos1: Column) -> Column:
     """1-based instr result -> 0-based index, NULL when not found."""
     return F.when(pos1 > 0, pos1 - 1)
 
 
-def _num_name(ch: Column) -> Column:
+def num_name(ch: Column) -> Column:
     return F.when(ch == "s", "sg").when(ch == "p", "pl")
 
 
-def positions(tags: Column, numbers: Column) -> dict:
-    """Head noun, main verb, subject end, intervener numbers and introducers."""
-    ts = tag_str(tags)
-    ns = num_str(numbers)
-    marked = F.regexp_replace(ts, "CV", "Cv")          # verbs directly after 'that' are RC verbs
-    h = _idx0(F.instr(ts, "N"))
-    v = _idx0(F.instr(marked, "V"))
-    after_h = F.instr(F.substring(marked, h + 2, 1 << 20), "V")
-    e = F.when(after_h > 0, h + after_h).otherwise(F.length(ts))
-    region = F.substring(marked, h + 2, e - h - 1)
-    inter_nums = F.regexp_replace(F.substring(ns, h + 2, e - h - 1), "-", "")
-    intros = F.regexp_replace(
-        F.regexp_replace(F.regexp_replace(region, "[^PCN]", ""), "[PC]*([PC])N", "$1"), "N", "")
-    after_v = F.instr(F.substring(ts, v + 2, 1 << 20), "N")
-    return {"ts": ts, "ns": ns, "h": h, "v": v, "e": e, "inter_nums": F.coalesce(inter_nums, F.lit("")),
-            "intros": F.coalesce(intros, F.lit("")), "subj_ch": F.substring(ns, h + 1, 1),
-            "obj": F.when(after_v > 0, v + after_v)}
-
-
-def head_index(tags: Column) -> Column:
-    return _idx0(F.instr(tag_str(tags), "N"))
-
-
-def main_verb_index(tags: Column) -> Column:
-    """The highest verb = first V not directly preceded by 'that'."""
-    return _idx0(F.instr(F.regexp_replace(tag_str(tags), "CV", "Cv"), "V"))
-
-
-def first_index(arr: Column, pred) -> Column:
-    """0-based index of the first element satisfying ``pred(x, i)``, else NULL."""
-    return F.array_min(F.filter(F.transform(arr, lambda x, i: F.when(pred(x, i), i)), lambda v: v.isNotNull()))
+def with_parse(df: DataFrame, tokens: Column, lang, p: str) -> DataFrame:
+    """Staged E1/C1: adds {p}tokens, {p}ts, {p}ns, {p}ok."""
+    df = D.stage(df, {p + "tokens": tokens})
+    df = D.stage(df, {p + "cs": F.array_join(tag_codes(F.col(p + "tokens"), lang), "", UNKNOWN)})
+    cs = F.col(p + "cs")
+    df = D.stage(df, {p + "ts": F.regexp_replace(cs, "(.).", "$1"), p + "ns": F.regexp_replace(cs, ".(.)", "$1")})
+    return D.stage(df, {p + "ok": accepts_str(F.col(p + "ts"), lang)}).drop(p + "cs")
+
+
+def with_positions(df: DataFrame, ts: str, ns: str, p: str) -> DataFrame:
+    """Staged head noun / main verb / subject end / interveners / introducers:
+    adds {p}h {p}v {p}e {p}obj {p}inter_nums {p}intros {p}subj_ch."""
+    T, N = F.col(ts), F.col(ns)
+    df = D.stage(df, {p + "marked": F.regexp_replace(T, "CV", "Cv"),     # verbs right after 'that' are RC verbs
+                      p + "h": _idx0(F.instr(T, "N"))})
+    marked, h = F.col(p + "marked"), F.col(p + "h")
+    df = D.stage(df, {p + "v": _idx0(F.instr(marked, "V")),
+                      p + "after_h": F.instr(F.substring(marked, h + 2, 1 << 20), "V")})
+    v, after_h = F.col(p + "v"), F.col(p + "after_h")
+    after_v = F.instr(F.substring(T, v + 2, 1 << 20), "N")
+    df = D.stage(df, {p + "e": F.when(after_h > 0, h + after_h).otherwise(F.length(T)),
+                      p + "obj": F.when(after_v > 0, v + after_v)})
+    e = F.col(p + "e")
+    df = D.stage(df, {p + "region": F.substring(marked, h + 2, e - h - 1),
+                      p + "inter_nums": F.coalesce(F.regexp_replace(F.substring(N, h + 2, e - h - 1), "[^sp]", ""),
+                                                   F.lit("")),
+                      p + "subj_ch": F.substring(N, h + 1, 1)})
+    region = F.col(p + "region")
+    intros = F.regexp_replace(F.regexp_replace(F.regexp_replace(region, "[^PCN]", ""), "[PC]*([PC])N", "$1"), "N", "")
+    df = D.stage(df, {p + "intros": F.coalesce(intros, F.lit(""))})
+    return df.drop(p + "marked", p + "after_h", p + "region")
+
+
+POSITION_COLS = ["h", "v", "e", "obj", "inter_nums", "intros", "subj_ch"]
 
 
 def structure_labels(intros: Column) -> dict:
@@ -147,70 +159,62 @@ def structure_labels(intros: Column) -> dict:
             "own": own}
 
 
-def features(tags: Column, numbers: Column, words_arr: Column, tense: Column | None = None) -> dict:
-    """Metadata columns from aligned tag / number / word arrays."""
-    p = positions(tags, numbers)
-    inter_nums, subj_ch = p["inter_nums"], p["subj_ch"]
+def pos_sequence(ts: Column) -> Column:
+    """C4: '[D] [N] ...' (number suffixes are not part of the tags)."""
+    s = F.concat(F.lit("["), F.regexp_replace(ts, "(.)(?=.)", "$1] ["), F.lit("]"))
+    for k, name in TAG_NAMES.items():
+        s = F.replace(s, F.lit(f"[{k}]"), F.lit(f"[{name}]"))
+    return s
+
+
+def feature_cols(p: str, ns: str, words_col: str) -> dict:
+    """C3-C11/C13 metadata as expressions over the staged position columns."""
+    inter_nums, subj_ch = F.col(p + "inter_nums"), F.col(p + "subj_ch")
     n_inter = F.length(inter_nums)
     n_dist = F.length(F.replace(inter_nums, subj_ch, F.lit("")))
-    lab = structure_labels(p["intros"])
+    lab = structure_labels(F.col(p + "intros"))
     has_dist = n_dist > 0
-    verb = F.get(words_arr, p["v"])
+    verb = F.get(F.col(words_col), F.col(p + "v"))
     letters = F.translate(F.concat(subj_ch, inter_nums), "sp", "SP")
     condition = F.when(n_inter <= 2, F.concat(letters, F.when(n_inter > 0, F.concat(F.lit("_"), lab["own"]))
                                                 .otherwise(F.lit(""))))
-    pos_seq = F.concat(F.lit("["), F.array_join(tags, "] [", "?"), F.lit("]"))
-    for k, name in TAG_NAMES.items():
-        if k != name:
-            pos_seq = F.replace(pos_seq, F.lit(f"[{k}]"), F.lit(f"[{name}]"))
-    out = {
-        "subject_number": _num_name(subj_ch),
-        "predict_identical_until_given_word_number": p["v"].cast("int"),
-        "object_number": F.get(numbers, p["obj"]),
+    return {
+        "subject_number": num_name(subj_ch),
+        "predict_identical_until_given_word_number": F.col(p + "v").cast("int"),
+        "object_number": num_name(F.substring(F.col(ns), F.col(p + "obj") + 1, 1)),
         "main_verb": verb,
         "predict_from_given_words_after_identical": F.array(inflect_col(verb, F.lit("sg")), inflect_col(verb, F.lit("pl"))),
-        "final_intervener_number": _num_name(F.substring(inter_nums, -1, 1)),
+        "final_intervener_number": num_name(F.substring(inter_nums, -1, 1)),
         "n_distractors": n_dist.cast("int"),
         "each_distractor_structure": F.when(has_dist, lab["each"]),
         "distractor_structures": F.when(has_dist, lab["last"]),
         "final_distractor_structure": F.when(has_dist, lab["last"]),
-        "pos_sequence": pos_seq,
         "condition": condition,
         "n_interveners": n_inter.cast("int"),
     }
-    if tense is not None:
-        out["tense"] = tense
-    return out
 
 
-def with_features(df: DataFrame, tags="tags", numbers="numbers", words_col="src_words", tense="tense",
-                  keep=None) -> DataFrame:
-    feats = features(_c(tags), _c(numbers), _c(words_col), _c(tense) if tense else None)
-    keep = keep if keep is not None else df.columns
-    return df.select(*keep, *[c.alias(k) for k, c in feats.items() if k not in keep])
+def add_features(df: DataFrame, ts: str, ns: str, words_col: str) -> DataFrame:
+    """Metadata columns (positions staged, helpers dropped)."""
+    p = "_f_"
+    df = with_positions(df, ts, ns, p)
+    cols = feature_cols(p, ns, words_col)
+    cols["pos_sequence"] = pos_sequence(F.col(ts))
+    df = D.stage(df, cols)
+    return df.drop(*[p + c for c in POSITION_COLS])
 
 
-# ------------------------------------------------------------------ text -> tags
-def tokens_for_parse(text: Column, max_words: int | None = L.MAX_PARSE_WORDS, strip_pattern: str = r" [.?!]$") -> Column:
-    """Lower-case, drop one final punctuation token, split, cap the word count."""
-    t = F.regexp_replace(F.lower(text), strip_pattern, "")
-    toks = words(t)
-    return F.slice(toks, 1, max_words) if max_words else toks
+def with_features(df: DataFrame, ts="template", ns="num_str", words_col="src_words") -> DataFrame:
+    """Generated corpus + metadata (C13) from its generation strings."""
+    return add_features(df, ts, ns, words_col)
 
 
 def annotate_text(df: DataFrame, text: str, lang, prefix: str = "") -> DataFrame:
-    """C1/C13/E1 over arbitrary sentences: tokens, codes, tags, numbers, acceptance, features."""
-    lang_c = lang if isinstance(lang, Column) else F.lit(lang)
-    toks = tokens_for_parse(format_sentence(F.col(text)), max_words=None)
-    df = df.withColumn(prefix + "tokens", toks)
-    codes = tag_codes(F.col(prefix + "tokens"), lang_c)
-    df = df.withColumn(prefix + "codes", codes)
-    df = (df.withColumn(prefix + "tags", tags_of(F.col(prefix + "codes")))
-            .withColumn(prefix + "numbers", numbers_of(F.col(prefix + "codes"))))
-    return df.withColumn(prefix + "accepted", accepts(F.col(prefix + "tags"), lang_c))
+    """C1/E1 over arbitrary sentences: {prefix}tokens, ts, ns, ok (accepted)."""
+    return with_parse(df, tokens_for_parse(format_sentence(F.col(text)), max_words=None), lang, prefix)
 
 
 def unknown_word_rate(tokens: Column, lang) -> tuple:
     """(n_tokens, n_unknown) for a token array."""
-    codes = tag_codes(tokens, lang)
-    return F.size(tokens), F.size(F.filter(codes, lambda c: c.isNull()))
+    ts, _ = code_strings(tag_codes(tokens, lang))
+    return F.size(tokens), F.length(ts) - F.length(F.replace(ts, F.lit("?"), F.lit("")))

@@ -1,9 +1,11 @@
-"""Prediction metrics as NULL-aware boolean column expressions, a registry,
-and the proportion aggregate.
-
-Every metric is a ``Column`` over (pred, gold, lang, tense, k) columns, so
-all metrics of a prediction table are computed in one pass (one projection)
-and summarised by one partially-aggregated ``groupBy``.
+"""Prediction metrics: NULL-aware boolean columns, a registry, and the
+proportion aggregate.
+
+F1-F4 are plain column expressions.  The parse-based metrics (F5, F10) are
+DataFrame operators: the prediction is tagged once per parse variant and
+its positions are staged into columns, then every metric is one expression
+over those columns — all metrics of a table are computed in one pass and
+summarised by one partially aggregated ``groupBy``.
 """
 
 from __future__ import annotations
@@ -11,10 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import draws as D
 from ..functions import lexicon as L
 from ..functions.text import first_word, words
 from . import annotate as A
 
+def _null_bool() -> Column:
+    return F.lit(None).cast("boolean")
+
 
 def _c(c):
     return F.col(c) if isinstance(c, str) else c
@@ -38,158 +44,154 @@ def ignorecase_first_word_identical(pred, gold) -> Column:
     return first_word(F.lower(_c(pred))) == first_word(F.lower(_c(gold)))
 
 
-# ------------------------------------------------------------------ parsing helpers
-def _parse(tokens: Column, lang: Column) -> dict:
-    codes = A.tag_codes(tokens, lang)
-    tags, numbers = A.tags_of(codes), A.numbers_of(codes)
-    return {"tokens": tokens, "tags": tags, "numbers": numbers, "ok": A.accepts(tags, lang)}
+# ------------------------------------------------------------------ parse stages
+def _agrees(subj: Column, verb: Column) -> Column:
+    return ((subj == "sg") & verb.endswith("s")) | ((subj == "pl") & ~verb.endswith("s"))
 
 
-def _choose(s1: dict, s2: dict, use1: Column) -> dict:
-    return {k: F.when(use1, s1[k]).otherwise(s2[k]) for k in ("tokens", "tags", "numbers")}
+def with_two_stage_parse(df: DataFrame) -> DataFrame:
+    """E2 over columns _pred/_lang/_k: stage 1 = first 20 words (lower-cased,
+    final punctuation dropped); stage 2 = first k+1 words + [EOS].  Adds
+    _stage (1/2/NULL) and the chosen parse as a_tokens/a_ts/a_ns + positions."""
+    pred, lang, k = F.col("_pred"), F.col("_lang"), F.col("_k")
+    df = A.with_parse(df, A.tokens_for_parse(pred), lang, "s1_")
+    df = A.with_parse(df, A.eos_tokens(pred, k), lang, "s2_")
+    use1 = F.coalesce(F.col("s1_ok"), F.lit(False))
+    use2 = k.isNotNull() & F.coalesce(F.col("s2_ok"), F.lit(False))
+    df = D.stage(df, {"_stage": F.when(use1, F.lit(1)).when(use2, F.lit(2))})
+    one = F.col("_stage") == 1
+    df = D.stage(df, {"a_tokens": F.when(one, F.col("s1_tokens")).otherwise(F.col("s2_tokens")),
+                      "a_ts": F.when(one, F.col("s1_ts")).otherwise(F.col("s2_ts")),
+                      "a_ns": F.when(one, F.col("s1_ns")).otherwise(F.col("s2_ns"))})
+    df = df.drop(*[f"{s}_{c}" for s in ("s1", "s2") for c in ("tokens", "ts", "ns", "ok")])
+    return A.with_positions(df, "a_ts", "a_ns", "a_")
+
+
+def with_plain_parse(df: DataFrame) -> DataFrame:
+    """Parse used by the dormant metrics: strip only ' .'/' ?', no cap, no fallback."""
+    df = A.with_parse(df, A.tokens_for_parse(F.col("_pred"), max_words=None, strip_pattern=r" [.?]$"),
+                      F.col("_lang"), "b_")
+    return A.with_positions(df, "b_ts", "b_ns", "b_")
 
 
-def _subject_view(p: dict) -> dict:
-    pos = A.positions(p["tags"], p["numbers"])
-    inter, subj_ch = pos["inter_nums"], pos["subj_ch"]
-    last = F.substring(inter, -1, 1)
-    return {"subj": A._num_name(subj_ch), "verb": F.get(p["tokens"], pos["v"]),
+def _view(p: str) -> dict:
+    inter, subj_ch = F.col(p + "inter_nums"), F.col(p + "subj_ch")
+    return {"subj": A.num_name(subj_ch), "verb": F.get(F.col(p + "tokens"), F.col(p + "v")),
             "has_dist": F.length(F.replace(inter, subj_ch, F.lit(""))) > 0,
-            "final": A._num_name(last)}
-
-
-def _agrees(subj: Column, verb: Column) -> Column:
-    return ((subj == "sg") & verb.endswith("s")) | ((subj == "pl") & ~verb.endswith("s"))
+            "final": A.num_name(F.substring(inter, -1, 1))}
 
 
 # ------------------------------------------------------------------ F5
-def agreement_attraction(pred, gold, lang, tense, k=None) -> Column:
-    """F5 decision order:
-    1 unsupported lang or past -> NULL; 2 parse first 20 words of the prediction;
-    3 else (k given) parse first k+1 words + [EOS], else NULL; 4 no distractor
-    -> NULL; 5 pred == gold (truncated if 3 ran) -> False; 6 verb ends 'ed'
-    -> NULL; 7 verb agrees with head -> False; 8 -> True."""
-    pred, gold, lang, tense = _c(pred), _c(gold), _c(lang), _c(tense)
-    k = F.lit(None).cast("int") if k is None else _c(k)
-    s1 = _parse(A.tokens_for_parse(pred), lang)
-    s2_toks = F.concat(
-        F.transform(F.slice(words(pred), 1, k + 1), lambda w: F.regexp_replace(F.lower(w), r"\[eos\]", "[EOS]")),
-        F.array(F.lit(L.EOS)))
-    s2 = _parse(s2_toks, lang)
-    use1 = F.coalesce(s1["ok"], F.lit(False))
-    use2 = ~use1 & k.isNotNull() & F.coalesce(s2["ok"], F.lit(False))
-    p = _choose(s1, s2, use1)
-    sv = _subject_view(p)
+def agreement_attraction_col() -> Column:
+    """F5 decision order over the staged two-stage parse:
+    1 unsupported lang or past -> NULL; 2/3 no accepted stage -> NULL;
+    4 no distractor -> NULL; 5 pred == gold (both truncated if stage 2) -> False;
+    6 verb ends 'ed' -> NULL; 7 verb agrees with head -> False; 8 -> True."""
+    sv = _view("a_")
+    k = F.col("_k")
     trunc = lambda s: F.concat(F.array_join(F.slice(words(s), 1, k + 1), " "), F.lit(" [EOS]"))
-    pred_cmp = F.when(use1, pred).otherwise(trunc(pred))
-    gold_cmp = F.when(use1, gold).otherwise(trunc(gold))
-    supported = lang.isin(*L.SUPPORTED_LANGS)
-    return (F.when(~supported | (F.coalesce(tense, F.lit("pres")) == "past"), F.lit(None).cast("boolean"))
-             .when(~(use1 | use2), F.lit(None).cast("boolean"))
-             .when(~sv["has_dist"], F.lit(None).cast("boolean"))
+    one = F.col("_stage") == 1
+    pred_cmp = F.when(one, F.col("_pred")).otherwise(trunc(F.col("_pred")))
+    gold_cmp = F.when(one, F.col("_gold")).otherwise(trunc(F.col("_gold")))
+    supported = F.col("_lang").isin(*L.SUPPORTED_LANGS)
+    return (F.when(~supported | (F.col("_tense") == "past"), _null_bool())
+             .when(F.col("_stage").isNull(), _null_bool())
+             .when(~sv["has_dist"], _null_bool())
              .when(pred_cmp == gold_cmp, F.lit(False))
-             .when(sv["verb"].endswith("ed"), F.lit(None).cast("boolean"))
+             .when(sv["verb"].endswith("ed"), _null_bool())
              .when(_agrees(sv["subj"], sv["verb"]), F.lit(False))
              .otherwise(F.lit(True)))
 
 
 # ------------------------------------------------------------------ F10 (dormant variants)
-def _plain_parse(pred: Column, lang: Column) -> dict:
-    """Parse used by the dormant metrics: strip only ' .'/' ?', no cap, no fallback."""
-    return _parse(A.tokens_for_parse(pred, max_words=None, strip_pattern=r" [.?]$"), lang)
-
-
-def main_verb_reinflected_correctly(pred, gold, lang, tense) -> Column:
+def main_verb_reinflected_correctly_col() -> Column:
     """True on exact match; else on the prediction's parse:
     (verb not -ed AND sg AND verb ends s) OR (pl AND verb does not end s)
     — the original precedence, under which a plural subject with an -ed verb counts."""
-    pred, gold, lang, tense = _c(pred), _c(gold), _c(lang), _c(tense)
-    p = _plain_parse(pred, lang)
-    sv = _subject_view(p)
-    supported = lang.isin(*L.SUPPORTED_LANGS)
+    sv = _view("b_")
     verb, subj = sv["verb"], sv["subj"]
+    supported = F.col("_lang").isin(*L.SUPPORTED_LANGS)
     res = ((~verb.endswith("ed")) & (subj == "sg") & verb.endswith("s")) | ((subj == "pl") & ~verb.endswith("s"))
-    return (F.when(supported & (tense == "past"), F.lit(None).cast("boolean"))
-             .when(pred == gold, F.lit(True))
-             .when(~supported | ~F.coalesce(p["ok"], F.lit(False)), F.lit(None).cast("boolean"))
+    return (F.when(supported & (F.col("_tense") == "past"), _null_bool())
+             .when(F.col("_pred") == F.col("_gold"), F.lit(True))
+             .when(~supported | ~F.coalesce(F.col("b_ok"), F.lit(False)), _null_bool())
              .otherwise(res))
 
 
-def only_main_verb_reinflected(pred, gold, lang, tense) -> Column:
+def only_main_verb_reinflected_col() -> Column:
     """True on exact match; NULL unless the main verb is correctly reinflected;
-    then over every verb but the linearly first: all still past -> True, else False;
-    no such verb -> NULL."""
-    pred, gold, lang, tense = _c(pred), _c(gold), _c(lang), _c(tense)
-    p = _plain_parse(pred, lang)
-    sv = _subject_view(p)
-    supported = lang.isin(*L.SUPPORTED_LANGS)
-    verb_idx = F.filter(F.transform(p["tags"], lambda t, i: F.when(t == "V", i)), lambda v: v.isNotNull())
-    others = F.transform(F.slice(verb_idx, 2, 1 << 20), lambda i: F.get(p["tokens"], i))
-    return (F.when(supported & (tense == "past"), F.lit(None).cast("boolean"))
-             .when(pred == gold, F.lit(True))
-             .when(~supported | ~F.coalesce(p["ok"], F.lit(False)), F.lit(None).cast("boolean"))
-             .when(sv["verb"].endswith("ed"), F.lit(None).cast("boolean"))
-             .when(~_agrees(sv["subj"], sv["verb"]), F.lit(None).cast("boolean"))
-             .when(F.size(others) == 0, F.lit(None).cast("boolean"))
+    then over every verb but the linearly first: all still past -> True, else
+    False; no such verb -> NULL."""
+    sv = _view("b_")
+    supported = F.col("_lang").isin(*L.SUPPORTED_LANGS)
+    verbs = F.filter(F.zip_with(F.col("b_tokens"), F.split(F.col("b_ts"), ""), lambda w, t: F.when(t == "V", w)),
+                     lambda x: x.isNotNull())
+    others = F.slice(verbs, 2, 1 << 20)
+    return (F.when(supported & (F.col("_tense") == "past"), _null_bool())
+             .when(F.col("_pred") == F.col("_gold"), F.lit(True))
+             .when(~supported | ~F.coalesce(F.col("b_ok"), F.lit(False)), _null_bool())
+             .when(sv["verb"].endswith("ed"), _null_bool())
+             .when(~_agrees(sv["subj"], sv["verb"]), _null_bool())
+             .when(F.size(others) == 0, _null_bool())
              .otherwise(F.forall(others, lambda w: w.endswith("ed"))))
 
 
-def agreement_attraction_closest(pred, gold, lang, tense) -> Column:
+def agreement_attraction_closest_col() -> Column:
     """Attraction to the final intervener: as F5 without the fallback, but a
     final intervener matching the head yields False."""
-    pred, gold, lang, tense = _c(pred), _c(gold), _c(lang), _c(tense)
-    p = _plain_parse(pred, lang)
-    sv = _subject_view(p)
-    supported = lang.isin(*L.SUPPORTED_LANGS)
-    final = sv["final"]
-    return (F.when(~supported | (tense == "past"), F.lit(None).cast("boolean"))
-             .when(~F.coalesce(p["ok"], F.lit(False)), F.lit(None).cast("boolean"))
-             .when(~sv["has_dist"], F.lit(None).cast("boolean"))
-             .when(pred == gold, F.lit(False))
-             .when(sv["verb"].endswith("ed"), F.lit(None).cast("boolean"))
+    sv = _view("b_")
+    supported = F.col("_lang").isin(*L.SUPPORTED_LANGS)
+    return (F.when(~supported | (F.col("_tense") == "past"), _null_bool())
+             .when(~F.coalesce(F.col("b_ok"), F.lit(False)), _null_bool())
+             .when(~sv["has_dist"], _null_bool())
+             .when(F.col("_pred") == F.col("_gold"), F.lit(False))
+             .when(sv["verb"].endswith("ed"), _null_bool())
              .when(_agrees(sv["subj"], sv["verb"]), F.lit(False))
-             .when(final == sv["subj"], F.lit(False))
+             .when(sv["final"] == sv["subj"], F.lit(False))
              .otherwise(F.lit(True)))
 
 
 # ------------------------------------------------------------------ registry
-# name -> (function, declared arguments).  Only declared arguments are passed.
+# name -> (kind, builder).  "simple" metrics take (pred, gold) only (arguments a
+# metric does not declare are not passed); "two_stage"/"plain" need a parse.
 METRICS = {
-    "agreement_attraction": (agreement_attraction, ("pred", "gold", "lang", "tense", "k")),
-    "exact_match": (exact_match, ("pred", "gold")),
-    "first_word_identical": (first_word_identical, ("pred", "gold")),
-    "ignorecase_exact_match": (ignorecase_exact_match, ("pred", "gold")),
-    "ignorecase_first_word_identical": (ignorecase_first_word_identical, ("pred", "gold")),
+    "agreement_attraction": ("two_stage", agreement_attraction_col),
+    "exact_match": ("simple", exact_match),
+    "first_word_identical": ("simple", first_word_identical),
+    "ignorecase_exact_match": ("simple", ignorecase_exact_match),
+    "ignorecase_first_word_identical": ("simple", ignorecase_first_word_identical),
 }
 DORMANT_METRICS = {
-    "main_verb_reinflected_correctly": (main_verb_reinflected_correctly, ("pred", "gold", "lang", "tense")),
-    "only_main_verb_reinflected": (only_main_verb_reinflected, ("pred", "gold", "lang", "tense")),
-    "agreement_attraction_closest": (agreement_attraction_closest, ("pred", "gold", "lang", "tense")),
+    "main_verb_reinflected_correctly": ("plain", main_verb_reinflected_correctly_col),
+    "only_main_verb_reinflected": ("plain", only_main_verb_reinflected_col),
+    "agreement_attraction_closest": ("plain", agreement_attraction_closest_col),
 }
-
-
-def metric_columns(args: dict, names=None, registry=None) -> dict:
-    """every requested metric as a column; arguments a metric does not
-    declare are not passed.  Scalars are broadcast with ``lit``."""
-    registry = registry or METRICS
-    names = sorted(names or registry)
-    cols = {a: (v if isinstance(v, Column) else F.lit(v)) for a, v in args.items()}
-    out = {}
-    for n in names:
-        fn, decl = registry[n]
-        out[n] = fn(**{a: cols[a] for a in decl if a in cols})
-    return out
+ALL_METRICS = {**METRICS, **DORMANT_METRICS}
 
 
 def compute_metrics(df: DataFrame, pred="pred", gold="gold", lang="lang", tense="tense", k=None,
-                    names=None, keep=("id",), registry=None) -> DataFrame:
-    """F9 long form: one row per example with one nullable boolean per metric."""
-    args = {"pred": F.col(pred), "gold": F.col(gold),
-            "lang": F.col(lang) if lang in df.columns else F.lit(lang),
-            "tense": F.coalesce(F.col(tense), F.lit("pres")) if tense in df.columns else F.lit("pres"),
-            "k": F.col(k) if k else F.lit(None).cast("int")}
-    cols = metric_columns(args, names, registry)
-    return df.select(*[c for c in keep if c in df.columns], *[v.alias(n) for n, v in cols.items()])
+                    names=None, keep=("id",), extra=None) -> DataFrame:
+    """F9 long form: one row per example, one nullable boolean per metric
+    (registered metrics in name order).  ``lang``/``tense`` may be column
+    names or literals; tense defaults to 'pres' when missing (NULL)."""
+    names = sorted(names or METRICS)
+    keep = [c for c in keep if c in df.columns]
+    lang_c = F.col(lang) if lang in df.columns else F.lit(lang)
+    tense_c = F.coalesce(F.col(tense), F.lit("pres")) if tense in df.columns else F.lit("pres")
+    work = df.select(*keep, F.col(pred).alias("_pred"), F.col(gold).alias("_gold"), lang_c.alias("_lang"),
+                     tense_c.alias("_tense"), (F.col(k).cast("int") if k else F.lit(None).cast("int")).alias("_k"))
+    kinds = {ALL_METRICS[n][0] for n in names}
+    if "two_stage" in kinds or (extra and "stage" in extra):
+        work = with_two_stage_parse(work)
+    if "plain" in kinds:
+        work = with_plain_parse(work)
+    cols = {}
+    for n in names:
+        kind, fn = ALL_METRICS[n]
+        cols[n] = fn(F.col("_pred"), F.col("_gold")) if kind == "simple" else fn()
+    if extra and "stage" in extra:
+        cols["stage"] = F.col("_stage")
+    return work.select(*keep, *[v.alias(n) for n, v in cols.items()])
 
 
 # ------------------------------------------------------------------ F6
@@ -216,25 +218,15 @@ def summary_aggs(metric: str, nulls_as_false: bool = False) -> list:
     ]
 
 
+def unpivot_metrics(df: DataFrame, by: list, metrics: list) -> DataFrame:
+    """Wide metric columns -> (by..., metric, value) rows, one scan."""
+    u = df.select(*by, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"))
+                                           for m in metrics])).alias("_m"))
+    return u.select(*by, "_m.metric", F.col("_m.value").alias("value"))
+
+
 def summarize(long_df: DataFrame, metrics: list, by=(), nulls_as_false: bool = False) -> DataFrame:
     """F6 over many metrics in one scan: unpivot the metric columns, then one
     grouped aggregate (partial aggregation map-side)."""
     by = list(by)
-    u = long_df.select(*by, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"))
-                                                  for m in metrics])).alias("_m"))
-    u = u.select(*by, "_m.metric", F.col("_m.value").alias("value"))
-    return u.groupBy(*by, "metric").agg(*summary_aggs("value", nulls_as_false))
-
-
-def parse_stage(pred, lang, k=None) -> Column:
-    """1 when the capped prediction parses, 2 when only the first k+1
-    words + [EOS] parse, else NULL."""
-    pred, lang = _c(pred), _c(lang)
-    k = F.lit(None).cast("int") if k is None else _c(k)
-    s1 = _parse(A.tokens_for_parse(pred), lang)
-    s2_toks = F.concat(
-        F.transform(F.slice(words(pred), 1, k + 1), lambda w: F.regexp_replace(F.lower(w), r"\[eos\]", "[EOS]")),
-        F.array(F.lit(L.EOS)))
-    s2 = _parse(s2_toks, lang)
-    return (F.when(F.coalesce(s1["ok"], F.lit(False)), F.lit(1))
-             .when(k.isNotNull() & F.coalesce(s2["ok"], F.lit(False)), F.lit(2)))
+    return unpivot_metrics(long_df, by, metrics).groupBy(*by, "metric").agg(*summary_aggs("value", nulls_as_false))

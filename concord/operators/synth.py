@@ -85,47 +85,76 @@ def synthesize(keys: DataFrame, lang="en_RC_PP", pres_p=0.5, harmonize=False) ->
     pres_c = pres_p if isinstance(pres_p, Column) else F.lit(pres_p)
     harm_c = harmonize if isinstance(harmonize, Column) else F.lit(bool(harmonize))
 
+    N = L.MAX_SENTENCE_WORDS
     df = sample_shapes(keys).withColumn("lang", lang_c)
-    idc = F.col("id")
+    slots = {"_d_tense": D.SLOT_TENSE}
+    for i in range(N):
+        slots[f"_d_n{i}"] = D.number_slot(i)
+        slots[f"_d_w{i}"] = D.word_slot(i)
+    df = D.with_draws(df, "id", slots)
+    vp, tmpl = F.col("verb_pos"), F.col("template")
     permille = F.round(pres_c * 1000).cast("bigint")
-    tense = F.when(D.pick(D.draw(idc, D.SLOT_TENSE), 1000) < permille, "pres").otherwise("past")
-    df = df.withColumn("tense", tense).withColumn("tags", F.split(F.col("template"), ""))
-
-    sg, pl = _lang_array(F.col("lang"), "nouns_sg"), _lang_array(F.col("lang"), "nouns_pl")
-    verbs, preps = _lang_array(F.col("lang"), "verbs"), _lang_array(F.col("lang"), "preps")
-    vp = F.col("verb_pos")
-    # head noun (position 1) number, drawn directly so no element reads another
-    head_num = F.when(D.pick(D.draw(idc, D.number_slot(1)), 2) == 0, "sg").otherwise("pl")
-    harm_row = harm_c & (F.col("tense") == "pres")
-
-    def slot(t, i):
-        own = F.when(D.pick(D.draw(idc, D.number_slot(i)), 2) == 0, "sg").otherwise("pl")
+    # Stage 1: tense, head-noun number, one tag per word position (the length
+    # cap bounds the positions, so everything stays in whole-stage codegen).
+    st = {"tense": F.when(D.pick(F.col("_d_tense"), 1000) < permille, "pres").otherwise("past"),
+          "_head": F.when(D.pick(F.col("_d_n1"), 2) == 0, "sg").otherwise("pl"),
+          "_harm": harm_c,
+          "_sg": _lang_array(F.col("lang"), "nouns_sg"), "_pl": _lang_array(F.col("lang"), "nouns_pl"),
+          "_vb": _lang_array(F.col("lang"), "verbs"), "_pr": _lang_array(F.col("lang"), "preps")}
+    for i in range(N):
+        st[f"_t{i}"] = F.substring(tmpl, i + 1, 1)
+    df = D.stage(df, st)
+    pres = F.col("tense") == "pres"
+    sg, pl, verbs, preps = F.col("_sg"), F.col("_pl"), F.col("_vb"), F.col("_pr")
+    # Stage 2: number and word index per position.
+    st = {}
+    for i in range(N):
+        t, dn, dw = F.col(f"_t{i}"), F.col(f"_d_n{i}"), F.col(f"_d_w{i}")
+        own = F.when(D.pick(dn, 2) == 0, "sg").otherwise("pl")
         # Harmonised 'pres' rows give every subject noun the head's number
-        num = F.when(t == "N", F.when(harm_row & (i < vp), head_num).otherwise(own))
-        w = D.draw(idc, D.word_slot(i))
-        idx = (F.when(t == "N", D.pick(w, F.size(sg)))
-                .when(t == "V", D.pick(w, F.size(verbs)))
-                .when(t == "P", D.pick(w, F.size(preps))).otherwise(F.lit(0))).cast("int")
-        word = (F.when(t == "D", F.lit(L.DETERMINER))
-                 .when(t == "C", F.lit(L.COMPLEMENTIZER))
-                 .when(t == "N", F.when(num == "sg", F.get(sg, idx)).otherwise(F.get(pl, idx)))
-                 .when(t == "V", F.get(verbs, idx))
-                 .when(t == "P", F.get(preps, idx)))
-        # The main verb of a 'pres' target agrees with the head noun
-        tword = F.when((i == vp) & (F.col("tense") == "pres"), inflect_col(word, head_num)).otherwise(word)
-        return F.struct(num.alias("number"), idx.alias("idx"), word.alias("word"), tword.alias("tword"))
-
-    df = df.withColumn("_slots", F.transform("tags", slot))
-    df = df.select(*[c for c in df.columns if c != "_slots"],
-                   F.col("_slots.number").alias("numbers"), F.col("_slots.idx").alias("idx"),
-                   F.col("_slots.word").alias("src_words"), F.col("_slots.tword").alias("tgt_words"))
-    return (df.withColumn("src", surface(F.col("src_words")))
-              .withColumn("prefix", F.col("tense"))
-              .withColumn("tgt", surface(F.col("tgt_words"))))
+        st[f"_n{i}"] = F.when(t == "N", F.when(F.col("_harm") & pres & (F.lit(i) < vp), F.col("_head")).otherwise(own))
+        st[f"_i{i}"] = (F.when(t == "N", D.pick(dw, F.size(sg)))
+                         .when(t == "V", D.pick(dw, F.size(verbs)))
+                         .when(t == "P", D.pick(dw, F.size(preps))).otherwise(F.lit(0))).cast("int")
+    df = D.stage(df, st)
+    # Stage 3: words.
+    st = {}
+    for i in range(N):
+        t, num, idx = F.col(f"_t{i}"), F.col(f"_n{i}"), F.col(f"_i{i}")
+        st[f"_w{i}"] = (F.when(t == "D", F.lit(L.DETERMINER))
+                         .when(t == "C", F.lit(L.COMPLEMENTIZER))
+                         .when(t == "N", F.when(num == "sg", F.get(sg, idx)).otherwise(F.get(pl, idx)))
+                         .when(t == "V", F.get(verbs, idx))
+                         .when(t == "P", F.get(preps, idx)))
+    df = D.stage(df, st)
+    # Stage 4: B4 — the main verb of a 'pres' target agrees with the head noun.
+    st = {}
+    for i in range(N):
+        w = F.col(f"_w{i}")
+        st[f"_v{i}"] = F.when((F.lit(i) == vp) & pres, inflect_col(w, F.col("_head"))).otherwise(w)
+    df = D.stage(df, st)
+    n = F.length(tmpl)
+    nch = [F.when(F.col(f"_n{i}") == "sg", "s").when(F.col(f"_n{i}") == "pl", "p").otherwise("-") for i in range(N)]
+    out = {"tags": F.split(tmpl, ""),
+           "numbers": F.slice(F.array(*[F.col(f"_n{i}") for i in range(N)]), 1, n),
+           "idx": F.slice(F.array(*[F.col(f"_i{i}") for i in range(N)]), 1, n),
+           "src_words": F.slice(F.array(*[F.col(f"_w{i}") for i in range(N)]), 1, n),
+           "tgt_words": F.slice(F.array(*[F.col(f"_v{i}") for i in range(N)]), 1, n),
+           "num_str": F.substring(F.concat(*nch), 1, n)}
+    df = D.stage(df, out)
+    df = df.select(*[c for c in df.columns if not c.startswith("_")])
+    df = D.stage(df, {"src": surface(F.col("src_words")), "prefix": F.col("tense"), "tgt": surface(F.col("tgt_words"))})
+    return df
 
 
 def length_filter(df: DataFrame, max_words: int = L.MAX_SENTENCE_WORDS, col: str = "src") -> DataFrame:
-    """Keep sentences of at most ``max_words`` whitespace words."""
+    """Keep sentences of at most ``max_words`` whitespace words.
+
+    On freshly synthesised rows the word count is the shape template's length,
+    so the filter is applied to ``template`` (pushed down to the shape pick
+    instead of being inlined into the word expressions)."""
+    if "template" in df.columns and col == "src":
+        return df.filter(F.length("template") <= max_words)
     return df.filter(F.size(F.split(F.col(col), " ")) <= max_words)
 
 
@@ -181,14 +210,15 @@ def balanced_sample(annotated: DataFrame, quotas: DataFrame, max_quota: int) ->
     under quota and their preamble is unseen.
 
     The preamble determines the condition, so the sequential rule equals:
-    first row per preamble, then the first ``quota`` of those per condition.
-    The literal ``max_quota`` filter lets Spark use a window group limit
-    (rows beyond it are dropped map-side before the exact quota join).
-    Condition groups are bounded by ``max_quota`` after the limit.
+    first row per preamble, then the first ``quota`` of those per condition
+    (rows rejected for a NULL or full condition share their preamble with
+    rows that would be rejected the same way).  The literal ``max_quota``
+    filter lets Spark apply a window group limit before the exact quota join.
+    Filters sit above the first window so they are evaluated on its output
+    instead of being inlined into the generation expressions.
     """
-    a = annotated.filter(F.col("condition").isNotNull())
-    first = (a.withColumn("_rp", F.row_number().over(Window.partitionBy("preamble").orderBy("id")))
-              .filter(F.col("_rp") == 1).drop("_rp"))
+    first = (annotated.withColumn("_rp", F.row_number().over(Window.partitionBy("preamble").orderBy("id")))
+             .filter((F.col("_rp") == 1) & F.col("condition").isNotNull()).drop("_rp"))
     ranked = first.withColumn("_rc", F.row_number().over(Window.partitionBy("condition").orderBy("id")))
     ranked = ranked.filter(F.col("_rc") <= max_quota)
     return (ranked.join(F.broadcast(quotas), "condition")

@@ -33,24 +33,23 @@ def corpus(spark: SparkSession, sf_dir: str, lang="en_RC_PP", pres_p=0.5, harmon
 def corrupt(c: DataFrame) -> DataFrame:
     """preds(id, iteration, pred): gold target corrupted by id % 10 —
     0-4 exact, 5 wrong verb number, 6 lower case, 7 unknown object word,
-    8 unreinflected (past) verb, 9 first intervener's number flipped."""
+    8 unreinflected (past) verb, 9 first intervener's number flipped.
+    One word is spliced into the target array (native array functions)."""
     idc, vp = F.col("id"), F.col("verb_pos")
     kind = (idc % 10).cast("int")
     subj = F.get(F.col("numbers"), 1)
     past = F.get(F.col("src_words"), vp)
-    first_inter = A.first_index(F.col("tags"), lambda t, i: (t == "N") & (i > 1) & (i < vp))
+    sub = F.instr(F.substring(F.col("template"), 3, vp - 2), "N")
+    first_inter = F.when(sub > 0, sub + 1)
     sg, pl = S._lang_array(F.col("lang"), "nouns_sg"), S._lang_array(F.col("lang"), "nouns_pl")
-
-    def change(w, i):
-        flipped = F.when(F.get(F.col("numbers"), i) == "sg", F.get(pl, F.get(F.col("idx"), i))) \
-            .otherwise(F.get(sg, F.get(F.col("idx"), i)))
-        return (F.when((kind == 5) & (i == vp), S.inflect_col(past, S.flip_number(subj)))
-                 .when((kind == 7) & (i == vp + 2), F.lit(UNKNOWN_WORD))
-                 .when((kind == 8) & (i == vp), past)
-                 .when((kind == 9) & (i == first_inter), flipped)
-                 .otherwise(w))
-
-    pw = F.transform(F.col("tgt_words"), change)
+    fi_idx = F.get(F.col("idx"), first_inter)
+    flipped = F.when(F.get(F.col("numbers"), first_inter) == "sg", F.get(pl, fi_idx)).otherwise(F.get(sg, fi_idx))
+    at = (F.when(kind.isin(5, 8), vp).when(kind == 7, vp + 2).when(kind == 9, first_inter))
+    val = (F.when(kind == 5, S.inflect_col(past, S.flip_number(subj))).when(kind == 7, F.lit(UNKNOWN_WORD))
+            .when(kind == 8, past).when(kind == 9, flipped))
+    tw = F.col("tgt_words")
+    pw = F.when(at.isNull(), tw).otherwise(
+        F.concat(F.slice(tw, 1, at), F.array(val), F.slice(tw, at + 2, 1 << 20)))
     pred = F.when(kind == 6, F.lower(F.col("tgt"))).otherwise(surface(pw))
     return c.withColumn("pred", pred).withColumn(
         "iteration", (F.lit(ITERATION_STEP) * (1 + idc % N_CHECKPOINTS)).cast("int"))

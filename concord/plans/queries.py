@@ -106,9 +106,8 @@ def inflection_table(spark, d):
 SELECT c.id, c.tense, c.src, c.tgt, m.n_distractors FROM corpus c JOIN meta m USING (id)"""))
 def harmonize(spark, d):
     """Pres rows have every subject noun in the head's number."""
-    c = S.synthesize(FX.keys(spark, d), harmonize=True)
-    f = A.features(F.col("tags"), F.col("numbers"), F.col("src_words"))
-    return c.select("id", "tense", "src", "tgt", f["n_distractors"].alias("n_distractors"))
+    c = A.add_features(S.synthesize(FX.keys(spark, d), harmonize=True), "template", "num_str", "src_words")
+    return c.select("id", "tense", "src", "tgt", "n_distractors")
 
 
 @query("length_filter", _w(O.corpus_ctes(), f"""
@@ -192,10 +191,8 @@ _BAL = O.corpus_ctes(pres_p=1.0) + O.meta_ctes() + [
 
 
 def _balanced_candidates(spark, d) -> DataFrame:
-    c = S.synthesize(FX.keys(spark, d), pres_p=1.0)
-    f = A.features(F.col("tags"), F.col("numbers"), F.col("src_words"))
-    return c.select("id", f["condition"].alias("condition"),
-                    S.preamble(F.col("src_words"), F.col("verb_pos")).alias("preamble"))
+    c = A.add_features(S.synthesize(FX.keys(spark, d), pres_p=1.0), "template", "num_str", "src_words")
+    return c.select("id", "condition", S.preamble(F.col("src_words"), F.col("verb_pos")).alias("preamble"))
 
 
 @query("preamble_dedup", _w(_BAL, """
@@ -267,8 +264,7 @@ _META = O.corpus_ctes() + O.meta_ctes()
 def _annotated(spark, d) -> DataFrame:
     c = _corpus_base(spark, d).select("id", "src", "tense")
     a = A.annotate_text(c, "src", "en_RC_PP")
-    f = A.features(F.col("tags"), F.col("numbers"), F.col("tokens"), F.col("tense"))
-    return a.select("id", "tokens", "tags", "accepted", *[v.alias(k) for k, v in f.items()])
+    return A.add_features(a, "ts", "ns", "tokens")
 
 
 @query("token_tags", _w(O.corpus_ctes(), """
@@ -277,8 +273,8 @@ SELECT id, string_agg(tag, '' ORDER BY pos) AS tag_string, CAST(count(*) AS INTE
 def token_tags(spark, d):
     """Lexicon tags of every word of the surface sentence."""
     a = _annotated(spark, d)
-    return a.select("id", A.tag_string(F.col("tags")).alias("tag_string"), F.size("tokens").alias("n_tokens"),
-                    F.size(F.filter("tags", lambda t: t.isNull())).alias("n_unknown"))
+    return a.select("id", F.col("ts").alias("tag_string"), F.size("tokens").alias("n_tokens"),
+                    (F.length("ts") - F.length(F.replace(F.col("ts"), F.lit("?"), F.lit("")))).cast("int").alias("n_unknown"))
 
 
 def _meta_query(name, cols, doc):
@@ -338,8 +334,8 @@ SELECT p.id, a.ok AS accepted FROM preds p JOIN a_pacc a ON a.id = p.id AND a.st
 def accepts_rcpp(spark, d):
     """Does the (capped, lower-cased) prediction parse under the RC/PP grammar?"""
     s = _scored(spark, d)
-    codes = A.tag_codes(A.tokens_for_parse(F.col("pred")), F.lit("en_RC_PP"))
-    return s.select("id", A.accepts(A.tags_of(codes), "en_RC_PP").alias("accepted"))
+    p = A.with_parse(s.select("id", "pred"), A.tokens_for_parse(F.col("pred")), "en_RC_PP", "p_")
+    return p.select("id", F.col("p_ok").alias("accepted"))
 
 
 @query("two_stage_accept", _w(_PREDS + O.parse_ctes("a_", "preds", "pred", "'en_RC_PP'", k="verb_pos") + [
@@ -348,7 +344,8 @@ SELECT p.id, CAST(c.stage AS INTEGER) AS stage FROM preds p LEFT JOIN a_ch c USI
 def two_stage_accept(spark, d):
     """Which stage accepted the prediction (1 full, 2 first k+1 words + [EOS], NULL none)."""
     s = _scored(spark, d)
-    return s.select("id", M.parse_stage(F.col("pred"), F.lit("en_RC_PP"), F.col("verb_pos")).alias("stage"))
+    w = s.select("id", F.col("pred").alias("_pred"), F.col("lang").alias("_lang"), F.col("verb_pos").alias("_k"))
+    return M.with_two_stage_parse(w).select("id", F.col("_stage").alias("stage"))
 
 
 def _trunc_sql(x, k):
@@ -373,9 +370,7 @@ _AGREE_SQL_CTES = _PREDS + O.parse_ctes("a_", "preds", "pred", "'en_RC_PP'", k="
 @query("agreement_attraction", _w(_AGREE_SQL_CTES, "SELECT id, agreement_attraction FROM agree"))
 def agreement_attraction(spark, d):
     """F5 per prediction."""
-    s = _scored(spark, d)
-    return s.select("id", M.agreement_attraction("pred", "gold", F.col("lang"), "tense", "verb_pos")
-                    .alias("agreement_attraction"))
+    return M.compute_metrics(_scored(spark, d), k="verb_pos", names=["agreement_attraction"])
 
 
 def _first_word_sql(x):
@@ -437,9 +432,7 @@ _AGREES = "((d.subj = 'sg' AND d.verb LIKE '%s') OR (d.subj = 'pl' AND d.verb NO
   ELSE ((d.verb NOT LIKE '%ed') AND d.subj = 'sg' AND d.verb LIKE '%s') OR (d.subj = 'pl' AND d.verb NOT LIKE '%s') END"""))
 def main_verb_correct(spark, d):
     """F10 (dormant): main verb reinflected correctly."""
-    s = _scored(spark, d)
-    return s.select("id", M.main_verb_reinflected_correctly("pred", "gold", F.col("lang"), "tense")
-                    .alias("main_verb_reinflected_correctly"))
+    return M.compute_metrics(_scored(spark, d), names=["main_verb_reinflected_correctly"])
 
 
 @query("only_main_verb", _dormant_sql("only_main_verb_reinflected", f"""CASE
@@ -449,9 +442,7 @@ def main_verb_correct(spark, d):
   ELSE list_bool_and(list_transform(v.vs[2:], lambda x: x LIKE '%ed')) END"""))
 def only_main_verb(spark, d):
     """F10 (dormant): only the main verb was reinflected."""
-    s = _scored(spark, d)
-    return s.select("id", M.only_main_verb_reinflected("pred", "gold", F.col("lang"), "tense")
-                    .alias("only_main_verb_reinflected"))
+    return M.compute_metrics(_scored(spark, d), names=["only_main_verb_reinflected"])
 
 
 @query("closest_variant", _dormant_sql("agreement_attraction_closest", f"""CASE
@@ -460,9 +451,7 @@ def only_main_verb(spark, d):
   WHEN d.final_number = d.subj THEN FALSE ELSE TRUE END"""))
 def closest_variant(spark, d):
     """F10 (dormant): attraction to the final intervener."""
-    s = _scored(spark, d)
-    return s.select("id", M.agreement_attraction_closest("pred", "gold", F.col("lang"), "tense")
-                    .alias("agreement_attraction_closest"))
+    return M.compute_metrics(_scored(spark, d), names=["agreement_attraction_closest"])
 
 
 # =====================================================================
