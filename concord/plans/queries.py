@@ -726,3 +726,247 @@ def metric_long(spark, d):
     u = s.select("conv_id", "turn", F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value"))
                                                         for n in names])).alias("_m"))
     return u.select("conv_id", "turn", "_m.metric", "_m.value")
+
+
+# =====================================================================
+# H — model-input preparation
+# =====================================================================
+from ..operators import prep as H  # noqa: E402
+from ..operators import jobs as J  # noqa: E402
+from ..sources import io as IO  # noqa: E402
+
+
+def _tok_sql(x):
+    return O.split_words(O.fmt(x))
+
+
+def _inputs(spark, d) -> DataFrame:
+    c = _corpus_base(spark, d)
+    return c.select("id", H.build_inputs(c).alias("input"), F.col("tgt").alias("target"))
+
+
+_INPUTS = O.corpus_ctes() + [
+    "inp AS (SELECT id, prefix || src AS input, tgt AS target FROM corpus)",
+    f"itok AS (SELECT id, unnest(t) AS word, generate_subscripts(t, 1) AS pos FROM (SELECT id, {_tok_sql('input')} AS t FROM inp))",
+    """ivocab AS (SELECT word, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, word) + 2 AS BIGINT) AS token_id
+                FROM itok GROUP BY word)""",
+    """iids AS (SELECT t.id, string_agg(CAST(v.token_id AS VARCHAR), ' ' ORDER BY t.pos) || ' 1' AS ids,
+                CAST(count(*) + 1 AS INTEGER) AS n_ids FROM itok t JOIN ivocab v USING (word) GROUP BY t.id)""",
+]
+
+
+@query("build_inputs", _w(_INPUTS, "SELECT id, input, target FROM inp"))
+def build_inputs(spark, d):
+    """H1/H2: task prefix (none given, none from the model -> '') + row prefix + source."""
+    return _inputs(spark, d)
+
+
+def _encoded_inputs(spark, d):
+    i = _inputs(spark, d).withColumn("toks", H.tokens(F.col("input")))
+    v = H.vocabulary(i, "toks")
+    return H.encode(i, "id", "toks", v), v
+
+
+@query("encode", _w(_INPUTS, "SELECT id, ids, n_ids FROM iids"))
+def encode(spark, d):
+    """H3: word ids from a vocabulary ranked by (count desc, word); EOS appended."""
+    e, _ = _encoded_inputs(spark, d)
+    return e.select("id", F.array_join("ids", " ").alias("ids"), F.size("ids").alias("n_ids"))
+
+
+_DOCS_VOCAB = [
+    f"dtok AS (SELECT doc_id, unnest(t) AS word, generate_subscripts(t, 1) AS pos FROM (SELECT doc_id, {_tok_sql('text')} AS t FROM documents))",
+    """dvocab AS (SELECT word, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, word) + 2 AS BIGINT) AS token_id
+                FROM dtok GROUP BY word)""",
+]
+
+
+@query("vocabulary", _w(_DOCS_VOCAB, "SELECT word, CAST(n AS BIGINT) AS n, token_id FROM dvocab"))
+def vocabulary(spark, d):
+    """H3: vocabulary of all document words, ids by frequency then word."""
+    docs = FX.table(spark, d, "documents").select("doc_id", H.tokens(F.col("text")).alias("toks"))
+    v = H.vocabulary(docs, "toks")
+    return v.select("word", "n", F.col("token_id").cast("bigint").alias("token_id"))
+
+
+@query("truncate_ids", _w(_DOCS_VOCAB + [
+    """dids AS (SELECT t.doc_id, list(v.token_id ORDER BY t.pos) AS ids FROM dtok t JOIN dvocab v USING (word) GROUP BY t.doc_id)"""],
+    f"""SELECT doc_id, CAST(len(ids) + 1 AS INTEGER) AS n_ids,
+  CASE WHEN len(ids) + 1 <= {H.MAX_SOURCE_LENGTH} THEN array_to_string(ids, ' ') || ' 1'
+       ELSE array_to_string(ids[1:{H.MAX_SOURCE_LENGTH - 1}], ' ') || ' 1' END AS ids
+FROM dids"""))
+def truncate_ids(spark, d):
+    """H4: document ids truncated to the 1024-id source limit (EOS kept last)."""
+    docs = FX.table(spark, d, "documents").select("doc_id", H.tokens(F.col("text")).alias("toks"))
+    v = H.vocabulary(docs, "toks")
+    e = H.encode(docs, "doc_id", "toks", v)
+    return e.select("doc_id", F.size("ids").alias("n_ids"),
+                    F.array_join(H.truncate_ids(F.col("ids"), H.MAX_SOURCE_LENGTH), " ").alias("ids"))
+
+
+PAD_LEN = 24
+
+
+@query("pad_mask", _w(_INPUTS, f"""
+SELECT id, ids || repeat(' 0', {PAD_LEN} - n_ids) AS input_ids,
+       trim(repeat('1 ', n_ids) || repeat('0 ', {PAD_LEN} - n_ids)) AS attention_mask
+FROM iids"""))
+def pad_mask(spark, d):
+    """H5: static padding to a fixed length with an attention mask."""
+    e, _ = _encoded_inputs(spark, d)
+    return e.select("id", F.array_join(H.pad(F.col("ids"), PAD_LEN), " ").alias("input_ids"),
+                    F.array_join(H.attention_mask(F.col("ids"), PAD_LEN), " ").alias("attention_mask"))
+
+
+BATCH = 16
+
+
+@query("batch_pad", _w(_INPUTS + [
+    f"b AS (SELECT id, n_ids, (row_number() OVER (ORDER BY id) - 1) // {BATCH} AS batch_id FROM iids)"], """
+SELECT id, CAST(batch_id AS BIGINT) AS batch_id, CAST(max(n_ids) OVER (PARTITION BY batch_id) AS INTEGER) AS batch_max_len
+FROM b"""))
+def batch_pad(spark, d):
+    """H6: dynamic padding — each row padded to its batch's longest input."""
+    e, _ = _encoded_inputs(spark, d)
+    b = H.with_batches(e, "id", BATCH)
+    return H.dynamic_pad(b, "ids").select("id", "batch_id", F.col("batch_max_len").cast("int"))
+
+
+@query("head_n", _w(O.corpus_ctes(), "SELECT id, src FROM corpus ORDER BY id LIMIT 1000"))
+def head_n(spark, d):
+    """H8: first N examples (the sample cap is the feature)."""
+    return _corpus_base(spark, d).select("id", "src").orderBy("id").limit(1000)
+
+
+@query("forced_prefix", _w(_PREDS, """
+SELECT id, array_to_string(list_slice(""" + O.split_words("gold") + """, 1, verb_pos), ' ') AS forced FROM preds"""))
+def forced_prefix(spark, d):
+    """The gold words the decoder is forced to reproduce (first k)."""
+    s = _scored(spark, d)
+    return s.select("id", H.forced_prefix(F.col("gold"), F.col("verb_pos")).alias("forced"))
+
+
+@query("constraint_check", _w(_PREDS + [
+    f"""pv AS (SELECT id, word AS past FROM tok WHERE pos = verb_pos)"""], f"""
+SELECT p.id, list_slice({O.split_words('p.pred')}, 1, p.verb_pos) = list_slice({O.split_words('p.gold')}, 1, p.verb_pos)
+  AND coalesce({O.split_words('p.pred')}[p.verb_pos + 1] IN ({O.inflect('v.past', "'sg'")}, {O.inflect('v.past', "'pl'")}), FALSE)
+  AS complies
+FROM preds p JOIN pv v USING (id)"""))
+def constraint_check(spark, d):
+    """Does the prediction keep the first k gold words and continue with an allowed verb form?"""
+    s = _scored(spark, d)
+    allowed = F.array(S.inflect_col(F.col("main_verb"), F.lit("sg")), S.inflect_col(F.col("main_verb"), F.lit("pl")))
+    return s.select("id", H.constraint_check(F.col("pred"), F.col("gold"), F.col("verb_pos"), allowed).alias("complies"))
+
+
+# =====================================================================
+# I — grouping / selection / flattening of text items
+# =====================================================================
+@query("header_groups", """
+SELECT md5(lang || '|' || split_part(text, chr(10), 1)) AS signature, CAST(count(*) AS BIGINT) AS n_items,
+       min(doc_id) AS first_key
+FROM documents GROUP BY 1""")
+def header_groups(spark, d):
+    """Documents grouped by identical header (language + first line)."""
+    docs = FX.table(spark, d, "documents")
+    sig = F.md5(F.concat_ws("|", F.col("lang"), F.get(J.lines(F.col("text")), 0)))
+    return J.header_groups(docs, "doc_id", sig)
+
+
+@query("select_files", """
+SELECT page_id, url FROM pages WHERE url LIKE '%/' AND regexp_matches(url, '^(?:https://)')""")
+def select_files(spark, d):
+    """Items selected by suffix and a regex anchored at the start."""
+    return J.select_items(FX.table(spark, d, "pages"), "url", suffix="/", regex="https://").select("page_id", "url")
+
+
+@query("flatten_lines", r"""
+SELECT doc_id, replace(replace(array_to_string(list_filter(string_split(text, chr(10)),
+         lambda l: NOT starts_with(l, '#') AND l <> ''), '; '), chr(9), ''), '\; ', '') AS flat
+FROM documents""")
+def flatten_lines(spark, d):
+    """One line per item: comments/blank lines dropped, '; '-joined."""
+    return FX.table(spark, d, "documents").select("doc_id", J.flatten(F.col("text")).alias("flat"))
+
+
+# =====================================================================
+# A — sources, sinks, ordinal pairing
+# =====================================================================
+@query("tsv_gold", _w(O.corpus_ctes(), "SELECT id, string_split(src || chr(9) || tgt, chr(9))[2] AS gold FROM corpus"))
+def tsv_gold(spark, d):
+    """A5: gold is the second tab-separated field of a 'src<TAB>tgt' line."""
+    c = _corpus_base(spark, d).select("id", F.concat_ws("\t", "src", "tgt").alias("value"))
+    return c.select("id", IO.gold_from_tsv().alias("gold"))
+
+
+@query("ordinal_join", """
+WITH r AS (SELECT conv_id, role, turn, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS k
+           FROM conversations WHERE role IN ('user', 'assistant'))
+SELECT u.conv_id, CAST(u.k AS INTEGER) AS k, u.turn AS user_turn, a.turn AS assistant_turn
+FROM r u JOIN r a ON a.conv_id = u.conv_id AND a.k = u.k AND u.role = 'user' AND a.role = 'assistant'""")
+def ordinal_join(spark, d):
+    """A3: k-th user message paired with the k-th assistant message (ordinal zip)."""
+    c = FX.table(spark, d, "conversations").filter(F.col("role").isin("user", "assistant"))
+    r = c.withColumn("k", F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn")).cast("int"))
+    u = r.filter(F.col("role") == "user").select("conv_id", "k", F.col("turn").alias("user_turn"))
+    a = r.filter(F.col("role") == "assistant").select("conv_id", "k", F.col("turn").alias("assistant_turn"))
+    return u.join(a, ["conv_id", "k"])
+
+
+_ORD = {f"{lang}-{dn}": i for i, (lang, dn) in enumerate((lg, dn) for lg, ds in L.DATASET_CONFIG.items() for dn in ds)}
+
+
+@query("ordered_union", _w(_CONFIG_CTES, "SELECT CASE name " + " ".join(
+    f"WHEN {O.q(n)} THEN {i}" for n, i in _ORD.items()) + " END AS file_ordinal, name, id, split FROM allc"))
+def ordered_union(spark, d):
+    """A10: configured datasets concatenated in configuration order."""
+    c = S.config_corpus(FX.keys(spark, d))
+    frames = [c.filter(F.col("name") == n).select("name", "id", "split") for n in _ORD]
+    return IO.ordered_union(frames).select("file_ordinal", "name", "id", "split")
+
+
+@query("config_rows", _w(_CONFIG_CTES, """
+SELECT c.lang, c.dataset, c.split, CAST(c.n AS BIGINT) AS n_configured, CAST(count(a.id) AS BIGINT) AS n_realized
+FROM cfg c LEFT JOIN asg a ON a.name = c.name AND a.split = c.split
+GROUP BY c.lang, c.dataset, c.split, c.n"""))
+def config_rows(spark, d):
+    """The dataset configuration as rows, with the split sizes realised over the keys."""
+    cfg = S.config_table(spark)
+    c = S.config_corpus(FX.keys(spark, d)).groupBy("name", "split").agg(F.count("*").alias("n_realized"))
+    j = F.broadcast(cfg).join(c, ["name", "split"], "left").fillna(0, ["n_realized"])
+    return j.select("lang", "dataset", "split", F.col("n").alias("n_configured"), F.col("n_realized").cast("bigint"))
+
+
+def pairs_roundtrip(spark, d):
+    """Corpus written as gz JSON pairs + companion metadata, read
+    back, line-aligned by ordinal.  Rows-only check (file round trip)."""
+    import uuid
+    c = FX.corpus(spark, d).orderBy("id")
+    base = IO.scratch_path(spark, f"pairs-{uuid.uuid4().hex}")
+    IO.write_pairs(c.coalesce(1), f"{base}/test.json")
+    IO.write_metadata(c.coalesce(1), IO.metadata_path(f"{base}/test.json"))
+    pairs = IO.read_pairs(spark, f"{base}/test.json")
+    meta = IO.read_metadata(spark, IO.metadata_path(f"{base}/test.json"))
+    return IO.pairs_with_metadata(pairs, meta).select("example_id", "src", "prefix", "tgt", "main_verb", "n_distractors")
+
+
+QUERIES["pairs_roundtrip"] = pairs_roundtrip
+
+
+def _stream_scored(spark, d):
+    """A11 as Structured Streaming: predictions per checkpoint written as files,
+    scored incrementally by a file stream, results read back."""
+    import uuid
+    from ..streaming.incremental import score_stream
+    base = IO.scratch_path(spark, f"stream-{uuid.uuid4().hex}")
+    s = _scored(spark, d)
+    s.select("id", "iteration", "pred").write.partitionBy("iteration").parquet(f"{base}/preds")
+    gold = s.select("id", "gold", "tense", "verb_pos")
+    score_stream(spark, f"{base}/preds", gold, f"{base}/out", f"{base}/_checkpoint")
+    return spark.read.parquet(f"{base}/out").select("id", "iteration", *sorted(M.METRICS))
+
+
+QUERIES["stream_scored"] = _stream_scored
+SQL["stream_scored"] = _w(_ALL_METRICS_SQL, """
+SELECT id, iteration, agreement_attraction, exact_match, first_word_identical, ignorecase_exact_match,
+       ignorecase_first_word_identical FROM scored""")
