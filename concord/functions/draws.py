@@ -73,12 +73,7 @@ def stage(df, cols: dict):
 
 
 def with_draws(df, key_col: str, slots: dict):
-    """Add one draw column per ``{name: slot}``: seed, then two squaring rounds,
-    each round its own projection (the square references its input twice)."""
-    key = F.col(key_col).cast("bigint")
-    df = stage(df, {n: ((key * SLOTS_PER_KEY + s) % (MODULUS - 1) + 1) * MULTIPLIER % MODULUS
-                    for n, s in slots.items()})
-    for r in (1, 2):
-        df = stage(df, {n: ((F.col(n) * F.col(n)) % MODULUS + ROUND_OFFSET * r) % MODULUS * MULTIPLIER % MODULUS
-                        for n in slots})
-    return df
+    """Add one draw column per ``{name: slot}`` in a single projection
+    (the squaring rounds repeat their input; subexpression elimination in
+    whole-stage codegen computes each repeated input once)."""
+    return stage(df, {n: draw(F.col(key_col), s) for n, s in slots.items()})

@@ -38,6 +38,16 @@ def _lang_array(lang: Column, attr: str) -> Column:
     return expr
 
 
+def _flat_lexicon(lang: Column) -> Column:
+    """[determiner, complementizer, nouns_sg, nouns_pl, verbs, preps] of the row's grammar."""
+    expr = None
+    for name, g in L.SAMPLING_GRAMMARS.items():
+        words = [L.DETERMINER, L.COMPLEMENTIZER, *g.nouns_sg, *g.nouns_pl, *g.verbs, *g.preps]
+        arr = F.array(*[F.lit(w) for w in words])
+        expr = F.when(lang == name, arr) if expr is None else expr.when(lang == name, arr)
+    return expr
+
+
 def inflect_col(verb: Column, number: Column) -> Column:
     """Present form of a past verb for 'sg'/'pl'; non -ed words unchanged."""
     stem = F.substring(verb, F.lit(1), F.length(verb) - 2)
@@ -52,22 +62,53 @@ def flip_number(n: Column) -> Column:
 
 
 # ---------------------------------------------------------------- keys
-def lineitem_keys(lineitem: DataFrame) -> DataFrame:
+def lineitem_keys(lineitem: DataFrame, partitions: int | None = None) -> DataFrame:
     """Sentence keys from line items: (orderkey*8 + linenumber) is not unique
-    in the input, so it is de-duplicated (one partial-aggregated shuffle)."""
-    return lineitem.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("bigint").alias("id")).distinct()
+    in the input, so it is de-duplicated.
+
+    Keys are tiny but every key expands into a full sentence pair, so the
+    de-duplicating exchange is an explicit hash repartition on the key with
+    ``spark.sql.shuffle.partitions`` partitions (sized for the cluster):
+    adaptive coalescing, which would size partitions by the 8-byte keys,
+    does not shrink the generation stage's parallelism, and the following
+    de-duplication reuses the same partitioning (no second exchange)."""
+    spark = lineitem.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    k = lineitem.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("bigint").alias("id"))
+    return k.repartition(n, "id").dropDuplicates(["id"])
 
 
 # ---------------------------------------------------------------- B1
 def sample_shapes(keys: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     """B1: draw a sentence shape per key with exact grammar probabilities.
 
-    Range join ``lo <= u < hi`` against the broadcast 33-row shape table
-    (size fixed by the grammar)."""
+    The shape table is fixed by the grammar (33 rows), so the range lookup
+    ``lo <= u < hi`` is compiled into a CASE ladder over the cumulative
+    bounds (a projection inside whole-stage codegen: no join, no exchange);
+    the shape's attributes are read from literal arrays by index.
+    ``shape_range_join`` is the equivalent broadcast range join."""
+    shapes = L.SHAPES
+    u = D.pick(D.draw(F.col("id"), D.SLOT_SHAPE), L.SHAPE_TOTAL)
+    df = D.stage(keys, {"_u": u})
+    ladder = None
+    for i, s in enumerate(shapes):
+        cond = F.col("_u") < F.lit(s.hi)
+        ladder = F.when(cond, F.lit(i)) if ladder is None else ladder.when(cond, F.lit(i))
+    df = D.stage(df, {"_s": ladder})
+    attr = lambda vals: F.get(F.array(*[F.lit(v) for v in vals]), F.col("_s"))
+    df = D.stage(df, {"shape_id": attr([s.shape_id for s in shapes]),
+                      "subj_mods": attr([s.subj_mods for s in shapes]),
+                      "obj_mods": attr([s.obj_mods for s in shapes]),
+                      "template": attr([s.template for s in shapes]),
+                      "verb_pos": attr([s.verb_pos for s in shapes])})
+    return df.drop("_u", "_s")
+
+
+def shape_range_join(keys: DataFrame, spark: SparkSession | None = None) -> DataFrame:
+    """B1 as a range join against the broadcast shape table (33 rows, bounded by the grammar)."""
     spark = spark or keys.sparkSession
     shapes = shape_table(spark)
-    u = D.pick(D.draw(F.col("id"), D.SLOT_SHAPE), L.SHAPE_TOTAL)
-    k = keys.withColumn("_u", u)
+    k = keys.withColumn("_u", D.pick(D.draw(F.col("id"), D.SLOT_SHAPE), L.SHAPE_TOTAL))
     j = k.join(F.broadcast(shapes), (k["_u"] >= shapes["lo"]) & (k["_u"] < shapes["hi"]))
     return j.drop("_u", "lo", "hi", "weight")
 
@@ -94,44 +135,40 @@ def synthesize(keys: DataFrame, lang="en_RC_PP", pres_p=0.5, harmonize=False) ->
     df = D.with_draws(df, "id", slots)
     vp, tmpl = F.col("verb_pos"), F.col("template")
     permille = F.round(pres_c * 1000).cast("bigint")
-    # Stage 1: tense, head-noun number, one tag per word position (the length
-    # cap bounds the positions, so everything stays in whole-stage codegen).
+    # Stage 1: tense, head-noun number, the grammar's flat word list
+    # [the, that, nouns_sg..., nouns_pl..., verbs..., preps...] and one tag
+    # per word position (the length cap bounds the positions, so generation
+    # is plain arithmetic inside whole-stage codegen).
     st = {"tense": F.when(D.pick(F.col("_d_tense"), 1000) < permille, "pres").otherwise("past"),
           "_head": F.when(D.pick(F.col("_d_n1"), 2) == 0, "sg").otherwise("pl"),
           "_harm": harm_c,
-          "_sg": _lang_array(F.col("lang"), "nouns_sg"), "_pl": _lang_array(F.col("lang"), "nouns_pl"),
-          "_vb": _lang_array(F.col("lang"), "verbs"), "_pr": _lang_array(F.col("lang"), "preps")}
+          "_flat": _flat_lexicon(F.col("lang")), "_nn": F.size(_lang_array(F.col("lang"), "nouns_sg")),
+          "_nv": F.size(_lang_array(F.col("lang"), "verbs")), "_np": F.size(_lang_array(F.col("lang"), "preps"))}
     for i in range(N):
         st[f"_t{i}"] = F.substring(tmpl, i + 1, 1)
     df = D.stage(df, st)
     pres = F.col("tense") == "pres"
-    sg, pl, verbs, preps = F.col("_sg"), F.col("_pl"), F.col("_vb"), F.col("_pr")
-    # Stage 2: number and word index per position.
+    nn, nv, np_ = F.col("_nn"), F.col("_nv"), F.col("_np")
+    # Stage 2: number and flat word index per position.
     st = {}
     for i in range(N):
         t, dn, dw = F.col(f"_t{i}"), F.col(f"_d_n{i}"), F.col(f"_d_w{i}")
         own = F.when(D.pick(dn, 2) == 0, "sg").otherwise("pl")
         # Harmonised 'pres' rows give every subject noun the head's number
         st[f"_n{i}"] = F.when(t == "N", F.when(F.col("_harm") & pres & (F.lit(i) < vp), F.col("_head")).otherwise(own))
-        st[f"_i{i}"] = (F.when(t == "N", D.pick(dw, F.size(sg)))
-                         .when(t == "V", D.pick(dw, F.size(verbs)))
-                         .when(t == "P", D.pick(dw, F.size(preps))).otherwise(F.lit(0))).cast("int")
+        st[f"_i{i}"] = (F.when(t == "N", D.pick(dw, nn))
+                         .when(t == "V", D.pick(dw, nv))
+                         .when(t == "P", D.pick(dw, np_)).otherwise(F.lit(0))).cast("int")
     df = D.stage(df, st)
-    # Stage 3: words.
+    # Stage 3: one lookup per position into the flat word list.
     st = {}
     for i in range(N):
         t, num, idx = F.col(f"_t{i}"), F.col(f"_n{i}"), F.col(f"_i{i}")
-        st[f"_w{i}"] = (F.when(t == "D", F.lit(L.DETERMINER))
-                         .when(t == "C", F.lit(L.COMPLEMENTIZER))
-                         .when(t == "N", F.when(num == "sg", F.get(sg, idx)).otherwise(F.get(pl, idx)))
-                         .when(t == "V", F.get(verbs, idx))
-                         .when(t == "P", F.get(preps, idx)))
-    df = D.stage(df, st)
-    # Stage 4: B4 — the main verb of a 'pres' target agrees with the head noun.
-    st = {}
-    for i in range(N):
-        w = F.col(f"_w{i}")
-        st[f"_v{i}"] = F.when((F.lit(i) == vp) & pres, inflect_col(w, F.col("_head"))).otherwise(w)
+        pos = (F.when(t == "D", F.lit(0)).when(t == "C", F.lit(1))
+                .when(t == "N", 2 + F.when(num == "pl", nn).otherwise(F.lit(0)) + idx)
+                .when(t == "V", 2 + 2 * nn + idx)
+                .when(t == "P", 2 + 2 * nn + nv + idx))
+        st[f"_w{i}"] = F.get(F.col("_flat"), pos)
     df = D.stage(df, st)
     n = F.length(tmpl)
     nch = [F.when(F.col(f"_n{i}") == "sg", "s").when(F.col(f"_n{i}") == "pl", "p").otherwise("-") for i in range(N)]
@@ -139,10 +176,15 @@ def synthesize(keys: DataFrame, lang="en_RC_PP", pres_p=0.5, harmonize=False) ->
            "numbers": F.slice(F.array(*[F.col(f"_n{i}") for i in range(N)]), 1, n),
            "idx": F.slice(F.array(*[F.col(f"_i{i}") for i in range(N)]), 1, n),
            "src_words": F.slice(F.array(*[F.col(f"_w{i}") for i in range(N)]), 1, n),
-           "tgt_words": F.slice(F.array(*[F.col(f"_v{i}") for i in range(N)]), 1, n),
            "num_str": F.substring(F.concat(*nch), 1, n)}
     df = D.stage(df, out)
-    df = df.select(*[c for c in df.columns if not c.startswith("_")])
+    df = df.select(*[c for c in df.columns if not c.startswith("_") or c == "_head"])
+    # The main verb of a 'pres' target agrees with the head noun (one splice)
+    src = F.col("src_words")
+    verb = F.get(src, vp)
+    tgt = F.when(pres, F.concat(F.slice(src, 1, vp), F.array(inflect_col(verb, F.col("_head"))),
+                                F.slice(src, vp + 2, 1 << 20))).otherwise(src)
+    df = D.stage(df, {"tgt_words": tgt}).drop("_head")
     df = D.stage(df, {"src": surface(F.col("src_words")), "prefix": F.col("tense"), "tgt": surface(F.col("tgt_words"))})
     return df
 
