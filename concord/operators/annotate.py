@@ -75,6 +75,36 @@ def tag_codes(tokens: Column, lang) -> Column:
     return F.transform(tokens, lambda w: F.try_element_at(m, w))
 
 
+def _quote(w: str) -> str:
+    return "\\Q" + w + "\\E" if any(ch in w for ch in "[]().*+?^$|\\{}") else w
+
+
+def _code_rules(lang: str) -> list:
+    """(pattern, code) per lexicon class: whole space-delimited tokens only."""
+    by_code = {}
+    for w, (t, n) in sorted(L.PARSE_LEXICONS[lang].entries.items()):
+        by_code.setdefault(t + {"sg": "s", "pl": "p"}.get(n, "-"), []).append(w)
+    rules = [(f"(?<= )(?:{'|'.join(_quote(w) for w in sorted(ws, key=len, reverse=True))})(?= )", code)
+             for code, ws in sorted(by_code.items())]
+    codes = "|".join(_quote(c) for c in sorted(by_code))
+    rules.append((f"(?<= )(?!(?:{codes})(?= ))[^ ]+(?= )", UNKNOWN))
+    return rules
+
+
+def code_string(tokens: Column, lang) -> Column:
+    """C1 without array lambdas: every token replaced in place by its
+    two-letter code ('?-' if unknown), using one regular-expression pass per
+    lexicon class over the space-joined tokens (native string functions)."""
+    s = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
+
+    def chain(name):
+        x = s
+        for pat, code in _code_rules(name):
+            x = F.regexp_replace(x, pat, code)
+        return F.regexp_replace(x, " ", "")
+    return _per_lang(_lit_lang(lang), chain)
+
+
 def code_strings(codes: Column) -> tuple:
     """(tag string, number string), aligned with the tokens; unknown -> '?' / '-'."""
     cs = F.array_join(codes, "", UNKNOWN)
@@ -110,7 +140,7 @@ def num_name(ch: Column) -> Column:
 def with_parse(df: DataFrame, tokens: Column, lang, p: str) -> DataFrame:
     """Staged E1/C1: adds {p}tokens, {p}ts, {p}ns, {p}ok."""
     df = D.stage(df, {p + "tokens": tokens})
-    df = D.stage(df, {p + "cs": F.array_join(tag_codes(F.col(p + "tokens"), lang), "", UNKNOWN)})
+    df = D.stage(df, {p + "cs": code_string(F.col(p + "tokens"), lang)})
     cs = F.col(p + "cs")
     df = D.stage(df, {p + "ts": F.regexp_replace(cs, "(.).", "$1"), p + "ns": F.regexp_replace(cs, ".(.)", "$1")})
     return D.stage(df, {p + "ok": accepts_str(F.col(p + "ts"), lang)}).drop(p + "cs")
@@ -216,5 +246,5 @@ def annotate_text(df: DataFrame, text: str, lang, prefix: str = "") -> DataFrame
 
 def unknown_word_rate(tokens: Column, lang) -> tuple:
     """(n_tokens, n_unknown) for a token array."""
-    ts, _ = code_strings(tag_codes(tokens, lang))
+    ts = F.regexp_replace(code_string(tokens, lang), "(.).", "$1")
     return F.size(tokens), F.length(ts) - F.length(F.replace(ts, F.lit("?"), F.lit("")))

@@ -44,7 +44,9 @@ def vocabulary(df: DataFrame, tokens_col: str) -> DataFrame:
     ordered = counts.orderBy(F.desc("n"), F.asc("word"))
     spark = df.sparkSession
     rdd = ordered.rdd.zipWithIndex().map(lambda r: (r[0]["word"], int(r[0]["n"]), int(r[1]) + FIRST_WORD_ID))
-    return spark.createDataFrame(rdd, "word string, n bigint, token_id int")
+    # cut the lineage once (reliable checkpoint in spark.checkpoint.dir): the
+    # ranking is reused by every encode and must not recompute the corpus
+    return spark.createDataFrame(rdd, "word string, n bigint, token_id int").checkpoint()
 
 
 def encode(df: DataFrame, key: str, tokens_col: str, vocab: DataFrame, add_eos: bool = True) -> DataFrame:
@@ -95,10 +97,11 @@ def with_batches(df: DataFrame, order_col: str, batch_size: int) -> DataFrame:
     """H6: consecutive batches in ``order_col`` order (distributed sort +
     zipWithIndex, not a global window)."""
     spark = df.sparkSession
-    ordered = df.orderBy(order_col)
-    schema = ordered.schema.add("batch_id", "long")
-    rdd = ordered.rdd.zipWithIndex().map(lambda r: tuple(r[0]) + (r[1] // batch_size,))
-    return spark.createDataFrame(rdd, schema)
+    keys = df.select(order_col).orderBy(order_col)
+    rdd = keys.rdd.zipWithIndex().map(lambda r: (r[0][0], r[1] // batch_size))
+    dtype = df.schema[order_col].dataType.simpleString()
+    idx = spark.createDataFrame(rdd, f"{order_col} {dtype}, batch_id long").checkpoint()
+    return df.join(idx, order_col)
 
 
 def dynamic_pad(df: DataFrame, ids_col: str, batch_col: str = "batch_id", value: int = PAD_ID) -> DataFrame:

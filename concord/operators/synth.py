@@ -296,3 +296,49 @@ def experiment_grid(spark: SparkSession, available: DataFrame, models=None, pair
     g = g.withColumn("finetune_job", (F.col("train") == F.col("test")) & F.coalesce(F.col("has_dev"), F.lit(False))) \
          .withColumn("eval_job", F.coalesce(F.col("has_test"), F.lit(False)))
     return g.crossJoin(F.broadcast(m)).select("train", "test", "model", "model_short", "finetune_job", "eval_job")
+
+
+# ---------------------------------------------------------------- stimulus-style items
+def _arr(words) -> Column:
+    return F.array(*[F.lit(w) for w in words])
+
+
+def _pick_word(words, key: Column, slot: int) -> Column:
+    return F.get(_arr(words), D.pick(D.draw(key, slot), len(words)).cast("int"))
+
+
+def stimulus_items(keys: DataFrame, lang: str) -> DataFrame:
+    """Sentences in the style of the parse-only grammars, assembled from their
+    lexicons with the same per-(key, slot) draws:
+    en_FVN_02: 'D N P D N V A.' (the verb agrees with the head noun);
+    en_VN_98:  'V D N P D N V A?' (auxiliary question).
+    A quarter of the keys are made ungrammatical (kind 0: the verb is replaced
+    by an unknown past form / the auxiliary is dropped; kind 1: the final
+    adjective is dropped), so acceptance has both outcomes.
+    Output: id, kind, item."""
+    k = F.col("id")
+    if lang == "en_FVN_02":
+        nouns_sg, dets, preps, adjs = L.FVN_NOUNS_SG, L.FVN_DETERMINERS, L.FVN_PREPS, L.FVN_ADJECTIVES
+    elif lang == "en_VN_98":
+        nouns_sg, dets, preps, adjs = L.VN_NOUNS_SG, [L.DETERMINER], L.VN_PREPS, L.VN_ADJECTIVES
+    else:
+        raise ValueError(lang)
+    nouns_pl = [L.pluralize(n) for n in nouns_sg]
+    sg1 = D.pick(D.draw(k, 3), 2) == 0
+    sg2 = D.pick(D.draw(k, 5), 2) == 0
+    n1 = F.when(sg1, _pick_word(nouns_sg, k, 4)).otherwise(_pick_word(nouns_pl, k, 4))
+    n2 = F.when(sg2, _pick_word(nouns_sg, k, 6)).otherwise(_pick_word(nouns_pl, k, 6))
+    kind = (k % 4).cast("int")
+    adj = F.when(kind == 1, F.lit(None)).otherwise(_pick_word(adjs, k, 8))
+    if lang == "en_FVN_02":
+        verb = F.when(kind == 0, F.lit("seemed")).when(sg1, "seems").otherwise("seem")
+        words = [_pick_word(dets, k, 2), n1, _pick_word(preps, k, 7), _pick_word(dets, k, 9), n2, verb, adj]
+        end = "."
+    else:
+        aux = F.when(kind == 0, F.lit(None)).when(sg1, "does").otherwise("do")
+        words = [aux, _pick_word(dets, k, 2), n1, _pick_word(preps, k, 7), _pick_word(dets, k, 9), n2,
+                 F.lit("seem"), adj]
+        end = "?"
+    item = F.concat(F.concat_ws(" ", *words), F.lit(end))
+    item = F.concat(F.upper(F.substring(item, 1, 1)), F.substring(item, 2, 1 << 20))
+    return keys.select("id", kind.alias("kind"), item.alias("item"))

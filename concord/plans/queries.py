@@ -762,7 +762,10 @@ def build_inputs(spark, d):
 
 
 def _encoded_inputs(spark, d):
-    i = _inputs(spark, d).withColumn("toks", H.tokens(F.col("input")))
+    # model inputs are persisted once (a reliable checkpoint under
+    # spark.checkpoint.dir, like the prepared dataset files) before
+    # vocabulary building and id assembly reuse them
+    i = _inputs(spark, d).checkpoint().withColumn("toks", H.tokens(F.col("input")))
     v = H.vocabulary(i, "toks")
     return H.encode(i, "id", "toks", v), v
 
@@ -970,3 +973,48 @@ QUERIES["stream_scored"] = _stream_scored
 SQL["stream_scored"] = _w(_ALL_METRICS_SQL, """
 SELECT id, iteration, agreement_attraction, exact_match, first_word_identical, ignorecase_exact_match,
        ignorecase_first_word_identical FROM scored""")
+
+
+# ---- E1/E3 on the parse-only grammars ------------------------------------
+def _stim_sql(lang):
+    from ..functions.draws import draw_sql, pick_sql
+    if lang == "en_FVN_02":
+        nsg, dets, preps, adjs = L.FVN_NOUNS_SG, L.FVN_DETERMINERS, L.FVN_PREPS, L.FVN_ADJECTIVES
+    else:
+        nsg, dets, preps, adjs = L.VN_NOUNS_SG, [L.DETERMINER], L.VN_PREPS, L.VN_ADJECTIVES
+    npl = [L.pluralize(n) for n in nsg]
+    lst = lambda ws: "[" + ", ".join(O.q(w) for w in ws) + "]"
+    pw = lambda ws, slot: f"{lst(ws)}[{pick_sql(draw_sql('id', str(slot)), len(ws))} + 1]"
+    sg1 = f"({pick_sql(draw_sql('id', '3'), 2)} = 0)"
+    sg2 = f"({pick_sql(draw_sql('id', '5'), 2)} = 0)"
+    n1 = f"(CASE WHEN {sg1} THEN {pw(nsg, 4)} ELSE {pw(npl, 4)} END)"
+    n2 = f"(CASE WHEN {sg2} THEN {pw(nsg, 6)} ELSE {pw(npl, 6)} END)"
+    adj = f"(CASE WHEN id % 4 = 1 THEN NULL ELSE {pw(adjs, 8)} END)"
+    if lang == "en_FVN_02":
+        verb = f"(CASE WHEN id % 4 = 0 THEN 'seemed' WHEN {sg1} THEN 'seems' ELSE 'seem' END)"
+        parts = [pw(dets, 2), n1, pw(preps, 7), pw(dets, 9), n2, verb, adj]
+        end = "'.'"
+    else:
+        aux = f"(CASE WHEN id % 4 = 0 THEN NULL WHEN {sg1} THEN 'does' ELSE 'do' END)"
+        parts = [aux, pw(dets, 2), n1, pw(preps, 7), pw(dets, 9), n2, "'seem'", adj]
+        end = "'?'"
+    body = f"concat_ws(' ', {', '.join(parts)}) || {end}"
+    return [O.keys_cte(), f"""stim AS (SELECT id, CAST(id % 4 AS INTEGER) AS kind,
+        upper(substr({body}, 1, 1)) || substr({body}, 2) AS item FROM keys)""",
+            f"stimf AS (SELECT id, {O.fmt('item')} AS text FROM stim)"]
+
+
+def _accepts_query(name, lang):
+    def q_(spark, d):
+        items = S.stimulus_items(FX.keys(spark, d), lang)
+        p = A.annotate_text(items, "item", lang, "p_")
+        return p.select("id", "kind", "item", F.col("p_ok").alias("accepted"),
+                        F.col("p_ts").alias("tags"))
+    q_.__doc__ = f"E1/E3: acceptance of {lang}-style items under its parse grammar."
+    QUERIES[name] = q_
+    SQL[name] = _w(_stim_sql(lang) + O.parse_ctes("v_", "stimf", "text", O.q(lang), max_words=None), """
+SELECT s.id, s.kind, s.item, a.ok AS accepted, a.tagstr AS tags FROM stim s JOIN v_pacc a ON a.id = s.id AND a.stage = 1""")
+
+
+_accepts_query("accepts_fvn", "en_FVN_02")
+_accepts_query("accepts_vn", "en_VN_98")
