@@ -32,7 +32,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _corpus_base(spark, d, **kw) -> DataFrame:
-    return S.synthesize(FX.keys(spark, d), **kw)
+    return FX.synth_table(spark, d, **kw)
 
 
 def _w(ctes, body):
@@ -106,7 +106,7 @@ def inflection_table(spark, d):
 SELECT c.id, c.tense, c.src, c.tgt, m.n_distractors FROM corpus c JOIN meta m USING (id)"""))
 def harmonize(spark, d):
     """Pres rows have every subject noun in the head's number."""
-    c = A.add_features(S.synthesize(FX.keys(spark, d), harmonize=True), "template", "num_str", "src_words")
+    c = A.add_features(FX.synth_table(spark, d, harmonize=True), "template", "num_str", "src_words")
     return c.select("id", "tense", "src", "tgt", "n_distractors")
 
 
@@ -157,7 +157,7 @@ _CONFIG_CTES = _config_sql_ctes()
 SELECT name, split, prefix, CAST(count(*) AS BIGINT) AS n FROM allc GROUP BY name, split, prefix"""))
 def splits(spark, d):
     """Config-driven corpora (dataset x split x prefix counts)."""
-    c = S.config_corpus(FX.keys(spark, d))
+    c = FX.config_table(spark, d)
     return c.groupBy("name", "split", "prefix").agg(F.count("*").alias("n"))
 
 
@@ -167,13 +167,13 @@ SELECT name, split, prefix, CAST(count(*) AS BIGINT) AS n,
 FROM allc GROUP BY name, split, prefix"""))
 def prefix_proportions(spark, d):
     """Share of each prefix per dataset split."""
-    return S.prefix_proportions(S.config_corpus(FX.keys(spark, d)), by=("name", "split"))
+    return S.prefix_proportions(FX.config_table(spark, d), by=("name", "split"))
 
 
 @query("config_corpus_sample", _w(_CONFIG_CTES, "SELECT name, split, id, src, prefix, tgt FROM allc"))
 def config_corpus_sample(spark, d):
     """B9 rows: every configured dataset's sentence pairs."""
-    return S.config_corpus(FX.keys(spark, d)).select("name", "split", "id", "src", "prefix", "tgt")
+    return FX.config_table(spark, d).select("name", "split", "id", "src", "prefix", "tgt")
 
 
 # ---- B11-B13: balanced sample --------------------------------------------
@@ -191,7 +191,7 @@ _BAL = O.corpus_ctes(pres_p=1.0) + O.meta_ctes() + [
 
 
 def _balanced_candidates(spark, d) -> DataFrame:
-    c = A.add_features(S.synthesize(FX.keys(spark, d), pres_p=1.0), "template", "num_str", "src_words")
+    c = A.add_features(FX.synth_table(spark, d, pres_p=1.0), "template", "num_str", "src_words")
     return c.select("id", "condition", S.preamble(F.col("src_words"), F.col("verb_pos")).alias("preamble"))
 
 
@@ -251,7 +251,7 @@ FROM pairs p JOIN av tr ON tr.name = p.train LEFT JOIN av te ON te.name = p.test
 WHERE tr.has_train"""))
 def experiment_grid(spark, d):
     """(train, test) x model jobs, kept where the corpus has the data."""
-    kd = S.config_corpus(FX.keys(spark, d)).select("name", "split").distinct()
+    kd = FX.config_table(spark, d).select("name", "split").distinct()
     return S.experiment_grid(spark, kd)
 
 
@@ -765,7 +765,7 @@ def _encoded_inputs(spark, d):
     # model inputs are persisted once (a reliable checkpoint under
     # spark.checkpoint.dir, like the prepared dataset files) before
     # vocabulary building and id assembly reuse them
-    i = _inputs(spark, d).checkpoint().withColumn("toks", H.tokens(F.col("input")))
+    i = _inputs(spark, d).withColumn("toks", H.tokens(F.col("input")))
     v = H.vocabulary(i, "toks")
     return H.encode(i, "id", "toks", v), v
 
@@ -923,7 +923,7 @@ _ORD = {f"{lang}-{dn}": i for i, (lang, dn) in enumerate((lg, dn) for lg, ds in
     f"WHEN {O.q(n)} THEN {i}" for n, i in _ORD.items()) + " END AS file_ordinal, name, id, split FROM allc"))
 def ordered_union(spark, d):
     """A10: configured datasets concatenated in configuration order."""
-    c = S.config_corpus(FX.keys(spark, d))
+    c = FX.config_table(spark, d)
     frames = [c.filter(F.col("name") == n).select("name", "id", "split") for n in _ORD]
     return IO.ordered_union(frames).select("file_ordinal", "name", "id", "split")
 
@@ -935,7 +935,7 @@ GROUP BY c.lang, c.dataset, c.split, c.n"""))
 def config_rows(spark, d):
     """The dataset configuration as rows, with the split sizes realised over the keys."""
     cfg = S.config_table(spark)
-    c = S.config_corpus(FX.keys(spark, d)).groupBy("name", "split").agg(F.count("*").alias("n_realized"))
+    c = FX.config_table(spark, d).groupBy("name", "split").agg(F.count("*").alias("n_realized"))
     j = F.broadcast(cfg).join(c, ["name", "split"], "left").fillna(0, ["n_realized"])
     return j.select("lang", "dataset", "split", F.col("n").alias("n_configured"), F.col("n_realized").cast("bigint"))
 

@@ -9,7 +9,7 @@ from conftest import SF_SMALL
 
 
 def test_every_sentence_is_grammatical(spark):
-    c = S.synthesize(FX.keys(spark, SF_SMALL))
+    c = FX.synth_table(spark, SF_SMALL)
     a = A.annotate_text(c.select("id", "tgt"), "tgt", "en_RC_PP")
     assert a.filter(~F.col("ok")).count() == 0
     assert c.filter(F.length("template") > L.MAX_SENTENCE_WORDS).count() == 0
@@ -28,13 +28,13 @@ def test_metadata_from_surface_equals_generation(spark):
 
 
 def test_harmonized_present_rows_have_no_distractors(spark):
-    c = A.add_features(S.synthesize(FX.keys(spark, SF_SMALL), harmonize=True), "template", "num_str", "src_words")
+    c = A.add_features(FX.synth_table(spark, SF_SMALL, harmonize=True), "template", "num_str", "src_words")
     assert c.filter((F.col("tense") == "pres") & (F.col("n_distractors") > 0)).count() == 0
     assert c.filter((F.col("tense") == "past") & (F.col("n_distractors") > 0)).count() > 0
 
 
 def test_balanced_sample_respects_quotas_and_unique_preambles(spark):
-    c = A.add_features(S.synthesize(FX.keys(spark, SF_SMALL), pres_p=1.0), "template", "num_str", "src_words")
+    c = A.add_features(FX.synth_table(spark, SF_SMALL, pres_p=1.0), "template", "num_str", "src_words")
     cand = c.select("id", "condition", S.preamble(F.col("src_words"), F.col("verb_pos")).alias("preamble"))
     q = S.quota_table(spark, scale=1 / 64)
     out = S.balanced_sample(cand, q, 4)
