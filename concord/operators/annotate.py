@@ -86,8 +86,9 @@ def _code_rules(lang: str) -> list:
         by_code.setdefault(t + {"sg": "s", "pl": "p"}.get(n, "-"), []).append(w)
     rules = [(f"(?<= )(?:{'|'.join(_quote(w) for w in sorted(ws, key=len, reverse=True))})(?= )", code)
              for code, ws in sorted(by_code.items())]
-    codes = "|".join(_quote(c) for c in sorted(by_code))
-    rules.append((f"(?<= )(?!(?:{codes})(?= ))[^ ]+(?= )", UNKNOWN))
+    # anything left that is not a code (codes are an upper-case letter + s/p/-,
+    # lexicon words are lower-case) is an unknown word
+    rules.append(("(?<= )(?![A-Z][-sp] )[^ ]+(?= )", UNKNOWN))
     return rules
 
 

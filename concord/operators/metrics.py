@@ -55,7 +55,9 @@ def with_two_stage_parse(df: DataFrame) -> DataFrame:
     _stage (1/2/NULL) and the chosen parse as a_tokens/a_ts/a_ns + positions."""
     pred, lang, k = F.col("_pred"), F.col("_lang"), F.col("_k")
     df = A.with_parse(df, A.tokens_for_parse(pred), lang, "s1_")
-    df = A.with_parse(df, A.eos_tokens(pred, k), lang, "s2_")
+    # the fallback is only parsed where stage 1 failed and k is known
+    need2 = ~F.coalesce(F.col("s1_ok"), F.lit(False)) & k.isNotNull()
+    df = A.with_parse(df, F.when(need2, A.eos_tokens(pred, k)), lang, "s2_")
     use1 = F.coalesce(F.col("s1_ok"), F.lit(False))
     use2 = k.isNotNull() & F.coalesce(F.col("s2_ok"), F.lit(False))
     df = D.stage(df, {"_stage": F.when(use1, F.lit(1)).when(use2, F.lit(2))})
