@@ -1018,3 +1018,44 @@ SELECT s.id, s.kind, s.item, a.ok AS accepted, a.tagstr AS tags FROM stim s JOIN
 
 _accepts_query("accepts_fvn", "en_FVN_02")
 _accepts_query("accepts_vn", "en_VN_98")
+
+
+# ---- H12: allowed next tokens per position --------------------------------
+@query("allowed_by_position", _w(O.corpus_ctes() + [
+    f"ttok AS (SELECT unnest({_tok_sql('tgt')}) AS word FROM corpus)",
+    """tvocab AS (SELECT word, CAST(row_number() OVER (ORDER BY count(*) DESC, word) + 2 AS BIGINT) AS token_id
+                FROM ttok GROUP BY word)""",
+    f"""alts AS (SELECT t.id, n.number, {O.inflect('t.word', 'n.number')} AS word
+               FROM tok t, (VALUES ('sg'), ('pl')) n(number) WHERE t.pos = t.verb_pos)""",
+    "aids AS (SELECT a.id, coalesce(v.token_id, 2) AS tid FROM alts a LEFT JOIN tvocab v USING (word))"], """
+SELECT id, 0 AS pos, array_to_string(list_sort(list_distinct(list(tid))), ' ') AS allowed,
+       FALSE AS opens_word, FALSE AS open_all FROM aids GROUP BY id
+UNION ALL
+SELECT id, 1 AS pos, '' AS allowed, TRUE AS opens_word, FALSE AS open_all FROM corpus"""))
+def allowed_by_position(spark, d):
+    """Per position, the token ids the decoder may emit after the forced
+    prefix — the tokenisations of the [sg, pl] verb forms, position by position
+    (EOS opens a new word, padding opens everything)."""
+    c = _corpus_base(spark, d)
+    v = H.vocabulary(c.select("id", H.tokens(F.col("tgt")).alias("toks")), "toks")
+    verb = F.get(F.col("src_words"), F.col("verb_pos"))
+    alts = c.select("id", F.array(S.inflect_col(verb, F.lit("sg")), S.inflect_col(verb, F.lit("pl"))).alias("alts"))
+    a = H.allowed_by_position(alts, "id", "alts", v)
+    return a.select("id", F.col("pos").cast("int").alias("pos"), F.array_join("allowed", " ").alias("allowed"),
+                    "opens_word", "open_all")
+
+
+def results_csv_roundtrip(spark, d):
+    """Per-checkpoint result files (CSV.gz, 'NaN' for NULL) written and
+    read back as one table, the iteration taken from each file's path.
+    Rows-only check (file round trip)."""
+    import uuid
+    base = IO.scratch_path(spark, f"results-{uuid.uuid4().hex}")
+    r = QUERIES["assemble_results"](spark, d)
+    r = r.withColumn("checkpoint", F.concat(F.lit("checkpoint-"), F.col("iteration").cast("string")))
+    IO.write_results_csv(r.drop("iteration"), base, partition_by="checkpoint")
+    back = IO.read_checkpoint_results(spark, f"{base}/checkpoint=*/*.csv.gz")
+    return back.select("iteration", "id", "exact_match", "agreement_attraction")
+
+
+QUERIES["results_csv_roundtrip"] = results_csv_roundtrip

@@ -105,12 +105,14 @@ def input_format(path_col) -> "F.Column":
     return F.when(ext != "", ext)
 
 
-def write_results_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_results_csv(df: DataFrame, path: str, mode: str = "overwrite", partition_by: str | None = None) -> None:
     """Result rows as CSV.gz with 'NaN' for NULL; arrays as JSON text."""
     cols = [F.to_json(F.col(f.name)).alias(f.name) if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))
             else F.col(f.name) for f in df.schema.fields]
-    df.select(*cols).write.mode(mode).option("header", True).option("nullValue", "NaN") \
-        .option("compression", "gzip").csv(path)
+    w = df.select(*cols).write.mode(mode).option("header", True).option("nullValue", "NaN").option("compression", "gzip")
+    if partition_by:
+        w = w.partitionBy(partition_by)
+    w.csv(path)
 
 
 def read_checkpoint_results(spark: SparkSession, glob_path: str) -> DataFrame:
