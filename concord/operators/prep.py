@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import format_sentence, truncate_words, words
+from ..session import checkpoint_dir
 
 PAD_ID, EOS_ID, UNK_ID = 0, 1, 2
 FIRST_WORD_ID = 3
@@ -43,6 +44,7 @@ def vocabulary(df: DataFrame, tokens_col: str) -> DataFrame:
     counts = df.select(F.explode(tokens_col).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     ordered = counts.orderBy(F.desc("n"), F.asc("word"))
     spark = df.sparkSession
+    checkpoint_dir(spark)
     rdd = ordered.rdd.zipWithIndex().map(lambda r: (r[0]["word"], int(r[0]["n"]), int(r[1]) + FIRST_WORD_ID))
     # cut the lineage once (reliable checkpoint in spark.checkpoint.dir): the
     # ranking is reused by every encode and must not recompute the corpus
@@ -97,6 +99,7 @@ def with_batches(df: DataFrame, order_col: str, batch_size: int) -> DataFrame:
     """H6: consecutive batches in ``order_col`` order (distributed sort +
     zipWithIndex, not a global window)."""
     spark = df.sparkSession
+    checkpoint_dir(spark)
     keys = df.select(order_col).orderBy(order_col)
     rdd = keys.rdd.zipWithIndex().map(lambda r: (r[0][0], r[1] // batch_size))
     dtype = df.schema[order_col].dataType.simpleString()

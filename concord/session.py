@@ -29,16 +29,16 @@ def get_spark(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "c
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir`` when set; only when unset
-    (local tests) fall back to a fresh scratch folder."""
+    (local tests) fall back to a fresh scratch folder.  Also points the
+    SparkContext's reliable-checkpoint directory there (once)."""
     conf = spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
+    if not conf:
+        conf = tempfile.mkdtemp(prefix="concord-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", conf)
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(conf)
-        return conf
-    path = tempfile.mkdtemp(prefix="concord-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    return conf
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
+    return ensure_checkpoint_dir(spark)
