@@ -216,7 +216,8 @@ def summary_aggs(metric: str, nulls_as_false: bool = False) -> list:
         (F.count(F.lit(1)) - included).alias("omitted_points"),
         F.count(F.when(b, 1)).alias("true_points"),
         F.count(F.when(~b, 1)).alias("false_points"),
-        F.round(F.avg(b.cast("double")), 6).alias("mean"),
+        # exact ratio of counts (one IEEE division; NULL when nothing is included)
+        F.try_divide(F.count(F.when(b, 1)).cast("double"), F.count(b).cast("double")).alias("mean"),
     ]
 
 

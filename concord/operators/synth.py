@@ -238,7 +238,7 @@ def prefix_proportions(corpus: DataFrame, by=("split",)) -> DataFrame:
     by = list(by)
     c = corpus.groupBy(*by, "prefix").agg(F.count("*").alias("n"))
     w = Window.partitionBy(*by)
-    return c.withColumn("prop", F.round(F.col("n") / F.sum("n").over(w), 6))
+    return c.withColumn("prop", F.col("n") / F.sum("n").over(w))
 
 
 # ---------------------------------------------------------------- B11/B12/B13

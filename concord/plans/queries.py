@@ -50,8 +50,8 @@ def shape_sample(spark, d):
 
 @query("shape_histogram", _w(O.corpus_ctes()[:2] + [f"sh AS (SELECT * FROM {O.shapes_values()})"], f"""
 SELECT h.shape_id, h.subj_mods, h.obj_mods, CAST(count(s.id) AS BIGINT) AS n,
-       round(h.weight / {L.SHAPE_TOTAL}.0, 6) AS expected_share,
-       round(count(s.id) / sum(count(s.id)) OVER (), 6) AS observed_share
+       CAST(h.weight AS DOUBLE) / {L.SHAPE_TOTAL} AS expected_share,
+       CAST(count(s.id) AS DOUBLE) / CAST(sum(count(s.id)) OVER () AS DOUBLE) AS observed_share
 FROM sh h LEFT JOIN sent s ON s.shape_id = h.shape_id
 GROUP BY h.shape_id, h.subj_mods, h.obj_mods, h.weight"""))
 def shape_histogram(spark, d):
@@ -60,8 +60,8 @@ def shape_histogram(spark, d):
     cnt = S.sample_shapes(FX.keys(spark, d)).groupBy("shape_id").agg(F.count("*").alias("n"))
     out = F.broadcast(sh).join(cnt, "shape_id", "left").fillna(0, ["n"])
     return out.select("shape_id", "subj_mods", "obj_mods", F.col("n").cast("bigint").alias("n"),
-                      F.round(F.col("weight") / F.lit(float(L.SHAPE_TOTAL)), 6).alias("expected_share"),
-                      F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6).alias("observed_share"))
+                      (F.col("weight") / F.lit(float(L.SHAPE_TOTAL))).alias("expected_share"),
+                      (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("observed_share"))
 
 
 @query("surface", _w(O.corpus_ctes(), "SELECT id, src, prefix, tgt FROM corpus"))
@@ -70,12 +70,12 @@ def surface(spark, d):
 
 
 @query("pair_mix", _w(O.corpus_ctes(), """
-SELECT prefix, CAST(count(*) AS BIGINT) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS prop
+SELECT prefix, CAST(count(*) AS BIGINT) AS n, CAST(count(*) AS DOUBLE) / CAST(sum(count(*)) OVER () AS DOUBLE) AS prop
 FROM corpus GROUP BY prefix"""))
 def pair_mix(spark, d):
     """Bernoulli(p) mixture of present/past pairs."""
     c = _corpus_base(spark, d).groupBy("prefix").agg(F.count("*").alias("n"))
-    return c.select("prefix", "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6).alias("prop"))
+    return c.select("prefix", "n", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("prop"))
 
 
 @query("reinflect", _w(O.corpus_ctes(), """
@@ -163,7 +163,7 @@ def splits(spark, d):
 
 @query("prefix_proportions", _w(_CONFIG_CTES, """
 SELECT name, split, prefix, CAST(count(*) AS BIGINT) AS n,
-       round(count(*) / sum(count(*)) OVER (PARTITION BY name, split), 6) AS prop
+       CAST(count(*) AS DOUBLE) / CAST(sum(count(*)) OVER (PARTITION BY name, split) AS DOUBLE) AS prop
 FROM allc GROUP BY name, split, prefix"""))
 def prefix_proportions(spark, d):
     """Share of each prefix per dataset split."""
@@ -217,7 +217,7 @@ SELECT coalesce(c.condition, 'NULL') AS condition,
        CAST(count(*) FILTER (WHERE f.id IS NOT NULL) AS BIGINT) AS n_unique,
        CAST(count(a.id) AS BIGINT) AS n_accepted,
        max(q.quota) AS quota,
-       round(count(a.id) / max(q.quota), 6) AS fill
+       CAST(count(a.id) AS DOUBLE) / max(q.quota) AS fill
 FROM cand c LEFT JOIN firstp f ON f.id = c.id LEFT JOIN acc a ON a.id = c.id
 LEFT JOIN quota q ON q.condition = c.condition
 GROUP BY 1"""))
@@ -233,7 +233,7 @@ def acceptance_accounting(spark, d):
         F.count("_u").alias("n_unique"),
         F.count("_a").alias("n_accepted"),
         F.max("quota").alias("quota"),
-        F.round(F.count("_a") / F.max("quota"), 6).alias("fill"))
+        (F.count("_a") / F.max("quota")).alias("fill"))
 
 
 @query("experiment_grid", _w(_CONFIG_CTES + [
@@ -400,7 +400,7 @@ def _summary_sql(src, by="", nulls_as_false=False):
   CAST(count(*) - {inc} AS BIGINT) AS omitted_points,
   CAST(count(*) FILTER (WHERE {v}) AS BIGINT) AS true_points,
   CAST(count(*) FILTER (WHERE NOT {v}) AS BIGINT) AS false_points,
-  round(avg(CAST({v} AS DOUBLE)), 6) AS mean
+  CASE WHEN count(*) FILTER (WHERE {v} IS NOT NULL) > 0 THEN CAST(count(*) FILTER (WHERE {v}) AS DOUBLE) / count(*) FILTER (WHERE {v} IS NOT NULL) END AS mean
 FROM {src} GROUP BY {g}"""
 
 
@@ -471,13 +471,13 @@ def _long_metrics(spark, d) -> DataFrame:
 
 
 @query("curve_overall", _w(_ALL_METRICS_SQL, """
-SELECT iteration, tense, metric, round(avg(CAST(value AS DOUBLE)), 6) AS mean, CAST(count(*) AS BIGINT) AS n
+SELECT iteration, tense, metric, CAST(count(*) FILTER (WHERE value) AS DOUBLE) / count(*) AS mean, CAST(count(*) AS BIGINT) AS n
 FROM long WHERE value IS NOT NULL GROUP BY iteration, tense, metric"""))
 def curve_overall(spark, d):
     """Mean of every metric per (checkpoint, tense), NULL results dropped."""
     u = _long_metrics(spark, d).filter(F.col("value").isNotNull())
     return u.groupBy("iteration", "tense", "metric").agg(
-        F.round(F.avg(F.col("value").cast("double")), 6).alias("mean"), F.count("*").alias("n"))
+        (F.count(F.when(F.col("value"), 1)) / F.count("*")).alias("mean"), F.count("*").alias("n"))
 
 
 def _grouped_sql():
@@ -503,12 +503,12 @@ def _grouped_long(spark, d) -> DataFrame:
 
 
 @query("curve_by_group", _w(_GROUPED_CTES, """
-SELECT iteration, metric, var, grp, round(avg(CAST(value AS DOUBLE)), 6) AS mean, CAST(count(*) AS BIGINT) AS n
+SELECT iteration, metric, var, grp, CAST(count(*) FILTER (WHERE value) AS DOUBLE) / count(*) AS mean, CAST(count(*) AS BIGINT) AS n
 FROM glong WHERE value IS NOT NULL GROUP BY iteration, metric, var, grp"""))
 def curve_by_group(spark, d):
     """Per grouping variable, curves keyed 'tense + value' ('None' for NULL)."""
     return _grouped_long(spark, d).groupBy("iteration", "metric", "var", "grp").agg(
-        F.round(F.avg(F.col("value").cast("double")), 6).alias("mean"), F.count("*").alias("n"))
+        (F.count(F.when(F.col("value"), 1)) / F.count("*")).alias("mean"), F.count("*").alias("n"))
 
 
 @query("legend_counts", _w(_GROUPED_CTES + [
@@ -542,14 +542,14 @@ def all_null_report(spark, d):
 
 @query("curve_events", """
 SELECT CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS BIGINT) AS iteration, event_type AS tense,
-       round(avg(CASE WHEN value > 50 THEN 1.0 ELSE 0.0 END), 6) AS mean, CAST(count(*) AS BIGINT) AS n
+       CAST(count(*) FILTER (WHERE value > 50) AS DOUBLE) / count(*) AS mean, CAST(count(*) AS BIGINT) AS n
 FROM events GROUP BY 1, 2""")
 def curve_events(spark, d):
     """G7 over the event stream: iteration = day, tense = event type, metric = value > 50."""
     e = FX.table(spark, d, "events")
     day = F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).cast("bigint")
     return e.groupBy(day.alias("iteration"), F.col("event_type").alias("tense")).agg(
-        F.round(F.avg((F.col("value") > 50).cast("double")), 6).alias("mean"), F.count("*").alias("n"))
+        (F.count(F.when(F.col("value") > 50, 1)) / F.count("*")).alias("mean"), F.count("*").alias("n"))
 
 
 @query("natural_sort", """
