@@ -98,3 +98,9 @@ def scored_input(c: DataFrame) -> DataFrame:
                       "distractor_structures", "final_distractor_structure", "condition",
                       "object_number", "each_distractor_structure", "pos_sequence",
                       "predict_identical_until_given_word_number") if x in p.columns])
+
+
+def preds_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prediction table (formatted pred + gold + scoring context and
+    metadata), materialised once like the per-checkpoint prediction files."""
+    return materialize(scored_input(corpus(spark, sf_dir)), ("preds", sf_dir))

@@ -326,7 +326,7 @@ _PREDS = O.corpus_ctes() + O.preds_ctes()
 
 
 def _scored(spark, d) -> DataFrame:
-    return FX.scored_input(FX.corpus(spark, d))
+    return FX.preds_table(spark, d)
 
 
 @query("accepts_rcpp", _w(_PREDS + O.parse_ctes("a_", "preds", "pred", "'en_RC_PP'"), """
