@@ -38,7 +38,9 @@ def words(c) -> Column:
 
 
 def first_word(c) -> Column:
-    return F.get(words(c), 0)
+    """First whitespace-delimited word, NULL when there is none (one regex, no split)."""
+    w = F.regexp_extract(_c(c), rf"^{WS}*([^ \t\n\r\f\x0B]+)", 1)
+    return F.when(w != "", w)
 
 
 def truncate_words(c, n) -> Column:
