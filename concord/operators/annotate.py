@@ -8,8 +8,9 @@ functions: head noun = first N, main verb = first V not directly after
 'that' (C), interveners = nouns between the head and the verb closing the
 subject, an intervener's own structure = its nearest preceding P (PP) or C
 (CP/RC).  Acceptance = a full-match pattern over the tag string (unknown
-words are '?', so they never match).  No trees, no parser, no Python; the
-only array lambda is the per-token lexicon lookup; everything is row-local.
+words are '?', so they never match).  No trees, no parser, no Python, no
+per-token lambdas on the main path (tagging is one whole-token regular
+expression pass per lexicon class); everything is row-local.
 """
 
 from __future__ import annotations
@@ -70,7 +71,8 @@ def _per_lang(lang: Column, build) -> Column:
 
 
 def tag_codes(tokens: Column, lang) -> Column:
-    """Lexicon code per token (NULL = unknown word or unsupported lang)."""
+    """C1 as an array: lexicon code per token (NULL = unknown word or
+    unsupported lang), via a literal map lookup per element."""
     m = _per_lang(_lit_lang(lang), _lexicon_map)
     return F.transform(tokens, lambda w: F.try_element_at(m, w))
 
@@ -106,9 +108,8 @@ def code_string(tokens: Column, lang) -> Column:
     return _per_lang(_lit_lang(lang), chain)
 
 
-def code_strings(codes: Column) -> tuple:
-    """(tag string, number string), aligned with the tokens; unknown -> '?' / '-'."""
-    cs = F.array_join(codes, "", UNKNOWN)
+def code_strings(cs: Column) -> tuple:
+    """(tag string, number string) from a joined code string; unknown -> '?' / '-'."""
     return F.regexp_replace(cs, "(.).", "$1"), F.regexp_replace(cs, ".(.)", "$1")
 
 
@@ -119,13 +120,12 @@ def accepts_str(ts: Column, lang) -> Column:
 
 
 def parse(tokens: Column, lang) -> dict:
-    """Tokens -> tag string, number string, acceptance."""
-    ts, ns = code_strings(tag_codes(tokens, lang))
+    """Tokens -> tag string, number string, acceptance (column expressions;
+    ``with_parse`` is the staged DataFrame form)."""
+    ts, ns = code_strings(code_string(tokens, lang))
     return {"tokens": tokens, "ts": ts, "ns": ns, "ok": accepts_str(ts, lang)}
 
 
-def parse_text(text: Column, lang, max_words: int | None = None) -> dict:
-    return parse(tokens_for_parse(format_sentence(text), max_words=max_words), lang)
 
 
 # ------------------------------------------------------------------ C2/C5/C6/C8
