@@ -145,3 +145,23 @@ def constraint_check(pred: Column, gold: Column, k: Column, allowed_words: Colum
     same = F.slice(pw, 1, k) == F.slice(gw, 1, k)
     nxt = F.get(pw, k)
     return F.when(k.isNotNull(), same & F.coalesce(F.array_contains(allowed_words, nxt), F.lit(False)))
+
+
+def split_fields(df: DataFrame) -> tuple:
+    """H7: (numeric-list columns, other columns) by schema — the former are
+    padded into tensors by a collator, the latter passed through untouched."""
+    from pyspark.sql import types as T
+    numeric = (T.IntegerType, T.LongType, T.ShortType, T.ByteType, T.FloatType, T.DoubleType)
+    num = [f.name for f in df.schema.fields
+           if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, numeric)]
+    return num, [c for c in df.columns if c not in num]
+
+
+def with_constraint_defaults(df: DataFrame) -> DataFrame:
+    """Optional constraint columns, present only when the data has them:
+    the identical-prefix length defaults to 0, the allowed next words to NULL."""
+    out = df
+    if "predict_identical_until_given_word_number" in df.columns:
+        out = out.withColumn("predict_identical_until_given_word_number",
+                             F.coalesce(F.col("predict_identical_until_given_word_number"), F.lit(0)))
+    return out
