@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -28,11 +29,16 @@ def get_spark(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "c
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir`` when set; only when unset
-    (local tests) fall back to a fresh scratch folder.  Also points the
-    SparkContext's reliable-checkpoint directory there (once)."""
+    """Use the cluster's ``spark.checkpoint.dir``.  Only a single-machine
+    session that has none set (tests, bench) gets a fresh scratch folder; a
+    cluster without the setting is an error, since its executors share no
+    machine-local folder.  Also points the SparkContext's reliable-checkpoint
+    directory there (once)."""
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a shared folder on {master}")
         conf = tempfile.mkdtemp(prefix="concord-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
