@@ -2,5 +2,19 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import quality_rules
+from .common import table
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = quality_rules.PREFIX
+    out = quality_rules.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", *[F.col(p + c).alias(c) for c in (*quality_rules.COUNTS, "base_failed", "kept")],
+                      F.concat_ws(",", p + "failed").alias("failed_rules"))
+
+
+QUERIES: dict = {"op6_quality_rules": op6_quality_rules}
 SQL: dict = {}
