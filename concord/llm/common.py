@@ -49,3 +49,20 @@ def unblob(data: bytes, dtype):
     import zstandard
 
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype)
+
+
+def ranked(df: DataFrame, order: list, rank: str, name: str) -> DataFrame:
+    """Add the 0-based position in a total order, without a global window:
+    range partitions are numbered inside, then shifted by the counts of the
+    partitions before them (one row per partition)."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    part, place = f"__{rank}_part", f"__{rank}_place"
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = df.repartitionByRange(n, *order).withColumn(part, F.spark_partition_id())
+    held = stored(cut.withColumn(place, F.row_number().over(Window.partitionBy(part).orderBy(*order)) - 1), name)
+    sizes = held.groupBy(part).count()
+    shift = sizes.select(F.col(part), F.coalesce(F.sum("count").over(
+        Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(rank))
+    return held.join(shift, part).withColumn(rank, F.col(rank) + F.col(place)).drop(part, place)
