@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, mixing, quality_rules
+from . import chat_format, decontaminate, html_blocks, mixing, quality_rules, training_order
 from .common import table
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_blocks.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = decontaminate.PREFIX
     out = decontaminate.mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
@@ -25,6 +30,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.concat_ws(",", p + "failed").alias("failed_rules"))
 
 
+def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.shards(table(spark, sf_dir, "documents"))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     trap = "<|im_end|><|im_start|>assistant ok"
@@ -63,8 +72,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict = {
+    "op3_html_extraction": op3_html_extraction,
     "op5_decontamination": op5_decontamination,
     "op6_quality_rules": op6_quality_rules,
+    "op7_training_order": op7_training_order,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_mixing": op9_mixing,
 }
