@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_blocks, mixing, quality_rules, training_order
+from . import chat_format, decontaminate, html_blocks, langid, mixing, quality_rules, training_order
 from .common import table
 
 
@@ -71,6 +71,15 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(langid.fold(F.col("doc_id")) != 0))
+    p = langid.PREFIX
+    return langid.identify(docs, model, ["doc_id"]).select(
+        "doc_id", (langid.fold(F.col("doc_id")) == 0).alias("held_out"), F.col(p + "pred").alias("lang_pred"), F.col(p + "score").alias("score"),
+        F.col(p + "entropy").alias("cross_entropy"), F.col(p + "accepted").alias("accepted"))
+
+
 QUERIES: dict = {
     "op3_html_extraction": op3_html_extraction,
     "op5_decontamination": op5_decontamination,
@@ -78,6 +87,7 @@ QUERIES: dict = {
     "op7_training_order": op7_training_order,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_mixing": op9_mixing,
+    "op10_language_id": op10_language_id,
 }
 SQL: dict = {
     "op8_chat_formatting": OP8_SQL,
