@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_blocks, langid, mixing, quality_rules, training_order
+from . import chat_format, decontaminate, html_blocks, langid, lm_trie, mixing, quality_rules, training_order
 from .common import table
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (langid.fold(F.col("doc_id")) != 1).alias("learn"))
+    out = lm_trie.score(docs)
+    return out.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = html_blocks.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
     return out.withColumn("n_chars", F.length("text").cast("long"))
@@ -81,6 +87,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op3_html_extraction": op3_html_extraction,
     "op5_decontamination": op5_decontamination,
     "op6_quality_rules": op6_quality_rules,

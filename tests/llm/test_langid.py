@@ -61,7 +61,7 @@ def test_model_equals_brute_force():
             want = [math.log2(p(tuple(g[:-1]), g[-1])) for g in codes.tolist()]
             assert model.log2p(codes)[:, model.languages.index(name)] == pytest.approx(want)
     total = sum(2 ** model.log2p(np.array([[97, 98, c] for c in (0, *map(ord, "abcéxyzdß"))]))[:, 0])
-    assert total == pytest.approx(1, abs=1e-4)         # the alphabet's rest has what is missing
+    assert 0.99 < total <= 1                           # code points never seen have the rest
 
 
 def test_held_out_accuracy_and_odd_texts(spark):
