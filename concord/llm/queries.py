@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_blocks, langid, lm_trie, mixing, quality_rules, training_order
+from . import chat_format, decontaminate, html_blocks, langid, lm_trie, mixing, quality_rules, substring_dedup, training_order
 from .common import table
 
 
@@ -20,6 +20,12 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = substring_dedup.PREFIX
+    out = substring_dedup.deduplicate(table(spark, sf_dir, "documents"), ["doc_id"])
+    return out.select("doc_id", F.col(p + "n_words").alias("n_words"), F.col(p + "n_removed").alias("n_removed"), F.sha2(p + "kept", 256).alias("kept_sha256"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = decontaminate.PREFIX
     out = decontaminate.mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
@@ -89,6 +95,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict = {
     "op1_lm_scoring": op1_lm_scoring,
     "op3_html_extraction": op3_html_extraction,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_decontamination": op5_decontamination,
     "op6_quality_rules": op6_quality_rules,
     "op7_training_order": op7_training_order,
