@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_blocks, langid, lm_trie, mixing, quality_rules, substring_dedup, training_order
+from . import chat_format, decontaminate, html_blocks, jaccard_join, langid, lm_trie, mixing, quality_rules, substring_dedup, training_order
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(table(spark, sf_dir, "documents"))
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = html_blocks.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
     return out.withColumn("n_chars", F.length("text").cast("long"))
@@ -94,6 +98,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict = {
     "op1_lm_scoring": op1_lm_scoring,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_html_extraction": op3_html_extraction,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_decontamination": op5_decontamination,
