@@ -65,4 +65,4 @@ def ranked(df: DataFrame, order: list, rank: str, name: str) -> DataFrame:
     sizes = held.groupBy(part).count()
     shift = sizes.select(F.col(part), F.coalesce(F.sum("count").over(
         Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(rank))
-    return held.join(shift, part).withColumn(rank, F.col(rank) + F.col(place)).drop(part, place)
+    return held.join(F.broadcast(shift), part).withColumn(rank, F.col(rank) + F.col(place)).drop(part, place)

@@ -135,7 +135,8 @@ def shards(docs: DataFrame, path: str = TOKENIZER, length: int = LENGTH, size: i
     counts = packed.groupBy("part").count()
     n = counts.agg(F.sum("count")).first()[0] or 0
     shift = counts.select("part", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("shift"))
-    placed = packed.join(shift, "part").withColumn("slot", slot(F.col("shift") + F.col("place"), n, seed))
+    # one row per partition of the packed table: always small, so the packed ids stay where they lie
+    placed = packed.join(F.broadcast(shift), "part").withColumn("slot", slot(F.col("shift") + F.col("place"), n, seed))
     placed = placed.select((F.col("slot") / size).cast("long").alias("shard"), "slot", "n_tokens", "doc_ids", "ids")
     parts = max(1, min(-(-n // size), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     ordered = placed.repartitionByRange(parts, "shard").sortWithinPartitions("slot")
