@@ -11,18 +11,22 @@ words rather than one by one.
 
 1. Anchors: each document's runs give (anchor, content hash, doc_id).  Anchors
    of a single document cannot begin a repeat and are dropped here.
-2. An anchor whose runs are the same words in all its documents is a single
-   path: its windows repeat the smallest document's.  No tree is needed.
-3. Other runs go, grouped by anchor into buckets of a bounded number of words,
-   to tasks that build the bucket's suffix tree (as a suffix array cut at depth
-   ``WINDOW``, whose stretches of common prefixes are the internal nodes).  The
-   nodes of depth ``WINDOW`` with leaves of several documents are the repeats.
-4. Groups of more than ``GROUP_RUNS`` runs get the longest prefix, the window
+2. Equal runs are one path of the tree, whatever the number of their documents:
+   an aggregate leaves the smallest and the largest doc_id of each.  An anchor
+   with one content only is a single path, whose windows all repeat the smallest
+   document's.
+3. Of the other contents, one document sends the words; they go, grouped by
+   anchor into buckets of a bounded number of words, to tasks that build the
+   bucket's suffix tree (as a suffix array cut at depth ``WINDOW``, whose
+   stretches of common prefixes are the internal nodes).  The nodes of depth
+   ``WINDOW`` with leaves of several documents are the repeats.
+4. Groups of more than ``GROUP_RUNS`` contents get the longest prefix, the window
    itself: its group is a single node, and an aggregate with map-side combine
    finds the node's smallest document whatever its size.
 
-Removal spans are then joined with their documents.  Words are known by 64-bit
-hashes.
+What is found for a content (stretches of windows and the smallest document that
+has them) goes back to all documents with that run.
+Words are known by 64-bit hashes.
 
 Defined cases: null or empty text has no words; documents shorter than a window
 keep everything; a null doc_id counts as larger than any other; rows with equal
@@ -43,7 +47,7 @@ from .common import map_batches, stored
 
 WINDOW = 50
 ANCHOR = 8
-GROUP_RUNS = 4096
+GROUP_RUNS = 25_000            # about BUCKET_WORDS words
 BUCKET_WORDS = 2_000_000
 LAST = (1 << 63) - 1               # the place of a null doc_id in the order
 PREFIX = "__substring_"
@@ -51,7 +55,8 @@ PREFIX = "__substring_"
 BASE = np.uint64(0xD1342543DE82EF95)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
-RUN = "kind int, key long, id long, print long, first int, n int, words binary"
+RUN = "kind int, anchor long, content long, low long, high long, n int, place int, window long, words binary"
+FOUND = "anchor long, content long, first int, last int, low long"
 
 
 def sliding(x: np.ndarray, n: int, f) -> np.ndarray:
@@ -152,21 +157,22 @@ def describe(h: np.ndarray, place: np.ndarray, first: np.ndarray, last: np.ndarr
     return key.view(np.int64), content.view(np.int64)
 
 
-def flagged(pairs: DataFrame) -> DataFrame:
-    """(id, marks array<struct<anchor, kind>>) of documents with anchors that other documents have too.
+def contents(pairs: DataFrame) -> DataFrame:
+    """(anchor, content, low, high, kind) of the runs whose anchor several documents have.
 
-    kind 0: the same run in all documents, and not the first of them; 1: a tree
-    is needed; 2: the group is too large for a task."""
-    groups = pairs.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min("content").alias("c0"), F.max("content").alias("c1"), F.count(F.lit(1)).alias("n"))
-    groups = groups.where("low < high").select("anchor", "low", F.when(F.col("c0") == F.col("c1"), 0).when(F.col("n") <= GROUP_RUNS, 1).otherwise(2).alias("kind"))
-    marks = pairs.select("anchor", "id").distinct().join(groups, "anchor").where("kind > 0 OR id > low")
-    return marks.groupBy("id").agg(F.collect_list(F.struct("anchor", "kind")).alias("marks"))
+    kind 0: the anchor's only content; 1: for a tree; 2: of a group too large for a task."""
+    each = pairs.groupBy("anchor", "content").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    groups = each.groupBy("anchor").agg(F.min("low").alias("lo"), F.max("high").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
+    kind = F.when(F.col("n") == 1, 0).when(F.col("n") <= GROUP_RUNS, 1).otherwise(2)
+    return each.join(groups.select("anchor", kind.alias("kind")), "anchor")
 
 
-def pieces(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """``RUN`` rows of the marked runs: removal spans (kind 0), runs with their words (1), windows (2)."""
+def pieces(docs: DataFrame, each: DataFrame) -> DataFrame:
+    """``RUN`` rows of the contents of kind 1 (a run with its words) and 2 (each of
+    its windows), sent by the smallest document that has them."""
     names = [c.split()[0] for c in RUN.split(", ")]
-    types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+    asked = each.where("kind > 0").groupBy(F.col("low").alias("id")).agg(F.collect_list(F.struct("anchor", "content", "kind", "high")).alias("asked"))
 
     def run(batches):
         for batch in batches:
@@ -175,40 +181,34 @@ def pieces(docs: DataFrame, marks: DataFrame) -> DataFrame:
                 place, first, last = runs(h, row)
                 if not len(place):
                     continue
-                key, _ = describe(h, place, first, last)
+                key, content = describe(h, place, first, last)
                 s = Spans(h)
-                ids, prints, marked = (part.column(c).to_pylist() for c in ("id", "print", "marks"))
+                ids, lists = part.column("id").to_pylist(), part.column("asked").to_pylist()
                 edge = np.searchsorted(row[place], np.arange(part.num_rows + 1))
                 rows: list[tuple] = []
                 for r in range(part.num_rows):
-                    a, b = edge[r], edge[r + 1]
-                    marks_r = np.array([(m["anchor"], m["kind"]) for m in marked[r]], np.int64)
-                    marks_r = marks_r[np.argsort(marks_r[:, 0])]
-                    at = np.minimum(np.searchsorted(marks_r[:, 0], key[a:b]), len(marks_r) - 1)
-                    hit = np.flatnonzero(marks_r[at, 0] == key[a:b])
-                    base = int(w.first[r])
-                    for k, kind in zip((hit + a).tolist(), marks_r[at[hit], 1].tolist()):
+                    left = {(m["anchor"], m["content"]): (m["kind"], m["high"]) for m in lists[r]}
+                    for k in range(edge[r], edge[r + 1]):
+                        name = (int(key[k]), int(content[k]))
+                        if name not in left:
+                            continue
+                        kind, high = left.pop(name)            # a run that comes twice is sent once
                         f, n = int(first[k]), int(last[k] - first[k]) + 1
-                        if kind < 2:
-                            rows.append((kind, int(key[k]), ids[r], prints[r], f - base, n, h[f:f + n + WINDOW - 1].tobytes() if kind else None))
+                        if kind == 1:
+                            rows.append((1, *name, ids[r], high, n, 0, 0, h[f:f + n + WINDOW - 1].tobytes()))
                         else:
                             i = np.arange(f, f + n)
-                            rows += [(2, x, ids[r], prints[r], f + d - base, 1, None) for d, x in enumerate(s.of(i, i + WINDOW).view(np.int64).tolist())]
+                            rows += [(2, *name, ids[r], high, n, d, x, None) for d, x in enumerate(s.of(i, i + WINDOW).view(np.int64).tolist())]
                 for at in range(0, len(rows), 20_000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at:at + 20_000]), types)], names=names)
 
-    return map_batches(docs.join(marks.hint("shuffle_hash"), "id"), run, RUN)
+    return map_batches(docs.join(asked.hint("shuffle_hash"), "id"), run, RUN)
 
 
 def tree(group: pa.Table) -> pa.Table:
-    """Removal spans of a bucket's runs: (id, print, first, last)."""
-    ids, first = group.column("id").to_numpy(), group.column("first").to_numpy()
-    content = group.column("words").to_pylist()
-    kinds: dict[bytes, int] = {}                               # equal runs are one path of the tree
-    which = np.array([kinds.setdefault(c, len(kinds)) for c in content])
-    smallest = np.full(len(kinds), LAST)
-    np.minimum.at(smallest, which, ids)
-    paths = [np.frombuffer(c, np.uint64) for c in kinds]
+    """``FOUND`` rows of a bucket's runs: stretches of windows that smaller documents have."""
+    low_id, high_id = group.column("low").to_numpy(), group.column("high").to_numpy()
+    paths = [np.frombuffer(c, np.uint64) for c in group.column("words").to_pylist()]
     size = np.array([len(p) for p in paths])
     start = np.concatenate([[0], np.cumsum(size)])
     text = np.concatenate(paths)
@@ -220,49 +220,75 @@ def tree(group: pa.Table) -> pa.Table:
         step = min(depth, WINDOW - depth)
         second = np.zeros(len(text), np.int64)
         second[:-step] = rank[step:] + 1
-        order = np.argsort(rank * (len(text) + 1) + second, kind="stable")
-        key = (rank * (len(text) + 1) + second)[order]
+        key = rank * (len(text) + 1) + second
+        order = np.argsort(key, kind="stable")
+        key = key[order]
         rank = np.empty(len(text), np.int64)
         rank[order] = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]).astype(np.int64)]))
         depth += step
     node, of = np.unique(rank[suffix], return_inverse=True)    # nodes of depth WINDOW
     low = np.full(len(node), LAST)
-    path = np.repeat(np.arange(len(paths)), size)[suffix]
-    np.minimum.at(low, of, smallest[path])
+    np.minimum.at(low, of, np.repeat(low_id, size)[suffix])
     low = low[of]                                              # the smallest document with each window
     edge = np.concatenate([[0], np.cumsum(size - WINDOW + 1)])
-    out: list[tuple] = []
-    prints = group.column("print").to_pylist()
-    for r, (k, own) in enumerate(zip(which.tolist(), ids.tolist())):
-        gone = low[edge[k]:edge[k + 1]] < own
-        if gone.any():
-            turn = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
-            out += [(own, prints[r], int(first[r]) + int(a), int(first[r]) + int(b) + WINDOW - 1) for a, b in zip(turn[::2], turn[1::2])]
-    cols = list(zip(*out)) if out else [[]] * 4
-    return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["id", "print", "first", "last"])
-
-
-def spans(docs: DataFrame) -> DataFrame:
-    """(id, print, first, last): words of docs (id, print, text) to remove."""
-    pairs = stored(anchors(docs.select("id", "text")), "substring-anchors")
-    found = stored(pieces(docs, flagged(pairs)), "substring-pieces")
-    total = found.where("kind = 1").agg(F.sum(F.col("n") + WINDOW - 1)).first()[0] or 0
+    # stretches of windows with the same smallest document, if a document of the run is larger
+    new = np.ones(len(low), bool)
+    new[1:] = low[1:] != low[:-1]
+    new[edge[:-1]] = True
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(low))
+    r = np.searchsorted(edge, first, "right") - 1
+    use = low[first] < high_id[r]
+    first, last, r = first[use], last[use], r[use]
+    take = pa.array(r)
+    return pa.table({"anchor": group.column("anchor").take(take), "content": group.column("content").take(take), "first": pa.array(first - edge[r], pa.int32()),
+                     "last": pa.array(last - edge[r], pa.int32()), "low": pa.array(low[first], pa.int64())})
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """(id, marks array<struct<anchor, content, first, last>>): for documents of docs
+    (id, text), the stretches of their runs' windows that smaller documents have."""
+    pairs = stored(anchors(docs), "substring-anchors")
+    each = stored(contents(pairs), "substring-contents")
+    sent = stored(pieces(docs, each), "substring-pieces")
+    total = sent.where("kind = 1").agg(F.sum(F.col("n") + WINDOW - 1)).first()[0] or 0
     buckets = max(1, math.ceil(total / BUCKET_WORDS))
-    trees = found.where("kind = 1").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).groupBy("bucket").applyInArrow(tree, "id long, print long, first int, last int")
-    single = found.where("kind = 0").select("id", "print", "first", (F.col("first") + F.col("n") + WINDOW - 1).alias("last"))
-    wide = found.where("kind = 2")
-    low = wide.groupBy("key").agg(F.min("id").alias("low"))
-    wide = wide.join(low, "key").where("low < id").select("id", "print", "first", (F.col("first") + WINDOW).alias("last"))
-    return trees.union(single).union(wide)
+    trees = sent.where("kind = 1").withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets))).groupBy("bucket").applyInArrow(tree, FOUND)
+    # one path: all windows; its runs are cut to their length where they are marked
+    single = each.where("kind = 0").select("anchor", "content", F.lit(0).alias("first"), F.lit(WINDOW).alias("last"), "low")
+    wide = sent.where("kind = 2")
+    least = wide.groupBy("window").agg(F.min("low").alias("least"))
+    wide = wide.join(least, "window").where("least < high").select("anchor", "content", F.col("place").alias("first"), (F.col("place") + 1).alias("last"), F.col("least").alias("low"))
+    found = trees.union(single).union(wide)
+    marked = pairs.join(found, ["anchor", "content"]).where("low < id")
+    return marked.groupBy("id").agg(F.collect_list(F.struct("anchor", "content", "first", "last")).alias("marks"))
+
+
+def removed(h: np.ndarray, row: np.ndarray, marks: list, rows: int) -> np.ndarray:
+    """Which words of a slice's rows the rows' marks remove."""
+    step = np.zeros(len(h) + 1, np.int64)
+    place, first, last = runs(h, row)
+    if len(place) and any(marks):
+        key, content = describe(h, place, first, last)
+        edge = np.searchsorted(row[place], np.arange(rows + 1))
+        for r in range(rows):
+            by_run: dict[tuple, list] = {}
+            for m in marks[r] or ():
+                by_run.setdefault((m["anchor"], m["content"]), []).append((m["first"], m["last"]))
+            if by_run:
+                for k in range(edge[r], edge[r + 1]):
+                    for a, b in by_run.get((int(key[k]), int(content[k])), ()):
+                        step[first[k] + a] += 1
+                        step[min(first[k] + b, last[k] + 1) + WINDOW - 1] -= 1
+    return np.cumsum(step)[:-1] > 0
 
 
 def deduplicate(docs: DataFrame, columns: list[str]) -> DataFrame:
     """``columns`` of docs with n_words, n_removed and the kept words (joined by spaces) under prefixed names."""
-    own = [PREFIX + c for c in ("id", "print")]
-    keyed = docs.withColumns({own[0]: F.coalesce(F.col("doc_id"), F.lit(LAST)), own[1]: F.xxhash64("text")})
-    gone = spans(keyed.select(F.col(own[0]).alias("id"), F.col(own[1]).alias("print"), "text"))
-    gone = gone.groupBy(F.col("id").alias(own[0]), F.col("print").alias(own[1])).agg(F.collect_set(F.struct("first", "last")).alias(PREFIX + "spans"))
-    joined = keyed.join(gone.hint("shuffle_hash"), own, "left").select(*columns, F.col("text").alias(PREFIX + "text"), PREFIX + "spans")
+    keyed = docs.withColumn(PREFIX + "id", F.coalesce(F.col("doc_id"), F.lit(LAST)))
+    marks = repeats(keyed.select(F.col(PREFIX + "id").alias("id"), "text"))
+    marks = marks.select(F.col("id").alias(PREFIX + "id"), F.col("marks").alias(PREFIX + "marks"))
+    joined = keyed.join(marks.hint("shuffle_hash"), PREFIX + "id", "left").select(*columns, F.col("text").alias(PREFIX + "text"), PREFIX + "marks")
     schema = docs.select(*columns).schema.add(PREFIX + "n_words", "long").add(PREFIX + "n_removed", "long").add(PREFIX + "kept", "string")
     names = [f.name for f in schema]
 
@@ -270,14 +296,9 @@ def deduplicate(docs: DataFrame, columns: list[str]) -> DataFrame:
         for batch in batches:
             for part in W.slices(batch, PREFIX + "text"):
                 w = W.find(part.column(PREFIX + "text"))
-                step = np.zeros(len(w.start) + 1, np.int64)
-                for r, found in enumerate(part.column(PREFIX + "spans").to_pylist()):
-                    for s in found or ():
-                        step[w.first[r] + s["first"]] += 1
-                        step[w.first[r] + s["last"]] -= 1
-                keep = np.cumsum(step)[:-1] == 0
-                kept = joined_words(w, keep)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(w.counts, pa.int64()), pa.array(w.counts - W.per_row(keep, w.first), pa.int64()), kept], names=names)
+                keep = ~removed(w.hashes(), w.row, part.column(PREFIX + "marks").to_pylist(), part.num_rows)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(w.counts, pa.int64()), pa.array(w.counts - W.per_row(keep, w.first), pa.int64()),
+                                                  joined_words(w, keep)], names=names)
 
     return map_batches(joined, run, schema)
 
