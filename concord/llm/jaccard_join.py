@@ -80,7 +80,7 @@ def need(n):
 
 def extra(n):
     """k: pivots that partners of documents of n shingles share."""
-    return 1 + n // 10
+    return 1 + n // 20
 
 
 def least_shared(n):
@@ -126,7 +126,7 @@ def survivors(docs: DataFrame) -> DataFrame:
     own = Window.partitionBy("pivot")
     shared = pivots(docs).withColumns({"lo": F.min("node").over(own), "hi": F.max("node").over(own)}).where("lo <> hi")
     return shared.groupBy("node").agg(F.first("n").alias("n"), F.collect_set("pivot").alias("pivots")).where(
-        F.size("pivots") >= 1 + F.floor(F.floor((4 * F.col("n") + 4) / 5) / 10))
+        F.size("pivots") >= 1 + F.floor(F.floor((4 * F.col("n") + 4) / 5) / 20))
 
 
 def regions(kept: DataFrame) -> DataFrame:
@@ -135,27 +135,44 @@ def regions(kept: DataFrame) -> DataFrame:
     by = Window.partitionBy("pivot")
     each = each.withColumns({"df": F.count(F.lit(1)).over(by), "low": F.min("node").over(by)}).where("df > 1")
     busy = F.sum((F.col("df") > CROWDED).cast("int")).over(Window.partitionBy("node"))
-    each = each.withColumn("crowded", busy > F.floor(F.col("n") / 10))
+    each = each.withColumn("crowded", busy > F.floor(F.col("n") / 20))
     each = each.withColumn("open", (F.col("df") <= CROWDED) | F.max("crowded").over(by))
     edges = each.where("open").select(F.col("node").alias("u"), F.col("low").alias("v")).distinct()
     found = components(edges, "jaccard-regions").select(F.col("u").alias("node"), F.col("root").alias("region"))
     return found.union(found.select(F.col("region").alias("node"), "region").distinct())
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(id, packed) of docs (id, text): texts compressed for the way through a shuffle."""
+
+    def run(batches):
+        import zstandard
+
+        for batch in batches:
+            pack = zstandard.ZstdCompressor(level=3)
+            texts = [pack.compress((t or "").encode()) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.binary())], names=["id", "packed"])
+
+    return map_batches(docs.select("id", "text"), run, "id long, packed binary")
+
+
 def with_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(region, node, n, shingles binary) for wanted (id, node, region)."""
     names = ["region", "node", "n", "shingles"]
 
     def run(batches):
+        import zstandard
+
         for batch in batches:
-            for part in W.slices(batch):
+            texts = [zstandard.ZstdDecompressor().decompress(x).decode() for x in batch.column("packed").to_pylist()]
+            for part in W.slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column("node"), batch.column("region")], names=["text", "node", "region"])):
                 shingle, edge, node = sets(part.column("text"))
                 asked = part.column("node").to_numpy()
                 at = np.flatnonzero(asked == node)             # rows with the same id may hold other texts
                 yield pa.RecordBatch.from_arrays([part.column("region").take(pa.array(at)), pa.array(node[at]), pa.array(np.diff(edge)[at].astype(np.int32)),
                                                   pa.array([shingle[edge[r]:edge[r + 1]].tobytes() for r in at], pa.binary())], names=names)
 
-    joined = docs.join(wanted.hint("shuffle_hash"), "id").select("text", "node", "region")
+    joined = packed(docs).join(wanted.hint("shuffle_hash"), "id").select("packed", "node", "region")
     return map_batches(joined, run, "region long, node long, n int, shingles binary")
 
 
@@ -263,26 +280,27 @@ def split(members: DataFrame, large: DataFrame) -> DataFrame:
     return map_batches(inside.join(chosen, "region").select("region", "node", "n", "shingles", "centres"), run, "region long, node long, n int, shingles binary")
 
 
-def links(members: DataFrame) -> DataFrame:
-    """(node, root): component roots of the members of regions."""
-    done, whole = [], True
+def links(members: DataFrame, large: bool) -> DataFrame:
+    """(node, root): component roots of the members of regions.
+
+    ``large``: some region is over ``REGION_SHINGLES``."""
+    if not large:
+        return members.groupBy("region").applyInArrow(_join, "u long, v long").select(F.col("u").alias("node"), F.col("v").alias("root"))
+    members, done = stored(members, "jaccard-members"), []
     for _ in range(ROUNDS):
         size = members.groupBy("region").agg(F.sum(F.col("n").cast("long")).alias("size"))
-        large = size.where(F.col("size") > REGION_SHINGLES).select("region")
-        if not large.head(1):
+        over = size.where(F.col("size") > REGION_SHINGLES).select("region")
+        if not over.head(1):
             break
-        done.append(members.join(large, "region", "left_anti"))
-        cells = stored(split(members, large), "jaccard-cells")
-        before = members.join(large, "region").count()
-        whole, members = False, cells
+        done.append(members.join(over, "region", "left_anti"))
+        cells = stored(split(members, over), "jaccard-cells")
+        before = members.join(over, "region").count()
+        members = cells
         if cells.groupBy("region").count().agg(F.max("count")).first()[0] > 0.9 * before:
             break                                              # cells no smaller than their regions
-    all_ = members
     for d in done:
-        all_ = all_.unionByName(d)
-    found = all_.groupBy("region").applyInArrow(_join, "u long, v long")
-    if whole:
-        return found.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        members = members.unionByName(d)
+    found = members.groupBy("region").applyInArrow(_join, "u long, v long")
     return components(found, "jaccard-links").select(F.col("u").alias("node"), "root")
 
 
@@ -292,9 +310,10 @@ def join(docs: DataFrame) -> DataFrame:
     ids of null are ``LAST``; root is the component's smallest node, null for empty sets."""
     rows = stored(nodes(docs), "jaccard-nodes")
     kept = stored(survivors(docs), "jaccard-survivors")
-    wanted = regions(kept).join(rows.where("n > 0").groupBy("node").agg(F.min("id").alias("id")), "node").select("id", "node", "region")
-    members = stored(with_sets(docs, wanted), "jaccard-members")
-    roots = stored(links(members), "jaccard-roots")
+    first = rows.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"))
+    wanted = stored(regions(kept).join(first, "node").select("id", "node", "region", "n"), "jaccard-wanted")
+    most = wanted.groupBy("region").agg(F.sum("n").alias("size")).agg(F.max("size")).first()[0] or 0
+    roots = stored(links(with_sets(docs, wanted.drop("n")), most > REGION_SHINGLES), "jaccard-roots")
     labelled = rows.join(roots, "node", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "node")))
     least = labelled.where("n > 0").groupBy("root").agg(F.min("id").alias("least"))
     return labelled.join(least, "root", "left").select("id", "print", F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"), "root")
