@@ -1,11 +1,11 @@
-"""Deterministic per-(key, slot) random draws as pure Spark column arithmetic.
-
-A draw is a function of the sentence key and a slot number only, so every
-random choice is independent of partitioning, task retries and executor loss
-(re-running a task reproduces the same values), and needs no state, no
-shuffle and no Python.  The construction is a Park–Miller step seeded by
-``key*64 + slot`` followed by two squaring rounds; all intermediate products
-stay below 2^62, so nothing overflows under ANSI arithmetic.
+"""Deterministic random draws as pure Spark columns.
+
+A draw is a function of (salt, key, slot) only, so every random choice is
+independent of partitioning, task retries and executor loss, and needs no
+state, no shuffle and no Python.  It is eight hexadecimal digits (32 bits) of
+the MD5 digest of ``salt/key/group``, with two slots to a group: digests of
+different salts, keys and groups share nothing, keys may be any BIGINT, and any
+SQL engine has the same function.
 """
 
 from __future__ import annotations
@@ -13,15 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MODULUS = 2147483647          # 2^31 - 1 (prime)
-MULTIPLIER = 950706376        # full-period multiplier for MODULUS
-ROUND_OFFSET = 7919
-SLOTS_PER_KEY = 64
+RANGE = 1 << 32
 
 # slot layout of one sentence
 SLOT_SHAPE = 0
 SLOT_TENSE = 1
-SLOT_SPLIT = 62
 
 
 def word_slot(pos):
@@ -36,31 +32,32 @@ def _lit(v):
     return v if isinstance(v, Column) else F.lit(v)
 
 
-def draw(key, slot) -> Column:
-    """Uniform BIGINT in [0, MODULUS) for (key, slot)."""
-    key, slot = _lit(key).cast("bigint"), _lit(slot).cast("bigint")
-    seed = (key * SLOTS_PER_KEY + slot) % (MODULUS - 1) + 1
-    x = seed * MULTIPLIER % MODULUS
-    for r in (1, 2):
-        x = ((x * x) % MODULUS + ROUND_OFFSET * r) % MODULUS * MULTIPLIER % MODULUS
-    return x
+def digest(key, group: int, salt="") -> Column:
+    return F.md5(F.concat_ws("/", _lit(salt), _lit(key).cast("string"), F.lit(str(group))))
+
+
+def _part(d: Column, slot: int) -> Column:
+    return F.conv(F.substring(d, 1 + 8 * (slot % 2), 8), 16, 10).cast("bigint")
+
+
+def draw(key, slot: int, salt="") -> Column:
+    """Uniform BIGINT in [0, RANGE) for (salt, key, slot)."""
+    return _part(digest(key, slot // 2, salt), slot)
 
 
 def pick(x: Column, n) -> Column:
     """Map a draw to 0..n-1 by scaling (not modulus, which would bias large n)."""
-    return F.call_function("div", x * _lit(n).cast("bigint"), F.lit(MODULUS).cast("bigint"))
+    return F.call_function("div", x * _lit(n).cast("bigint"), F.lit(RANGE).cast("bigint"))
 
 
-def draw_sql(key: str, slot: str) -> str:
-    """The same draw as an SQL expression (DuckDB / ANSI integer arithmetic)."""
-    x = f"((({key}) * {SLOTS_PER_KEY} + ({slot})) % {MODULUS - 1} + 1) * {MULTIPLIER} % {MODULUS}"
-    for r in (1, 2):
-        x = f"((({x}) * ({x})) % {MODULUS} + {ROUND_OFFSET * r}) % {MODULUS} * {MULTIPLIER} % {MODULUS}"
-    return f"({x})"
+def draw_sql(key: str, slot: str, salt: str = "''") -> str:
+    """The same draw as a DuckDB expression; ``salt``, ``key`` and ``slot`` are SQL."""
+    return (f"CAST('0x' || substr(md5({salt} || '/' || ({key}) || '/' || CAST(({slot}) // 2 AS INTEGER)), "
+            f"CAST(1 + 8 * (({slot}) % 2) AS INTEGER), 8) AS BIGINT)")
 
 
 def pick_sql(x: str, n) -> str:
-    return f"(({x}) * CAST({n} AS BIGINT) // {MODULUS})"
+    return f"(({x}) * CAST({n} AS BIGINT) // {RANGE})"
 
 
 def stage(df, cols: dict):
@@ -72,8 +69,9 @@ def stage(df, cols: dict):
     return df.select(*[c for c in df.columns if c not in names], *[v.alias(k) for k, v in cols.items()])
 
 
-def with_draws(df, key_col: str, slots: dict):
-    """Add one draw column per ``{name: slot}`` in a single projection
-    (the squaring rounds repeat their input; subexpression elimination in
-    whole-stage codegen computes each repeated input once)."""
-    return stage(df, {n: draw(F.col(key_col), s) for n, s in slots.items()})
+def with_draws(df, key_col: str, slots: dict, salt="") -> object:
+    """Add one draw column per ``{name: slot}``: each group's digest is taken once."""
+    groups = sorted({s // 2 for s in slots.values()})
+    df = stage(df, {f"_g{g}": digest(F.col(key_col), g, salt) for g in groups})
+    df = stage(df, {n: _part(F.col(f"_g{s // 2}"), s) for n, s in slots.items()})
+    return df.drop(*[f"_g{g}" for g in groups])

@@ -10,7 +10,7 @@ published stimulus grammars.
 from __future__ import annotations
 
 import itertools
-import re
+import math
 from dataclasses import dataclass, field
 
 # --------------------------------------------------------------------------
@@ -70,6 +70,19 @@ FVN_NOUNS_SG = [
     "mansion", "switch", "light", "stairway", "telegram", "soldier", "threat", "president",
     "company", "tour", "monument", "train", "truck", "bridge", "stream",
 ]
+FVN_NOUNS_PL = [
+    "advertisements", "offices", "agents", "announcements", "directors", "foundations", "letters",
+    "articles", "writers", "magazines", "authors", "speeches", "cities", "computers", "cousins",
+    "programs", "experiments", "contracts", "actors", "films", "discussions", "topics", "papers",
+    "dogs", "paths", "lakes", "friends", "editors", "gifts", "daughters", "visitors", "helicopters",
+    "flights", "canyons", "lessons", "governments", "countries", "manuals", "developers",
+    "machines", "masts", "decks", "yachts", "meals", "guests", "inn-keepers", "museums", "pictures",
+    "poets", "designs", "engines", "planes", "payments", "services", "schools", "photos", "girls",
+    "babies", "posts", "supports", "platforms", "prescriptions", "doctors", "clinics", "producers",
+    "movies", "artists", "publishers", "books", "kings", "settings", "astronomers", "statues",
+    "gardens", "mansions", "switches", "lights", "stairways", "telegrams", "soldiers", "threats",
+    "presidents", "companies", "tours", "monuments", "trains", "trucks", "bridges", "streams",
+]
 FVN_VERBS = ["seem", "seems"]
 FVN_PREPS = ["from", "of", "by", "for", "about", "with", "in", "on", "around", "over", "to", "near"]
 FVN_ADJECTIVES = [
@@ -92,6 +105,16 @@ VN_NOUNS_SG = [
     "machine", "guest", "picture", "lake", "girl", "doctor", "movie", "book",
     "garden", "platform", "light", "soldier", "president", "city",
 ]
+VN_NOUNS_PL = [
+    "advertisements", "announcements", "articles", "authors", "bills", "computers", "contracts",
+    "crowds", "decks", "discussions", "friends", "gifts", "helicopters", "lessons", "letters",
+    "manuals", "meals", "museums", "designs", "engines", "paths", "photos", "prescriptions",
+    "producers", "publishers", "statues", "supports", "switches", "telegrams", "threats", "tours",
+    "trains", "trucks", "bridges", "clubs", "directors", "writers", "speeches", "accountants",
+    "programs", "actors", "streets", "yachts", "topics", "editors", "babies", "flights",
+    "governments", "machines", "guests", "pictures", "lakes", "girls", "doctors", "movies", "books",
+    "gardens", "platforms", "lights", "soldiers", "presidents", "cities",
+]
 VN_VERBS = ["do", "does", "seem"]
 VN_PREPS = ["from", "by", "of", "with", "for", "in", "about", "around", "to", "on"]
 VN_ADJECTIVES = [
@@ -175,20 +198,10 @@ NOUN_PROB = 0.8              # NP -> N
 # --------------------------------------------------------------------------
 
 
-def pluralize(noun: str) -> str:
-    """Regular English plural (used for the large parse lexicons)."""
-    if re.search(r"[^aeiou]y$", noun):
-        return noun[:-1] + "ies"
-    if re.search(r"(s|x|z|ch|sh)$", noun):
-        return noun + "es"
-    return noun + "s"
-
-
 def inflect(past: str, number: str) -> str:
     """Present-tense form of a regular past verb for a subject number."""
-    if past in E_FINAL_VERBS:
-        return re.sub(r"ed$", "es" if number == "sg" else "e", past)
-    return re.sub(r"ed$", "s" if number == "sg" else "", past)
+    ending = ("es" if number == "sg" else "e") if past in E_FINAL_VERBS else ("s" if number == "sg" else "")
+    return past.removesuffix("ed") + ending if past.endswith("ed") else past
 
 
 @dataclass(frozen=True)
@@ -241,7 +254,7 @@ def _fvn_parse_lexicon() -> ParseLexicon:
     lex.add(FVN_DETERMINERS, "D")
     lex.add(FVN_COMPOUND_PARTS, "K")
     lex.add(FVN_NOUNS_SG, "N", "sg")
-    lex.add([pluralize(n) for n in FVN_NOUNS_SG], "N", "pl")
+    lex.add(FVN_NOUNS_PL, "N", "pl")
     lex.add(FVN_VERBS, "V")
     lex.add([EOS], "E")
     lex.add(FVN_PREPS, "P")
@@ -253,7 +266,7 @@ def _vn_parse_lexicon() -> ParseLexicon:
     lex = ParseLexicon("en_VN_98")
     lex.add([DETERMINER], "D")
     lex.add(VN_NOUNS_SG, "N", "sg")
-    lex.add([pluralize(n) for n in VN_NOUNS_SG], "N", "pl")
+    lex.add(VN_NOUNS_PL, "N", "pl")
     lex.add(VN_VERBS, "V")
     lex.add([EOS], "E")
     lex.add(VN_PREPS, "P")
@@ -280,7 +293,8 @@ def lexicon_rows(langs=None):
 # Shape table: the weighted grammar flattened to sentence shapes.
 # --------------------------------------------------------------------------
 
-CATALAN = [1, 1, 2, 5, 14]
+def catalan(n: int) -> int:
+    return math.comb(2 * n, n) // (n + 1)
 
 
 def _mod_words(mod: str) -> int:
@@ -308,10 +322,14 @@ def build_shapes(max_words: int = MAX_SENTENCE_WORDS):
 
     A DP with m modifiers (PP or RC, in linear order) has Catalan(m) bracketings,
     each with probability 0.8^(m+1) * 0.1^m.  Scaled by 10^8 every weight is an
-    integer, so sampling is an exact integer range lookup.
+    integer, so sampling is an exact integer range lookup; a word cap that lets
+    in more modifiers than that scale can hold is an error.
     """
     shapes = []
-    for n_mods in range(0, 4):      # weights are integral up to 3 modifiers
+    most = max(0, (max_words - 5) // 3)            # a modifier has at least 3 words
+    if most > 3:
+        raise ValueError(f"weights of {most} modifiers are not integral at this scale; {max_words} words allow them")
+    for n_mods in range(most + 1):
         for a in range(n_mods, -1, -1):
             b = n_mods - a
             for subj in itertools.product("PR", repeat=a):
@@ -319,7 +337,7 @@ def build_shapes(max_words: int = MAX_SENTENCE_WORDS):
                     words = 5 + sum(_mod_words(m) for m in subj + obj)
                     if words > max_words:
                         continue
-                    weight = CATALAN[a] * CATALAN[b] * 8 ** (n_mods + 2) * 10 ** (6 - 2 * n_mods)
+                    weight = catalan(a) * catalan(b) * 8 ** (n_mods + 2) * 10 ** (6 - 2 * n_mods)
                     tmpl = "DN" + "".join(_mod_tags(m) for m in subj) + "V" + "DN" + "".join(_mod_tags(m) for m in obj)
                     shapes.append(("".join(subj), "".join(obj), weight, tmpl, 2 + sum(_mod_words(m) for m in subj)))
     out, lo = [], 0

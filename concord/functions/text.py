@@ -58,7 +58,7 @@ def eos_truncate(c, k) -> Column:
 def capitalize(c) -> Column:
     """Python ``str.capitalize``: first character upper, the rest lower."""
     c = _c(c)
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 1 << 30)))
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substr(c, F.lit(2))))
 
 
 def surface(words_arr) -> Column:

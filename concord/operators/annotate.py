@@ -27,10 +27,6 @@ TAG_NAMES = {"A": "ADJ", "K": "Comp", "E": "EOS"}
 UNKNOWN = "?-"
 
 
-def _c(c):
-    return F.col(c) if isinstance(c, str) else c
-
-
 def _lit_lang(lang):
     return lang if isinstance(lang, Column) else F.lit(lang)
 
@@ -39,8 +35,9 @@ def _lit_lang(lang):
 split_words = words
 
 
-def tokens_for_parse(text: Column, max_words: int | None = L.MAX_PARSE_WORDS, strip_pattern: str = r" [.?!]$") -> Column:
-    """Lower-case, drop one final punctuation token, split, cap the word count."""
+def tokens_for_parse(text: Column, max_words: int | None = None, strip_pattern: str = r" [.?!]$") -> Column:
+    """Lower-case, drop one final punctuation token, split.  ``max_words`` keeps the
+    first words only (a guard of the original parser; patterns need none)."""
     toks = split_words(F.regexp_replace(F.lower(text), strip_pattern, ""))
     return F.slice(toks, 1, max_words) if max_words else toks
 
@@ -52,16 +49,6 @@ def eos_tokens(text: Column, k: Column) -> Column:
 
 
 # ------------------------------------------------------------------ C1
-def _lexicon_map(lang: str) -> Column:
-    """word -> two-letter code: tag letter + 's'/'p' for nouns, '-' otherwise."""
-    lex = L.PARSE_LEXICONS[lang]
-    keys, vals = [], []
-    for w, (t, n) in sorted(lex.entries.items()):
-        keys.append(F.lit(w))
-        vals.append(F.lit(t + {"sg": "s", "pl": "p"}.get(n, "-")))
-    return F.map_from_arrays(F.array(*keys), F.array(*vals))
-
-
 def _per_lang(lang: Column, build) -> Column:
     expr = None
     for name in L.SUPPORTED_LANGS:
@@ -70,13 +57,6 @@ def _per_lang(lang: Column, build) -> Column:
     return expr
 
 
-def tag_codes(tokens: Column, lang) -> Column:
-    """C1 as an array: lexicon code per token (NULL = unknown word or
-    unsupported lang), via a literal map lookup per element."""
-    m = _per_lang(_lit_lang(lang), _lexicon_map)
-    return F.transform(tokens, lambda w: F.try_element_at(m, w))
-
-
 def _quote(w: str) -> str:
     return "\\Q" + w + "\\E" if any(ch in w for ch in "[]().*+?^$|\\{}") else w
 
@@ -119,15 +99,6 @@ def accepts_str(ts: Column, lang) -> Column:
     return F.when(pat.isNotNull(), F.coalesce(F.regexp_like(ts, pat), F.lit(False)))
 
 
-def parse(tokens: Column, lang) -> dict:
-    """Tokens -> tag string, number string, acceptance (column expressions;
-    ``with_parse`` is the staged DataFrame form)."""
-    ts, ns = code_strings(code_string(tokens, lang))
-    return {"tokens": tokens, "ts": ts, "ns": ns, "ok": accepts_str(ts, lang)}
-
-
-
-
 # ------------------------------------------------------------------ C2/C5/C6/C8
 def _idx0(pos1: Column) -> Column:
     """1-based instr result -> 0-based index, NULL when not found."""
@@ -155,9 +126,9 @@ def with_positions(df: DataFrame, ts: str, ns: str, p: str) -> DataFrame:
                       p + "h": _idx0(F.instr(T, "N"))})
     marked, h = F.col(p + "marked"), F.col(p + "h")
     df = D.stage(df, {p + "v": _idx0(F.instr(marked, "V")),
-                      p + "after_h": F.instr(F.substring(marked, h + 2, 1 << 20), "V")})
+                      p + "after_h": F.instr(F.substr(marked, h + 2), "V")})
     v, after_h = F.col(p + "v"), F.col(p + "after_h")
-    after_v = F.instr(F.substring(T, v + 2, 1 << 20), "N")
+    after_v = F.instr(F.substr(T, v + 2), "N")
     df = D.stage(df, {p + "e": F.when(after_h > 0, h + after_h).otherwise(F.length(T)),
                       p + "obj": F.when(after_v > 0, v + after_v)})
     e = F.col(p + "e")
@@ -242,7 +213,7 @@ def with_features(df: DataFrame, ts="template", ns="num_str", words_col="src_wor
 
 def annotate_text(df: DataFrame, text: str, lang, prefix: str = "") -> DataFrame:
     """C1/E1 over arbitrary sentences: {prefix}tokens, ts, ns, ok (accepted)."""
-    return with_parse(df, tokens_for_parse(format_sentence(F.col(text)), max_words=None), lang, prefix)
+    return with_parse(df, tokens_for_parse(format_sentence(F.col(text))), lang, prefix)
 
 
 def unknown_word_rate(tokens: Column, lang) -> tuple:

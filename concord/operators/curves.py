@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_model_name
+from .metrics import metric_counts, ratio
 
 
 def natural_key(name) -> Column:
@@ -15,34 +16,74 @@ def natural_key(name) -> Column:
     return F.when(digits != "", digits.cast("bigint"))
 
 
-def run_params(spark, params: dict) -> DataFrame:
-    """One-row run-parameter record (keys sorted)."""
-    keys = sorted(params)
-    return spark.createDataFrame([tuple(params[k] for k in keys)], keys)
+def assemble(metrics_df: DataFrame, metadata: DataFrame, metric_names: list, run: DataFrame, model_name: str,
+             test_dataset: str, key: str = "id") -> DataFrame:
+    """Metrics joined with metadata by key (metadata wins on equal names),
+    iteration first, run constants, metric columns last.
 
-
-def assemble(metrics_df: DataFrame, meta_cols: list, metric_names: list, params: dict) -> DataFrame:
-    """Metrics + metadata (metadata wins on equal names), iteration first,
-    run constants, metric columns last.  The test-set size is one aggregate
-    cross-joined back as a one-row broadcast (no global window)."""
+    ``run`` is the one-row run-parameter table; it and the test-set size (one
+    aggregate) are joined to every row."""
+    meta_cols = [c for c in metadata.columns if c != key]
+    base = metrics_df.select("iteration", key, *metric_names).join(metadata, key)
     n_test = metrics_df.agg(F.count("*").alias("n_test_examples"))
-    base = metrics_df.select("iteration", "id", *meta_cols, *metric_names)
-    out = base.crossJoin(F.broadcast(n_test))
-    consts = [
-        clean_model_name(F.lit(params["model_name"])).alias("model_name"),
-        F.lit(params["train_dataset"]).alias("train_dataset"),
-        F.lit(params["test_dataset"]).alias("test_dataset"),
-        F.lit(float(params["learning_rate"])).alias("learning_rate"),
-        F.lit(float(params["num_train_epochs"])).alias("num_train_epochs"),
-        F.lit(int(params["n_training_examples"])).cast("bigint").alias("n_training_examples"),
-        F.col("n_test_examples").cast("bigint").alias("n_test_examples"),
-        F.lit(params["n_params"]).alias("n_params"),
-    ]
-    return out.select("iteration", "id", *meta_cols, *consts, *metric_names)
-
-
-def missing_predictions(examples: DataFrame, iterations: DataFrame, done: DataFrame) -> DataFrame:
-    """(id, iteration) pairs wanted but not yet predicted (left anti join).
-    ``iterations`` is the checkpoint list (one row per checkpoint) broadcast."""
-    wanted = examples.crossJoin(F.broadcast(iterations))
-    return wanted.join(done, ["id", "iteration"], "left_anti")
+    out = base.crossJoin(F.broadcast(n_test)).crossJoin(F.broadcast(run))          # one row each
+    return out.select("iteration", key, *meta_cols, clean_model_name(F.lit(model_name)).alias("model_name"), "train_dataset",
+                      F.lit(test_dataset).alias("test_dataset"), "learning_rate", "num_train_epochs",
+                      F.col("num_train_examples").alias("n_training_examples"), "n_test_examples", "n_params", *metric_names)
+
+
+NOT_GROUPED = ("pos_seq", "history", "predict")        # parts of names that never group
+NOT_GROUPING = ("tense", "each_distractor_structure", "object_number")
+
+
+def grouping_vars(metadata_columns: list) -> list:
+    """The metadata columns that curves are grouped by."""
+    return [c for c in metadata_columns if not any(x in c for x in NOT_GROUPED) and c not in NOT_GROUPING]
+
+
+def curve(scored: DataFrame, metrics: list) -> DataFrame:
+    """Mean of every metric per (iteration, tense), NULL results dropped."""
+    c = metric_counts(scored, ["iteration", "tense"], metrics).withColumn("n", F.col("n_true") + F.col("n_false"))
+    return c.where("n > 0").select("iteration", "tense", "metric", ratio(F.col("n_true"), F.col("n")).alias("mean"), "n")
+
+
+def group_counts(scored: DataFrame, metrics: list, variables: list) -> DataFrame:
+    """(iteration, tense, metric, var, val, n_true, n_false) for every grouping variable.
+
+    One aggregate over all variables together (they are features of a bounded
+    grammar, so its groups are few); metrics and variables are unpivoted after it."""
+    c = metric_counts(scored, ["iteration", "tense", *variables], metrics)
+    v = F.explode(F.array(*[F.struct(F.lit(x).alias("var"), F.coalesce(F.col(x).cast("string"), F.lit("None")).alias("val")) for x in variables]))
+    c = c.select("iteration", "tense", "metric", "n_true", "n_false", v.alias("_v"))
+    return c.groupBy("iteration", "tense", "metric", F.col("_v.var").alias("var"), F.col("_v.val").alias("val")).agg(
+        F.sum("n_true").alias("n_true"), F.sum("n_false").alias("n_false"))
+
+
+def grouped_curve(counts: DataFrame) -> DataFrame:
+    """Curves keyed 'tense + value' ('None' for NULL)."""
+    c = counts.withColumn("n", F.col("n_true") + F.col("n_false")).where("n > 0")
+    return c.select("iteration", "metric", "var", F.concat(F.col("tense"), F.lit(" + "), F.col("val")).alias("grp"),
+                    ratio(F.col("n_true"), F.col("n")).alias("mean"), "n")
+
+
+def legend(curves: DataFrame) -> DataFrame:
+    """Group size at the latest checkpoint in which the group occurs."""
+    return curves.groupBy("metric", "var", "grp").agg(F.max_by("n", "iteration").alias("n_latest"), F.max("iteration").alias("latest_iteration"))
+
+
+def all_null(counts: DataFrame) -> DataFrame:
+    """Results that are not NULL per metric and variable, groups of NULL
+    ('None') included; nothing is drawn where there are none."""
+    n = F.sum(F.col("n_true") + F.col("n_false"))
+    return counts.groupBy("metric", "var").agg(n.alias("n_non_null"), (n == 0).alias("all_null"))
+
+
+def missing_predictions(examples: DataFrame, iterations: list, done: DataFrame) -> DataFrame:
+    """(id, iteration) pairs wanted but not yet predicted.
+
+    The done checkpoints of an example are aggregated first (at most one per
+    checkpoint); only what is missing is ever emitted."""
+    had = done.groupBy("id").agg(F.collect_set("iteration").alias("_done"))
+    wanted = F.array(*[F.lit(i) for i in iterations])
+    left = F.array_except(wanted, F.coalesce("_done", F.array().cast("array<int>")))
+    return examples.join(had, "id", "left").select("id", F.explode(left).alias("iteration"))

@@ -12,33 +12,64 @@ def lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def header_signature(text: Column, header_pattern: str, ignore_keys: list) -> Column:
-    """Sorted header lines matching ``header_pattern`` except those naming
-    an ignored key, as one signature string."""
-    def keep_line(l):
-        cond = l.rlike(header_pattern)
-        for k in ignore_keys:
-            cond = cond & ~l.contains(k)
-        return cond
-    keep = F.filter(lines(text), keep_line)
-    return F.array_join(F.array_sort(keep), "\n")
+IGNORED_KEYS = ("--job-name", "--output")
+
+
+def header_options(text: Column, marker: str = "#SBATCH", ignored: tuple = IGNORED_KEYS) -> Column:
+    """The (key, value) options of all header lines, in order; lines that name
+    an ignored key do not count."""
+    def counts(line):
+        c = line.startswith(marker)
+        for k in ignored:
+            c = c & ~line.contains(k)
+        return c
+    return F.transform(F.filter(lines(text), counts), lambda line: F.struct(
+        F.regexp_replace(line, "^.*?--(.*?)=.*$", "$1").alias("key"), F.regexp_replace(line, "^.*--.*=(.*)$", "$1").alias("value")))
+
+
+def header_signature(text: Column, marker: str = "#SBATCH", ignored: tuple = IGNORED_KEYS) -> Column:
+    """The options as one string: items with equal ones can share a batch."""
+    return F.array_join(F.transform(header_options(text, marker, ignored), lambda o: F.concat(o["key"], F.lit("="), o["value"])), "\n")
 
 
 def header_groups(df: DataFrame, key: str, signature: Column) -> DataFrame:
-    """Items grouped by identical signature: size and first key (no
-    unbounded lists collected)."""
-    return df.select(key, signature.alias("signature")).groupBy("signature").agg(
-        F.count("*").alias("n_items"), F.min(key).alias("first_key"))
+    """(signature, key) rows with the group's size; members stay rows, so a
+    group may have any number of them."""
+    rows = df.select(key, signature.alias("signature"))
+    sizes = rows.groupBy("signature").agg(F.count("*").alias("n_items"))
+    return rows.join(sizes, "signature")
+
+
+def glob_pattern(glob: str) -> str:
+    """A file glob as a regular expression: ** any folders, * and ? within one, [..] classes."""
+    out, i = "", 0
+    while i < len(glob):
+        c = glob[i]
+        if glob.startswith("**/", i):
+            out, i = out + "(?:.*/)?", i + 3
+            continue
+        if glob.startswith("**", i):
+            out, i = out + ".*", i + 2
+            continue
+        out += "[^/]*" if c == "*" else "[^/]" if c == "?" else c if c in "[]-" or c.isalnum() else "\\" + c
+        i += 1
+    return "^" + out + "$"
 
 
-def select_items(df: DataFrame, path_col: str, suffix: str | None = None, regex: str | None = None) -> DataFrame:
-    """Items whose path has the suffix and matches the regex (from the start)."""
+def select_items(df: DataFrame, path_col: str, globs: list | None = None, suffix: str | None = None, regex: str | None = None) -> DataFrame:
+    """Items whose path matches any of the globs, has the suffix and matches
+    the regex from the start; an item that several globs match comes once per
+    glob, all in path order."""
     c = F.lit(True)
     if suffix:
         c = c & F.col(path_col).endswith(suffix)
     if regex:
         c = c & F.col(path_col).rlike("^(?:" + regex + ")")
-    return df.filter(c)
+    out = df.filter(c)
+    if globs:
+        hits = F.array_compact(F.array(*[F.when(F.col(path_col).rlike(glob_pattern(g)), F.lit(k)) for k, g in enumerate(globs)]))
+        out = out.withColumn("glob", F.explode(hits))
+    return out.orderBy(path_col)
 
 
 def flatten(text: Column) -> Column:

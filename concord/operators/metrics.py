@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import draws as D
 from ..functions import lexicon as L
-from ..functions.text import first_word, words
+from ..functions.text import first_word, format_sentence, words
 from . import annotate as A
 
 def _null_bool() -> Column:
@@ -49,29 +49,29 @@ def _agrees(subj: Column, verb: Column) -> Column:
     return ((subj == "sg") & verb.endswith("s")) | ((subj == "pl") & ~verb.endswith("s"))
 
 
-def with_two_stage_parse(df: DataFrame) -> DataFrame:
-    """E2 over columns _pred/_lang/_k: stage 1 = first 20 words (lower-cased,
-    final punctuation dropped); stage 2 = first k+1 words + [EOS].  Adds
-    _stage (1/2/NULL) and the chosen parse as a_tokens/a_ts/a_ns + positions."""
+def with_two_stage_parse(df: DataFrame, max_words: int | None = None) -> DataFrame:
+    """E2 over columns _pred/_lang/_k[/_need]: stage 1 = the words (lower-cased,
+    final punctuation dropped; the first ``max_words`` of them if given);
+    stage 2 = first k+1 words + [EOS].  Rows with ``_need`` false are not parsed.
+    Adds _stage (1/2/NULL) and the chosen parse as a_tokens/a_ts/a_ns + positions."""
     pred, lang, k = F.col("_pred"), F.col("_lang"), F.col("_k")
-    df = A.with_parse(df, A.tokens_for_parse(pred), lang, "s1_")
+    need = F.col("_need") if "_need" in df.columns else F.lit(True)
+    df = A.with_parse(df, F.when(need, A.tokens_for_parse(pred, max_words)), lang, "s1_")
     # the fallback is only parsed where stage 1 failed and k is known
-    need2 = ~F.coalesce(F.col("s1_ok"), F.lit(False)) & k.isNotNull()
-    df = A.with_parse(df, F.when(need2, A.eos_tokens(pred, k)), lang, "s2_")
     use1 = F.coalesce(F.col("s1_ok"), F.lit(False))
+    df = A.with_parse(df, F.when(need & ~use1 & k.isNotNull(), A.eos_tokens(pred, k)), lang, "s2_")
     use2 = k.isNotNull() & F.coalesce(F.col("s2_ok"), F.lit(False))
     df = D.stage(df, {"_stage": F.when(use1, F.lit(1)).when(use2, F.lit(2))})
     one = F.col("_stage") == 1
-    df = D.stage(df, {"a_tokens": F.when(one, F.col("s1_tokens")).otherwise(F.col("s2_tokens")),
-                      "a_ts": F.when(one, F.col("s1_ts")).otherwise(F.col("s2_ts")),
-                      "a_ns": F.when(one, F.col("s1_ns")).otherwise(F.col("s2_ns"))})
+    chosen = {f"a_{c}": F.when(one, F.col(f"s1_{c}")).when(F.col("_stage") == 2, F.col(f"s2_{c}")) for c in ("tokens", "ts", "ns")}
+    df = D.stage(df, chosen)
     df = df.drop(*[f"{s}_{c}" for s in ("s1", "s2") for c in ("tokens", "ts", "ns", "ok")])
     return A.with_positions(df, "a_ts", "a_ns", "a_")
 
 
 def with_plain_parse(df: DataFrame) -> DataFrame:
     """Parse used by the dormant metrics: strip only ' .'/' ?', no cap, no fallback."""
-    df = A.with_parse(df, A.tokens_for_parse(F.col("_pred"), max_words=None, strip_pattern=r" [.?]$"),
+    df = A.with_parse(df, A.tokens_for_parse(F.col("_pred"), strip_pattern=r" [.?]$"),
                       F.col("_lang"), "b_")
     return A.with_positions(df, "b_ts", "b_ns", "b_")
 
@@ -128,7 +128,7 @@ def only_main_verb_reinflected_col() -> Column:
     supported = F.col("_lang").isin(*L.SUPPORTED_LANGS)
     verbs = F.filter(F.zip_with(F.col("b_tokens"), F.split(F.col("b_ts"), ""), lambda w, t: F.when(t == "V", w)),
                      lambda x: x.isNotNull())
-    others = F.slice(verbs, 2, 1 << 20)
+    others = F.slice(verbs, 2, F.greatest(F.size(verbs), F.lit(0)))
     return (F.when(supported & (F.col("_tense") == "past"), _null_bool())
              .when(F.col("_pred") == F.col("_gold"), F.lit(True))
              .when(~supported | ~F.coalesce(F.col("b_ok"), F.lit(False)), _null_bool())
@@ -172,9 +172,10 @@ ALL_METRICS = {**METRICS, **DORMANT_METRICS}
 
 
 def compute_metrics(df: DataFrame, pred="pred", gold="gold", lang="lang", tense="tense", k=None,
-                    names=None, keep=("id",), extra=None) -> DataFrame:
-    """F9 long form: one row per example, one nullable boolean per metric
-    (registered metrics in name order).  ``lang``/``tense`` may be column
+                    names=None, keep=("id",), extra=None, parse_words: int | None = None) -> DataFrame:
+    """F9 column form: one row per example, one nullable boolean per metric
+    (registered metrics in name order).  ``parse_words``: parse only the first
+    words of a prediction, as the original did.  ``lang``/``tense`` may be column
     names or literals; tense defaults to 'pres' when missing (NULL)."""
     names = sorted(names or METRICS)
     keep = [c for c in keep if c in df.columns]
@@ -183,8 +184,11 @@ def compute_metrics(df: DataFrame, pred="pred", gold="gold", lang="lang", tense=
     work = df.select(*keep, F.col(pred).alias("_pred"), F.col(gold).alias("_gold"), lang_c.alias("_lang"),
                      tense_c.alias("_tense"), (F.col(k).cast("int") if k else F.lit(None).cast("int")).alias("_k"))
     kinds = {ALL_METRICS[n][0] for n in names}
+    if "two_stage" in kinds:
+        # step 1 of the decision is NULL for these rows whatever the parse says
+        work = work.withColumn("_need", F.col("_lang").isin(*L.SUPPORTED_LANGS) & (F.col("_tense") != "past"))
     if "two_stage" in kinds or (extra and "stage" in extra):
-        work = with_two_stage_parse(work)
+        work = with_two_stage_parse(work, parse_words)
     if "plain" in kinds:
         work = with_plain_parse(work)
     cols = {}
@@ -196,40 +200,61 @@ def compute_metrics(df: DataFrame, pred="pred", gold="gold", lang="lang", tense=
     return work.select(*keep, *[v.alias(n) for n, v in cols.items()])
 
 
-# ------------------------------------------------------------------ F6
-def summary_aggs(metric: str, nulls_as_false: bool = False) -> list:
-    """total / included / omitted / true / false / mean of one metric column.
+# ------------------------------------------------------------------ F9 over files
+def score_files(spark, pred_path: str, gold_path: str, use_constraint: bool = False, names=None,
+                parse_words: int | None = None, metadata_path: str | None = None) -> DataFrame:
+    """metrics of a prediction file against a gold file (pairs as JSON, or
+    tab-separated) and its companion metadata, all lined up by line; the language
+    is the gold file's name up to the first '-'."""
+    from ..sources import io as IO
 
-    Default: NULL results are omitted from the mean (the documented rule).
-    ``nulls_as_false``: NULL counts as False and nothing is omitted (what the
-    original wrapper computed)."""
-    m = F.col(metric)
-    if nulls_as_false:
-        b = F.coalesce(m, F.lit(False))
-        included = F.count(F.lit(1))
-    else:
-        b = m
-        included = F.count(m)
-    return [
-        F.count(F.lit(1)).alias("total_points"),
-        included.alias("included_points"),
-        (F.count(F.lit(1)) - included).alias("omitted_points"),
-        F.count(F.when(b, 1)).alias("true_points"),
-        F.count(F.when(~b, 1)).alias("false_points"),
-        # exact ratio of counts (one IEEE division; NULL when nothing is included)
-        F.try_divide(F.count(F.when(b, 1)).cast("double"), F.count(b).cast("double")).alias("mean"),
-    ]
+    pred = IO.read_predictions(spark, pred_path).select("example_id", format_sentence("pred").alias("pred"))
+    gold = IO.read_gold(spark, gold_path).select("example_id", format_sentence("gold").alias("gold"))
+    meta = IO.read_metadata(spark, metadata_path or IO.metadata_path(gold_path), ["tense", IO.CONSTRAINTS[0]])
+    n = [x.count() for x in (pred, gold, meta)]
+    if len(set(n)) > 1:                            # F7: arguments of unequal length
+        raise ValueError(f"predictions ({n[0]}), gold sentences ({n[1]}) and metadata ({n[2]}) are not of one length")
+    lang = gold_path.rstrip("/").rsplit("/", 1)[-1].split("-", 1)[0]
+    rows = pred.join(gold, "example_id").join(meta, "example_id")
+    return compute_metrics(rows, lang=lang, k=IO.CONSTRAINTS[0] if use_constraint else None, names=names,
+                           keep=("example_id", "tense"), parse_words=parse_words)
+
+
+# ------------------------------------------------------------------ F6
+def metric_counts(df: DataFrame, by: list, metrics: list) -> DataFrame:
+    """(by..., metric, total, n_true, n_false): all metrics are counted side by
+    side in one partially aggregated pass; only its small result is unpivoted."""
+    counts = [F.count(F.lit(1)).alias("_total")]
+    for m in metrics:
+        counts += [F.count_if(F.col(m)).alias(f"_t_{m}"), F.count_if(~F.col(m)).alias(f"_f_{m}")]
+    wide = df.groupBy(*by).agg(*counts)
+    rows = [F.struct(F.lit(m).alias("metric"), F.col(f"_t_{m}").alias("n_true"), F.col(f"_f_{m}").alias("n_false")) for m in metrics]
+    long = wide.select(*by, F.col("_total").alias("total"), F.explode(F.array(*rows)).alias("_m"))
+    return long.select(*by, "_m.metric", "total", "_m.n_true", "_m.n_false")
 
 
 def unpivot_metrics(df: DataFrame, by: list, metrics: list) -> DataFrame:
-    """Wide metric columns -> (by..., metric, value) rows, one scan."""
+    """F8: wide metric columns -> (by..., metric, value) rows, one per example and metric."""
     u = df.select(*by, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"))
                                            for m in metrics])).alias("_m"))
     return u.select(*by, "_m.metric", F.col("_m.value").alias("value"))
 
 
-def summarize(long_df: DataFrame, metrics: list, by=(), nulls_as_false: bool = False) -> DataFrame:
-    """F6 over many metrics in one scan: unpivot the metric columns, then one
-    grouped aggregate (partial aggregation map-side)."""
+def ratio(n: Column, of: Column) -> Column:
+    """One IEEE division of counts; NULL of nothing."""
+    return F.try_divide(n.cast("double"), of.cast("double"))
+
+
+def summarize(wide_df: DataFrame, metrics: list, by=(), nulls_as_false: bool = False) -> DataFrame:
+    """total / included / omitted / true / false / mean of each metric.
+
+    Default: NULL results are omitted from the mean (the documented rule).
+    ``nulls_as_false``: NULL counts as False and nothing is omitted (what the
+    original wrapper computed)."""
     by = list(by)
-    return unpivot_metrics(long_df, by, metrics).groupBy(*by, "metric").agg(*summary_aggs("value", nulls_as_false))
+    c = metric_counts(wide_df, by, metrics)
+    true, total = F.col("n_true"), F.col("total")
+    included = total if nulls_as_false else true + F.col("n_false")
+    return c.select(*by, "metric", total.alias("total_points"), included.alias("included_points"),
+                    (total - included).alias("omitted_points"), true.alias("true_points"),
+                    (included - true).alias("false_points"), ratio(true, included).alias("mean"))

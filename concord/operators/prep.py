@@ -3,25 +3,24 @@ token ids, truncation, static and dynamic padding, forced prefixes and
 allowed-next-token constraints.
 
 Tokenisation is word level over the formatted text (the vocabulary is built
-by Spark from the data); an external tokenizer could replace ``encode``
-as a pandas UDF, but nothing here needs Python per row.
+by Spark from the data); everything is DataFrame functions, no Python per row.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import format_sentence, truncate_words, words
-from ..session import checkpoint_dir
+from ..sources.io import CONSTRAINTS
+from ..sources.tables import ranked
 
 PAD_ID, EOS_ID, UNK_ID = 0, 1, 2
 FIRST_WORD_ID = 3
 LABEL_PAD = -100
 MAX_SOURCE_LENGTH = 1024
 MAX_TARGET_LENGTH = 128
-# vocabularies up to this many rows are broadcast into the id join
-BROADCAST_VOCAB_ROWS = 2_000_000
 
 
 def build_inputs(df: DataFrame, src="src", prefix="prefix", source_prefix: str | None = None,
@@ -38,37 +37,27 @@ def tokens(text: Column) -> Column:
 
 def vocabulary(df: DataFrame, tokens_col: str) -> DataFrame:
     """H3: (word, n, token_id) with ids by (count desc, word), after the
-    special ids.  Counting is a partially aggregated shuffle; the global
-    ranking is a distributed range sort + ``zipWithIndex`` (no single-task
-    window)."""
+    special ids.  Counting is a partially aggregated shuffle; the ranking numbers
+    range partitions and shifts them (``ranked``), and is stored once, since
+    every encode reads it."""
     counts = df.select(F.explode(tokens_col).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    ordered = counts.orderBy(F.desc("n"), F.asc("word"))
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    rdd = ordered.rdd.zipWithIndex().map(lambda r: (r[0]["word"], int(r[0]["n"]), int(r[1]) + FIRST_WORD_ID))
-    # cut the lineage once (reliable checkpoint in spark.checkpoint.dir): the
-    # ranking is reused by every encode and must not recompute the corpus
-    return spark.createDataFrame(rdd, "word string, n bigint, token_id int").checkpoint()
+    placed = ranked(counts, [F.desc("n"), F.asc("word")], "place", "vocabulary")
+    return placed.select("word", "n", (F.col("place") + FIRST_WORD_ID).cast("int").alias("token_id"))
 
 
 def encode(df: DataFrame, key: str, tokens_col: str, vocab: DataFrame, add_eos: bool = True) -> DataFrame:
     """H3: token ids per row (unknown -> UNK, EOS appended).
 
-    Tokens are exploded with their position, joined to the vocabulary (a
-    broadcast hash join when its row count is under ``BROADCAST_VOCAB_ROWS``,
-    a shuffle join beyond), and re-assembled per row in position order.
-    A row's tokens are bounded by its own text length."""
-    ex = df.select(key, F.posexplode(tokens_col).alias("pos", "word"))
-    v = vocab.select("word", "token_id")
-    v = F.broadcast(v) if vocab.count() <= BROADCAST_VOCAB_ROWS else v
-    j = ex.join(v, "word", "left").select(key, "pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("token_id"))
-    g = j.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "token_id"))).alias("_t"))
+    Tokens are exploded with their position (rows without tokens stay), joined
+    to the vocabulary and put together again per row.  How the vocabulary is
+    joined is left to the adaptive planner, which knows its size in bytes and
+    splits the partitions of frequent words."""
+    ex = df.select(key, F.posexplode_outer(tokens_col).alias("pos", "word"))
+    j = ex.join(vocab.select("word", "token_id"), "word", "left")
+    tok = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("token_id")))
+    g = j.groupBy(key).agg(F.sort_array(F.collect_list(tok)).alias("_t"))
     ids = F.transform("_t", lambda s: s["token_id"])
-    if add_eos:
-        ids = F.concat(ids, F.array(F.lit(EOS_ID)))
-    out = df.select(key).join(g, key, "left")
-    return out.select(key, F.coalesce(ids, F.array(F.lit(EOS_ID)) if add_eos else F.array().cast("array<int>"))
-                      .alias("ids"))
+    return g.select(key, (F.concat(ids, F.array(F.lit(EOS_ID))) if add_eos else ids).alias("ids"))
 
 
 def truncate_ids(ids: Column, max_len: int, keep_eos: bool = True) -> Column:
@@ -96,15 +85,9 @@ def labels(ids: Column, length) -> Column:
 
 
 def with_batches(df: DataFrame, order_col: str, batch_size: int) -> DataFrame:
-    """H6: consecutive batches in ``order_col`` order (distributed sort +
-    zipWithIndex, not a global window)."""
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    keys = df.select(order_col).orderBy(order_col)
-    rdd = keys.rdd.zipWithIndex().map(lambda r: (r[0][0], r[1] // batch_size))
-    dtype = df.schema[order_col].dataType.simpleString()
-    idx = spark.createDataFrame(rdd, f"{order_col} {dtype}, batch_id long").checkpoint()
-    return df.join(idx, order_col)
+    """H6: consecutive batches in ``order_col`` order (distributed ranks)."""
+    placed = ranked(df, [F.col(order_col)], "_place", "batches")
+    return placed.withColumn("batch_id", F.call_function("div", F.col("_place"), F.lit(batch_size))).drop("_place")
 
 
 def dynamic_pad(df: DataFrame, ids_col: str, batch_col: str = "batch_id", value: int = PAD_ID) -> DataFrame:
@@ -119,23 +102,37 @@ def forced_prefix(gold: Column, k: Column) -> Column:
     return truncate_words(gold, k)
 
 
-def allowed_by_position(df: DataFrame, key: str, alts_col: str, vocab: DataFrame) -> DataFrame:
-    """Per (row, position) the set of allowed token ids from the
-    alternatives' tokenisations; a position where some alternative has
-    already ended opens a new word (``opens_word``), one past every
-    alternative's end opens everything (``open_all``)."""
-    ex = df.select(key, F.posexplode(alts_col).alias("alt", "word"))
-    enc = encode(ex.select(F.concat_ws("#", F.col(key).cast("string"), F.col("alt").cast("string")).alias("_k"),
-                           F.array("word").alias("_toks")), "_k", "_toks", vocab, add_eos=True)
-    enc = enc.select(F.split("_k", "#").getItem(0).cast("long").alias(key), "ids")
-    longest = enc.groupBy(key).agg(F.max(F.size("ids")).alias("_n"))
-    # pad every tokenisation to the row's longest with PAD (the open marker)
-    padded = enc.join(longest, key).select(key, pad(F.col("ids"), F.col("_n"), PAD_ID).alias("ids"))
-    pe = padded.select(key, F.posexplode("ids").alias("pos", "tok"))
-    return pe.groupBy(key, "pos").agg(
-        F.array_sort(F.collect_set(F.when(~F.col("tok").isin(PAD_ID, EOS_ID), F.col("tok")))).alias("allowed"),
-        F.max((F.col("tok") == EOS_ID).cast("int")).cast("boolean").alias("opens_word"),
-        F.max((F.col("tok") == PAD_ID).cast("int")).cast("boolean").alias("open_all"))
+def allowed_by_position(df: DataFrame, key: str, prefix_col: str, alts_col: str, vocab: DataFrame) -> DataFrame:
+    """The token ids that a decoder may emit at each position of a row.
+
+    ``prefix_col``: the words of the forced prefix, which alone are allowed at
+    the first positions; ``alts_col``: the words of each alternative after it.
+    Alternatives end with EOS and are padded to the longest; the last position
+    is stripped.  At a position, an alternative that has just ended opens a new
+    word (``opens_word``), one that ended before opens everything (``open_all``),
+    the others allow their token."""
+    n = F.size(prefix_col)
+    longest = F.aggregate(F.transform(alts_col, lambda a: F.size(a)), F.lit(0), lambda m, k: F.greatest(m, k))
+
+    def item(pos, word, mark):
+        return F.struct(pos.cast("int").alias("pos"), word.alias("word"), F.lit(mark).alias("mark"))
+
+    none = F.lit(None).cast("string")
+    forced = F.transform(prefix_col, lambda w, i: item(i, w, "token"))
+
+    def one(a):
+        said = F.transform(a, lambda w, i: item(n + i, w, "token"))
+        after = F.filter(F.transform(F.sequence(F.lit(0), longest), lambda j: F.struct(j.alias("j"), F.size(a).alias("m"))),
+                         lambda s: (s["j"] >= s["m"]) & (s["j"] < longest))
+        ends = F.transform(after, lambda s: F.when(s["j"] == s["m"], item(n + s["j"], none, "end")).otherwise(item(n + s["j"], none, "open")))
+        return F.concat(said, ends)
+
+    items = F.concat(forced, F.flatten(F.transform(alts_col, one)))
+    each = df.select(key, F.explode(items).alias("_i")).select(key, "_i.*")
+    each = each.join(vocab.select("word", "token_id"), "word", "left")
+    token = F.when(F.col("mark") == "token", F.coalesce("token_id", F.lit(UNK_ID)))
+    return each.groupBy(key, "pos").agg(F.array_sort(F.collect_set(token)).alias("allowed"),
+                                        F.max(F.col("mark") == "end").alias("opens_word"), F.max(F.col("mark") == "open").alias("open_all"))
 
 
 def constraint_check(pred: Column, gold: Column, k: Column, allowed_words: Column) -> Column:
@@ -147,21 +144,38 @@ def constraint_check(pred: Column, gold: Column, k: Column, allowed_words: Colum
     return F.when(k.isNotNull(), same & F.coalesce(F.array_contains(allowed_words, nxt), F.lit(False)))
 
 
-def split_fields(df: DataFrame) -> tuple:
-    """H7: (numeric-list columns, other columns) by schema — the former are
-    padded into tensors by a collator, the latter passed through untouched."""
-    from pyspark.sql import types as T
+def prepared_columns(columns: list, training: bool) -> list:
+    """H9: the source columns that preparation drops: all of them, but for the
+    constraint fields of an evaluation table."""
+    return [c for c in columns if training or c not in CONSTRAINTS]
+
+
+def split_fields(schema: T.StructType) -> tuple:
+    """H7: (numeric-list columns, other columns) — the former are padded into
+    tensors by a collator, the latter passed through untouched."""
     numeric = (T.IntegerType, T.LongType, T.ShortType, T.ByteType, T.FloatType, T.DoubleType)
-    num = [f.name for f in df.schema.fields
-           if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, numeric)]
-    return num, [c for c in df.columns if c not in num]
+    num = [f.name for f in schema.fields if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, numeric)]
+    return num, [f.name for f in schema.fields if f.name not in num]
 
 
 def with_constraint_defaults(df: DataFrame) -> DataFrame:
-    """Optional constraint columns, present only when the data has them:
+    """A constraint column stays only if some row has a value in it; then
     the identical-prefix length defaults to 0, the allowed next words to NULL."""
-    out = df
-    if "predict_identical_until_given_word_number" in df.columns:
-        out = out.withColumn("predict_identical_until_given_word_number",
-                             F.coalesce(F.col("predict_identical_until_given_word_number"), F.lit(0)))
+    found = [c for c in CONSTRAINTS if c in df.columns]
+    if not found:
+        return df
+    some = df.agg(*[F.count(c).alias(c) for c in found]).first()
+    out = df.drop(*[c for c in found if not some[c]])
+    if CONSTRAINTS[0] in out.columns:
+        out = out.withColumn(CONSTRAINTS[0], F.coalesce(F.col(CONSTRAINTS[0]), F.lit(0)))
     return out
+
+
+def prepare(df: DataFrame, key: str, input_ids: DataFrame, label_ids: DataFrame, training: bool, max_source: int = MAX_SOURCE_LENGTH,
+            max_target: int = MAX_TARGET_LENGTH) -> DataFrame:
+    """Truncated input ids and labels with the constraint columns of ``df``."""
+    kept = [c for c in df.columns if c not in prepared_columns(df.columns, training)]
+    rows = with_constraint_defaults(df.select(key, *kept))
+    x = input_ids.select(key, truncate_ids(F.col("ids"), max_source).alias("input_ids"))
+    y = label_ids.select(key, truncate_ids(F.col("ids"), max_target).alias("labels"))
+    return rows.join(x, key).join(y, key)

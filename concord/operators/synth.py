@@ -1,8 +1,9 @@
 """Corpus synthesis (weighted-grammar sampling, reinflection, harmonisation,
 surface strings, splits, balanced quota sampling, experiment grid).
 
-Design: a sentence is keyed by an integer ``id`` taken from the input table.
-Every random choice is a pure function of (id, slot) (see ``draws``), so a
+Design: a sentence is keyed by an integer taken from the input table and a salt
+(dataset, split, round).  Every random choice is a pure function of (salt, key,
+slot) (see ``draws``), so datasets are independent of each other, and a
 sentence is generated inside one row with array expressions: no explode, no
 per-sentence shuffle, and a lost task recomputes exactly the same rows.  The
 grammar is flattened to a 33-row shape table (bounded by the grammar, not the
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import draws as D
 from ..functions import lexicon as L
 from ..functions.text import surface
+from ..sources.tables import ranked
 
 
 # ---------------------------------------------------------------- lookups
@@ -62,33 +64,33 @@ def flip_number(n: Column) -> Column:
 
 
 # ---------------------------------------------------------------- keys
-def lineitem_keys(lineitem: DataFrame, partitions: int | None = None) -> DataFrame:
+def lineitem_keys(lineitem: DataFrame) -> DataFrame:
     """Sentence keys from line items: (orderkey*8 + linenumber) is not unique
-    in the input, so it is de-duplicated.
+    in the input, so it is de-duplicated: partial aggregates first, then one
+    exchange of the distinct keys, whose partitions the adaptive planner sizes.
 
-    Keys are tiny but every key expands into a full sentence pair, so the
-    de-duplicating exchange is an explicit hash repartition on the key with
-    ``spark.sql.shuffle.partitions`` partitions (sized for the cluster):
-    adaptive coalescing, which would size partitions by the 8-byte keys,
-    does not shrink the generation stage's parallelism, and the following
-    de-duplication reuses the same partitioning (no second exchange)."""
-    spark = lineitem.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    k = lineitem.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("bigint").alias("id"))
-    return k.repartition(n, "id").dropDuplicates(["id"])
+    Keys are tiny but each expands into a full sentence pair, so a rebalance
+    with the session's advisory partition size would be too coarse; generation
+    follows the partitions of the exchange."""
+    return lineitem.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("bigint").alias("id")).distinct()
+
+
+def ranked_keys(keys: DataFrame) -> DataFrame:
+    """Keys with their 0-based place in key order (range partitions numbered
+    inside and shifted by the counts before them; no global window)."""
+    return ranked(keys, [F.col("id")], "place", "keys")
 
 
 # ---------------------------------------------------------------- B1
-def sample_shapes(keys: DataFrame, spark: SparkSession | None = None) -> DataFrame:
+def sample_shapes(keys: DataFrame, key: str = "id", salt="") -> DataFrame:
     """B1: draw a sentence shape per key with exact grammar probabilities.
 
     The shape table is fixed by the grammar (33 rows), so the range lookup
     ``lo <= u < hi`` is compiled into a CASE ladder over the cumulative
     bounds (a projection inside whole-stage codegen: no join, no exchange);
-    the shape's attributes are read from literal arrays by index.
-    ``shape_range_join`` is the equivalent broadcast range join."""
+    the shape's attributes are read from literal arrays by index."""
     shapes = L.SHAPES
-    u = D.pick(D.draw(F.col("id"), D.SLOT_SHAPE), L.SHAPE_TOTAL)
+    u = D.pick(D.draw(F.col(key), D.SLOT_SHAPE, salt), L.SHAPE_TOTAL)
     df = D.stage(keys, {"_u": u})
     ladder = None
     for i, s in enumerate(shapes):
@@ -104,22 +106,16 @@ def sample_shapes(keys: DataFrame, spark: SparkSession | None = None) -> DataFra
     return df.drop("_u", "_s")
 
 
-def shape_range_join(keys: DataFrame, spark: SparkSession | None = None) -> DataFrame:
-    """B1 as a range join against the broadcast shape table (33 rows, bounded by the grammar)."""
-    spark = spark or keys.sparkSession
-    shapes = shape_table(spark)
-    k = keys.withColumn("_u", D.pick(D.draw(F.col("id"), D.SLOT_SHAPE), L.SHAPE_TOTAL))
-    j = k.join(F.broadcast(shapes), (k["_u"] >= shapes["lo"]) & (k["_u"] < shapes["hi"]))
-    return j.drop("_u", "lo", "hi", "weight")
-
-
 # ---------------------------------------------------------------- B3/B4/B6/B7
-def synthesize(keys: DataFrame, lang="en_RC_PP", pres_p=0.5, harmonize=False) -> DataFrame:
+def synthesize(keys: DataFrame, lang="en_RC_PP", pres_p=0.5, harmonize=False, key: str = "id", salt="",
+               naive: bool = False) -> DataFrame:
     """Sentence pairs + generation arrays for every key.
 
-    ``lang``/``pres_p``/``harmonize`` are literals or columns of ``keys``
-    (config-driven corpora pass columns).  Output columns:
-    id, lang, shape_id, subj_mods, obj_mods, template, verb_pos, tense, tags,
+    ``lang``/``pres_p``/``harmonize``/``salt`` are literals or columns of ``keys``
+    (config-driven corpora pass columns).  Harmonising gives every subject noun
+    the head's number by the lexicon's other form (B6); ``naive`` adds or strips
+    a final s instead, as the original does outside its own grammar (quirk Q9).
+    Output columns: id, lang, shape_id, subj_mods, obj_mods, template, verb_pos, tense, tags,
     numbers, idx, src_words, tgt_words, src, prefix, tgt.
     """
     lang_c = lang if isinstance(lang, Column) else F.lit(lang)
@@ -127,12 +123,12 @@ def synthesize(keys: DataFrame, lang="en_RC_PP", pres_p=0.5, harmonize=False) ->
     harm_c = harmonize if isinstance(harmonize, Column) else F.lit(bool(harmonize))
 
     N = L.MAX_SENTENCE_WORDS
-    df = sample_shapes(keys).withColumn("lang", lang_c)
+    df = sample_shapes(keys, key, salt).withColumn("lang", lang_c)
     slots = {"_d_tense": D.SLOT_TENSE}
     for i in range(N):
         slots[f"_d_n{i}"] = D.number_slot(i)
         slots[f"_d_w{i}"] = D.word_slot(i)
-    df = D.with_draws(df, "id", slots)
+    df = D.with_draws(df, key, slots, salt)
     vp, tmpl = F.col("verb_pos"), F.col("template")
     permille = F.round(pres_c * 1000).cast("bigint")
     # Stage 1: tense, head-noun number, the grammar's flat word list
@@ -156,6 +152,8 @@ def synthesize(keys: DataFrame, lang="en_RC_PP", pres_p=0.5, harmonize=False) ->
         own = F.when(D.pick(dn, 2) == 0, "sg").otherwise("pl")
         # Harmonised 'pres' rows give every subject noun the head's number
         st[f"_n{i}"] = F.when(t == "N", F.when(F.col("_harm") & pres & (F.lit(i) < vp), F.col("_head")).otherwise(own))
+        if naive:
+            st[f"_o{i}"] = own
         st[f"_i{i}"] = (F.when(t == "N", D.pick(dw, nn))
                          .when(t == "V", D.pick(dw, nv))
                          .when(t == "P", D.pick(dw, np_)).otherwise(F.lit(0))).cast("int")
@@ -169,6 +167,10 @@ def synthesize(keys: DataFrame, lang="en_RC_PP", pres_p=0.5, harmonize=False) ->
                 .when(t == "V", 2 + 2 * nn + idx)
                 .when(t == "P", 2 + 2 * nn + nv + idx))
         st[f"_w{i}"] = F.get(F.col("_flat"), pos)
+        if naive:                                  # the word of the drawn number, its s added or taken away
+            base = F.get(F.col("_flat"), 2 + F.when(F.col(f"_o{i}") == "pl", nn).otherwise(F.lit(0)) + idx)
+            st[f"_w{i}"] = F.when((t == "N") & (num != F.col(f"_o{i}")), F.when(num == "pl", F.concat(base, F.lit("s"))).otherwise(
+                F.regexp_replace(base, "s$", ""))).otherwise(st[f"_w{i}"])
     df = D.stage(df, st)
     n = F.length(tmpl)
     nch = [F.when(F.col(f"_n{i}") == "sg", "s").when(F.col(f"_n{i}") == "pl", "p").otherwise("-") for i in range(N)]
@@ -183,7 +185,7 @@ def synthesize(keys: DataFrame, lang="en_RC_PP", pres_p=0.5, harmonize=False) ->
     src = F.col("src_words")
     verb = F.get(src, vp)
     tgt = F.when(pres, F.concat(F.slice(src, 1, vp), F.array(inflect_col(verb, F.col("_head"))),
-                                F.slice(src, vp + 2, 1 << 20))).otherwise(src)
+                                F.slice(src, vp + 2, F.size(src)))).otherwise(src)
     df = D.stage(df, {"tgt_words": tgt}).drop("_head")
     df = D.stage(df, {"src": surface(F.col("src_words")), "prefix": F.col("tense"), "tgt": surface(F.col("tgt_words"))})
     return df
@@ -202,35 +204,46 @@ def length_filter(df: DataFrame, max_words: int = L.MAX_SENTENCE_WORDS, col: str
 
 # ---------------------------------------------------------------- B9/B10
 def config_table(spark: SparkSession, config=None) -> DataFrame:
-    """Dataset config flattened to (lang, dataset, grammar, pres_p, generator, split, n, split_lo, split_hi)."""
+    """Dataset config flattened to (lang, dataset, name, grammar, pres_p, generator, split, n).
+
+    ``config`` is the mapping that ``sources.io.read_config`` returns (default: the experiment's)."""
     config = config or L.DATASET_CONFIG
-    rows = []
-    for lang, dsets in config.items():
-        for dname, (p, splits, gen) in dsets.items():
-            lo = 0
-            for split, n in splits.items():
-                rows.append((lang, dname, f"{lang}-{dname}", L.DATASET_GRAMMAR.get(lang, lang), float(p), gen,
-                             split, int(n), lo, lo + int(n)))
-                lo += int(n)
+    rows = [(lang, dname, f"{lang}-{dname}", L.DATASET_GRAMMAR.get(lang, lang), float(p), gen, split, int(n))
+            for lang, dsets in config.items() for dname, (p, splits, gen) in dsets.items() for split, n in splits.items()]
     return spark.createDataFrame(rows, "lang string, dataset string, name string, grammar string, pres_p double, "
-                                       "generator string, split string, n bigint, split_lo bigint, split_hi bigint")
-
-
-def config_corpus(keys: DataFrame, spark: SparkSession | None = None) -> DataFrame:
-    """Every key yields one sentence per configured dataset, assigned to a
-    split with probability proportional to the configured split sizes."""
-    spark = spark or keys.sparkSession
-    cfg = config_table(spark)
-    totals = cfg.groupBy("name").agg(F.max("split_hi").alias("total"))
-    ds = cfg.select("lang", "dataset", "name", "grammar", "pres_p", "generator").distinct().join(totals, "name")
-    kd = keys.crossJoin(F.broadcast(ds))         # bounded: one row per configured dataset
-    kd = kd.withColumn("_u", D.pick(D.draw(F.col("id"), D.SLOT_SPLIT), F.col("total")))
-    kd = kd.join(F.broadcast(cfg.select("name", "split", "split_lo", "split_hi")), "name").filter(
-        (F.col("_u") >= F.col("split_lo")) & (F.col("_u") < F.col("split_hi")))
-    out = synthesize(kd.select("id", "lang", "dataset", "name", "grammar", "pres_p", "generator", "split"),
-                     lang=F.col("grammar"), pres_p=F.col("pres_p"),
-                     harmonize=F.col("generator") == "pres_or_past_no_pres_dist")
-    return out
+                                       "generator string, split string, n bigint")
+
+
+def config_keys(keys: DataFrame, config=None) -> DataFrame:
+    """Exactly n rows per configured split, numbered i = 0..n-1 as ``id``.
+
+    Row i takes the (i mod K)-th of the K keys; ``round`` = i div K.  Dataset,
+    split and round salt the draws, so no two splits share sentences but by
+    chance, and splits larger than the key table go on with fresh draws."""
+    spark = keys.sparkSession
+    k = ranked_keys(keys).withColumnRenamed("id", "key")
+    total = k.count()
+    if not total:
+        total = 1
+    # bounded: one row per configured split; keys beyond a split's size are filtered at the join
+    kd = k.join(F.broadcast(config_table(spark, config)), F.col("place") < F.col("n"))
+    last = F.call_function("div", F.col("n") - 1 - F.col("place"), F.lit(total))
+    kd = kd.withColumn("round", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    return kd.select("lang", "dataset", "name", "grammar", "pres_p", "generator", "split", "key",
+                     (F.col("round") * total + F.col("place")).alias("id"),
+                     F.concat_ws("/", "name", "split", F.col("round").cast("string")).alias("salt"))
+
+
+def config_prefixes(kd: DataFrame) -> DataFrame:
+    """The prefix (tense) of configured rows: one draw, no sentence is built."""
+    x = D.pick(D.draw(F.col("key"), D.SLOT_TENSE, F.col("salt")), 1000)
+    return kd.withColumn("prefix", F.when(x < F.round(F.col("pres_p") * 1000).cast("bigint"), "pres").otherwise("past"))
+
+
+def config_corpus(keys: DataFrame, config=None) -> DataFrame:
+    """The configured datasets' sentence pairs."""
+    return synthesize(config_keys(keys, config), lang=F.col("grammar"), pres_p=F.col("pres_p"),
+                      harmonize=F.col("generator") == "pres_or_past_no_pres_dist", key="key", salt=F.col("salt"))
 
 
 def prefix_proportions(corpus: DataFrame, by=("split",)) -> DataFrame:
@@ -247,30 +260,41 @@ def preamble(words: Column, verb_pos: Column) -> Column:
     return F.array_join(F.slice(words, 1, verb_pos + 1), " ")
 
 
-def balanced_sample(annotated: DataFrame, quotas: DataFrame, max_quota: int) -> DataFrame:
-    """Accept rows in key order while their condition is non-NULL and
-    under quota and their preamble is unseen.
+def balanced_flags(annotated: DataFrame, quotas: dict | None = None) -> DataFrame:
+    """Every candidate with ``first`` (its preamble is new), ``quota`` and ``accepted``.
 
-    The preamble determines the condition, so the sequential rule equals:
-    first row per preamble, then the first ``quota`` of those per condition
-    (rows rejected for a NULL or full condition share their preamble with
-    rows that would be rejected the same way).  The literal ``max_quota``
-    filter lets Spark apply a window group limit before the exact quota join.
-    Filters sit above the first window so they are evaluated on its output
-    instead of being inlined into the generation expressions.
-    """
-    first = (annotated.withColumn("_rp", F.row_number().over(Window.partitionBy("preamble").orderBy("id")))
-             .filter((F.col("_rp") == 1) & F.col("condition").isNotNull()).drop("_rp"))
-    ranked = first.withColumn("_rc", F.row_number().over(Window.partitionBy("condition").orderBy("id")))
-    ranked = ranked.filter(F.col("_rc") <= max_quota)
-    return (ranked.join(F.broadcast(quotas), "condition")
-                  .filter(F.col("_rc") <= F.col("quota")).drop("_rc"))
+    Rows are taken in key order while their condition is non-NULL and under
+    quota and their preamble is unseen.  The preamble determines the condition,
+    so the sequential rule equals: first row per preamble, then the first
+    ``quota`` of those per condition."""
+    q = quota_table(annotated.sparkSession, quotas)
+    first = F.row_number().over(Window.partitionBy("preamble").orderBy("id")) == 1
+    x = annotated.withColumn("first", first)
+    place = F.row_number().over(Window.partitionBy("condition", "first").orderBy("id"))
+    x = x.withColumn("_rc", F.when(F.col("first"), place)).join(F.broadcast(q), "condition", "left")
+    return x.withColumn("accepted", F.coalesce(F.col("first") & (F.col("_rc") <= F.col("quota")), F.lit(False))).drop("_rc")
 
 
-def quota_table(spark: SparkSession, quotas=None, scale: float = 1.0) -> DataFrame:
+def balanced_sample(annotated: DataFrame, quotas: dict | None = None) -> DataFrame:
+    """The accepted rows.  The largest quota, taken from the quota list, is
+    a literal bound on the rank, which lets Spark limit each window group before
+    the exact quota join; the first row of a preamble is its smallest key, an
+    aggregate with map-side combine."""
     quotas = quotas or L.BALANCED_QUOTAS
-    rows = [(k, max(1, int(v * scale))) for k, v in quotas.items()]
-    return spark.createDataFrame(rows, "condition string, quota int")
+    rest = [c for c in annotated.columns if c not in ("preamble", "id")]
+    first = annotated.groupBy("preamble").agg(F.min(F.struct("id", *rest)).alias("_f")).select("preamble", "_f.*")
+    ranked_ = first.withColumn("_rc", F.row_number().over(Window.partitionBy("condition").orderBy("id")))
+    ranked_ = ranked_.filter((F.col("_rc") <= max(quotas.values())) & F.col("condition").isNotNull())
+    return (ranked_.join(F.broadcast(quota_table(annotated.sparkSession, quotas)), "condition")
+                   .filter(F.col("_rc") <= F.col("quota")).drop("_rc"))
+
+
+def quota_table(spark: SparkSession, quotas: dict | None = None) -> DataFrame:
+    return spark.createDataFrame(list((quotas or L.BALANCED_QUOTAS).items()), "condition string, quota int")
+
+
+def scaled_quotas(scale: float) -> dict:
+    return {k: max(1, int(v * scale)) for k, v in L.BALANCED_QUOTAS.items()}
 
 
 # ---------------------------------------------------------------- B14
@@ -303,8 +327,14 @@ def _arr(words) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
-def _pick_word(words, key: Column, slot: int) -> Column:
-    return F.get(_arr(words), D.pick(D.draw(key, slot), len(words)).cast("int"))
+def _pick_word(words, key: Column, slot: int, salt: str) -> Column:
+    return F.get(_arr(words), D.pick(D.draw(key, slot, salt), len(words)).cast("int"))
+
+
+STIMULUS_WORDS = {      # lang -> (nouns sg, nouns pl, determiners, prepositions, adjectives)
+    "en_FVN_02": (L.FVN_NOUNS_SG, L.FVN_NOUNS_PL, L.FVN_DETERMINERS, L.FVN_PREPS, L.FVN_ADJECTIVES),
+    "en_VN_98": (L.VN_NOUNS_SG, L.VN_NOUNS_PL, [L.DETERMINER], L.VN_PREPS, L.VN_ADJECTIVES),
+}
 
 
 def stimulus_items(keys: DataFrame, lang: str) -> DataFrame:
@@ -315,30 +345,26 @@ def stimulus_items(keys: DataFrame, lang: str) -> DataFrame:
     A quarter of the keys are made ungrammatical (kind 0: the verb is replaced
     by an unknown past form / the auxiliary is dropped; kind 1: the final
     adjective is dropped), so acceptance has both outcomes.
-    Output: id, kind, item."""
+    Output: id, kind, item, pred (kind 3: with the other number's verb), gold (never broken)."""
     k = F.col("id")
-    if lang == "en_FVN_02":
-        nouns_sg, dets, preps, adjs = L.FVN_NOUNS_SG, L.FVN_DETERMINERS, L.FVN_PREPS, L.FVN_ADJECTIVES
-    elif lang == "en_VN_98":
-        nouns_sg, dets, preps, adjs = L.VN_NOUNS_SG, [L.DETERMINER], L.VN_PREPS, L.VN_ADJECTIVES
-    else:
-        raise ValueError(lang)
-    nouns_pl = [L.pluralize(n) for n in nouns_sg]
-    sg1 = D.pick(D.draw(k, 3), 2) == 0
-    sg2 = D.pick(D.draw(k, 5), 2) == 0
-    n1 = F.when(sg1, _pick_word(nouns_sg, k, 4)).otherwise(_pick_word(nouns_pl, k, 4))
-    n2 = F.when(sg2, _pick_word(nouns_sg, k, 6)).otherwise(_pick_word(nouns_pl, k, 6))
+    nouns_sg, nouns_pl, dets, preps, adjs = STIMULUS_WORDS[lang]
+    sg1 = D.pick(D.draw(k, 3, lang), 2) == 0
+    sg2 = D.pick(D.draw(k, 5, lang), 2) == 0
+    n1 = F.when(sg1, _pick_word(nouns_sg, k, 4, lang)).otherwise(_pick_word(nouns_pl, k, 4, lang))
+    n2 = F.when(sg2, _pick_word(nouns_sg, k, 6, lang)).otherwise(_pick_word(nouns_pl, k, 6, lang))
     kind = (k % 4).cast("int")
-    adj = F.when(kind == 1, F.lit(None)).otherwise(_pick_word(adjs, k, 8))
-    if lang == "en_FVN_02":
-        verb = F.when(kind == 0, F.lit("seemed")).when(sg1, "seems").otherwise("seem")
-        words = [_pick_word(dets, k, 2), n1, _pick_word(preps, k, 7), _pick_word(dets, k, 9), n2, verb, adj]
-        end = "."
-    else:
-        aux = F.when(kind == 0, F.lit(None)).when(sg1, "does").otherwise("do")
-        words = [aux, _pick_word(dets, k, 2), n1, _pick_word(preps, k, 7), _pick_word(dets, k, 9), n2,
-                 F.lit("seem"), adj]
-        end = "?"
-    item = F.concat(F.concat_ws(" ", *words), F.lit(end))
-    item = F.concat(F.upper(F.substring(item, 1, 1)), F.substring(item, 2, 1 << 20))
-    return keys.select("id", kind.alias("kind"), item.alias("item"))
+    adj = _pick_word(adjs, k, 8, lang)
+
+    def sentence(verb, last):
+        np = [_pick_word(dets, k, 2, lang), n1, _pick_word(preps, k, 7, lang), _pick_word(dets, k, 9, lang), n2]
+        words, end = ([*np, verb, last], ".") if lang == "en_FVN_02" else ([verb, *np, F.lit("seem"), last], "?")
+        item = F.concat(F.concat_ws(" ", *words), F.lit(end))
+        return F.concat(F.upper(F.substring(item, 1, 1)), F.substr(item, F.lit(2)))
+
+    sg, pl, broken = ("seems", "seem", F.lit("seemed")) if lang == "en_FVN_02" else ("does", "do", F.lit(None).cast("string"))
+    right = F.when(sg1, sg).otherwise(pl)
+    wrong = F.when(sg1, pl).otherwise(sg)
+    item = sentence(F.when(kind == 0, broken).otherwise(right), F.when(kind != 1, adj))
+    # a prediction of the whole item: kinds 2 and 3 have the right verb and the wrong one
+    pred = sentence(F.when(kind == 0, broken).when(kind == 3, wrong).otherwise(right), F.when(kind != 1, adj))
+    return keys.select("id", kind.alias("kind"), item.alias("item"), pred.alias("pred"), sentence(right, adj).alias("gold"))

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..operators import annotate as A
 from ..operators import synth as S
 from ..functions.text import format_sentence, surface
-from ..session import checkpoint_dir
 
 ITERATION_STEP = 520          # 7812 updates / 15 checkpoints
 N_CHECKPOINTS = 15
@@ -25,41 +24,14 @@ def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.lineitem_keys(table(spark, sf_dir, "lineitem"))
 
 
-_TABLES: dict = {}
+def synth_table(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
+    """The synthesised corpus over the line-item keys."""
+    return S.synthesize(keys(spark, sf_dir), **kw)
 
 
-def materialize(df: DataFrame, key: tuple) -> DataFrame:
-    """Write a derived table once per application as Parquet under the
-    session's ``spark.checkpoint.dir`` and read it back.
-
-    A synthesised corpus is a dataset (the experiment writes its corpora to
-    files): later jobs scan it instead of re-deriving it, and filters on its
-    columns reach the scan instead of being inlined into the generation
-    expressions."""
-    import uuid
-    spark = df.sparkSession
-    ck = (spark.sparkContext.applicationId,) + key
-    if ck not in _TABLES:
-        path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{key[0]}-{uuid.uuid4().hex}"
-        df.write.mode("overwrite").parquet(path)
-        _TABLES[ck] = path
-    return spark.read.parquet(_TABLES[ck])
-
-
-def synth_table(spark: SparkSession, sf_dir: str, lang="en_RC_PP", pres_p=0.5, harmonize=False) -> DataFrame:
-    """The synthesised corpus over the line-item keys, materialised once."""
-    return materialize(S.synthesize(keys(spark, sf_dir), lang=lang, pres_p=pres_p, harmonize=harmonize),
-                       ("synth", sf_dir, lang, float(pres_p), bool(harmonize)))
-
-
-def config_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All configured datasets (B9), materialised once."""
-    return materialize(S.config_corpus(keys(spark, sf_dir)), ("config", sf_dir))
-
-
-def corpus(spark: SparkSession, sf_dir: str, lang="en_RC_PP", pres_p=0.5, harmonize=False) -> DataFrame:
+def corpus(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
     """Sentence pairs with generation arrays and metadata (one row per key)."""
-    return A.with_features(synth_table(spark, sf_dir, lang=lang, pres_p=pres_p, harmonize=harmonize))
+    return A.with_features(synth_table(spark, sf_dir, **kw))
 
 
 def corrupt(c: DataFrame) -> DataFrame:
@@ -81,7 +53,7 @@ def corrupt(c: DataFrame) -> DataFrame:
             .when(kind == 8, past).when(kind == 9, flipped))
     tw = F.col("tgt_words")
     pw = F.when(at.isNull(), tw).otherwise(
-        F.concat(F.slice(tw, 1, at), F.array(val), F.slice(tw, at + 2, 1 << 20)))
+        F.concat(F.slice(tw, 1, at), F.array(val), F.slice(tw, at + 2, F.size(tw))))
     pred = F.when(kind == 6, F.lower(F.col("tgt"))).otherwise(surface(pw))
     return c.withColumn("pred", pred).withColumn(
         "iteration", (F.lit(ITERATION_STEP) * (1 + idc % N_CHECKPOINTS)).cast("int"))
@@ -101,6 +73,5 @@ def scored_input(c: DataFrame) -> DataFrame:
 
 
 def preds_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The prediction table (formatted pred + gold + scoring context and
-    metadata), materialised once like the per-checkpoint prediction files."""
-    return materialize(scored_input(corpus(spark, sf_dir)), ("preds", sf_dir))
+    """The prediction table (formatted pred + gold + scoring context and metadata)."""
+    return scored_input(corpus(spark, sf_dir))

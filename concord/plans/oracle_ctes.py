@@ -67,7 +67,8 @@ def parse_lex_values(langs=None) -> str:
 
 
 def keys_cte(p: str = "") -> str:
-    return f"{p}keys AS (SELECT DISTINCT CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS id FROM lineitem)"
+    return (f"{p}keys AS (SELECT id, id AS key, '' AS salt FROM "
+            f"(SELECT DISTINCT CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS id FROM lineitem))")
 
 
 def corpus_ctes(p: str = "", lang: str = "en_RC_PP", pres_p: float = 0.5, harmonize: bool = False,
@@ -76,16 +77,17 @@ def corpus_ctes(p: str = "", lang: str = "en_RC_PP", pres_p: float = 0.5, harmon
     sentence table {p}corpus (id, shape_id, verb_pos, tense, prefix, src, tgt)."""
     g = L.SAMPLING_GRAMMARS[lang]
     permille = int(round(pres_p * 1000))
-    u = pick_sql(draw_sql("k.id", "0"), L.SHAPE_TOTAL)
+    d = lambda slot, t="k": draw_sql(f"{t}.key", slot, f"{t}.salt")
+    u = pick_sql(d("0"), L.SHAPE_TOTAL)
     ctes = []
     if keys is None:
         ctes.append(keys_cte(p))
         keys = f"{p}keys"
     ctes.append(f"""{p}sent AS (
-  SELECT k.id, s.shape_id, s.subj_mods, s.obj_mods, s.template, s.verb_pos,
-         CASE WHEN {pick_sql(draw_sql('k.id', '1'), 1000)} < {permille} THEN 'pres' ELSE 'past' END AS tense,
-         CASE WHEN {pick_sql(draw_sql('k.id', '5'), 2)} = 0 THEN 'sg' ELSE 'pl' END AS head_number
-  FROM {keys} k JOIN {shapes_values()} s ON {u} >= s.lo AND {u} < s.hi)""")
+  SELECT k.id, k.key, k.salt, s.shape_id, s.subj_mods, s.obj_mods, s.template, s.verb_pos,
+         CASE WHEN {pick_sql(d('1'), 1000)} < {permille} THEN 'pres' ELSE 'past' END AS tense,
+         CASE WHEN {pick_sql(d('5'), 2)} = 0 THEN 'sg' ELSE 'pl' END AS head_number
+  FROM (SELECT k.*, {u} AS u FROM {keys} k) k JOIN {shapes_values()} s ON k.u >= s.lo AND k.u < s.hi)""")
     ctes.append(f"""{p}tok0 AS (
   SELECT s.*, r.pos, substr(s.template, CAST(r.pos AS INTEGER) + 1, 1) AS tag
   FROM {p}sent s JOIN range(0, {L.MAX_SENTENCE_WORDS}) r(pos) ON r.pos < length(s.template))""")
@@ -94,12 +96,12 @@ def corpus_ctes(p: str = "", lang: str = "en_RC_PP", pres_p: float = 0.5, harmon
   SELECT *,
     CASE WHEN tag = 'N' THEN
       CASE WHEN {harm} AND tense = 'pres' AND pos < verb_pos THEN head_number
-           WHEN {pick_sql(draw_sql('id', '3 + 2 * pos'), 2)} = 0 THEN 'sg' ELSE 'pl' END END AS number,
-    CASE tag WHEN 'N' THEN {pick_sql(draw_sql('id', '2 + 2 * pos'), len(g.nouns_sg))}
-             WHEN 'V' THEN {pick_sql(draw_sql('id', '2 + 2 * pos'), len(g.verbs))}
-             WHEN 'P' THEN {pick_sql(draw_sql('id', '2 + 2 * pos'), len(g.preps))}
+           WHEN {pick_sql(d('3 + 2 * pos', 't'), 2)} = 0 THEN 'sg' ELSE 'pl' END END AS number,
+    CASE tag WHEN 'N' THEN {pick_sql(d('2 + 2 * pos', 't'), len(g.nouns_sg))}
+             WHEN 'V' THEN {pick_sql(d('2 + 2 * pos', 't'), len(g.verbs))}
+             WHEN 'P' THEN {pick_sql(d('2 + 2 * pos', 't'), len(g.preps))}
              ELSE 0 END AS idx
-  FROM {p}tok0)""")
+  FROM {p}tok0 t)""")
     ctes.append(f"{p}lex AS (SELECT * FROM {sampling_lex_values(lang)})")
     ctes.append(f"""{p}tok AS (
   SELECT t.*, l.word,

@@ -13,8 +13,13 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import text as T
 from ..operators import annotate as A
+from ..operators import curves as C
+from ..operators import jobs as J
 from ..operators import metrics as M
+from ..operators import prep as H
 from ..operators import synth as S
+from ..sources import io as IO
+from ..sources import tables as TB
 from . import fixtures as FX
 from . import oracle_ctes as O
 
@@ -120,60 +125,67 @@ def length_filter(spark, d):
 
 
 def _config_sql_ctes():
+    """(CTEs of the configured sentences, CTEs of their prefixes alone)."""
+    from ..functions.draws import draw_sql, pick_sql
     cfg_rows = []
     for lang, ds in L.DATASET_CONFIG.items():
         for dname, (p, splits, gen) in ds.items():
             lo = 0
             for split, n in splits.items():
                 cfg_rows.append(f"({O.q(lang)}, {O.q(dname)}, {O.q(f'{lang}-{dname}')}, "
-                                f"{O.q(L.DATASET_GRAMMAR[lang])}, {p}, {O.q(gen)}, {O.q(split)}, {n}, {lo}, {lo + n})")
+                                f"{O.q(L.DATASET_GRAMMAR[lang])}, {p}, {O.q(gen)}, {O.q(split)}, {n}, {lo})")
                 lo += n
+    most = max(n for ds in L.DATASET_CONFIG.values() for _, splits, _ in ds.values() for n in splits.values())
     cfg = ("cfg AS (SELECT * FROM (VALUES " + ", ".join(cfg_rows) +
-           ") t(lang, dataset, name, grammar, pres_p, generator, split, n, split_lo, split_hi))")
-    from ..functions.draws import draw_sql, pick_sql
-    tot = "tot AS (SELECT name, max(split_hi) AS total FROM cfg GROUP BY name)"
-    asg = (f"asg AS (SELECT k.id, c.name, c.lang, c.grammar, c.pres_p, c.generator, c.split FROM keys k "
-           f"JOIN tot t ON TRUE JOIN cfg c ON c.name = t.name "
-           f"AND {pick_sql(draw_sql('k.id', '62'), 't.total')} >= c.split_lo "
-           f"AND {pick_sql(draw_sql('k.id', '62'), 't.total')} < c.split_hi)")
-    ctes = [O.keys_cte(), cfg, tot, asg]
+           ") t(lang, dataset, name, grammar, pres_p, generator, split, n, lo))")
+    ranked = "kk AS (SELECT id AS key, row_number() OVER (ORDER BY id) - 1 AS place, count(*) OVER () AS total FROM keys)"
+    asg = (f"asg AS (SELECT c.name, c.lang, c.dataset, c.split, r.i AS id, c.lo + r.i AS uid, kk.key, "
+           f"c.name || '/' || c.split || '/' || (r.i // kk.total) AS salt FROM cfg c JOIN range(0, {most}) r(i) ON r.i < c.n "
+           f"JOIN kk ON kk.place = r.i % (SELECT count(*) FROM keys))")
+    ctes = [O.keys_cte(), cfg, ranked, asg]
     unions = []
     for lang, ds in L.DATASET_CONFIG.items():
         for dname, (p, splits, gen) in ds.items():
             name = f"{lang}-{dname}"
             pfx = "c" + str(len(unions)) + "_"
-            ctes.append(f"{pfx}keys AS (SELECT id FROM asg WHERE name = {O.q(name)})")
+            ctes.append(f"{pfx}keys AS (SELECT uid AS id, key, salt FROM asg WHERE name = {O.q(name)})")
             ctes += O.corpus_ctes(pfx, lang=L.DATASET_GRAMMAR[lang], pres_p=p,
                                   harmonize=(gen == "pres_or_past_no_pres_dist"), keys=f"{pfx}keys")
-            unions.append(f"SELECT a.name, a.split, c.* FROM {pfx}corpus c JOIN asg a ON a.id = c.id AND a.name = {O.q(name)}")
+            unions.append(f"SELECT a.name, a.split, a.id, c.prefix, c.src, c.tgt FROM {pfx}corpus c JOIN asg a ON a.uid = c.id AND a.name = {O.q(name)}")
     ctes.append("allc AS (" + " UNION ALL ".join(unions) + ")")
-    return ctes
+    return ctes, ctes[:4] + [f"""pfx AS (SELECT a.name, a.split, CASE WHEN {pick_sql(draw_sql('a.key', '1', 'a.salt'), 1000)} < CAST(c.pres_p * 1000 AS INTEGER)
+  THEN 'pres' ELSE 'past' END AS prefix FROM asg a JOIN cfg c ON c.name = a.name AND c.split = a.split)"""]
+
 
+_CONFIG_CTES, _PREFIX_CTES = _config_sql_ctes()
 
-_CONFIG_CTES = _config_sql_ctes()
 
+def _config_rows(spark, d) -> DataFrame:
+    """The configured rows without their sentences."""
+    return S.config_keys(FX.keys(spark, d))
 
-@query("splits", _w(_CONFIG_CTES, """
-SELECT name, split, prefix, CAST(count(*) AS BIGINT) AS n FROM allc GROUP BY name, split, prefix"""))
+
+@query("splits", _w(_PREFIX_CTES, """
+SELECT name, split, prefix, CAST(count(*) AS BIGINT) AS n FROM pfx GROUP BY name, split, prefix"""))
 def splits(spark, d):
-    """Config-driven corpora (dataset x split x prefix counts)."""
-    c = FX.config_table(spark, d)
+    """Config-driven corpora (dataset x split x prefix counts; no sentence is built for them)."""
+    c = S.config_prefixes(_config_rows(spark, d))
     return c.groupBy("name", "split", "prefix").agg(F.count("*").alias("n"))
 
 
-@query("prefix_proportions", _w(_CONFIG_CTES, """
+@query("prefix_proportions", _w(_PREFIX_CTES, """
 SELECT name, split, prefix, CAST(count(*) AS BIGINT) AS n,
        CAST(count(*) AS DOUBLE) / CAST(sum(count(*)) OVER (PARTITION BY name, split) AS DOUBLE) AS prop
-FROM allc GROUP BY name, split, prefix"""))
+FROM pfx GROUP BY name, split, prefix"""))
 def prefix_proportions(spark, d):
     """Share of each prefix per dataset split."""
-    return S.prefix_proportions(FX.config_table(spark, d), by=("name", "split"))
+    return S.prefix_proportions(S.config_prefixes(_config_rows(spark, d)), by=("name", "split"))
 
 
 @query("config_corpus_sample", _w(_CONFIG_CTES, "SELECT name, split, id, src, prefix, tgt FROM allc"))
 def config_corpus_sample(spark, d):
     """B9 rows: every configured dataset's sentence pairs."""
-    return FX.config_table(spark, d).select("name", "split", "id", "src", "prefix", "tgt")
+    return S.config_corpus(FX.keys(spark, d)).select("name", "split", "id", "src", "prefix", "tgt")
 
 
 # ---- B11-B13: balanced sample --------------------------------------------
@@ -190,9 +202,10 @@ _BAL = O.corpus_ctes(pres_p=1.0) + O.meta_ctes() + [
 ]
 
 
-def _balanced_candidates(spark, d) -> DataFrame:
+def _balanced_candidates(spark, d, *more) -> DataFrame:
     c = A.add_features(FX.synth_table(spark, d, pres_p=1.0), "template", "num_str", "src_words")
-    return c.select("id", "condition", S.preamble(F.col("src_words"), F.col("verb_pos")).alias("preamble"))
+    c = c.withColumn("n_words", F.size(F.split("src", " ")))
+    return c.select("id", "condition", S.preamble(F.col("src_words"), F.col("verb_pos")).alias("preamble"), *more)
 
 
 @query("preamble_dedup", _w(_BAL, """
@@ -206,37 +219,33 @@ def preamble_dedup(spark, d):
 @query("balanced_sample", _w(_BAL, "SELECT id, condition, preamble FROM acc"))
 def balanced_sample(spark, d):
     """Per-condition quota sample over unique preambles, in key order."""
-    q = S.quota_table(spark)
-    return S.balanced_sample(_balanced_candidates(spark, d), q, max(L.BALANCED_QUOTAS.values())) \
-        .select("id", "condition", "preamble")
+    return S.balanced_sample(_balanced_candidates(spark, d)).select("id", "condition", "preamble")
 
 
-@query("acceptance_accounting", _w(_BAL, """
+@query("acceptance_accounting", _w(_BAL + [
+    "words AS (SELECT id, length(src) - length(replace(src, ' ', '')) + 1 AS n FROM corpus)"], f"""
 SELECT coalesce(c.condition, 'NULL') AS condition,
        CAST(count(*) AS BIGINT) AS n_candidates,
        CAST(count(*) FILTER (WHERE f.id IS NOT NULL) AS BIGINT) AS n_unique,
        CAST(count(a.id) AS BIGINT) AS n_accepted,
+       CAST(count(*) FILTER (WHERE a.id IS NULL) AS BIGINT) AS n_skipped,
+       CAST(count(*) FILTER (WHERE w.n > {L.MAX_SENTENCE_WORDS}) AS BIGINT) AS n_too_long,
        max(q.quota) AS quota,
        CAST(count(a.id) AS DOUBLE) / max(q.quota) AS fill
-FROM cand c LEFT JOIN firstp f ON f.id = c.id LEFT JOIN acc a ON a.id = c.id
+FROM cand c JOIN words w ON w.id = c.id LEFT JOIN firstp f ON f.id = c.id LEFT JOIN acc a ON a.id = c.id
 LEFT JOIN quota q ON q.condition = c.condition
 GROUP BY 1"""))
 def acceptance_accounting(spark, d):
-    """Candidates, unique preambles, accepted and fill ratio per condition."""
-    cand = _balanced_candidates(spark, d)
-    first = cand.groupBy("preamble").agg(F.min("id").alias("id")).select("id", F.lit(True).alias("_u"))
-    q = S.quota_table(spark)
-    acc = S.balanced_sample(cand, q, max(L.BALANCED_QUOTAS.values())).select("id", F.lit(True).alias("_a"))
-    j = cand.join(first, "id", "left").join(acc, "id", "left").join(F.broadcast(q), "condition", "left")
-    return j.groupBy(F.coalesce("condition", F.lit("NULL")).alias("condition")).agg(
-        F.count("*").alias("n_candidates"),
-        F.count("_u").alias("n_unique"),
-        F.count("_a").alias("n_accepted"),
-        F.max("quota").alias("quota"),
-        (F.count("_a") / F.max("quota")).alias("fill"))
-
-
-@query("experiment_grid", _w(_CONFIG_CTES + [
+    """Candidates, unique preambles, accepted, skipped, too long and fill
+    ratio per condition, from one pass of flags."""
+    f = S.balanced_flags(_balanced_candidates(spark, d, "n_words"))
+    return f.groupBy(F.coalesce("condition", F.lit("NULL")).alias("condition")).agg(
+        F.count("*").alias("n_candidates"), F.count_if("first").alias("n_unique"), F.count_if("accepted").alias("n_accepted"),
+        F.count_if(~F.col("accepted")).alias("n_skipped"), F.count_if(F.col("n_words") > L.MAX_SENTENCE_WORDS).alias("n_too_long"),
+        F.max("quota").alias("quota"), (F.count_if("accepted") / F.max("quota")).alias("fill"))
+
+
+@query("experiment_grid", _w(_PREFIX_CTES[:4] + [
     "av AS (SELECT name, bool_or(split = 'train') AS has_train, bool_or(split = 'dev') AS has_dev, "
     "bool_or(split = 'test') AS has_test FROM asg GROUP BY name)",
     "pairs AS (SELECT * FROM (VALUES " + ", ".join(
@@ -251,7 +260,7 @@ FROM pairs p JOIN av tr ON tr.name = p.train LEFT JOIN av te ON te.name = p.test
 WHERE tr.has_train"""))
 def experiment_grid(spark, d):
     """(train, test) x model jobs, kept where the corpus has the data."""
-    kd = FX.config_table(spark, d).select("name", "split").distinct()
+    kd = _config_rows(spark, d).select("name", "split").distinct()
     return S.experiment_grid(spark, kd)
 
 
@@ -306,17 +315,16 @@ _meta_query("metadata_row", ["subject_number", "predict_identical_until_given_wo
 
 
 @query("unknown_word_rate", _w(
-    ["udocs AS (SELECT doc_id AS id, text FROM documents WHERE lang = 'en')"]
+    ["udocs AS (SELECT doc_id AS id, text, lang AS doc_lang FROM documents)"]
     + O.parse_ctes("u_", "udocs", "text", "'en_RC_PP'", max_words=None)[:3], """
-SELECT d.id AS doc_id, CAST(count(t.w) AS INTEGER) AS n_tokens,
+SELECT d.id AS doc_id, d.doc_lang AS lang, CAST(count(t.w) AS INTEGER) AS n_tokens,
        CAST(count(t.w) - count(t.tag) AS INTEGER) AS n_unknown
-FROM udocs d LEFT JOIN u_ptoks t ON t.id = d.id AND t.stage = 1 GROUP BY d.id"""))
+FROM udocs d LEFT JOIN u_ptoks t ON t.id = d.id AND t.stage = 1 GROUP BY d.id, d.doc_lang"""))
 def unknown_word_rate(spark, d):
-    """C1 on whole documents: words outside the grammar's lexicon."""
-    docs = FX.table(spark, d, "documents").filter(F.col("lang") == "en").select("doc_id", "text")
-    toks = A.tokens_for_parse(F.col("text"), max_words=None)
-    n, unk = A.unknown_word_rate(toks, "en_RC_PP")
-    return docs.select("doc_id", n.cast("int").alias("n_tokens"), unk.cast("int").alias("n_unknown"))
+    """C1 on whole documents of all languages: words outside the grammar's lexicon."""
+    docs = FX.table(spark, d, "documents").select("doc_id", "lang", "text")
+    n, unk = A.unknown_word_rate(A.tokens_for_parse(F.col("text")), "en_RC_PP")
+    return docs.select("doc_id", "lang", n.cast("int").alias("n_tokens"), unk.cast("int").alias("n_unknown"))
 
 
 # =====================================================================
@@ -334,7 +342,7 @@ SELECT p.id, a.ok AS accepted FROM preds p JOIN a_pacc a ON a.id = p.id AND a.st
 def accepts_rcpp(spark, d):
     """Does the (capped, lower-cased) prediction parse under the RC/PP grammar?"""
     s = _scored(spark, d)
-    p = A.with_parse(s.select("id", "pred"), A.tokens_for_parse(F.col("pred")), "en_RC_PP", "p_")
+    p = A.with_parse(s.select("id", "pred"), A.tokens_for_parse(F.col("pred"), L.MAX_PARSE_WORDS), "en_RC_PP", "p_")
     return p.select("id", F.col("p_ok").alias("accepted"))
 
 
@@ -345,7 +353,7 @@ def two_stage_accept(spark, d):
     """Which stage accepted the prediction (1 full, 2 first k+1 words + [EOS], NULL none)."""
     s = _scored(spark, d)
     w = s.select("id", F.col("pred").alias("_pred"), F.col("lang").alias("_lang"), F.col("verb_pos").alias("_k"))
-    return M.with_two_stage_parse(w).select("id", F.col("_stage").alias("stage"))
+    return M.with_two_stage_parse(w, L.MAX_PARSE_WORDS).select("id", F.col("_stage").alias("stage"))
 
 
 def _trunc_sql(x, k):
@@ -370,7 +378,7 @@ _AGREE_SQL_CTES = _PREDS + O.parse_ctes("a_", "preds", "pred", "'en_RC_PP'", k="
 @query("agreement_attraction", _w(_AGREE_SQL_CTES, "SELECT id, agreement_attraction FROM agree"))
 def agreement_attraction(spark, d):
     """F5 per prediction."""
-    return M.compute_metrics(_scored(spark, d), k="verb_pos", names=["agreement_attraction"])
+    return M.compute_metrics(_scored(spark, d), k="verb_pos", names=["agreement_attraction"], parse_words=L.MAX_PARSE_WORDS)
 
 
 def _first_word_sql(x):
@@ -406,7 +414,7 @@ FROM {src} GROUP BY {g}"""
 
 def _scored_metrics(spark, d) -> DataFrame:
     s = _scored(spark, d)
-    return M.compute_metrics(s, k="verb_pos", keep=[c for c in s.columns if c not in ("pred", "gold")])
+    return M.compute_metrics(s, k="verb_pos", keep=[c for c in s.columns if c not in ("pred", "gold")], parse_words=L.MAX_PARSE_WORDS)
 
 
 @query("agreement_summary", _w(_ALL_METRICS_SQL, _summary_sql("long")))
@@ -457,17 +465,11 @@ def closest_variant(spark, d):
 # =====================================================================
 # G — learning curves
 # =====================================================================
-GROUPING_VARS = ["subject_number", "main_verb", "final_intervener_number", "n_distractors",
-                 "distractor_structures", "final_distractor_structure", "condition"]
-
-
-def _long_metrics(spark, d) -> DataFrame:
-    m = _scored_metrics(spark, d)
-    names = sorted(M.METRICS)
-    u = m.select("id", "iteration", "tense", *GROUPING_VARS,
-                 F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names]))
-                 .alias("_m"))
-    return u.select("id", "iteration", "tense", *GROUPING_VARS, "_m.metric", "_m.value")
+METADATA_ORDER = ["subject_number", "predict_identical_until_given_word_number", "object_number", "main_verb",
+                  "predict_from_given_words_after_identical", "final_intervener_number", "n_distractors",
+                  "each_distractor_structure", "distractor_structures", "final_distractor_structure", "pos_sequence",
+                  "tense", "condition"]
+GROUPING_VARS = C.grouping_vars(METADATA_ORDER)
 
 
 @query("curve_overall", _w(_ALL_METRICS_SQL, """
@@ -475,9 +477,7 @@ SELECT iteration, tense, metric, CAST(count(*) FILTER (WHERE value) AS DOUBLE) /
 FROM long WHERE value IS NOT NULL GROUP BY iteration, tense, metric"""))
 def curve_overall(spark, d):
     """Mean of every metric per (checkpoint, tense), NULL results dropped."""
-    u = _long_metrics(spark, d).filter(F.col("value").isNotNull())
-    return u.groupBy("iteration", "tense", "metric").agg(
-        (F.count(F.when(F.col("value"), 1)) / F.count("*")).alias("mean"), F.count("*").alias("n"))
+    return C.curve(_scored_metrics(spark, d), sorted(M.METRICS))
 
 
 def _grouped_sql():
@@ -492,14 +492,8 @@ def _grouped_sql():
 _GROUPED_CTES = _ALL_METRICS_SQL + _grouped_sql()
 
 
-def _grouped_long(spark, d) -> DataFrame:
-    u = _long_metrics(spark, d).filter(F.col("value").isNotNull())
-    vs = F.explode(F.array(*[F.struct(F.lit(v).alias("var"),
-                                      F.coalesce(F.col(v).cast("string"), F.lit("None")).alias("val"))
-                             for v in GROUPING_VARS])).alias("_v")
-    u = u.select("iteration", "metric", "value", "tense", vs)
-    return u.select("iteration", "metric", "value", F.col("_v.var").alias("var"),
-                    F.concat(F.col("tense"), F.lit(" + "), F.col("_v.val")).alias("grp"))
+def _group_counts(spark, d) -> DataFrame:
+    return C.group_counts(_scored_metrics(spark, d), sorted(M.METRICS), GROUPING_VARS)
 
 
 @query("curve_by_group", _w(_GROUPED_CTES, """
@@ -507,8 +501,7 @@ SELECT iteration, metric, var, grp, CAST(count(*) FILTER (WHERE value) AS DOUBLE
 FROM glong WHERE value IS NOT NULL GROUP BY iteration, metric, var, grp"""))
 def curve_by_group(spark, d):
     """Per grouping variable, curves keyed 'tense + value' ('None' for NULL)."""
-    return _grouped_long(spark, d).groupBy("iteration", "metric", "var", "grp").agg(
-        (F.count(F.when(F.col("value"), 1)) / F.count("*")).alias("mean"), F.count("*").alias("n"))
+    return C.grouped_curve(_group_counts(spark, d))
 
 
 @query("legend_counts", _w(_GROUPED_CTES + [
@@ -518,26 +511,30 @@ SELECT metric, var, grp, CAST(arg_max(n, iteration) AS BIGINT) AS n_latest, max(
 FROM per_it GROUP BY metric, var, grp"""))
 def legend_counts(spark, d):
     """Group size at the latest checkpoint in which the group occurs."""
-    per = _grouped_long(spark, d).groupBy("iteration", "metric", "var", "grp").agg(F.count("*").alias("n"))
-    return per.groupBy("metric", "var", "grp").agg(F.max_by("n", "iteration").alias("n_latest"),
-                                                    F.max("iteration").alias("latest_iteration"))
-
-
-@query("all_null_report", _w(_ALL_METRICS_SQL + O.meta_ctes() + [
-    "glong2 AS (" + " UNION ALL ".join(
-        f"SELECT l.metric, l.value, {O.q(v)} AS var, m.{v} IS NOT NULL AS has_var FROM long l JOIN meta m USING (id)"
-        for v in GROUPING_VARS) + ")"], """
-SELECT metric, var, CAST(count(value) FILTER (WHERE has_var) AS BIGINT) AS n_non_null,
-       count(value) FILTER (WHERE has_var) = 0 AS all_null
-FROM glong2 GROUP BY metric, var"""))
+    return C.legend(C.grouped_curve(_group_counts(spark, d)))
+
+
+@query("all_null_report", _w(_GROUPED_CTES, """
+SELECT metric, var, CAST(count(value) AS BIGINT) AS n_non_null, count(value) = 0 AS all_null
+FROM glong GROUP BY metric, var"""))
 def all_null_report(spark, d):
-    """Metrics that are entirely NULL for a grouping variable (no curve drawn)."""
-    u = _long_metrics(spark, d)
-    vs = F.explode(F.array(*[F.struct(F.lit(v).alias("var"), F.col(v).isNotNull().alias("has_var"))
-                             for v in GROUPING_VARS])).alias("_v")
-    u = u.select("metric", "value", vs).select("metric", "value", "_v.var", "_v.has_var")
-    nn = F.count(F.when(F.col("has_var"), F.col("value")))
-    return u.groupBy("metric", "var").agg(nn.alias("n_non_null"), (nn == 0).alias("all_null"))
+    """Metrics that are entirely NULL for a grouping variable (no curve drawn);
+    rows of the group 'None' count like any other."""
+    return C.all_null(_group_counts(spark, d))
+
+
+@query("grouping_vars", """
+SELECT CAST(ordinal AS INTEGER) AS ordinal, name,
+       NOT (name LIKE '%pos_seq%' OR name LIKE '%history%' OR name LIKE '%predict%'
+            OR name IN ('tense', 'each_distractor_structure', 'object_number')) AS grouped,
+       (SELECT CAST(count(DISTINCT l_orderkey * 8 + l_linenumber) AS BIGINT) FROM lineitem) AS n_rows
+FROM (VALUES """ + ", ".join(f"({i}, '{c}')" for i, c in enumerate(METADATA_ORDER)) + """) t(ordinal, name)""")
+def grouping_vars(spark, d):
+    """Which metadata columns curves are grouped by, read off the metadata's schema."""
+    meta = FX.corpus(spark, d).select(*METADATA_ORDER)
+    chosen = C.grouping_vars(meta.columns)
+    cols = spark.createDataFrame([(i, c, c in chosen) for i, c in enumerate(meta.columns)], "ordinal int, name string, grouped boolean")
+    return cols.crossJoin(F.broadcast(meta.agg(F.count("*").alias("n_rows"))))
 
 
 @query("curve_events", """
@@ -558,34 +555,54 @@ SELECT page_id, url, TRY_CAST(nullif(regexp_extract(regexp_replace(regexp_replac
        AS sort_key FROM pages""")
 def natural_sort(spark, d):
     """Human sort key = trailing integer of the path (checkpoint-N style)."""
-    from ..operators.curves import natural_key
     p = FX.table(spark, d, "pages")
-    return p.select("page_id", "url", natural_key(F.regexp_replace("url", "[?#].*$", "")).alias("sort_key"))
+    return p.select("page_id", "url", C.natural_key(F.regexp_replace("url", "[?#].*$", "")).alias("sort_key"))
+
+
+_MODEL, _TEST_SET = "'google/t5-efficient-small'", "en_RC_PP-dist-pres"
+_RUN = {"train_dataset": "en_RC_PP-nodist-pres-and-past", "num_train_epochs": 30.0, "num_train_examples": 100000,
+        "learning_rate": 5e-05, "n_params": "60M"}
 
 
-_RUN = {"model_name": "'google/t5-efficient-small'", "train_dataset": "en_RC_PP-nodist-pres-and-past",
-        "test_dataset": "en_RC_PP-dist-pres", "learning_rate": 5e-05, "num_train_epochs": 30.0,
-        "n_training_examples": 100000, "n_params": "60M"}
+def _run_params(spark) -> DataFrame:
+    """The run-parameter record, written as JSON and read with its schema."""
+    import json
+    path = TB.scratch_path(spark, "train_results")
+    spark.createDataFrame([(json.dumps(_RUN),)], "value string").coalesce(1).write.text(path)
+    return IO.read_run_params(spark, path)
 
 
-@query("assemble_results", _w(_ALL_METRICS_SQL + O.meta_ctes() + [
-    "ntest AS (SELECT count(*) AS n FROM preds)"], f"""
+_RESULT_META = ["subject_number", "object_number", "main_verb", "n_distractors", "final_intervener_number",
+                "distractor_structures", "condition", "tense"]
+_RESULT_SCHEMA = ("iteration int, id bigint, subject_number string, object_number string, main_verb string, n_distractors int, "
+                  "final_intervener_number string, distractor_structures string, condition string, tense string, model_name string, "
+                  "train_dataset string, test_dataset string, learning_rate double, num_train_epochs double, n_training_examples bigint, "
+                  "n_test_examples bigint, n_params string, " + ", ".join(f"{m} boolean" for m in sorted(M.METRICS)))
+
+
+_RESULTS_CTES = _ALL_METRICS_SQL + O.meta_ctes() + ["ntest AS (SELECT count(*) AS n FROM preds)", f"""results AS (
 SELECT s.iteration, s.id, m.subject_number, m.object_number, m.main_verb, m.n_distractors,
        m.final_intervener_number, m.distractor_structures, m.condition, s.tense,
        'google/t5-efficient-small' AS model_name, {O.q(_RUN['train_dataset'])} AS train_dataset,
-       {O.q(_RUN['test_dataset'])} AS test_dataset, {_RUN['learning_rate']} AS learning_rate,
-       {_RUN['num_train_epochs']} AS num_train_epochs, CAST({_RUN['n_training_examples']} AS BIGINT) AS n_training_examples,
+       {O.q(_TEST_SET)} AS test_dataset, {_RUN['learning_rate']} AS learning_rate,
+       {_RUN['num_train_epochs']} AS num_train_epochs, CAST({_RUN['num_train_examples']} AS BIGINT) AS n_training_examples,
        CAST(t.n AS BIGINT) AS n_test_examples, {O.q(_RUN['n_params'])} AS n_params,
        s.agreement_attraction, s.exact_match, s.first_word_identical, s.ignorecase_exact_match,
        s.ignorecase_first_word_identical
-FROM scored s JOIN meta m USING (id), ntest t"""))
+FROM scored s JOIN meta m USING (id), ntest t)"""]
+
+
+def _results(spark, d) -> DataFrame:
+    scored = FX.preds_table(spark, d)
+    metrics = M.compute_metrics(scored, k="verb_pos", keep=("id", "iteration"), parse_words=L.MAX_PARSE_WORDS)
+    metadata = FX.corpus(spark, d).select("id", *_RESULT_META)
+    return C.assemble(metrics, metadata, sorted(M.METRICS), _run_params(spark), _MODEL, _TEST_SET)
+
+
+@query("assemble_results", _w(_RESULTS_CTES, "SELECT * FROM results"))
 def assemble_results(spark, d):
-    """Metrics joined with metadata, run constants added, metrics last."""
-    from ..operators.curves import assemble
-    m = _scored_metrics(spark, d)
-    meta_cols = ["subject_number", "object_number", "main_verb", "n_distractors", "final_intervener_number",
-                 "distractor_structures", "condition", "tense"]
-    return assemble(m, meta_cols, sorted(M.METRICS), _RUN)
+    """Metrics joined with the metadata table, run parameters joined, metrics last."""
+    return _results(spark, d)
 
 
 @query("incremental_missing", _w(_PREDS, """
@@ -595,11 +612,10 @@ WHERE NOT EXISTS (SELECT 1 FROM preds p WHERE p.id = k.id AND p.iteration = c.it
 GROUP BY c.iteration"""))
 def incremental_missing(spark, d):
     """(example, checkpoint) predictions still to compute = wanted anti-join done."""
-    from ..operators.curves import missing_predictions
-    c = FX.corpus(spark, d)
-    done = FX.corrupt(c).select("id", "iteration")
-    its = spark.createDataFrame([(FX.ITERATION_STEP * (1 + i),) for i in range(FX.N_CHECKPOINTS)], "iteration int")
-    return missing_predictions(c.select("id"), its, done).groupBy("iteration").agg(F.count("*").alias("n_missing"))
+    c = _corpus_base(spark, d).select("id")
+    done = c.select("id", (F.lit(FX.ITERATION_STEP) * (1 + F.col("id") % FX.N_CHECKPOINTS)).cast("int").alias("iteration"))
+    its = [FX.ITERATION_STEP * (1 + i) for i in range(FX.N_CHECKPOINTS)]
+    return C.missing_predictions(c, its, done).groupBy("iteration").agg(F.count("*").alias("n_missing"))
 
 
 # =====================================================================
@@ -721,21 +737,12 @@ def metric_summary_nulls_as_false(spark, d):
 @query("metric_long", _w(_CONV_LONG, "SELECT conv_id, turn, metric, value FROM clong"))
 def metric_long(spark, d):
     """F8: per-example results in long form (one row per example x metric)."""
-    s = _conv_scored(spark, d)
-    names = sorted(M.METRICS)
-    u = s.select("conv_id", "turn", F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value"))
-                                                        for n in names])).alias("_m"))
-    return u.select("conv_id", "turn", "_m.metric", "_m.value")
+    return M.unpivot_metrics(_conv_scored(spark, d), ["conv_id", "turn"], sorted(M.METRICS))
 
 
 # =====================================================================
 # H — model-input preparation
 # =====================================================================
-from ..operators import prep as H  # noqa: E402
-from ..operators import jobs as J  # noqa: E402
-from ..sources import io as IO  # noqa: E402
-
-
 def _tok_sql(x):
     return O.split_words(O.fmt(x))
 
@@ -762,9 +769,6 @@ def build_inputs(spark, d):
 
 
 def _encoded_inputs(spark, d):
-    # model inputs are persisted once (a reliable checkpoint under
-    # spark.checkpoint.dir, like the prepared dataset files) before
-    # vocabulary building and id assembly reuse them
     i = _inputs(spark, d).withColumn("toks", H.tokens(F.col("input")))
     v = H.vocabulary(i, "toks")
     return H.encode(i, "id", "toks", v), v
@@ -810,29 +814,82 @@ def truncate_ids(spark, d):
 PAD_LEN = 24
 
 
-@query("pad_mask", _w(_INPUTS, f"""
-SELECT id, ids || repeat(' 0', {PAD_LEN} - n_ids) AS input_ids,
-       trim(repeat('1 ', n_ids) || repeat('0 ', {PAD_LEN} - n_ids)) AS attention_mask
-FROM iids"""))
+def _padded_sql(max_len):
+    """ids cut to max_len (EOS last), with their length."""
+    return f"""pin AS (SELECT id, CASE WHEN n_ids <= {max_len} THEN ids
+         ELSE array_to_string(list_slice(string_split(ids, ' '), 1, {max_len - 1}), ' ') || ' 1' END AS ids, least(n_ids, {max_len}) AS n_ids FROM iids)"""
+
+
+@query("pad_mask", _w(_INPUTS + [_padded_sql(PAD_LEN)], f"""
+SELECT id, ids || repeat(' 0', CAST({PAD_LEN} - n_ids AS BIGINT)) AS input_ids,
+       trim(repeat('1 ', CAST(n_ids AS BIGINT)) || repeat('0 ', CAST({PAD_LEN} - n_ids AS BIGINT))) AS attention_mask
+FROM pin"""))
 def pad_mask(spark, d):
-    """H5: static padding to a fixed length with an attention mask."""
+    """H4/H5: truncation and static padding to a fixed length with an attention mask."""
     e, _ = _encoded_inputs(spark, d)
-    return e.select("id", F.array_join(H.pad(F.col("ids"), PAD_LEN), " ").alias("input_ids"),
-                    F.array_join(H.attention_mask(F.col("ids"), PAD_LEN), " ").alias("attention_mask"))
+    ids = H.truncate_ids(F.col("ids"), PAD_LEN)
+    return e.select("id", F.array_join(H.pad(ids, PAD_LEN), " ").alias("input_ids"),
+                    F.array_join(H.attention_mask(ids, PAD_LEN), " ").alias("attention_mask"))
+
+
+LABEL_LEN = 12
+_TARGETS = O.corpus_ctes() + [
+    f"itok AS (SELECT id, unnest(t) AS word, generate_subscripts(t, 1) AS pos FROM (SELECT id, {_tok_sql('tgt')} AS t FROM corpus))"] + _INPUTS[-2:]
+
+
+def _encoded_targets(spark, d) -> DataFrame:
+    t = _corpus_base(spark, d).select("id", H.tokens(F.col("tgt")).alias("toks"))
+    return H.encode(t, "id", "toks", H.vocabulary(t, "toks"))
+
+
+@query("encode_targets", _w(_TARGETS + [_padded_sql(H.MAX_TARGET_LENGTH)], "SELECT id, ids AS labels, CAST(n_ids AS INTEGER) AS n_labels FROM pin"))
+def encode_targets(spark, d):
+    """H4: target ids with their own length limit (128, EOS kept last)."""
+    ids = H.truncate_ids(F.col("ids"), H.MAX_TARGET_LENGTH)
+    return _encoded_targets(spark, d).select("id", F.array_join(ids, " ").alias("labels"), F.size(ids).alias("n_labels"))
+
+
+@query("label_pad", _w(_TARGETS + [_padded_sql(LABEL_LEN)], f"""
+SELECT id, ids || repeat(' {H.LABEL_PAD}', CAST({LABEL_LEN} - n_ids AS BIGINT)) AS labels FROM pin"""))
+def label_pad(spark, d):
+    """H5: labels padded with -100, which the loss leaves out."""
+    ids = H.truncate_ids(F.col("ids"), LABEL_LEN)
+    return _encoded_targets(spark, d).select("id", F.array_join(H.labels(ids, LABEL_LEN), " ").alias("labels"))
+
+
+@query("prepared_columns", _w(O.corpus_ctes() + O.meta_ctes(), """
+SELECT c.id, array_to_string(['id', 'src', 'tgt', 'tense'], ',') AS dropped_in_evaluation,
+       CASE WHEN c.tense = 'pres' THEN m.predict_identical_until_given_word_number ELSE 0 END AS predict_identical_until_given_word_number,
+       'input_ids,labels' AS padded, 'id,predict_identical_until_given_word_number' AS passed_through
+FROM corpus c JOIN meta m USING (id)"""))
+def prepared_columns(spark, d):
+    """Evaluation preparation keeps the constraint columns that have
+    values (here the prefix length, given for present rows only: 0 elsewhere; the
+    word list is NULL everywhere and goes), and tells what a collator pads."""
+    k = "predict_identical_until_given_word_number"
+    c = FX.corpus(spark, d).select("id", "src", "tgt", "tense", F.when(F.col("tense") == "pres", F.col(k)).alias(k),
+                                   F.lit(None).cast("array<string>").alias("predict_from_given_words_after_identical"))
+    ids = c.select("id", F.array(F.lit(H.EOS_ID)).alias("ids"))
+    dropped = H.prepared_columns(c.columns, training=False)
+    out = H.prepare(c, "id", ids, ids, training=False)
+    padded, passed = H.split_fields(out.schema)
+    return out.select("id", F.lit(",".join(dropped)).alias("dropped_in_evaluation"), k, F.lit(",".join(sorted(padded))).alias("padded"),
+                      F.lit(",".join(passed)).alias("passed_through"))
 
 
 BATCH = 16
 
 
 @query("batch_pad", _w(_INPUTS + [
-    f"b AS (SELECT id, n_ids, (row_number() OVER (ORDER BY id) - 1) // {BATCH} AS batch_id FROM iids)"], """
-SELECT id, CAST(batch_id AS BIGINT) AS batch_id, CAST(max(n_ids) OVER (PARTITION BY batch_id) AS INTEGER) AS batch_max_len
-FROM b"""))
+    f"b AS (SELECT id, ids, n_ids, (row_number() OVER (ORDER BY id) - 1) // {BATCH} AS batch_id FROM iids)",
+    "m AS (SELECT *, max(n_ids) OVER (PARTITION BY batch_id) AS longest FROM b)"], """
+SELECT id, CAST(batch_id AS BIGINT) AS batch_id, CAST(longest AS INTEGER) AS batch_max_len,
+       ids || repeat(' 0', CAST(longest - n_ids AS BIGINT)) AS input_ids FROM m"""))
 def batch_pad(spark, d):
     """H6: dynamic padding — each row padded to its batch's longest input."""
     e, _ = _encoded_inputs(spark, d)
-    b = H.with_batches(e, "id", BATCH)
-    return H.dynamic_pad(b, "ids").select("id", "batch_id", F.col("batch_max_len").cast("int"))
+    b = H.dynamic_pad(H.with_batches(e, "id", BATCH), "ids")
+    return b.select("id", "batch_id", F.col("batch_max_len").cast("int"), F.array_join("ids", " ").alias("input_ids"))
 
 
 @query("head_n", _w(O.corpus_ctes(), "SELECT id, src FROM corpus ORDER BY id LIMIT 1000"))
@@ -865,22 +922,43 @@ def constraint_check(spark, d):
 # =====================================================================
 # I — grouping / selection / flattening of text items
 # =====================================================================
-@query("header_groups", """
-SELECT md5(lang || '|' || split_part(text, chr(10), 1)) AS signature, CAST(count(*) AS BIGINT) AS n_items,
-       min(doc_id) AS first_key
-FROM documents GROUP BY 1""")
-def header_groups(spark, d):
-    """Documents grouped by identical header (language + first line)."""
+# a job script for every document: its options, then the whole text as the body
+_SCRIPT_SQL = r"""scripts AS (SELECT doc_id,
+  '#!/bin/sh' || chr(10) || '#SBATCH --job-name=job' || doc_id || chr(10) || '#SBATCH --output=log-' || doc_id || '.txt' || chr(10) ||
+  '#SBATCH --partition=' || coalesce(lang, 'none') || chr(10) || '#SBATCH --time=' || (n_chars // 4096) || ':00' || chr(10) || text AS script FROM documents),
+opts AS (SELECT doc_id, list_filter(string_split(script, chr(10)), lambda l: starts_with(l, '#SBATCH')
+         AND NOT contains(l, '--job-name') AND NOT contains(l, '--output')) AS o FROM scripts),
+sigs AS (SELECT doc_id, array_to_string(list_transform(o, lambda l:
+         regexp_replace(l, '^.*?--(.*?)=.*$', '\1') || '=' || regexp_replace(l, '^.*--.*=(.*)$', '\1')), chr(10)) AS signature FROM opts)"""
+
+
+def _scripts(spark, d) -> DataFrame:
     docs = FX.table(spark, d, "documents")
-    sig = F.md5(F.concat_ws("|", F.col("lang"), F.get(J.lines(F.col("text")), 0)))
-    return J.header_groups(docs, "doc_id", sig)
+    minutes = F.call_function("div", F.col("n_chars"), F.lit(4096)).cast("string")
+    script = F.concat(F.lit("#!/bin/sh\n#SBATCH --job-name=job"), F.col("doc_id").cast("string"), F.lit("\n#SBATCH --output=log-"), F.col("doc_id").cast("string"),
+                      F.lit(".txt\n#SBATCH --partition="), F.coalesce("lang", F.lit("none")), F.lit("\n#SBATCH --time="), minutes, F.lit(":00\n"), F.col("text"))
+    return docs.select("doc_id", script.alias("script"))
+
+
+@query("header_groups", _w([_SCRIPT_SQL], """
+SELECT signature, doc_id, CAST(count(*) OVER (PARTITION BY signature) AS BIGINT) AS n_items FROM sigs"""))
+def header_groups(spark, d):
+    """Job scripts grouped by the options of all their header lines, two keys ignored."""
+    return J.header_groups(_scripts(spark, d), "doc_id", J.header_signature(F.col("script"))).select("signature", "doc_id", "n_items")
 
 
-@query("select_files", """
-SELECT page_id, url FROM pages WHERE url LIKE '%/' AND regexp_matches(url, '^(?:https://)')""")
+_GLOBS = ["https://*/**/[a-m]*/*/", "https://www.*/**/", "http://*/*/*"]
+
+
+@query("select_files", f"""
+SELECT page_id, url, glob, CAST(row_number() OVER (ORDER BY url, page_id, glob) AS BIGINT) AS place FROM (
+  {' UNION ALL '.join(f"SELECT page_id, url, {k} AS glob FROM pages WHERE regexp_matches(url, {O.q(J.glob_pattern(g))})" for k, g in enumerate(_GLOBS))})
+WHERE url LIKE '%/' AND regexp_matches(url, '^(?:https://)')""")
 def select_files(spark, d):
-    """Items selected by suffix and a regex anchored at the start."""
-    return J.select_items(FX.table(spark, d, "pages"), "url", suffix="/", regex="https://").select("page_id", "url")
+    """Items selected by several globs, suffix and a regex anchored at the start, in path order."""
+    out = J.select_items(FX.table(spark, d, "pages").select("page_id", "url"), "url", globs=_GLOBS, suffix="/", regex="https://")
+    placed = TB.ranked(out, [F.col("url"), F.col("page_id"), F.col("glob")], "place", "files")
+    return placed.select("page_id", "url", "glob", (F.col("place") + 1).alias("place"))
 
 
 @query("flatten_lines", r"""
@@ -919,50 +997,86 @@ def ordinal_join(spark, d):
 _ORD = {f"{lang}-{dn}": i for i, (lang, dn) in enumerate((lg, dn) for lg, ds in L.DATASET_CONFIG.items() for dn in ds)}
 
 
-@query("ordered_union", _w(_CONFIG_CTES, "SELECT CASE name " + " ".join(
-    f"WHEN {O.q(n)} THEN {i}" for n, i in _ORD.items()) + " END AS file_ordinal, name, id, split FROM allc"))
+@query("ordered_union", _w(_PREFIX_CTES[:4], "SELECT CASE name " + " ".join(
+    f"WHEN {O.q(n)} THEN {i}" for n, i in _ORD.items()) + " END AS file_ordinal, name, id, split FROM asg"))
 def ordered_union(spark, d):
     """A10: configured datasets concatenated in configuration order."""
-    c = FX.config_table(spark, d)
-    frames = [c.filter(F.col("name") == n).select("name", "id", "split") for n in _ORD]
+    base = TB.scratch_path(spark, "datasets")
+    _config_rows(spark, d).select("name", "id", "split").write.partitionBy("name", "split").parquet(base)
+    frames = [spark.read.option("basePath", base).parquet(f"{base}/name={n}").select("name", "id", "split") for n in _ORD]
     return IO.ordered_union(frames).select("file_ordinal", "name", "id", "split")
 
 
-@query("config_rows", _w(_CONFIG_CTES, """
+@query("config_rows", _w(_PREFIX_CTES[:4], """
 SELECT c.lang, c.dataset, c.split, CAST(c.n AS BIGINT) AS n_configured, CAST(count(a.id) AS BIGINT) AS n_realized
 FROM cfg c LEFT JOIN asg a ON a.name = c.name AND a.split = c.split
 GROUP BY c.lang, c.dataset, c.split, c.n"""))
 def config_rows(spark, d):
-    """The dataset configuration as rows, with the split sizes realised over the keys."""
-    cfg = S.config_table(spark)
-    c = FX.config_table(spark, d).groupBy("name", "split").agg(F.count("*").alias("n_realized"))
-    j = F.broadcast(cfg).join(c, ["name", "split"], "left").fillna(0, ["n_realized"])
+    """The dataset configuration, written and read as JSON, with the rows realised for each split."""
+    path = TB.scratch_path(spark, "config")
+    IO.write_config(spark, path, L.DATASET_CONFIG, L.DATASET_PAIRS, L.DATASET_GRAMMAR)
+    config, _ = IO.read_config(spark, path)
+    cfg = S.config_table(spark, config)
+    c = S.config_keys(FX.keys(spark, d), config).groupBy("name", "split").agg(F.count("*").alias("n_realized"))
+    j = cfg.join(c, ["name", "split"], "left").fillna(0, ["n_realized"])
     return j.select("lang", "dataset", "split", F.col("n").alias("n_configured"), F.col("n_realized").cast("bigint"))
 
 
-def pairs_roundtrip(spark, d):
-    """Corpus written as gz JSON pairs + companion metadata, read
-    back, line-aligned by ordinal.  Rows-only check (file round trip)."""
-    import uuid
-    c = FX.corpus(spark, d).orderBy("id")
-    base = IO.scratch_path(spark, f"pairs-{uuid.uuid4().hex}")
-    IO.write_pairs(c.coalesce(1), f"{base}/test.json")
-    IO.write_metadata(c.coalesce(1), IO.metadata_path(f"{base}/test.json"))
-    pairs = IO.read_pairs(spark, f"{base}/test.json")
-    meta = IO.read_metadata(spark, IO.metadata_path(f"{base}/test.json"))
-    return IO.pairs_with_metadata(pairs, meta).select("example_id", "src", "prefix", "tgt", "main_verb", "n_distractors")
+_META_LIST = ["subject_number", "predict_identical_until_given_word_number", "object_number", "main_verb",
+              "predict_from_given_words_after_identical", "final_intervener_number", "n_distractors", "each_distractor_structure",
+              "distractor_structures", "final_distractor_structure", "pos_sequence", "condition"]
+
 
+def _joined_lists(df: DataFrame) -> DataFrame:
+    return df.withColumn("predict_from_given_words_after_identical", F.array_join("predict_from_given_words_after_identical", ","))
 
-QUERIES["pairs_roundtrip"] = pairs_roundtrip
+
+@query("pairs_roundtrip", _w(O.corpus_ctes() + O.meta_ctes(), f"""
+SELECT row_number() OVER (ORDER BY c.id) - 1 AS example_id, c.src, c.prefix, c.tgt, c.tense, {', '.join('m.' + c for c in _META_LIST)}
+FROM corpus c JOIN meta m USING (id)"""))
+def pairs_roundtrip(spark, d):
+    """Corpus written as gz JSON pairs + companion metadata in key
+    order, read back from all their files and lined up."""
+    base = TB.scratch_path(spark, "pairs")
+    IO.write_dataset(FX.corpus(spark, d), f"{base}/test.json", ["id"])
+    pairs = IO.read_pairs(spark, f"{base}/test.json").drop(*IO.CONSTRAINTS)
+    both = IO.pairs_with_metadata(pairs, IO.read_metadata(spark, IO.metadata_path(f"{base}/test.json")))
+    return _joined_lists(both.select("example_id", "src", "prefix", "tgt", "tense", *_META_LIST))
+
+
+_FILE_CTES = _ALL_METRICS_SQL + ["flong AS (SELECT s.tense, l.metric, l.value FROM scored s JOIN long l USING (id))"]
+
+
+@query("score_files", _w(_FILE_CTES, "SELECT 'json' AS gold_format, * FROM (" + _summary_sql("flong", by="tense") + ") UNION ALL SELECT 'tsv' AS gold_format, * FROM ("
+                         + _summary_sql("flong", by="tense") + ")"))
+def score_files(spark, d):
+    """prediction text, gold pairs (JSON, and the same as tab-separated text)
+    and metadata written as files, then scored from the files alone."""
+    base = TB.scratch_path(spark, "score")
+    c = FX.corrupt(FX.corpus(spark, d))
+    held = TB.stored(c.select("id", "src", "prefix", "tgt", "pred", *[x for x in METADATA_ORDER]).orderBy("id"), "score-rows")
+    held.select("pred").write.text(f"{base}/predictions.txt")
+    out = None
+    for kind in ("json", "tsv"):
+        gold = f"{base}/{kind}/en_RC_PP-test.{kind}"
+        if kind == "json":
+            IO.write_pairs(held, gold)
+        else:
+            held.select(F.concat_ws("\t", "src", "tgt")).write.text(gold)
+        IO.write_metadata(held, IO.metadata_path(gold) if kind == "json" else f"{base}/tsv/meta.json")
+        m = M.score_files(spark, f"{base}/predictions.txt", gold, use_constraint=True, parse_words=L.MAX_PARSE_WORDS,
+                          metadata_path=None if kind == "json" else f"{base}/tsv/meta.json")
+        m = M.summarize(m, sorted(M.METRICS), by=["tense"]).select(F.lit(kind).alias("gold_format"), "*")
+        out = m if out is None else out.union(m)
+    return out
 
 
 def _stream_scored(spark, d):
     """A11 as Structured Streaming: predictions per checkpoint written as files,
     scored incrementally by a file stream, results read back."""
-    import uuid
     from ..streaming.incremental import score_stream
-    base = IO.scratch_path(spark, f"stream-{uuid.uuid4().hex}")
-    s = _scored(spark, d)
+    base = TB.scratch_path(spark, "stream")
+    s = TB.stored(_scored(spark, d).select("id", "iteration", "pred", "gold", "tense", "verb_pos"), "stream-rows")
     s.select("id", "iteration", "pred").write.partitionBy("iteration").parquet(f"{base}/preds")
     gold = s.select("id", "gold", "tense", "verb_pos")
     score_stream(spark, f"{base}/preds", gold, f"{base}/out", f"{base}/_checkpoint")
@@ -978,29 +1092,25 @@ SELECT id, iteration, agreement_attraction, exact_match, first_word_identical, i
 # ---- E1/E3 on the parse-only grammars ------------------------------------
 def _stim_sql(lang):
     from ..functions.draws import draw_sql, pick_sql
-    if lang == "en_FVN_02":
-        nsg, dets, preps, adjs = L.FVN_NOUNS_SG, L.FVN_DETERMINERS, L.FVN_PREPS, L.FVN_ADJECTIVES
-    else:
-        nsg, dets, preps, adjs = L.VN_NOUNS_SG, [L.DETERMINER], L.VN_PREPS, L.VN_ADJECTIVES
-    npl = [L.pluralize(n) for n in nsg]
-    lst = lambda ws: "[" + ", ".join(O.q(w) for w in ws) + "]"
-    pw = lambda ws, slot: f"{lst(ws)}[{pick_sql(draw_sql('id', str(slot)), len(ws))} + 1]"
-    sg1 = f"({pick_sql(draw_sql('id', '3'), 2)} = 0)"
-    sg2 = f"({pick_sql(draw_sql('id', '5'), 2)} = 0)"
-    n1 = f"(CASE WHEN {sg1} THEN {pw(nsg, 4)} ELSE {pw(npl, 4)} END)"
-    n2 = f"(CASE WHEN {sg2} THEN {pw(nsg, 6)} ELSE {pw(npl, 6)} END)"
-    adj = f"(CASE WHEN id % 4 = 1 THEN NULL ELSE {pw(adjs, 8)} END)"
-    if lang == "en_FVN_02":
-        verb = f"(CASE WHEN id % 4 = 0 THEN 'seemed' WHEN {sg1} THEN 'seems' ELSE 'seem' END)"
-        parts = [pw(dets, 2), n1, pw(preps, 7), pw(dets, 9), n2, verb, adj]
-        end = "'.'"
-    else:
-        aux = f"(CASE WHEN id % 4 = 0 THEN NULL WHEN {sg1} THEN 'does' ELSE 'do' END)"
-        parts = [aux, pw(dets, 2), n1, pw(preps, 7), pw(dets, 9), n2, "'seem'", adj]
-        end = "'?'"
-    body = f"concat_ws(' ', {', '.join(parts)}) || {end}"
-    return [O.keys_cte(), f"""stim AS (SELECT id, CAST(id % 4 AS INTEGER) AS kind,
-        upper(substr({body}, 1, 1)) || substr({body}, 2) AS item FROM keys)""",
+    nsg, npl, dets, preps, adjs = S.STIMULUS_WORDS[lang]
+    d = lambda slot: draw_sql("id", str(slot), O.q(lang))                        # noqa: E731
+    lst = lambda ws: "[" + ", ".join(O.q(w) for w in ws) + "]"                   # noqa: E731
+    pw = lambda ws, slot: f"{lst(ws)}[{pick_sql(d(slot), len(ws))} + 1]"         # noqa: E731
+    sg1, sg2 = f"({pick_sql(d(3), 2)} = 0)", f"({pick_sql(d(5), 2)} = 0)"
+    parts = (f"SELECT id, id % 4 AS kind, {sg1} AS sg, {pw(dets, 2)} AS d1, CASE WHEN {sg1} THEN {pw(nsg, 4)} ELSE {pw(npl, 4)} END AS n1, "
+             f"{pw(preps, 7)} AS p, {pw(dets, 9)} AS d2, CASE WHEN {sg2} THEN {pw(nsg, 6)} ELSE {pw(npl, 6)} END AS n2, {pw(adjs, 8)} AS adj FROM keys")
+    s_, p_, broken = ("'seems'", "'seem'", "'seemed'") if lang == "en_FVN_02" else ("'does'", "'do'", "NULL")
+    right, wrong = f"CASE WHEN sg THEN {s_} ELSE {p_} END", f"CASE WHEN sg THEN {p_} ELSE {s_} END"
+
+    def say(verb, adj):
+        np = "d1, n1, p, d2, n2"
+        body = f"concat_ws(' ', {np}, {verb}, {adj}) || '.'" if lang == "en_FVN_02" else f"concat_ws(' ', {verb}, {np}, 'seem', {adj}) || '?'"
+        return f"upper(substr({body}, 1, 1)) || substr({body}, 2)"
+
+    adj = "CASE WHEN kind <> 1 THEN adj END"
+    return [O.keys_cte(), f"parts AS ({parts})",
+            f"""stim AS (SELECT id, CAST(kind AS INTEGER) AS kind, {say(f"CASE WHEN kind = 0 THEN {broken} ELSE {right} END", adj)} AS item,
+        {say(f"CASE WHEN kind = 0 THEN {broken} WHEN kind = 3 THEN {wrong} ELSE {right} END", adj)} AS pred, {say(right, 'adj')} AS gold FROM parts)""",
             f"stimf AS (SELECT id, {O.fmt('item')} AS text FROM stim)"]
 
 
@@ -1020,42 +1130,100 @@ _accepts_query("accepts_fvn", "en_FVN_02")
 _accepts_query("accepts_vn", "en_VN_98")
 
 
+def _agree_sql(src, lang_sql, k=None):
+    """F5 for the rows of ``src`` (id, lang, pred, gold[, k]), present tense."""
+    ctes = O.parse_ctes("a_", src, "pred", lang_sql, k=k) + [
+        "a_ch AS (SELECT id, min(stage) AS stage FROM a_pacc WHERE ok GROUP BY id)"] + O.subject_view_ctes("a_", "a_ch")
+    langs = ", ".join(O.q(x) for x in L.SUPPORTED_LANGS)
+    cut = (lambda x: f"CASE WHEN ch.stage = 1 THEN p.{x} ELSE {_trunc_sql('p.' + x, 'p.' + k)} END") if k else (lambda x: f"p.{x}")
+    return ctes + [f"""agree AS (SELECT p.id, CASE
+    WHEN coalesce(p.lang, '') NOT IN ({langs}) THEN NULL WHEN ch.stage IS NULL THEN NULL WHEN NOT d.has_dist THEN NULL
+    WHEN ({cut('pred')}) = ({cut('gold')}) THEN FALSE WHEN d.verb LIKE '%ed' THEN NULL
+    WHEN (d.subj = 'sg' AND d.verb LIKE '%s') OR (d.subj = 'pl' AND d.verb NOT LIKE '%s') THEN FALSE
+    ELSE TRUE END AS agreement_attraction
+  FROM {src} p LEFT JOIN a_ch ch USING (id) LEFT JOIN a_cd d USING (id))"""]
+
+
+def _stim_rows(spark, d, lang) -> DataFrame:
+    s = S.stimulus_items(FX.keys(spark, d), lang)
+    return s.select("id", T.format_sentence("pred").alias("pred"), T.format_sentence("gold").alias("gold"), F.lit(lang).alias("lang"))
+
+
+def _agreement_query(name, lang):
+    def q_(spark, d):
+        return M.compute_metrics(_stim_rows(spark, d, lang), names=["agreement_attraction"], parse_words=L.MAX_PARSE_WORDS)
+    q_.__doc__ = f"F5 on predictions for {lang}-style items."
+    QUERIES[name] = q_
+    SQL[name] = _w(_stim_sql(lang) + [f"rows AS (SELECT id, {O.fmt('pred')} AS pred, {O.fmt('gold')} AS gold, {O.q(lang)} AS lang FROM stim)"]
+                   + _agree_sql("rows", "lang"), "SELECT id, agreement_attraction FROM agree")
+
+
+_agreement_query("agreement_fvn", "en_FVN_02")
+_agreement_query("agreement_vn", "en_VN_98")
+
+_GEN_CTES = O.corpus_ctes(lang="en_RC_PP_gen", pres_p=1.0) + O.preds_ctes() + ["grows AS (SELECT *, 'en_RC_PP_gen' AS lang FROM preds)"]
+
+
+@query("agreement_rcpp_gen", _w(_GEN_CTES + _agree_sql("grows", "lang", k="verb_pos"), "SELECT id, agreement_attraction FROM agree"))
+def agreement_rcpp_gen(spark, d):
+    """F5 on predictions in the second vocabulary."""
+    rows = FX.scored_input(FX.corpus(spark, d, lang="en_RC_PP_gen", pres_p=1.0))
+    return M.compute_metrics(rows, k="verb_pos", names=["agreement_attraction"], parse_words=L.MAX_PARSE_WORDS)
+
+
+_MIXED_LANGS = ["en_FVN_02", "en_VN_98", "xx_unknown", None]
+
+
+@query("agreement_mixed", _w(_stim_sql("en_FVN_02") + [f"""rows AS (SELECT id, {O.fmt('pred')} AS pred, {O.fmt('gold')} AS gold,
+    CASE id // 4 % 4 WHEN 0 THEN 'en_FVN_02' WHEN 1 THEN 'en_VN_98' WHEN 2 THEN 'xx_unknown' END AS lang FROM stim)"""]
+    + _agree_sql("rows", "lang"), "SELECT id, lang, agreement_attraction FROM rows JOIN agree USING (id)"))
+def agreement_mixed(spark, d):
+    """The grammar is chosen row by row; unknown and missing languages give NULL."""
+    which = F.call_function("div", F.col("id"), F.lit(4)) % 4
+    lang = F.when(which == 0, "en_FVN_02").when(which == 1, "en_VN_98").when(which == 2, "xx_unknown")
+    rows = _stim_rows(spark, d, "en_FVN_02").withColumn("lang", lang)
+    return M.compute_metrics(rows, names=["agreement_attraction"], keep=("id", "lang"), parse_words=L.MAX_PARSE_WORDS)
+
+
 # ---- H12: allowed next tokens per position --------------------------------
-@query("allowed_by_position", _w(O.corpus_ctes() + [
+@query("allowed_by_position", _w(_PREDS + [
     f"ttok AS (SELECT unnest({_tok_sql('tgt')}) AS word FROM corpus)",
     """tvocab AS (SELECT word, CAST(row_number() OVER (ORDER BY count(*) DESC, word) + 2 AS BIGINT) AS token_id
                 FROM ttok GROUP BY word)""",
-    f"""alts AS (SELECT t.id, n.number, {O.inflect('t.word', 'n.number')} AS word
-               FROM tok t, (VALUES ('sg'), ('pl')) n(number) WHERE t.pos = t.verb_pos)""",
-    "aids AS (SELECT a.id, coalesce(v.token_id, 2) AS tid FROM alts a LEFT JOIN tvocab v USING (word))"], """
-SELECT id, 0 AS pos, array_to_string(list_sort(list_distinct(list(tid))), ' ') AS allowed,
-       FALSE AS opens_word, FALSE AS open_all FROM aids GROUP BY id
-UNION ALL
-SELECT id, 1 AS pos, '' AS allowed, TRUE AS opens_word, FALSE AS open_all FROM corpus"""))
+    f"""forms AS (SELECT id, verb_pos AS k, [[{O.inflect('word', "'sg'")}], [{O.inflect('word', "'pl'")}],
+             ['the', {O.inflect('word', "'pl'")}, 'near']] AS alts FROM tok WHERE pos = verb_pos)""",
+    "each AS (SELECT f.id, f.k, a.i AS alt, f.alts[a.i] AS ws, list_max(list_transform(f.alts, lambda x: len(x))) AS longest FROM forms f, range(1, 4) a(i))",
+    # an alternative's tokens, then EOS, then padding up to the longest; the last position is stripped
+    """cells AS (SELECT id, CAST(k + p.j AS INTEGER) AS pos, CASE WHEN p.j < len(ws) THEN ws[p.j + 1] END AS word,
+              p.j = len(ws) AS ended, p.j > len(ws) AS over FROM each, range(0, 3) p(j) WHERE p.j < longest)""",
+    f"""prefix AS (SELECT id, CAST(g.j AS INTEGER) AS pos, {O.split_words('gold')}[g.j + 1] AS word FROM preds, range(0, 20) g(j) WHERE g.j < verb_pos)""",
+    "allc AS (SELECT * FROM cells UNION ALL SELECT id, pos, word, FALSE, FALSE FROM prefix)"], """
+SELECT c.id, c.pos, coalesce(array_to_string(list_sort(list_distinct(list(CASE WHEN c.word IS NOT NULL THEN coalesce(v.token_id, 2) END)
+         FILTER (WHERE c.word IS NOT NULL))), ' '), '') AS allowed,
+       bool_or(c.ended) AS opens_word, bool_or(c.over) AS open_all
+FROM allc c LEFT JOIN tvocab v USING (word) GROUP BY c.id, c.pos"""))
 def allowed_by_position(spark, d):
-    """Per position, the token ids the decoder may emit after the forced
-    prefix — the tokenisations of the [sg, pl] verb forms, position by position
-    (EOS opens a new word, padding opens everything)."""
-    c = _corpus_base(spark, d)
+    """The ids allowed at every position: the forced prefix, then the
+    alternatives [sg form, pl form, 'the' + pl form + 'near'], whose lengths differ."""
+    c = FX.corpus(spark, d)
     v = H.vocabulary(c.select("id", H.tokens(F.col("tgt")).alias("toks")), "toks")
-    verb = F.get(F.col("src_words"), F.col("verb_pos"))
-    alts = c.select("id", F.array(S.inflect_col(verb, F.lit("sg")), S.inflect_col(verb, F.lit("pl"))).alias("alts"))
-    a = H.allowed_by_position(alts, "id", "alts", v)
-    return a.select("id", F.col("pos").cast("int").alias("pos"), F.array_join("allowed", " ").alias("allowed"),
-                    "opens_word", "open_all")
+    verb, k = F.get(F.col("src_words"), F.col("verb_pos")), F.col("verb_pos")
+    sg, pl = S.inflect_col(verb, F.lit("sg")), S.inflect_col(verb, F.lit("pl"))
+    rows = c.select("id", F.slice(T.words(T.format_sentence("tgt")), 1, k).alias("prefix_words"),
+                    F.array(F.array(sg), F.array(pl), F.array(F.lit("the"), pl, F.lit("near"))).alias("alts"))
+    a = H.allowed_by_position(rows, "id", "prefix_words", "alts", v)
+    return a.select("id", "pos", F.array_join("allowed", " ").alias("allowed"), "opens_word", "open_all")
 
 
+@query("results_csv_roundtrip", _w(_RESULTS_CTES, """
+SELECT row_number() OVER (ORDER BY iteration, id) - 1 AS place, * FROM results"""))
 def results_csv_roundtrip(spark, d):
-    """Per-checkpoint result files (CSV.gz, 'NaN' for NULL) written and
-    read back as one table, the iteration taken from each file's path.
-    Rows-only check (file round trip)."""
-    import uuid
-    base = IO.scratch_path(spark, f"results-{uuid.uuid4().hex}")
-    r = QUERIES["assemble_results"](spark, d)
-    r = r.withColumn("checkpoint", F.concat(F.lit("checkpoint-"), F.col("iteration").cast("string")))
+    """Per-checkpoint result files (CSV.gz, 'NaN' for NULL) written in
+    example order, read back typed as one table ordered by checkpoint."""
+    base = TB.scratch_path(spark, "results")
+    r = _results(spark, d).withColumn("checkpoint", F.concat(F.lit("checkpoint-"), F.col("iteration").cast("string")))
+    r = r.repartitionByRange("checkpoint", "id").sortWithinPartitions("checkpoint", "id")
     IO.write_results_csv(r.drop("iteration"), base, partition_by="checkpoint")
-    back = IO.read_checkpoint_results(spark, f"{base}/checkpoint=*/*.csv.gz")
-    return back.select("iteration", "id", "exact_match", "agreement_attraction")
-
-
-QUERIES["results_csv_roundtrip"] = results_csv_roundtrip
+    back = IO.read_checkpoint_results(spark, f"{base}/checkpoint=*/*.csv.gz", _RESULT_SCHEMA)
+    placed = TB.ranked(back, [F.col("iteration"), F.col("line")], "place", "results")
+    return placed.drop("line")

@@ -1,19 +1,23 @@
 """Sources and sinks (A1-A12): sentence-pair JSON lines with a companion
-metadata file, prediction text, TSV gold, result CSV, ordinal pairing,
-ordered unions, run parameters and incremental (skip-existing) work.
+metadata file, prediction text, TSV gold, result CSV, pairing by line,
+ordered unions, dataset config, run parameters.
 
-gz text is not splittable: read it once, assign line ordinals with
-``zipWithIndex`` (a distributed count of partition sizes, order preserved
-within each file), and persist as Parquet for everything downstream.
+Line numbers of multi-file tables come from the files themselves: a row's place
+is its file's place in path order and its place in the file, both taken in the
+JVM from the scan's metadata, so tables written side by side line up whatever
+sizes their files have and however Spark packs them into partitions.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window
 
-from ..session import checkpoint_dir
+from .tables import stored
 
 PAIR_SCHEMA = T.StructType([T.StructField("translation", T.StructType([
     T.StructField("src", T.StringType()), T.StructField("prefix", T.StringType()),
@@ -39,10 +43,19 @@ METADATA_SCHEMA = T.StructType([
 
 
 def with_ordinal(df: DataFrame, name: str = "example_id") -> DataFrame:
-    """A3: line ordinal (0-based) in input order, as a column."""
-    spark = df.sparkSession
-    schema = df.schema.add(name, T.LongType(), False)
-    return spark.createDataFrame(df.rdd.zipWithIndex().map(lambda r: tuple(r[0]) + (r[1],)), schema)
+    """A3: 0-based line number of a file-based table, over its files in path order.
+
+    A file block is read by one task in order, so ``monotonically_increasing_id``
+    counts its rows; a table of the blocks' first ids and sizes (one row per
+    block) turns that into a number over all files."""
+    block = ["_line_path", "_line_block"]
+    x = df.select("*", F.col("_metadata.file_path").alias(block[0]), F.col("_metadata.file_block_start").alias(block[1]))
+    x = x.withColumn("_line_id", F.monotonically_increasing_id())
+    blocks = x.groupBy(*block).agg(F.min("_line_id").alias("_line_first"), F.count(F.lit(1)).alias("_line_n"))
+    before = F.sum("_line_n").over(Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.withColumn("_line_shift", F.coalesce(before, F.lit(0)) - F.col("_line_first")).drop("_line_first", "_line_n")
+    out = x.join(F.broadcast(blocks), block).withColumn(name, F.col("_line_id") + F.col("_line_shift"))
+    return out.select(*df.columns, name)
 
 
 def write_pairs(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -57,10 +70,20 @@ def write_metadata(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.select(*cols).write.mode(mode).option("compression", "gzip").option("ignoreNullFields", "false").json(path)
 
 
+def write_dataset(df: DataFrame, path: str, order: list) -> None:
+    """Pairs and metadata written side by side in the given order.
+
+    The ordered rows are stored first; both outputs then are plain scans of the
+    same files, so part k of one holds the rows of part k of the other."""
+    held = stored(df.orderBy(*order), "dataset")
+    write_pairs(held, path)
+    write_metadata(held, metadata_path(path))
+
+
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     """A1: pairs flattened to (example_id, src, prefix, tgt[, constraint fields])."""
-    df = spark.read.schema(PAIR_SCHEMA).json(path).select("translation.*")
-    return with_ordinal(df)
+    df = with_ordinal(spark.read.schema(PAIR_SCHEMA).json(path))
+    return df.select("example_id", "translation.*")
 
 
 def metadata_path(pairs_path: str) -> str:
@@ -68,12 +91,24 @@ def metadata_path(pairs_path: str) -> str:
     return pairs_path.replace(".json", "_metadata.json")
 
 
+CONSTRAINTS = ["predict_identical_until_given_word_number", "predict_from_given_words_after_identical"]
+
+
 def read_metadata(spark: SparkSession, path: str, keep: list | None = None) -> DataFrame:
-    """A2: metadata rows with ordinals; optionally only the chosen keys."""
-    df = spark.read.schema(METADATA_SCHEMA).json(path)
-    if keep:
-        df = df.select(*keep)
-    return with_ordinal(df)
+    """A2: metadata rows with line numbers; optionally only the chosen keys."""
+    df = with_ordinal(spark.read.schema(METADATA_SCHEMA).json(path))
+    return df.select("example_id", *keep) if keep else df
+
+
+def read_validation(spark: SparkSession, path: str) -> DataFrame:
+    """A2/A3: pairs with the constraint fields of their metadata; the plain pairs
+    if no metadata row has any of them."""
+    pairs = read_pairs(spark, path).drop(*CONSTRAINTS)
+    meta = read_metadata(spark, metadata_path(path), CONSTRAINTS)
+    some = F.col(CONSTRAINTS[0]).isNotNull() | F.col(CONSTRAINTS[1]).isNotNull()
+    if not meta.where(some).head(1):
+        return pairs
+    return pairs_with_metadata(pairs, meta)
 
 
 def pairs_with_metadata(pairs: DataFrame, metadata: DataFrame) -> DataFrame:
@@ -86,7 +121,7 @@ def pairs_with_metadata(pairs: DataFrame, metadata: DataFrame) -> DataFrame:
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """A4: one prediction per line -> (example_id, pred)."""
-    return with_ordinal(spark.read.text(path).withColumnRenamed("value", "pred"))
+    return with_ordinal(spark.read.text(path)).withColumnRenamed("value", "pred")
 
 
 def gold_from_tsv(line: str = "value"):
@@ -95,16 +130,65 @@ def gold_from_tsv(line: str = "value"):
 
 
 def read_gold_tsv(spark: SparkSession, path: str) -> DataFrame:
-    return with_ordinal(spark.read.text(path).select(gold_from_tsv().alias("gold")))
+    return with_ordinal(spark.read.text(path)).select("example_id", gold_from_tsv().alias("gold"))
+
+
+def read_gold(spark: SparkSession, path: str) -> DataFrame:
+    """A1/A5: (example_id, gold) from a .json[.gz] pair file or a tab-separated one."""
+    if path.removesuffix(".gz").endswith(".json"):
+        return read_pairs(spark, path).select("example_id", F.col("tgt").alias("gold"))
+    return read_gold_tsv(spark, path)
+
+
+def input_format(path: str) -> str:
+    """H14: 'csv' or 'json' from a path's extension (.gz aside); anything else is an error."""
+    kind = path.removesuffix(".gz").rsplit(".", 1)[-1]
+    if kind not in ("csv", "json"):
+        raise ValueError(f"{path} should be a csv or a json file")
+    return kind
 
 
-def input_format(path_col) -> "F.Column":
-    """H14: 'csv' / 'json' (optionally .gz) from a path, NULL for anything else."""
+def input_format_col(path_col) -> "F.Column":
+    """H14 as a column: NULL for paths that ``input_format`` refuses."""
     c = F.col(path_col) if isinstance(path_col, str) else path_col
     ext = F.regexp_extract(c, r"\.(csv|json)(\.gz)?$", 1)
     return F.when(ext != "", ext)
 
 
+def read_input(spark: SparkSession, path: str) -> DataFrame:
+    """The training or validation file by its extension."""
+    if input_format(path) == "csv":
+        return with_ordinal(spark.read.option("header", True).csv(path))
+    return read_pairs(spark, path)
+
+
+def read_config(spark: SparkSession, path: str) -> tuple[dict, list]:
+    """Dataset configuration JSON -> ({lang: {dataset: (p, {split: n}, generator)}}, [(train, test)]).
+
+    The file is read by Spark (one bounded document); the generator's name is
+    the last part of its dotted path."""
+    text = spark.read.option("wholetext", True).text(path).first()[0]
+    raw = json.loads(text)
+    langs = {lang: {name: (float(p), {k: int(n) for k, n in splits.items()}, gen.rsplit(".", 1)[-1])
+                    for name, (p, splits, _, gen) in sets.items()} for lang, sets in raw["langs"].items()}
+    return langs, [tuple(x) for x in raw.get("pairs", [])]
+
+
+def write_config(spark: SparkSession, path: str, config: dict, pairs: list, grammars: dict) -> None:
+    """The inverse of ``read_config``."""
+    raw = {"langs": {lang: {name: [p, splits, grammars.get(lang, lang), gen] for name, (p, splits, gen) in sets.items()}
+                     for lang, sets in config.items()}, "pairs": [list(x) for x in pairs]}
+    spark.createDataFrame([(json.dumps(raw),)], "value string").coalesce(1).write.text(path)
+
+
+RUN_SCHEMA = "train_dataset string, num_train_epochs double, num_train_examples bigint, learning_rate double, n_params string"
+
+
+def read_run_params(spark: SparkSession, path: str) -> DataFrame:
+    """The run-parameter record(s), one JSON object per line."""
+    return spark.read.schema(RUN_SCHEMA).json(path)
+
+
 def write_results_csv(df: DataFrame, path: str, mode: str = "overwrite", partition_by: str | None = None) -> None:
     """Result rows as CSV.gz with 'NaN' for NULL; arrays as JSON text."""
     cols = [F.to_json(F.col(f.name)).alias(f.name) if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))
@@ -115,11 +199,19 @@ def write_results_csv(df: DataFrame, path: str, mode: str = "overwrite", partiti
     w.csv(path)
 
 
-def read_checkpoint_results(spark: SparkSession, glob_path: str) -> DataFrame:
-    """Every checkpoint's results, iteration taken from the path."""
-    df = spark.read.option("header", True).option("nullValue", "NaN").csv(glob_path)
+def read_checkpoint_results(spark: SparkSession, glob_path: str, schema) -> DataFrame:
+    """Every checkpoint's results as one table with the given types, the
+    iteration taken from the path, and ``place``: the order by iteration, within
+    it that of the files' lines."""
+    schema = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+    plain = T.StructType([f if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else T.StructField(f.name, T.StringType())
+                          for f in schema.fields if f.name != "iteration"])
+    df = spark.read.schema(plain).option("header", True).option("nullValue", "NaN").csv(glob_path)
     it = F.regexp_extract(F.col("_metadata.file_path"), r"checkpoint-([0-9]+)", 1).cast("int")
-    return df.withColumn("iteration", it)
+    df = with_ordinal(df.select("*", "_metadata", it.alias("iteration")), "line")
+    back = [F.from_json(f.name, f.dataType).alias(f.name) if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else F.col(f.name)
+            for f in schema.fields if f.name != "iteration"]
+    return df.select("iteration", "line", *back)
 
 
 def ordered_union(frames: list) -> DataFrame:
@@ -129,8 +221,3 @@ def ordered_union(frames: list) -> DataFrame:
         f = f.withColumn("file_ordinal", F.lit(i))
         out = f if out is None else out.unionByName(f, allowMissingColumns=True)
     return out
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A folder under the cluster's shared checkpoint directory."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}"

@@ -32,11 +32,21 @@ def test_inflection_table():
     assert L.inflect("eclipsed", "sg") == "eclipses" and L.inflect("eclipsed", "pl") == "eclipse"
 
 
-def test_pluralize():
-    assert [L.pluralize(w) for w in ["city", "speech", "switch", "stairway", "inn-keeper", "photo"]] == \
+def test_plural_lists():
+    for sg, pl in ((L.FVN_NOUNS_SG, L.FVN_NOUNS_PL), (L.VN_NOUNS_SG, L.VN_NOUNS_PL)):
+        assert len(sg) == len(pl) == len(set(pl)) and all(p.endswith("s") for p in pl)
+    both = dict(zip(L.FVN_NOUNS_SG, L.FVN_NOUNS_PL))
+    assert [both[w] for w in ["city", "speech", "switch", "stairway", "inn-keeper", "photo"]] == \
         ["cities", "speeches", "switches", "stairways", "inn-keepers", "photos"]
 
 
+def test_shape_bound_follows_the_word_cap():
+    import pytest
+    assert max(len(s.subj_mods + s.obj_mods) for s in L.build_shapes(11)) == 2 and len(L.build_shapes(5)) == 1
+    with pytest.raises(ValueError):
+        L.build_shapes(17)
+
+
 def test_quotas():
     assert len(L.BALANCED_QUOTAS) == 42
     assert sum(L.BALANCED_QUOTAS.values()) == 10_368

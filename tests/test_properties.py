@@ -37,11 +37,12 @@ def test_harmonized_present_rows_have_no_distractors(spark):
 def test_balanced_sample_respects_quotas_and_unique_preambles(spark):
     c = A.add_features(FX.synth_table(spark, SF_SMALL, pres_p=1.0), "template", "num_str", "src_words")
     cand = c.select("id", "condition", S.preamble(F.col("src_words"), F.col("verb_pos")).alias("preamble"))
-    q = S.quota_table(spark, scale=1 / 64)
-    out = S.balanced_sample(cand, q, 4)
+    quotas = S.scaled_quotas(1 / 64)
+    out = S.balanced_sample(cand, quotas)
     per = {r["condition"]: r["count"] for r in out.groupBy("condition").count().collect()}
-    quotas = {r["condition"]: r["quota"] for r in q.collect()}
-    assert per and all(per[k] <= quotas[k] for k in per)
+    there = {r["condition"]: r["n"] for r in cand.where("condition IS NOT NULL").groupBy("condition").agg(F.countDistinct("preamble").alias("n")).collect()}
+    assert per == {k: min(q, there[k]) for k, q in quotas.items() if k in there}      # full wherever the keys suffice
+    assert sum(per[k] == quotas[k] for k in per) >= 10
     assert out.select("preamble").distinct().count() == out.count()
     # sequential reference on the driver for this tiny fixture
     rows = sorted(cand.collect(), key=lambda r: r["id"])
@@ -51,6 +52,32 @@ def test_balanced_sample_respects_quotas_and_unique_preambles(spark):
         if cond is not None and counts.get(cond, 0) < quotas[cond] and r["preamble"] not in seen:
             acc.add(r["id"]); seen.add(r["preamble"]); counts[cond] = counts.get(cond, 0) + 1
     assert acc == {r["id"] for r in out.collect()}
+    flags = S.balanced_flags(cand, quotas)
+    assert acc == {r["id"] for r in flags.where("accepted").collect()} and flags.count() == len(rows)
+
+
+def test_configured_splits_are_exact_and_independent(spark):
+    keys = FX.keys(spark, SF_SMALL)
+    config = {"en_RC_PP": {"a": (1.0, {"train": 6000, "test": 900}, "pres_or_past"), "b": (1.0, {"train": 6000}, "pres_or_past")}}
+    rows = S.config_corpus(keys, config).select("name", "split", "id", "src").collect()
+    n = {}
+    for r in rows:
+        n.setdefault((r.name, r.split), []).append(r)
+    assert {k: len(v) for k, v in n.items()} == {("en_RC_PP-a", "train"): 6000, ("en_RC_PP-a", "test"): 900, ("en_RC_PP-b", "train"): 6000}
+    assert all(sorted(r.id for r in v) == list(range(len(v))) for v in n.values())
+    a, t, b = ({r.id: r.src for r in v} for v in (n["en_RC_PP-a", "train"], n["en_RC_PP-a", "test"], n["en_RC_PP-b", "train"]))
+    for x, y in ((a, t), (a, b)):
+        same = sum(x[i] == y[i] for i in y if i in x)
+        assert same < 0.02 * len(y)            # short sentences meet by chance
+    k = spark.createDataFrame([(i,) for i in range(3000)], "id long")
+    assert sum(r.p == "pres" for r in S.config_prefixes(k.select("id", F.col("id").alias("key"), F.lit("x").alias("salt"), F.lit(0.5).alias("pres_p"))).select(
+        F.col("prefix").alias("p")).collect()) in range(1380, 1620)
+
+
+def test_naive_harmonising_takes_an_s_away(spark):
+    r = S.synthesize(FX.keys(spark, SF_SMALL).limit(0).union(spark.range(300).select("id")), pres_p=1.0, harmonize=True, naive=True)
+    words = {w for x in r.select("src_words", "verb_pos").collect() for w in x.src_words[:x.verb_pos]}
+    assert words <= {w for w in L.RC_PP_NOUNS_SG + L.RC_PP_NOUNS_PL + L.RC_PP_VERBS_PAST + L.RC_PP_PREPS + ["the", "that"]}
 
 
 def test_exact_implies_ignorecase(spark):
