@@ -9,9 +9,11 @@ The Jaccard distance d = 1 - J is a metric; documents link at d <= 0.2.
    to partners reaches over the first |x| - ceil(0.8 |x|) + k of them: partners
    then share at least min(k) pivots.  Documents that share fewer pivots with
    others than a partner must (``least_shared``) leave; no text moves for that.
-3. The survivors' pivots give regions.  A pivot with more than ``CROWDED`` survivors
-   only joins regions if one of its documents has too few other pivots to be
-   found by them (``crowded``: more than k - 1 of its pivots are crowded).
+3. The survivors' pivots give regions: documents that share enough pivots, of at
+   most ``CROWDED`` survivors each, and fit in size are of one region.  A pivot
+   with more survivors only counts if one of its documents has too few other
+   pivots to be found by them (more than k - 1 of its pivots are crowded), and
+   only for documents that fit such a document's size.
 4. Regions are joined exactly, each in a task (``join_region``): shingles that
    only one document has rule documents out; then pivot documents take balls
    of radius 0.2, whose members are linked; a document outside a ball meets those
@@ -130,14 +132,28 @@ def survivors(docs: DataFrame) -> DataFrame:
 
 
 def regions(kept: DataFrame) -> DataFrame:
-    """(node, region) of the survivors that share a region."""
-    each = kept.select("node", "n", F.explode("pivots").alias("pivot"))
+    """(node, region) of the survivors that may link: components of these edges.
+
+    Pairs that meet at pivots of few survivors, are of fitting sizes, and share as
+    many of them as a linked pair must: min(k), less the crowded pivots that they
+    may share besides.  At a crowded pivot, all documents that fit the size of a
+    crowded document are connected to one of them."""
+    each = kept.select("node", F.col("n").cast("long").alias("n"), F.explode("pivots").alias("pivot"))
     by = Window.partitionBy("pivot")
-    each = each.withColumns({"df": F.count(F.lit(1)).over(by), "low": F.min("node").over(by)}).where("df > 1")
-    busy = F.sum((F.col("df") > CROWDED).cast("int")).over(Window.partitionBy("node"))
-    each = each.withColumn("crowded", busy > F.floor(F.col("n") / 20))
-    each = each.withColumn("open", (F.col("df") <= CROWDED) | F.max("crowded").over(by))
-    edges = each.where("open").select(F.col("node").alias("u"), F.col("low").alias("v")).distinct()
+    each = each.withColumn("df", F.count(F.lit(1)).over(by)).where("df > 1")
+    each = each.withColumn("busy", F.sum((F.col("df") > CROWDED).cast("int")).over(Window.partitionBy("node")))
+    each = stored(each, "jaccard-pivots")
+    few = each.where(F.col("df") <= CROWDED)
+    a, b = (few.select("pivot", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "busy")]) for s in "ab")
+    fit = (F.col("node_a") > F.col("node_b")) & (5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b"))
+    met = a.join(b, "pivot").where(fit).groupBy("node_a", "node_b", "n_a", "n_b", "busy_a", "busy_b").agg(F.count(F.lit(1)).alias("c"))
+    must = F.least(F.floor(F.col("n_a") / 20), F.floor(F.col("n_b") / 20)) + 1 - F.least("busy_a", "busy_b")
+    near = met.where(F.col("c") >= F.greatest(F.lit(1), must)).select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
+    crowded = F.when(F.col("busy") > F.floor(F.col("n") / 20), F.col("n"))
+    many = each.where(F.col("df") > CROWDED).withColumns({"least": F.min(crowded).over(by), "most": F.max(crowded).over(by)})
+    many = many.where((5 * F.col("n") >= 4 * F.col("least")) & (4 * F.col("n") <= 5 * F.col("most")))
+    many = many.select("node", F.min("node").over(by).alias("low"))
+    edges = near.union(many.select(F.col("node").alias("u"), F.col("low").alias("v")).distinct())
     found = components(edges, "jaccard-regions").select(F.col("u").alias("node"), F.col("root").alias("region"))
     return found.union(found.select(F.col("region").alias("node"), "region").distinct())
 
