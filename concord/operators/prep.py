@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import format_sentence, truncate_words, words
 from ..sources.io import CONSTRAINTS
-from ..sources.tables import ranked
+from ..sources.tables import ranked, stored
 
 PAD_ID, EOS_ID, UNK_ID = 0, 1, 2
 FIRST_WORD_ID = 3
@@ -40,8 +40,12 @@ def vocabulary(df: DataFrame, tokens_col: str) -> DataFrame:
     special ids.  Counting is a partially aggregated shuffle; the ranking numbers
     range partitions and shifts them (``ranked``), and is stored once, since
     every encode reads it."""
-    counts = df.select(F.explode(tokens_col).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    placed = ranked(counts, [F.desc("n"), F.asc("word")], "place", "vocabulary")
+    # explode_outer: a plain explode adds a filter on the tokens, which is pushed
+    # below and repeats whatever they are computed from
+    each = df.select(F.explode_outer(tokens_col).alias("word")).where(F.col("word").isNotNull())
+    counts = each.groupBy("word").agg(F.count("*").alias("n"))
+    # ranking samples its input for range bounds first: the counts are written, not counted twice
+    placed = ranked(stored(counts, "word-counts"), [F.desc("n"), F.asc("word")], "place", "vocabulary")
     return placed.select("word", "n", (F.col("place") + FIRST_WORD_ID).cast("int").alias("token_id"))
 
 
@@ -128,7 +132,7 @@ def allowed_by_position(df: DataFrame, key: str, prefix_col: str, alts_col: str,
         return F.concat(said, ends)
 
     items = F.concat(forced, F.flatten(F.transform(alts_col, one)))
-    each = df.select(key, F.explode(items).alias("_i")).select(key, "_i.*")
+    each = df.select(key, F.explode_outer(items).alias("_i")).select(key, "_i.*").where(F.col("pos").isNotNull())
     each = each.join(vocab.select("word", "token_id"), "word", "left")
     token = F.when(F.col("mark") == "token", F.coalesce("token_id", F.lit(UNK_ID)))
     return each.groupBy(key, "pos").agg(F.array_sort(F.collect_set(token)).alias("allowed"),

@@ -66,13 +66,14 @@ def flip_number(n: Column) -> Column:
 # ---------------------------------------------------------------- keys
 def lineitem_keys(lineitem: DataFrame) -> DataFrame:
     """Sentence keys from line items: (orderkey*8 + linenumber) is not unique
-    in the input, so it is de-duplicated: partial aggregates first, then one
-    exchange of the distinct keys, whose partitions the adaptive planner sizes.
-
-    Keys are tiny but each expands into a full sentence pair, so a rebalance
-    with the session's advisory partition size would be too coarse; generation
-    follows the partitions of the exchange."""
-    return lineitem.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("bigint").alias("id")).distinct()
+    in the input, so it is de-duplicated, which reduces map-side first.
+
+    Every 8-byte key expands into a full sentence pair, so partitions sized by
+    the keys' bytes would be far too coarse for what follows: the distinct keys
+    (and only they) are dealt once more over ``spark.sql.shuffle.partitions``."""
+    n = int(lineitem.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = lineitem.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("bigint").alias("id")).distinct()
+    return keys.repartition(n, "id")
 
 
 def ranked_keys(keys: DataFrame) -> DataFrame:

@@ -100,7 +100,7 @@ FROM tok, (VALUES ('sg'), ('pl')) n(number) WHERE tag = 'V'
 GROUP BY word, n.number"""))
 def inflection_table(spark, d):
     """Present forms of every verb used in the corpus, per number."""
-    toks = _corpus_base(spark, d).select(F.explode(F.arrays_zip("tags", "src_words")).alias("t"))
+    toks = _corpus_base(spark, d).select(F.explode_outer(F.arrays_zip("tags", "src_words")).alias("t"))
     v = toks.filter(F.col("t.tags") == "V").select(F.col("t.src_words").alias("verb"))
     v = v.crossJoin(F.broadcast(spark.createDataFrame([("sg",), ("pl",)], "number string")))
     return v.groupBy("verb", "number").agg(F.count("*").alias("n_uses")).select(
@@ -135,13 +135,12 @@ def _config_sql_ctes():
                 cfg_rows.append(f"({O.q(lang)}, {O.q(dname)}, {O.q(f'{lang}-{dname}')}, "
                                 f"{O.q(L.DATASET_GRAMMAR[lang])}, {p}, {O.q(gen)}, {O.q(split)}, {n}, {lo})")
                 lo += n
-    most = max(n for ds in L.DATASET_CONFIG.values() for _, splits, _ in ds.values() for n in splits.values())
     cfg = ("cfg AS (SELECT * FROM (VALUES " + ", ".join(cfg_rows) +
            ") t(lang, dataset, name, grammar, pres_p, generator, split, n, lo))")
     ranked = "kk AS (SELECT id AS key, row_number() OVER (ORDER BY id) - 1 AS place, count(*) OVER () AS total FROM keys)"
-    asg = (f"asg AS (SELECT c.name, c.lang, c.dataset, c.split, r.i AS id, c.lo + r.i AS uid, kk.key, "
-           f"c.name || '/' || c.split || '/' || (r.i // kk.total) AS salt FROM cfg c JOIN range(0, {most}) r(i) ON r.i < c.n "
-           f"JOIN kk ON kk.place = r.i % (SELECT count(*) FROM keys))")
+    asg = ("asg AS (SELECT c.name, c.lang, c.dataset, c.split, c.i AS id, c.lo + c.i AS uid, kk.key, "
+           "c.name || '/' || c.split || '/' || (c.i // kk.total) AS salt FROM (SELECT *, unnest(range(0, n)) AS i FROM cfg) c "
+           "JOIN kk ON kk.place = c.i % (SELECT count(*) FROM keys))")
     ctes = [O.keys_cte(), cfg, ranked, asg]
     unions = []
     for lang, ds in L.DATASET_CONFIG.items():
@@ -951,14 +950,15 @@ _GLOBS = ["https://*/**/[a-m]*/*/", "https://www.*/**/", "http://*/*/*"]
 
 
 @query("select_files", f"""
-SELECT page_id, url, glob, CAST(row_number() OVER (ORDER BY url, page_id, glob) AS BIGINT) AS place FROM (
-  {' UNION ALL '.join(f"SELECT page_id, url, {k} AS glob FROM pages WHERE regexp_matches(url, {O.q(J.glob_pattern(g))})" for k, g in enumerate(_GLOBS))})
+SELECT page_id, url, glob_no, CAST(row_number() OVER (ORDER BY url, page_id, glob_no) AS BIGINT) AS place FROM (
+  {' UNION ALL '.join(f"SELECT page_id, url, {k} AS glob_no FROM pages WHERE regexp_matches(url, {O.q(J.glob_pattern(g))})" for k, g in enumerate(_GLOBS))})
 WHERE url LIKE '%/' AND regexp_matches(url, '^(?:https://)')""")
 def select_files(spark, d):
     """Items selected by several globs, suffix and a regex anchored at the start, in path order."""
     out = J.select_items(FX.table(spark, d, "pages").select("page_id", "url"), "url", globs=_GLOBS, suffix="/", regex="https://")
-    placed = TB.ranked(out, [F.col("url"), F.col("page_id"), F.col("glob")], "place", "files")
-    return placed.select("page_id", "url", "glob", (F.col("place") + 1).alias("place"))
+    out = out.withColumnRenamed("glob", "glob_no")
+    placed = TB.ranked(out, [F.col("url"), F.col("page_id"), F.col("glob_no")], "place", "files")
+    return placed.select("page_id", "url", "glob_no", (F.col("place") + 1).alias("place"))
 
 
 @query("flatten_lines", r"""
@@ -1205,7 +1205,7 @@ FROM allc c LEFT JOIN tvocab v USING (word) GROUP BY c.id, c.pos"""))
 def allowed_by_position(spark, d):
     """The ids allowed at every position: the forced prefix, then the
     alternatives [sg form, pl form, 'the' + pl form + 'near'], whose lengths differ."""
-    c = FX.corpus(spark, d)
+    c = _corpus_base(spark, d)
     v = H.vocabulary(c.select("id", H.tokens(F.col("tgt")).alias("toks")), "toks")
     verb, k = F.get(F.col("src_words"), F.col("verb_pos")), F.col("verb_pos")
     sg, pl = S.inflect_col(verb, F.lit("sg")), S.inflect_col(verb, F.lit("pl"))
