@@ -36,7 +36,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -45,6 +45,7 @@ from .components import components
 
 SHINGLE = 5
 CROWDED = 16
+SHORT, MIDDLE = 100, 400           # shingles: documents with all, with two fifths of their shingles as pivots
 REGION_SHINGLES = 8_000_000        # in a task: 64 MB of hashes
 SPLIT = 16                         # pivot documents of a region that is split
 ROUNDS = 4                         # splits of splits
@@ -81,13 +82,23 @@ def need(n):
 
 
 def extra(n):
-    """k: pivots that partners of documents of n shingles share."""
-    return 1 + n // 20
+    """k: pivots that partners of documents of n shingles share.  Short documents
+    afford more pivots, up to all their shingles."""
+    return np.where(n <= SHORT, need(n), np.where(n <= MIDDLE, 1 + n // 5, 1 + 3 * n // 50))
 
 
-def least_shared(n):
-    """Pivots that a document shares with any partner, which may be smaller."""
-    return extra(need(n))
+def extra_col(n: Column) -> Column:
+    return F.when(n <= SHORT, F.floor((4 * n + 4) / 5)).when(n <= MIDDLE, 1 + F.floor(n / 5)).otherwise(1 + F.floor(3 * n / 50))
+
+
+def least_shared(n: Column) -> Column:
+    """Pivots that a document shares with any partner: the least k of the sizes
+    that a partner may have, which rises but where a class of sizes begins."""
+    low, high = F.floor((4 * n + 4) / 5), F.floor(5 * n / 4)
+    out = F.least(extra_col(n), extra_col(low))
+    for begin in (SHORT + 1, MIDDLE + 1):
+        out = F.when((low < begin) & (high >= begin), F.least(out, extra_col(F.lit(begin)))).otherwise(out)
+    return out
 
 
 def nodes(docs: DataFrame) -> DataFrame:
@@ -128,7 +139,7 @@ def survivors(docs: DataFrame) -> DataFrame:
     own = Window.partitionBy("pivot")
     shared = pivots(docs).withColumns({"lo": F.min("node").over(own), "hi": F.max("node").over(own)}).where("lo <> hi")
     return shared.groupBy("node").agg(F.first("n").alias("n"), F.collect_set("pivot").alias("pivots")).where(
-        F.size("pivots") >= 1 + F.floor(F.floor((4 * F.col("n") + 4) / 5) / 20))
+        F.size("pivots") >= least_shared(F.col("n")))
 
 
 def regions(kept: DataFrame) -> DataFrame:
@@ -147,9 +158,9 @@ def regions(kept: DataFrame) -> DataFrame:
     a, b = (few.select("pivot", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "busy")]) for s in "ab")
     fit = (F.col("node_a") > F.col("node_b")) & (5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b"))
     met = a.join(b, "pivot").where(fit).groupBy("node_a", "node_b", "n_a", "n_b", "busy_a", "busy_b").agg(F.count(F.lit(1)).alias("c"))
-    must = F.least(F.floor(F.col("n_a") / 20), F.floor(F.col("n_b") / 20)) + 1 - F.least("busy_a", "busy_b")
+    must = F.least(extra_col(F.col("n_a")), extra_col(F.col("n_b"))) - F.least("busy_a", "busy_b")
     near = met.where(F.col("c") >= F.greatest(F.lit(1), must)).select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
-    crowded = F.when(F.col("busy") > F.floor(F.col("n") / 20), F.col("n"))
+    crowded = F.when(F.col("busy") >= extra_col(F.col("n")), F.col("n"))
     many = each.where(F.col("df") > CROWDED).withColumns({"least": F.min(crowded).over(by), "most": F.max(crowded).over(by)})
     many = many.where((5 * F.col("n") >= 4 * F.col("least")) & (4 * F.col("n") <= 5 * F.col("most")))
     many = many.select("node", F.min("node").over(by).alias("low"))
