@@ -6,10 +6,11 @@ notices, adverts, forms, scripts, reader comments, found by tag, role, class or
 id) leave a gap of empty lines.  Over the lines' text lengths, link text not
 counted, sums over sliding windows of ``WINDOW`` lines make up the distribution:
 text surges where a window's sum passes ``SURGE`` and dives where a window is
-empty again.  The lines between a surge and its dive are kept.  Inside an
-``article`` or ``main`` element any text is a surge, so short articles are
-found too; without such an element and without a surge, the densest stretch of
-lines is taken.
+empty again.  The lines between a surge and its dive are kept; once text has
+surged, gaps do not end it.  Inside an ``article`` or ``main`` element any text is
+a surge, so short articles are found too; without such an element and without a
+surge, the stretch around the densest window is taken, up to the dives on both
+sides.  Short copyright notices that close the page are no article text.
 
 Each page is a row of its own: one narrow Arrow map, nothing is shuffled.
 
@@ -155,6 +156,36 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
     return out
 
 
+def closing(found: list[tuple[str, int, bool]]) -> int:
+    """How many lines at the end are notices, links and gaps, from the first notice on."""
+    out = 0
+    for k, (text, size, _) in enumerate(reversed(found), 1):
+        if len(text) <= SURGE and NOTICE.match(text):
+            out = k
+        elif size:
+            break
+    return out
+
+
+def window_sums(found: list[tuple[str, int, bool]]) -> np.ndarray:
+    """For each line, the characters of it and the lines after it in a window."""
+    size = np.array([n for _, n, _ in found] + [0] * (WINDOW - 1), int)
+    return np.convolve(size, np.ones(WINDOW, int))[WINDOW - 1:len(found) + WINDOW - 1]
+
+
+def reach(found: list[tuple[str, int, bool]], at: int, step: int) -> int:
+    """The last line with text before a window of lines without, from ``at`` on; gaps do not count."""
+    last, k, empty = at, at + step, 0
+    while 0 <= k < len(found) and empty < WINDOW:
+        text, size, _ = found[k]
+        if size:
+            last, empty = k, 0
+        elif text:
+            empty += 1
+        k += step
+    return last
+
+
 def main_text(page: str | None) -> str:
     """The article's lines, joined by empty lines."""
     if not page:
@@ -164,25 +195,24 @@ def main_text(page: str | None) -> str:
         found = [(t, len(t), region) for t, _, region in found if region or not t]
         surge = 0
     else:
-        found = [x for x in found if not (x[0] and NOTICE.match(x[0]))]
+        found = found[:len(found) - closing(found)]
         surge = SURGE
-    if not found:
-        return ""
-    size = np.array([n for _, n, _ in found] + [0] * (WINDOW - 1))
-    sums = np.convolve(size, np.ones(WINDOW, int))[WINDOW - 1:len(found) + WINDOW - 1]     # of a line and those after it
+    sums = window_sums(found)
     kept, i = [], 0
     while i < len(found):
-        if sums[i] <= surge or not size[i]:
+        if sums[i] <= surge or not found[i][1]:
             i += 1
             continue
-        dive = i                                   # up to the first empty window
-        while dive < len(found) and sums[dive]:
-            dive += 1
-        kept += range(i, dive)
-        i = dive
-    if not kept and sums.any():
+        last = reach(found, i, 1)
+        kept += range(i, last + 1)
+        i = last + 1
+    if not kept and any(sums):
+        found = [x for x in found if x[0]]
+        sums = window_sums(found)
         top = int(sums.argmax())
-        kept = list(range(top, min(top + WINDOW, len(found))))
+        while not found[top][1]:
+            top += 1
+        kept = range(reach(found, top, -1), reach(found, top, 1) + 1)
     return "\n\n".join(found[k][0] for k in kept if found[k][0])
 
 

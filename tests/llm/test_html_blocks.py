@@ -30,6 +30,18 @@ def test_surge_and_dive_without_article_element():
     assert main_text("<p>only this</p>") == "only this"
 
 
+def test_without_article_element_nothing_inside_the_text_is_lost():
+    for junk in ("<div class=ad>x</div>", "<aside>side</aside>", "<form><p>mail</p></form>", "<div><div class=ad>x</div></div>"):
+        assert main_text(f"<div><p>{LONG}</p>{junk}<p>End.</p></div>") == f"{LONG}\n\nEnd.", junk
+        assert main_text(f"<body><section><p>{LONG}</p></section>{junk}<section><p>End.</p></section></body>") == f"{LONG}\n\nEnd.", junk
+    short = [f"Line {k} of twenty ch." for k in range(6)]
+    links = "".join(f"<li><a href='/{k}'>some link text number {k}</a></li>" for k in range(5))
+    for junk in ("", "<div class=ad>x</div>"):
+        assert main_text(f"<ul>{links}</ul><div>{''.join(f'<p>{x}</p>' for x in short[:3])}{junk}{''.join(f'<p>{x}</p>' for x in short[3:])}</div><ul>{links}</ul>") == "\n\n".join(short)
+    law = "Copyright law protects the author of a work for many years after the work was written."
+    assert main_text(f"<div><p>{LONG}</p><p>{law}</p><p>Copyright ends.</p><p>{LONG}</p></div><div>Copyright 2020 them</div>") == f"{LONG}\n\n{law}\n\nCopyright ends.\n\n{LONG}"
+
+
 def test_odd_pages():
     assert [main_text(x) for x in (None, "", "   ", "<", "<html></html>", "<nav>a</nav>")] == ["", "", "", "<", "", ""]
     assert main_text("a < b and c > d") == "a < b and c > d"
