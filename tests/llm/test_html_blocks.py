@@ -42,6 +42,19 @@ def test_without_article_element_nothing_inside_the_text_is_lost():
     assert main_text(f"<div><p>{LONG}</p><p>{law}</p><p>Copyright ends.</p><p>{LONG}</p></div><div>Copyright 2020 them</div>") == f"{LONG}\n\n{law}\n\nCopyright ends.\n\n{LONG}"
 
 
+def test_wrappers_that_hold_the_text_stay():
+    both, two = f"<p>{LONG}</p><p>End.</p>", f"{LONG}\n\nEnd."
+    for start, end in (("<div id=page class='has-sidebar'>", "</div>"), ("<article class='post comments-open'>", "</article>"), ("<section class=social-history>", "</section>"),
+                       ("<form action=x method=post><div>", "</div></form>"), ("<div class='page sidebar'>", "</div>"), ("<aside><article>", "</article></aside>"),
+                       ("<div class=widget><main>", "</main></div>"), ("<div style='display:none'>", "</div>"), ("<main><form>", "</form></main>")):
+        assert main_text(f"<body><nav>menu</nav>{start}{both}<div class=ad>buy</div>{end}<footer>foot</footer></body>") == two, start
+    # what is left out although it is long, and one box beside the text
+    many = "".join(f"<article><p>{LONG}</p></article>" for _ in range(9))
+    assert main_text(f"<body><div>{both}</div><div id=comments>{many}</div></body>") == two
+    assert main_text(f"<body><main><p>Short.</p></main><div class=related>{many}</div></body>") == "Short."
+    assert main_text(f"<body><div>{both}</div><ul>{'<li><a>x</a></li>' * 4}</ul><article><p>Teaser.</p></article></body>") == two
+
+
 def test_odd_pages():
     assert [main_text(x) for x in (None, "", "   ", "<", "<html></html>", "<nav>a</nav>")] == ["", "", "", "<", "", ""]
     assert main_text("a < b and c > d") == "a < b and c > d"
