@@ -9,9 +9,12 @@ from . import chat_format, decontaminate, html_blocks, jaccard_join, langid, lm_
 from .common import table
 
 
+LM_ORDER = 3
+
+
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (langid.fold(F.col("doc_id")) != 1).alias("learn"))
-    out = lm_trie.score(docs)
+    out = lm_trie.score(docs, LM_ORDER)
     return out.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
