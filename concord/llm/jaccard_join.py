@@ -18,11 +18,14 @@ The Jaccard distance d = 1 - J is a metric; documents link at d <= 0.2.
    only one document has rule documents out; then pivot documents take balls
    of radius 0.2, whose members are linked; a document outside a ball meets those
    members of it that the triangle inequality allows: |d(x, p) - d(y, p)| <= 0.2.
-5. Regions over ``REGION_SHINGLES`` are split first: pivot documents create Voronoi
-   cells, and every document is copied to all cells whose pivot is at most 0.4
-   farther than its own, so each linked pair meets in a cell; cells are split
-   again while that makes them smaller.  Links then are put together by a
-   distributed component search.
+5. Regions over ``REGION_SHINGLES`` are split first.  Linked sizes differ by a factor
+   of 1.25 at most, so a region falls into bands of size, each document in two of
+   them.  Bands that are still over are split by balls around pivot documents, taken
+   in turn: a document within 0.6 of a pivot is copied to the pivot's cell, one
+   within 0.4 goes no farther, and what is left is a cell too; distances of linked
+   documents differ by at most 0.2, so each linked pair meets in a cell.  Cells are
+   split again by other pivots while that makes them smaller.  Links then are put
+   together by a distributed component search.
 
 No pairs leave a task but links to a component's root.
 
@@ -46,9 +49,11 @@ from .components import components
 SHINGLE = 5
 CROWDED = 16
 SHORT, MIDDLE = 100, 400           # shingles: documents with all, with two fifths of their shingles as pivots
-REGION_SHINGLES = 8_000_000        # in a task: 64 MB of hashes
-SPLIT = 16                         # pivot documents of a region that is split
-ROUNDS = 4                         # splits of splits
+REGION_SHINGLES = 4_000_000        # in a task: 32 MB of hashes
+BAND = 1.2500001                   # the factor between bands of size, just over that of linked sizes
+SPLIT, MOST_SPLIT = 16, 256        # pivot documents for each part of a region that is split, and in all
+NEAR, FAR = 0.4, 0.6               # a pivot's documents: alone its own, and copied to it
+SMALLER = 0.9                      # a split counts if no cell has more of its region
 LAST = (1 << 63) - 1
 PREFIX = "__jaccard_"
 
@@ -284,51 +289,97 @@ def _join(group: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array(node), "v": pa.array(node[join_region(shingles)])})
 
 
-def split(members: DataFrame, large: DataFrame) -> DataFrame:
-    """Voronoi cells of the large regions' members (region, node, n, shingles), windows copied."""
-    inside = members.join(large, "region")
-    top = Window.partitionBy("region").orderBy(F.xxhash64("node"), "node")
-    chosen = inside.select("region", "node", "shingles").dropDuplicates(["region", "node"]).withColumn("k", F.row_number().over(top)).where(F.col("k") <= SPLIT)
-    chosen = chosen.groupBy("region").agg(F.collect_list(F.struct("node", "shingles")).alias("centres"))
-
-    def run(batches):
-        for batch in batches:
-            out: list[tuple] = []
-            for r in batch.to_pylist():
-                own = np.frombuffer(r["shingles"], np.uint64)
-                centres = sorted(r["centres"], key=lambda c: c["node"])
-                sets_ = [np.frombuffer(c["shingles"], np.uint64) for c in centres]
-                inter = np.array([np.isin(own, s, assume_unique=True).sum() for s in sets_])
-                far = 1 - inter / (len(own) + np.array([len(s) for s in sets_]) - inter)
-                for k in np.flatnonzero(far <= far.min() + 0.4 + 1e-9):
-                    out.append((r["region"] ^ centres[k]["node"], r["node"], r["n"], r["shingles"]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["region", "node", "n", "shingles"])
-
-    return map_batches(inside.join(chosen, "region").select("region", "node", "n", "shingles", "centres"), run, "region long, node long, n int, shingles binary")
-
-
-def links(members: DataFrame, large: bool) -> DataFrame:
-    """(node, root): component roots of the members of regions.
-
-    ``large``: some region is over ``REGION_SHINGLES``."""
-    if not large:
-        return members.groupBy("region").applyInArrow(_join, "u long, v long").select(F.col("u").alias("node"), F.col("v").alias("root"))
-    members, done = stored(members, "jaccard-members"), []
-    for _ in range(ROUNDS):
-        size = members.groupBy("region").agg(F.sum(F.col("n").cast("long")).alias("size"))
-        over = size.where(F.col("size") > REGION_SHINGLES).select("region")
+def oversized(wanted: DataFrame) -> DataFrame:
+    """(region, size) of the regions over the bound."""
+    return wanted.groupBy("region").agg(F.sum(F.col("n").cast("long")).alias("size")).where(F.col("size") > REGION_SHINGLES)
+
+
+def banded(wanted: DataFrame, over: DataFrame) -> DataFrame:
+    """``wanted`` with the regions of ``over`` cut into bands of size, which overlap by one."""
+    columns = wanted.columns
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BAND)))
+    joined = wanted.join(over.select("region", F.lit(True).alias("__over")), "region", "left")
+    bands = F.when(F.col("__over"), F.array(band, band + 1)).otherwise(F.array(F.lit(None).cast("long")))
+    cut = joined.withColumn("__band", F.explode(bands))
+    return cut.withColumn("region", F.when(F.col("__over"), F.xxhash64("region", "__band")).otherwise(F.col("region"))).select(*columns)
+
+
+def split(members: DataFrame, over: DataFrame, turn: int) -> DataFrame:
+    """(parent, region, node, n, shingles): cells of members (region, node, n, shingles) of the regions ``over`` (region, size).
+
+    ``turn`` salts the choice of pivots and the cells' names, so a split of a cell takes other ones."""
+    parts = F.ceil(F.col("size") * 4 / F.lit(REGION_SHINGLES))     # a region is worked on in parts
+    inside = members.join(over.withColumn("parts", parts), "region").withColumn("part", F.pmod(F.xxhash64("node", F.lit(turn)), F.col("parts")))
+    top = Window.partitionBy("region").orderBy(F.xxhash64("node", F.lit(turn + 1000)), "node")
+    light = inside.select("region", "node", "parts").distinct().withColumn("k", F.row_number().over(top)).where(F.col("k") <= F.least(SPLIT * F.col("parts"), F.lit(MOST_SPLIT)))
+    centres = members.dropDuplicates(["region", "node"]).join(light, ["region", "node"])
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("__part")
+    centres = centres.select(F.col("region").alias("__region"), every, F.col("k").alias("k"), F.col("shingles").alias("__shingles"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("k")
+        hashes = [np.frombuffer(x, np.uint64) for x in right.column("__shingles").to_pylist()]
+        size = np.array([len(h) for h in hashes], np.int64)
+        whole = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        by = np.argsort(whole, kind="stable")
+        whole, owner = whole[by], np.repeat(np.arange(len(size)), size)[by]
+        rows, cells = [], []
+        for r, x in enumerate(left.column("shingles").to_pylist() if len(left) else []):
+            own = np.frombuffer(x, np.uint64)
+            lo, hi = np.searchsorted(whole, own, "left"), np.searchsorted(whole, own, "right")
+            at = np.repeat(lo - np.cumsum(hi - lo) + (hi - lo), hi - lo) + np.arange((hi - lo).sum())
+            inter = np.bincount(owner[at], minlength=len(size))
+            far = 1 - inter / (len(own) + size - inter)
+            own_cell = np.flatnonzero(far < NEAR - 1e-9)
+            last = own_cell[0] if len(own_cell) else len(size)
+            to = np.flatnonzero(far[:last + 1] <= FAR + 1e-9).tolist() + ([-1] if last == len(size) else [])
+            rows += [r] * len(to)
+            cells += to
+        got = left.take(pa.array(rows, pa.int64()))
+        parent = got.column("region")
+        return pa.table({"parent": parent, "cell": pa.array(cells, pa.int64()), "node": got.column("node"), "n": got.column("n"), "shingles": got.column("shingles")})
+
+    schema = "parent long, cell long, node long, n int, shingles binary"
+    found = inside.select("region", "part", "node", "n", "shingles").groupBy("region", "part").cogroup(
+        centres.groupBy("__region", "__part")).applyInArrow(run, schema)
+    return found.select("parent", F.xxhash64("parent", "cell", F.lit(turn)).alias("region"), "node", "n", "shingles")
+
+
+def bounded(members: DataFrame) -> DataFrame:
+    """Members of regions over the bound as members of cells: within the bound, or of a region that no split makes smaller."""
+    done, turn = [], 0
+    while True:
+        over = oversized(members)
+        fits = members.join(over.select("region"), "region", "left_anti").select("region", "node", "n", "shingles")
         if not over.head(1):
             break
-        done.append(members.join(over, "region", "left_anti"))
-        cells = stored(split(members, over), "jaccard-cells")
-        before = members.join(over, "region").count()
-        members = cells
-        if cells.groupBy("region").count().agg(F.max("count")).first()[0] > 0.9 * before:
-            break                                              # cells no smaller than their regions
-    for d in done:
-        members = members.unionByName(d)
-    found = members.groupBy("region").applyInArrow(_join, "u long, v long")
-    return components(found, "jaccard-links").select(F.col("u").alias("node"), "root")
+        turn += 1
+        cells = stored(split(members, over, turn), "jaccard-cells")
+        most = cells.groupBy("parent", "region").agg(F.sum(F.col("n").cast("long")).alias("s")).groupBy("parent").agg(F.max("s").alias("most"))
+        shrunk = stored(over.join(most, over.region == most.parent).where(F.col("most") <= SMALLER * F.col("size")).select("parent"), "jaccard-shrunk")
+        whole = members.join(over.select("region"), "region", "left_semi").join(shrunk, F.col("region") == F.col("parent"), "left_anti")
+        done += [fits, whole.select("region", "node", "n", "shingles")]
+        members = cells.join(shrunk, "parent", "left_semi").select("region", "node", "n", "shingles")
+    done.append(fits)
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
+
+
+def links(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, root): component roots of the wanted (id, node, region, n) in their regions."""
+    found = lambda m: m.groupBy("region").applyInArrow(_join, "u long, v long")            # noqa: E731
+    over = oversized(wanted)
+    if not over.head(1):
+        return found(with_sets(docs, wanted.drop("n"))).select(F.col("u").alias("node"), F.col("v").alias("root"))
+    wanted = stored(banded(wanted, over), "jaccard-bands")
+    over = oversized(wanted).select("region")
+    large = wanted.join(over, "region", "left_semi")
+    edges = found(with_sets(docs, wanted.join(over, "region", "left_anti").drop("n")))
+    if large.head(1):
+        edges = edges.union(found(bounded(stored(with_sets(docs, large.drop("n")), "jaccard-members"))))
+    return components(edges, "jaccard-links").select(F.col("u").alias("node"), "root")
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -339,8 +390,7 @@ def join(docs: DataFrame) -> DataFrame:
     kept = stored(survivors(docs), "jaccard-survivors")
     first = rows.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"))
     wanted = stored(regions(kept).join(first, "node").select("id", "node", "region", "n"), "jaccard-wanted")
-    most = wanted.groupBy("region").agg(F.sum("n").alias("size")).agg(F.max("size")).first()[0] or 0
-    roots = stored(links(with_sets(docs, wanted.drop("n")), most > REGION_SHINGLES), "jaccard-roots")
+    roots = stored(links(docs, wanted), "jaccard-roots")
     labelled = rows.join(roots, "node", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "node")))
     least = labelled.where("n > 0").groupBy("root").agg(F.min("id").alias("least"))
     return labelled.join(least, "root", "left").select("id", "print", F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"), "root")

@@ -114,6 +114,48 @@ def test_region_join_is_exact():
         assert got.tolist() == root
 
 
+def test_split_regions_are_bounded_and_linked_pairs_meet(spark, monkeypatch):
+    monkeypatch.setattr(J, "REGION_SHINGLES", 4000)
+    rng = np.random.default_rng(16)
+    rows, sets = [], {}
+    for region in (1, 2):                                      # two oversized regions: near-copy groups that share a passage
+        passage = rng.integers(0, 1 << 62, 20)
+        for g in range(30):
+            base = np.concatenate([passage, rng.integers(0, 1 << 62, int(rng.integers(40, 200)))])
+            for _ in range(6):
+                x = base.copy()
+                k = int(rng.integers(0, len(x) // 6))
+                x[rng.choice(len(x), k, replace=False)] = rng.integers(0, 1 << 62, k)
+                node = len(sets)
+                sets[node] = np.unique(x).astype(np.uint64)
+                rows.append((region, node, len(sets[node]), sets[node].tobytes()))
+    schema = "region long, node long, n int, shingles binary"
+    members = spark.createDataFrame(rows, schema)
+    pairs = []
+    for region, a, n, _ in rows:
+        for b in range(a):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if both and 100 * both >= 80 * (n + len(sets[b]) - both):
+                pairs.append((a, b))
+    assert pairs
+
+    def meet(cells):
+        of = {}
+        for r in cells:
+            of.setdefault(r.node, set()).add(r.region)
+        assert all(of[a] & of[b] for a, b in pairs)
+        size = {}
+        for r in cells:
+            size[r.region] = size.get(r.region, 0) + r.n
+        return max(size.values())
+
+    bands = J.banded(members, J.oversized(members)).select("region", "node", "n").collect()
+    assert meet(bands) < 0.6 * sum(r[2] for r in rows if r[0] == 1)
+    cells = J.bounded(J.stored(members, "test-members")).collect()
+    assert meet(cells) <= 4000                                 # over several rounds
+    assert len({(r.region, r.node) for r in cells}) == len(cells) <= 2 * len(rows)
+
+
 def test_components(spark):
     rng = random.Random(15)
     edges = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)] + [(7, 7)]
