@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_blocks, jaccard_join, langid, lm_trie, mixing, quality_rules, substring_dedup, training_order
+from . import chat_format, decontaminate, filter_audit, html_blocks, jaccard_join, langid, lm_trie, mixing, quality_rules, substring_dedup, training_order, vector_codes
 from .common import table
 
 
@@ -99,6 +99,90 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col(p + "entropy").alias("cross_entropy"), F.col(p + "accepted").alias("accepted"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    digest = F.lit(books.sha256() if books else None).cast("string")
+    return vector_codes.with_label_error(codes).select("vec_id", "code", "error", "label_error", digest.alias("codebooks_sha256"))
+
+
+OP11_SQL = r"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v,
+         row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS r
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+sized AS (SELECT *, len(v) // 16 AS d FROM kept),
+parts AS (
+  SELECT r, vec_id, label, p, v[p * d + 1 : p * d + d] AS x FROM sized, range(16) AS t(p)),
+b0 AS (SELECT p, r AS e, x AS c FROM parts WHERE r < 64),
+d0 AS (
+  SELECT r, parts.p, min(struct_pack(d := CAST(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), e := e)) AS m
+  FROM parts JOIN b0 ON parts.p = b0.p GROUP BY r, parts.p),
+s0 AS (
+  SELECT p, e, list(q ORDER BY i) AS c FROM (
+    SELECT parts.p, m.e AS e, i, CAST((sum(x[i]) - ((sum(x[i]) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS q
+    FROM parts JOIN d0 ON parts.r = d0.r AND parts.p = d0.p, unnest(range(1, len(x) + 1)) AS u(i) GROUP BY parts.p, m.e, i) GROUP BY p, e),
+b1 AS (SELECT p, e, coalesce(s0.c, b0.c) AS c FROM b0 LEFT JOIN s0 USING (p, e)),
+d1 AS (
+  SELECT r, parts.p, min(struct_pack(d := CAST(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), e := e)) AS m
+  FROM parts JOIN b1 ON parts.p = b1.p GROUP BY r, parts.p),
+s1 AS (
+  SELECT p, e, list(q ORDER BY i) AS c FROM (
+    SELECT parts.p, m.e AS e, i, CAST((sum(x[i]) - ((sum(x[i]) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS q
+    FROM parts JOIN d1 ON parts.r = d1.r AND parts.p = d1.p, unnest(range(1, len(x) + 1)) AS u(i) GROUP BY parts.p, m.e, i) GROUP BY p, e),
+b2 AS (SELECT p, e, coalesce(s1.c, b1.c) AS c FROM b1 LEFT JOIN s1 USING (p, e)),
+d2 AS (
+  SELECT r, parts.p, min(struct_pack(d := CAST(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), e := e)) AS m
+  FROM parts JOIN b2 ON parts.p = b2.p GROUP BY r, parts.p),
+digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b2),
+codes AS (
+  SELECT any_value(vec_id) AS vec_id, any_value(label) AS label, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error
+  FROM d2 JOIN sized USING (r) GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM codes, digest
+"""
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP12_SQL = r"""
+WITH words AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+bits AS (
+  SELECT doc_id, part, CAST(len(w) < 200 AS INT) AS a, CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INT) AS b,
+         CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) AS INT) AS c,
+         CAST(regexp_matches(t, '[#$%&*|]') AS INT) AS d,
+         CAST(coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS INT) AS e
+  FROM words),
+marks AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+masks AS (
+  SELECT part, [a, b, c, d, e] AS f, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM bits LEFT JOIN marks USING (doc_id) GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+orders AS (
+  SELECT p.l || q.l || r.l || s.l || t.l AS filter_order FROM letters p, letters q, letters r, letters s, letters t
+  WHERE len(list_distinct([p.l, q.l, r.l, s.l, t.l])) = 5),
+steps AS (
+  SELECT filter_order, CAST(k AS INT) AS step, list_transform(range(1, k + 1), lambda i: ascii(filter_order[i]) - 64) AS upto, ascii(filter_order[k]) - 64 AS own
+  FROM orders, range(1, 6) AS g(k)),
+outcomes AS (
+  SELECT part, filter_order, step, own, n, good, toxic, f[own] = 1 AS fails, list_sum(f) = 1 AS alone,
+         len(list_filter(upto, lambda i: f[i] = 1)) AS failed
+  FROM masks, steps),
+counts AS (
+  SELECT part, filter_order, step, own,
+         coalesce(sum(n) FILTER (failed = 0), 0) AS kept, coalesce(sum(n) FILTER (fails AND failed = 1), 0) AS removed,
+         coalesce(sum(n) FILTER (fails AND failed > 1), 0) AS redundant, coalesce(sum(n) FILTER (fails AND alone), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (fails AND failed = 1), 0) AS good_lost, coalesce(sum(toxic) FILTER (fails AND failed = 1), 0) AS toxic_lost
+  FROM outcomes GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM counts
+"""
+
+
 QUERIES: dict = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_jaccard_join": op2_jaccard_join,
@@ -110,7 +194,11 @@ QUERIES: dict = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_mixing": op9_mixing,
     "op10_language_id": op10_language_id,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_filter_audit": op12_filter_audit,
 }
 SQL: dict = {
     "op8_chat_formatting": OP8_SQL,
+    "op11_vector_codes": OP11_SQL,
+    "op12_filter_audit": OP12_SQL,
 }
