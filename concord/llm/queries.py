@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, filter_audit, html_blocks, jaccard_join, langid, lm_trie, mixing, quality_rules, substring_dedup, training_order, vector_codes
+from . import chat_format, decontaminate, filter_audit, html_blocks, jaccard_join, langid, lm_trie, mixing, pii, quality_rules, substring_dedup, training_order, vector_codes
 from .common import table
 
 
@@ -183,6 +183,16 @@ FROM counts
 """
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = pii.find(docs, pii.fit(docs), ["doc_id"])
+    spans = F.col(pii.PREFIX + "spans")
+    base = F.filter(spans, lambda s: s["base"])
+    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")     # noqa: E731
+    counts = [F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]         # noqa: B023
+    return out.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"))
+
+
 QUERIES: dict = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_jaccard_join": op2_jaccard_join,
@@ -196,6 +206,7 @@ QUERIES: dict = {
     "op10_language_id": op10_language_id,
     "op11_vector_codes": op11_vector_codes,
     "op12_filter_audit": op12_filter_audit,
+    "op13_pii": op13_pii,
 }
 SQL: dict = {
     "op8_chat_formatting": OP8_SQL,
