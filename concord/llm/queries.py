@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, decontaminate, filter_audit, html_blocks, jaccard_join, langid, lm_trie, mixing, pii, quality_rules, substring_dedup, training_order, vector_codes
-from .common import table
+from .common import stored, table
 
 
 LM_ORDER = 3
@@ -102,6 +102,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
     digest = F.lit(books.sha256() if books else None).cast("string")
+    codes = stored(codes, "vector-codes")          # read twice below, searched once
     return vector_codes.with_label_error(codes).select("vec_id", "code", "error", "label_error", digest.alias("codebooks_sha256"))
 
 
