@@ -88,7 +88,8 @@ def masks(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(part, mask, good, toxic) of every document."""
     text = F.coalesce("text", F.lit(""))
     light = stored(docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("part"), F.sha2(text, 256).alias("print"), text_bits(text).alias("bits")), "audit-bits")
-    firsts = light.groupBy("print").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("print", "first")
+    # stored, so that both sides of the join are plain exchanges, which can be split at a text that fills many rows
+    firsts = stored(light.groupBy("print").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("print", "first"), "audit-firsts")
     later = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
     full = light.join(firsts, "print", "left").select("doc_id", "part", (F.col("bits") + F.when(later, 16).otherwise(0)).alias("mask"))
     marks = labels.groupBy("doc_id").agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
