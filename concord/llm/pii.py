@@ -258,19 +258,18 @@ def labelled(samples: list[str], seed: int, copies: int = FIT_COPIES, width: int
         out.append((text, marked))
         plain = text if not marked else re.sub("[0-9@]", "x", text)
         for _ in range(copies):
-            room, example, spans = plain[:width // 2 + 8], "", []
-            cuts = sorted({0, *(m.end() for m in re.finditer(r"\s", room))})
+            cuts = sorted({0, *(m.end() for m in re.finditer(r"\s", plain))})
             at = cuts[rng.integers(len(cuts))]
             kind = KINDS[rng.integers(4)] if rng.integers(4) else ""
             piece = generate(rng, kind) if kind else look_alike(rng)
-            before, after = room[:at], (" ", " ", " ", ", ", ". ", "\n", "; ", ")")[rng.integers(8)]
             lead = ("", "", "", ": ", "(", '"', "| ", "\n")[rng.integers(8)]
-            example = before[-(width - 60):] + lead
-            if kind and len(piece) < 56:
-                spans = [(len(example), len(example) + len(piece), kind)]
-            elif kind:
+            after = (" ", " ", " ", " ", ", ", ". ", "\n", "; ", ")")[rng.integers(9)]
+            room = width - len(lead) - len(piece) - int(rng.integers(width // 3))
+            if room < 0:
                 continue
-            out.append(((example + piece + after + room[at:])[:width], spans))
+            example = plain[max(0, at - room):at] + lead
+            spans = [(len(example), len(example) + len(piece), kind)] if kind else []
+            out.append(((example + piece + after + plain[at:])[:width], spans))
     return out
 
 
