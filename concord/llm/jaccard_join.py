@@ -15,9 +15,10 @@ The Jaccard distance d = 1 - J is a metric; documents link at d <= 0.2.
    pivots to be found by them (more than k - 1 of its pivots are crowded), and
    only for documents that fit such a document's size.
 4. Regions are joined exactly, each in a task (``join_region``): shingles that
-   only one document has rule documents out; then pivot documents take balls
-   of radius 0.2, whose members are linked; a document outside a ball meets those
-   members of it that the triangle inequality allows: |d(x, p) - d(y, p)| <= 0.2.
+   only one document has rule documents out; the others become pivot documents one
+   after another, smallest components first.  A pivot is linked to its ball of
+   radius 0.2, and its distances to all give windows: documents of different
+   components that a window |d(x, p) - d(y, p)| <= 0.2 tells apart need not meet.
 5. Regions over ``REGION_SHINGLES`` are split first.  Linked sizes differ by a factor
    of 1.25 at most, so a region falls into bands of size, each document in two of
    them.  Bands that are still over are split by balls around pivot documents, taken
@@ -49,7 +50,8 @@ from .components import components
 SHINGLE = 5
 CROWDED = 16
 SHORT, MIDDLE = 100, 400           # shingles: documents with all, with two fifths of their shingles as pivots
-REGION_SHINGLES = 4_000_000        # in a task: 32 MB of hashes
+REGION_SHINGLES = 8_000_000        # in a task: 64 MB of hashes, some 400 MB while they are sorted
+PIVOTS, MEET = 8, 32               # pivots that are kept, and documents that are met at once, in a region's task
 BAND = 1.2500001                   # the factor between bands of size, just over that of linked sizes
 SPLIT, MOST_SPLIT = 16, 256        # pivot documents for each part of a region that is split, and in all
 NEAR, FAR = 0.4, 0.6               # a pivot's documents: alone its own, and copied to it
@@ -175,58 +177,76 @@ def regions(kept: DataFrame) -> DataFrame:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """(id, packed) of docs (id, text): texts compressed for the way through a shuffle."""
+    """(id, print, packed) of docs (id, print, text), a repeated row once a task: texts are
+    compressed for the way through shuffles, where their sets would take four times as much."""
 
     def run(batches):
         import zstandard
 
+        done: set[tuple[int, int]] = set()
         for batch in batches:
+            pairs = list(zip(batch.column("id").to_pylist(), batch.column("print").to_pylist()))
+            batch = batch.take(pa.array([r for r, p in enumerate(pairs) if not (p in done or done.add(p))], pa.int64()))
             pack = zstandard.ZstdCompressor(level=3)
             texts = [pack.compress((t or "").encode()) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.binary())], names=["id", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("print"), pa.array(texts, pa.binary())], names=["id", "print", "packed"])
 
-    return map_batches(docs.select("id", "text"), run, "id long, packed binary")
+    return map_batches(docs.select("id", "print", "text"), run, "id long, print long, packed binary")
 
 
-def with_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(region, node, n, shingles binary) for wanted (id, node, region)."""
-    names = ["region", "node", "n", "shingles"]
+def with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(region, node, n, packed) for wanted (id, print, node, region, n)."""
+    return packed(docs).join(wanted.hint("shuffle_hash"), ["id", "print"]).select("region", "node", F.col("n").cast("int").alias("n"), "packed")
 
-    def run(batches):
-        import zstandard
 
-        for batch in batches:
-            texts = [zstandard.ZstdDecompressor().decompress(x).decode() for x in batch.column("packed").to_pylist()]
-            for part in W.slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column("node"), batch.column("region")], names=["text", "node", "region"])):
-                shingle, edge, node = sets(part.column("text"))
-                asked = part.column("node").to_numpy()
-                at = np.flatnonzero(asked == node)             # rows with the same id may hold other texts
-                yield pa.RecordBatch.from_arrays([part.column("region").take(pa.array(at)), pa.array(node[at]), pa.array(np.diff(edge)[at].astype(np.int32)),
-                                                  pa.array([shingle[edge[r]:edge[r + 1]].tobytes() for r in at], pa.binary())], names=names)
+def opened(texts: list[bytes], asked: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    """The rows whose packed text has the node it is asked for (equal prints may be of different texts), and their sets."""
+    import zstandard
 
-    joined = packed(docs).join(wanted.hint("shuffle_hash"), "id").select("packed", "node", "region")
-    return map_batches(joined, run, "region long, node long, n int, shingles binary")
+    open_ = zstandard.ZstdDecompressor()
+    column = pa.array([open_.decompress(x).decode() for x in texts], pa.large_string())
+    rows, found, at = [], [], 0
+    for part in W.slices(pa.RecordBatch.from_arrays([column], names=["text"])):
+        shingle, edge, node = sets(part.column("text"))
+        for r in np.flatnonzero(node == asked[at:at + len(node)]).tolist():
+            rows.append(at + r)
+            found.append(shingle[edge[r]:edge[r + 1]])
+        at += len(node)
+    return rows, found
 
 
 class Members:
-    """The sets of a region's documents as one array, for intersections with one of them."""
+    """The sets of a region's documents as arrays, for the intersections of some of them with all."""
 
-    def __init__(self, shingles: list[bytes]):
-        arrays = [np.frombuffer(s, np.uint64) for s in shingles]
+    def __init__(self, arrays: list[np.ndarray]):
         self.size = np.array([len(a) for a in arrays], np.int64)
         self.edge = np.concatenate([[0], np.cumsum(self.size)])
         _, code, df = np.unique(np.concatenate(arrays), return_inverse=True, return_counts=True)
-        self.code, self.df = code, df
-        # postings: by shingle, its documents
-        self.post = np.repeat(np.arange(len(arrays)), self.size)[np.argsort(code, kind="stable")]
+        self.code, self.df = code.astype(np.int32), df         # half the memory for what stays
+        code = self.code
+        owner = np.repeat(np.arange(len(arrays), dtype=np.int32), self.size)
+        # shingles of a quarter of the documents: columns of a matrix, no more than four times the mean size
+        common = df > max(16, len(arrays) // 4)
+        column = np.cumsum(common) - 1
+        at = common[code]
+        self.matrix = np.zeros((len(arrays), int(common.sum())), np.float32)
+        self.matrix[owner[at], column[code[at]]] = 1
+        # the others: postings, by shingle its documents; those of one document alone meet nobody
+        self.rare = (df > 1) & ~common
+        self.post = owner[np.argsort(code, kind="stable")]
         self.at = np.concatenate([[0], np.cumsum(df)])
 
-    def shared(self, r: int) -> np.ndarray:
-        """Intersection sizes of document r with all."""
-        c = self.code[self.edge[r]:self.edge[r + 1]]
-        k = self.df[c]
-        place = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(self.at[c], k)
-        return np.bincount(self.post[place], minlength=len(self.size))
+    def shared(self, rows: np.ndarray) -> np.ndarray:
+        """Intersection sizes of documents ``rows`` with all."""
+        out = np.rint(self.matrix[rows] @ self.matrix.T).astype(np.int64)
+        for i, r in enumerate(rows.tolist()):
+            c = self.code[self.edge[r]:self.edge[r + 1]]
+            c = c[self.rare[c]]
+            k = self.df[c]
+            place = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(self.at[c], k)
+            out[i] += np.bincount(self.post[place], minlength=len(self.size))
+            out[i, r] = self.size[r]                           # its own shingles were counted as far as others have them
+        return out
 
     def common(self) -> np.ndarray:
         """Shingles of each document that another one has too."""
@@ -237,56 +257,69 @@ def linked(inter: np.ndarray, n: int, size: np.ndarray) -> np.ndarray:
     return 100 * inter >= 80 * (n + size - inter)
 
 
-def join_region(shingles: list[bytes]) -> np.ndarray:
-    """For each document of a region, the first document of its component."""
-    m = Members(shingles)
-    root = np.arange(len(m.size))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    def union(i: int, j: int) -> None:
-        a, b = find(i), find(j)
-        if a != b:
-            root[max(a, b)] = min(a, b)
+def join_region(arrays: list[np.ndarray]) -> np.ndarray:
+    """For each document of a region, given as its shingles, the first document of its component.
 
+    A document is *met* when its intersections with all others are counted, at
+    most once.  Pairs of documents that are not met are settled without counting if
+    they are of one component already, or if a pivot (a met document) tells them
+    apart: linked documents have |d(x, p) - d(y, p)| <= 0.2.  Documents of the
+    smallest components are met first, so a large component's members are
+    settled by all others."""
+    m = Members(arrays)
+    n = len(m.size)
+    root = np.arange(n)
     open_ = m.common() >= need(m.size)                         # others can have no partner
-    free = open_.copy()                                        # in no ball yet
-    balls: list[tuple[int, np.ndarray, np.ndarray]] = []
-    for p in np.flatnonzero(open_):
-        if not free[p]:
-            continue
-        inter = m.shared(p)
-        total = m.size[p] + m.size - inter
-        inside = open_ & linked(inter, m.size[p], m.size)
-        for x in np.flatnonzero(inside).tolist():
-            union(int(p), x)
-        free &= ~inside
-        # documents outside that may link to a member: d(y, p) <= 0.4, that is J >= 0.6
-        edge = np.flatnonzero(open_ & ~inside & (100 * inter >= 60 * total))
-        if len(edge):
-            balls.append((int(p), np.flatnonzero(inside), edge))
-    for p, inside, edge in balls:
-        for y in edge.tolist():
-            if find(y) == find(p):
-                continue
-            inter = m.shared(y)
-            for x in inside[linked(inter[inside], m.size[y], m.size[inside])].tolist():
-                union(x, y)
-    return np.array([find(i) for i in range(len(root))])
+    pivot = np.zeros((0, n), np.float32)                       # distances to the latest pivots
+
+    def meet(rows: np.ndarray) -> None:
+        nonlocal pivot
+        inter = m.shared(rows)
+        far = 1 - inter / (m.size[rows][:, None] + m.size - inter)
+        for r, shared in zip(rows.tolist(), inter):
+            near = np.unique(root[np.flatnonzero(open_ & linked(shared, m.size[r], m.size))])
+            if len(near) > 1:
+                root[np.isin(root, near)] = near[0]
+        pivot = np.concatenate([far.astype(np.float32), pivot])[:PIVOTS]
+
+    left = np.flatnonzero(open_)                               # neither met nor settled
+    turn = 1                                                   # one document first, then more at a time
+    while len(left) and (root[left] != root[left[0]]).any():
+        _, own, count = np.unique(root[left], return_inverse=True, return_counts=True)
+        left = left[np.argsort(count[own], kind="stable")]
+        ask, settled = [], 0
+        for y in left.tolist():
+            may = root[left] != root[y]
+            may &= 5 * np.minimum(m.size[left], m.size[y]) >= 4 * np.maximum(m.size[left], m.size[y])
+            for d in pivot:
+                if not may.any():
+                    break
+                may &= np.abs(d[left] - d[y]) <= 0.2 + 1e-5
+            settled += 1
+            if may.any():
+                ask.append(y)
+                if len(ask) == turn:
+                    break
+        if ask:
+            meet(np.array(ask))
+        left = left[settled:]
+        turn = min(2 * turn, MEET)
+    return root
+
+
+def distinct_nodes(group: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The nodes of a table (node, packed, ...) in order, and their sets."""
+    some = list({pair: None for pair in zip(group.column("node").to_pylist(), group.column("packed").to_pylist())})
+    rows, found = opened([text for _, text in some], np.array([node for node, _ in some], np.int64))
+    node = np.array([some[r][0] for r in rows], np.int64)
+    node, first = np.unique(node, return_index=True)
+    return node, [found[i] for i in first]
 
 
 def _join(group: pa.Table) -> pa.Table:
     """(u, v): nodes and their component's first node in the region."""
-    group = group.sort_by("node")
-    node = group.column("node").to_numpy()
-    first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-    shingles = group.column("shingles").take(pa.array(first)).to_pylist()
-    node = node[first]
-    return pa.table({"u": pa.array(node), "v": pa.array(node[join_region(shingles)])})
+    node, found = distinct_nodes(group)
+    return pa.table({"u": pa.array(node, pa.int64()), "v": pa.array(node[join_region(found)] if len(node) else node, pa.int64())})
 
 
 def oversized(wanted: DataFrame) -> DataFrame:
@@ -294,38 +327,37 @@ def oversized(wanted: DataFrame) -> DataFrame:
     return wanted.groupBy("region").agg(F.sum(F.col("n").cast("long")).alias("size")).where(F.col("size") > REGION_SHINGLES)
 
 
-def banded(wanted: DataFrame, over: DataFrame) -> DataFrame:
-    """``wanted`` with the regions of ``over`` cut into bands of size, which overlap by one."""
-    columns = wanted.columns
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BAND)))
-    joined = wanted.join(over.select("region", F.lit(True).alias("__over")), "region", "left")
-    bands = F.when(F.col("__over"), F.array(band, band + 1)).otherwise(F.array(F.lit(None).cast("long")))
+def banded(members: DataFrame, over: DataFrame) -> DataFrame:
+    """``members`` with the regions of ``over`` cut into bands of size, which overlap by one."""
+    columns = members.columns
+    place = F.log(F.col("n").cast("double")) / F.log(F.lit(BAND))
+    joined = members.join(over.select("region", F.lit(True).alias("__over")), "region", "left")
+    bands = F.when(F.col("__over"), F.array(F.floor(place), F.floor(place) + 1)).otherwise(F.array(F.lit(None).cast("long")))
     cut = joined.withColumn("__band", F.explode(bands))
     return cut.withColumn("region", F.when(F.col("__over"), F.xxhash64("region", "__band")).otherwise(F.col("region"))).select(*columns)
 
 
 def split(members: DataFrame, over: DataFrame, turn: int) -> DataFrame:
-    """(parent, region, node, n, shingles): cells of members (region, node, n, shingles) of the regions ``over`` (region, size).
+    """(parent, region, node, n, packed): cells of members (region, node, n, packed) of the regions ``over`` (region, size).
 
     ``turn`` salts the choice of pivots and the cells' names, so a split of a cell takes other ones."""
-    parts = F.ceil(F.col("size") * 4 / F.lit(REGION_SHINGLES))     # a region is worked on in parts
+    parts = F.ceil(F.col("size") * 8 / F.lit(REGION_SHINGLES))     # a region is worked on in parts
     inside = members.join(over.withColumn("parts", parts), "region").withColumn("part", F.pmod(F.xxhash64("node", F.lit(turn)), F.col("parts")))
     top = Window.partitionBy("region").orderBy(F.xxhash64("node", F.lit(turn + 1000)), "node")
     light = inside.select("region", "node", "parts").distinct().withColumn("k", F.row_number().over(top)).where(F.col("k") <= F.least(SPLIT * F.col("parts"), F.lit(MOST_SPLIT)))
     centres = members.dropDuplicates(["region", "node"]).join(light, ["region", "node"])
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("__part")
-    centres = centres.select(F.col("region").alias("__region"), every, F.col("k").alias("k"), F.col("shingles").alias("__shingles"))
+    centres = centres.select(F.col("region").alias("__region"), every, F.col("k").alias("k"), F.col("node").alias("__node"), F.col("packed").alias("__packed"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("k")
-        hashes = [np.frombuffer(x, np.uint64) for x in right.column("__shingles").to_pylist()]
+        _, hashes = opened(right.column("__packed").to_pylist(), right.column("__node").to_numpy())
         size = np.array([len(h) for h in hashes], np.int64)
         whole = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         by = np.argsort(whole, kind="stable")
         whole, owner = whole[by], np.repeat(np.arange(len(size)), size)[by]
         rows, cells = [], []
-        for r, x in enumerate(left.column("shingles").to_pylist() if len(left) else []):
-            own = np.frombuffer(x, np.uint64)
+        for r, own in zip(*opened(left.column("packed").to_pylist(), left.column("node").to_numpy())) if len(left) else ():
             lo, hi = np.searchsorted(whole, own, "left"), np.searchsorted(whole, own, "right")
             at = np.repeat(lo - np.cumsum(hi - lo) + (hi - lo), hi - lo) + np.arange((hi - lo).sum())
             inter = np.bincount(owner[at], minlength=len(size))
@@ -337,12 +369,12 @@ def split(members: DataFrame, over: DataFrame, turn: int) -> DataFrame:
             cells += to
         got = left.take(pa.array(rows, pa.int64()))
         parent = got.column("region")
-        return pa.table({"parent": parent, "cell": pa.array(cells, pa.int64()), "node": got.column("node"), "n": got.column("n"), "shingles": got.column("shingles")})
+        return pa.table({"parent": parent, "cell": pa.array(cells, pa.int64()), "node": got.column("node"), "n": got.column("n"), "packed": got.column("packed")})
 
-    schema = "parent long, cell long, node long, n int, shingles binary"
-    found = inside.select("region", "part", "node", "n", "shingles").groupBy("region", "part").cogroup(
+    schema = "parent long, cell long, node long, n int, packed binary"
+    found = inside.select("region", "part", "node", "n", "packed").groupBy("region", "part").cogroup(
         centres.groupBy("__region", "__part")).applyInArrow(run, schema)
-    return found.select("parent", F.xxhash64("parent", "cell", F.lit(turn)).alias("region"), "node", "n", "shingles")
+    return found.select("parent", F.xxhash64("parent", "cell", F.lit(turn)).alias("region"), "node", "n", "packed")
 
 
 def bounded(members: DataFrame) -> DataFrame:
@@ -350,7 +382,7 @@ def bounded(members: DataFrame) -> DataFrame:
     done, turn = [], 0
     while True:
         over = oversized(members)
-        fits = members.join(over.select("region"), "region", "left_anti").select("region", "node", "n", "shingles")
+        fits = members.join(over.select("region"), "region", "left_anti").select("region", "node", "n", "packed")
         if not over.head(1):
             break
         turn += 1
@@ -358,8 +390,8 @@ def bounded(members: DataFrame) -> DataFrame:
         most = cells.groupBy("parent", "region").agg(F.sum(F.col("n").cast("long")).alias("s")).groupBy("parent").agg(F.max("s").alias("most"))
         shrunk = stored(over.join(most, over.region == most.parent).where(F.col("most") <= SMALLER * F.col("size")).select("parent"), "jaccard-shrunk")
         whole = members.join(over.select("region"), "region", "left_semi").join(shrunk, F.col("region") == F.col("parent"), "left_anti")
-        done += [fits, whole.select("region", "node", "n", "shingles")]
-        members = cells.join(shrunk, "parent", "left_semi").select("region", "node", "n", "shingles")
+        done += [fits, whole.select("region", "node", "n", "packed")]
+        members = cells.join(shrunk, "parent", "left_semi").select("region", "node", "n", "packed")
     done.append(fits)
     out = done[0]
     for d in done[1:]:
@@ -368,18 +400,13 @@ def bounded(members: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, root): component roots of the wanted (id, node, region, n) in their regions."""
+    """(node, root): component roots of the wanted (id, print, node, region, n) in their regions."""
     found = lambda m: m.groupBy("region").applyInArrow(_join, "u long, v long")            # noqa: E731
     over = oversized(wanted)
     if not over.head(1):
-        return found(with_sets(docs, wanted.drop("n"))).select(F.col("u").alias("node"), F.col("v").alias("root"))
-    wanted = stored(banded(wanted, over), "jaccard-bands")
-    over = oversized(wanted).select("region")
-    large = wanted.join(over, "region", "left_semi")
-    edges = found(with_sets(docs, wanted.join(over, "region", "left_anti").drop("n")))
-    if large.head(1):
-        edges = edges.union(found(bounded(stored(with_sets(docs, large.drop("n")), "jaccard-members"))))
-    return components(edges, "jaccard-links").select(F.col("u").alias("node"), "root")
+        return found(with_texts(docs, wanted)).select(F.col("u").alias("node"), F.col("v").alias("root"))
+    members = banded(stored(with_texts(docs, wanted), "jaccard-members"), stored(over, "jaccard-over"))
+    return components(found(bounded(members)), "jaccard-links").select(F.col("u").alias("node"), "root")
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -388,8 +415,8 @@ def join(docs: DataFrame) -> DataFrame:
     ids of null are ``LAST``; root is the component's smallest node, null for empty sets."""
     rows = stored(nodes(docs), "jaccard-nodes")
     kept = stored(survivors(docs), "jaccard-survivors")
-    first = rows.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"))
-    wanted = stored(regions(kept).join(first, "node").select("id", "node", "region", "n"), "jaccard-wanted")
+    first = rows.where("n > 0").groupBy("node").agg(F.min(F.struct("id", "print")).alias("first"), F.first("n").alias("n"))
+    wanted = stored(regions(kept).join(first, "node").select("first.*", "node", "region", "n"), "jaccard-wanted")
     roots = stored(links(docs, wanted), "jaccard-roots")
     labelled = rows.join(roots, "node", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "node")))
     least = labelled.where("n > 0").groupBy("root").agg(F.min("id").alias("least"))

@@ -1,8 +1,11 @@
 import random
 import re
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 
 from concord.llm import jaccard_join as J
 from concord.llm.components import components
@@ -103,7 +106,7 @@ def test_region_join_is_exact():
             k = rng.integers(0, 9)
             x[rng.choice(40, k, replace=False)] = rng.integers(2000, 2400, k)
             sets.append(np.unique(x).astype(np.uint64))
-        got = J.join_region([s.tobytes() for s in sets])
+        got = J.join_region(sets)
         root = list(range(25))
         for i in range(25):
             for j in range(i):
@@ -114,26 +117,66 @@ def test_region_join_is_exact():
         assert got.tolist() == root
 
 
+@pytest.mark.parametrize("n,seconds", [(1000, 2), (4000, 10)])
+def test_dense_regions_take_seconds(n, seconds):
+    rng = np.random.default_rng(17)
+    base = rng.choice(10 ** 6, 150, replace=False)
+    sets = []
+    for _ in range(n):
+        x = base.copy()
+        k = int(rng.integers(0, 38))                           # up to a quarter changed
+        x[rng.choice(150, k, replace=False)] = rng.integers(10 ** 6, 10 ** 9, k)
+        sets.append(np.unique(x).astype(np.uint64))
+    began = time.process_time()
+    got = J.join_region(sets)
+    assert time.process_time() - began < seconds * 4           # BLAS may use several cores
+    m = J.Members(sets)
+    root = np.arange(n)
+    for lo in range(0, n, 500):
+        rows = np.arange(lo, min(n, lo + 500))
+        for r, shared in zip(rows, m.shared(rows)):
+            near = np.unique(root[J.linked(shared, m.size[r], m.size)])
+            root[np.isin(root, near)] = near[0]
+    assert (got == root).all()
+
+
+def test_many_null_ids_take_linear_time(spark):
+    rng = random.Random(18)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for k in range(5000):
+        e = base[:]
+        e[k % 60] = f"x{rng.randrange(400)}"
+        rows.append((None, " ".join(e)))
+    began = time.time()
+    got = J.classes(frame(spark, rows)).collect()
+    assert time.time() - began < 60
+    assert len(got) == 5000 and {(r.doc_id, r.component_id) for r in got} == {(None, None)}
+    assert J.keep_first(frame(spark, rows)).count() == 1
+
+
 def test_split_regions_are_bounded_and_linked_pairs_meet(spark, monkeypatch):
     monkeypatch.setattr(J, "REGION_SHINGLES", 4000)
     rng = np.random.default_rng(16)
     rows, sets = [], {}
     for region in (1, 2):                                      # two oversized regions: near-copy groups that share a passage
-        passage = rng.integers(0, 1 << 62, 20)
+        passage = rng.integers(0, 1 << 62, 24).tolist()
         for g in range(30):
-            base = np.concatenate([passage, rng.integers(0, 1 << 62, int(rng.integers(40, 200)))])
+            base = passage + rng.integers(0, 1 << 62, int(40 * 15 ** rng.random())).tolist()
             for _ in range(6):
-                x = base.copy()
-                k = int(rng.integers(0, len(x) // 6))
-                x[rng.choice(len(x), k, replace=False)] = rng.integers(0, 1 << 62, k)
-                node = len(sets)
-                sets[node] = np.unique(x).astype(np.uint64)
-                rows.append((region, node, len(sets[node]), sets[node].tobytes()))
-    schema = "region long, node long, n int, shingles binary"
+                x = base[:]
+                for at in rng.choice(len(x), int(rng.integers(0, len(x) // 30)), replace=False):
+                    x[at] = int(rng.integers(0, 1 << 62))
+                text = " ".join(map(str, x))
+                shingle, _, node = J.sets(pa.array([text]))
+                if int(node[0]) not in sets:
+                    sets[int(node[0])] = shingle
+                    rows.append((region, int(node[0]), len(shingle), zstandard.ZstdCompressor().compress(text.encode())))
+    schema = "region long, node long, n int, packed binary"
     members = spark.createDataFrame(rows, schema)
     pairs = []
-    for region, a, n, _ in rows:
-        for b in range(a):
+    for k, (_, a, n, _) in enumerate(rows):
+        for _, b, _, _ in rows[:k]:
             both = len(np.intersect1d(sets[a], sets[b]))
             if both and 100 * both >= 80 * (n + len(sets[b]) - both):
                 pairs.append((a, b))
