@@ -88,6 +88,30 @@ def code_string(tokens: Column, lang) -> Column:
     return _per_lang(_lit_lang(lang), chain)
 
 
+def tag_words(df: DataFrame, key: str, tokens: str, lexicon: DataFrame) -> DataFrame:
+    """C1 with the lexicon as a table (word, code) of any size: (key, n_tokens, codes array<string>).
+
+    A row's places of a word are gathered first, so a frequent word meets the
+    lexicon once per row, not once per place; the join is an equi-join on words whose
+    hot ones the adaptive planner splits.  Codes go back to their places; words
+    that the lexicon lacks are ``UNKNOWN``.  A word with several codes has the
+    smallest.  Keys are unique; rows without words stay."""
+    at = df.select(F.col(key).alias("_key"), F.posexplode(tokens).alias("_at", "word"))
+    at = at.groupBy("_key", "word").agg(F.collect_list("_at").alias("_at"))
+    codes = lexicon.where(F.col("word").isNotNull()).groupBy("word").agg(F.min("code").alias("code"))
+    found = at.join(codes, "word", "left").select("_key", F.explode("_at").alias("_at"), F.coalesce("code", F.lit(UNKNOWN)).alias("code"))
+    back = found.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("_at", "code"))).alias("_codes"))
+    out = df.select(key).join(back, F.col(key) == F.col("_key"), "left")
+    codes = F.transform(F.coalesce("_codes", F.array().cast("array<struct<_at:int,code:string>>")), lambda c: c["code"])
+    return out.select(key, F.size(codes).alias("n_tokens"), codes.alias("codes"))
+
+
+def lexicon_table(spark, lang: str) -> DataFrame:
+    """A grammar's lexicon as (word, code) rows."""
+    rows = [(w, t + {"sg": "s", "pl": "p"}.get(n, "-")) for w, (t, n) in L.PARSE_LEXICONS[lang].entries.items()]
+    return spark.createDataFrame(rows, "word string, code string")
+
+
 def code_strings(cs: Column) -> tuple:
     """(tag string, number string) from a joined code string; unknown -> '?' / '-'."""
     return F.regexp_replace(cs, "(.).", "$1"), F.regexp_replace(cs, ".(.)", "$1")

@@ -50,13 +50,19 @@ def curve(scored: DataFrame, metrics: list) -> DataFrame:
 def group_counts(scored: DataFrame, metrics: list, variables: list) -> DataFrame:
     """(iteration, tense, metric, var, val, n_true, n_false) for every grouping variable.
 
-    One aggregate over all variables together (they are features of a bounded
-    grammar, so its groups are few); metrics and variables are unpivoted after it."""
-    c = metric_counts(scored, ["iteration", "tense", *variables], metrics)
-    v = F.explode(F.array(*[F.struct(F.lit(x).alias("var"), F.coalesce(F.col(x).cast("string"), F.lit("None")).alias("val")) for x in variables]))
-    c = c.select("iteration", "tense", "metric", "n_true", "n_false", v.alias("_v"))
-    return c.groupBy("iteration", "tense", "metric", F.col("_v.var").alias("var"), F.col("_v.val").alias("val")).agg(
-        F.sum("n_true").alias("n_true"), F.sum("n_false").alias("n_false"))
+    GROUPING SETS: each row stands once per variable and is combined map-side, so
+    there are as many groups as the variables have values in sum; metrics are
+    unpivoted after it."""
+    base = ["iteration", "tense"]
+    rows = scored.select(*base, *metrics, *[F.coalesce(F.col(v).cast("string"), F.lit("None")).alias(f"_v_{v}") for v in variables])
+    counts = []
+    for m in metrics:
+        counts += [F.count_if(F.col(m)).alias(f"_t_{m}"), F.count_if(~F.col(m)).alias(f"_f_{m}")]
+    own = [f"_v_{v}" for v in variables]
+    sets = rows.groupingSets([[*base, c] for c in own], *base, *own).agg(*counts)       # the other variables are NULL in a set
+    v = F.coalesce(*[F.when(F.col(c).isNotNull(), F.struct(F.lit(x).alias("var"), F.col(c).alias("val"))) for x, c in zip(variables, own)])
+    m = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"_t_{m}").alias("n_true"), F.col(f"_f_{m}").alias("n_false")) for m in metrics]))
+    return sets.select(*base, v.alias("_v"), m.alias("_m")).select(*base, "_m.metric", "_v.var", "_v.val", "_m.n_true", "_m.n_false")
 
 
 def grouped_curve(counts: DataFrame) -> DataFrame:

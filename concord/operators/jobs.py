@@ -3,9 +3,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import ranked
+
 
 
 def lines(text: Column) -> Column:
@@ -72,6 +74,24 @@ def select_items(df: DataFrame, path_col: str, globs: list | None = None, suffix
     return out.orderBy(path_col)
 
 
+def write_items(df: DataFrame, path: str, folders: list, text: str) -> None:
+    """One text file per row, in a folder for each value of ``folders``."""
+    df.select(*folders, text).write.mode("overwrite").partitionBy(*folders).text(path)
+
+
+def read_items(spark: SparkSession, globs: list, suffix: str | None = None, regex: str | None = None) -> DataFrame:
+    """(place, path, text) of the files that any of the globs names, each once,
+    in path order; optionally only paths with a suffix, or that a regex matches from the start.
+
+    Files are read whole, one row each; globs may overlap."""
+    files = spark.read.text(globs, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    if suffix:
+        files = files.where(F.col("path").endswith(suffix))
+    if regex:
+        files = files.where(F.col("path").rlike("^(?:" + regex + ")"))
+    return ranked(files.dropDuplicates(["path"]), [F.col("path")], "place", "items").select("place", "path", "text")
+
+
 def flatten(text: Column) -> Column:
     """Drop comment ('#') and blank lines, join with '; ', remove tabs
     and line continuations ('\\; ')."""

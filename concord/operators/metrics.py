@@ -10,6 +10,11 @@ summarised by one partially aggregated ``groupBy``.
 
 from __future__ import annotations
 
+import inspect
+from collections.abc import Callable
+from dataclasses import dataclass
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -171,6 +176,81 @@ DORMANT_METRICS = {
 ALL_METRICS = {**METRICS, **DORMANT_METRICS}
 
 
+@dataclass(frozen=True)
+class Metric:
+    """A metric of the user's own: a nullable boolean per example."""
+
+    name: str
+    fn: Callable
+    arguments: tuple               # names that the function declares
+    optional: frozenset            # those with a default
+    arrow: bool
+
+    def column(self, given: dict) -> Column:
+        """The metric's values for ``given``: columns, or scalars that are spread over the rows.
+
+        Arguments that the function does not declare are left out; one that it
+        needs and does not get is an error."""
+        missing = [a for a in self.arguments if a not in given and a not in self.optional]
+        if missing:
+            raise TypeError(f"metric {self.name} needs {', '.join(missing)}")
+        mine = {a: v if isinstance(v, Column) else F.lit(v) for a, v in given.items() if a in self.arguments}
+        if not self.arrow:
+            return self.fn(**mine).cast("boolean")
+        return _arrow_column(self.name, self.fn, tuple(mine))(*mine.values())
+
+
+def _arrow_column(name: str, fn: Callable, names: tuple):
+    def run(*columns: pa.Array) -> pa.Array:
+        out = fn(**dict(zip(names, columns)))
+        if len(out) != len(columns[0]):
+            raise ValueError(f"metric {name} gave {len(out)} values for {len(columns[0])} examples")
+        return out if isinstance(out, pa.Array) else pa.array(out, pa.bool_())
+
+    return F.arrow_udf(run, "boolean")
+
+
+REGISTERED: dict[str, Metric] = {}
+
+
+def register(fn: Callable | None = None, *, name: str | None = None, arrow: bool = False):
+    """declare a metric, as a decorator or by a call.
+
+    The function's parameters are the arguments that it is given by name: column
+    expressions to a column expression, or, with ``arrow``, Arrow arrays of a batch to
+    as many booleans (None: no result).  Built-in names cannot be taken."""
+    if fn is None:
+        return lambda f: register(f, name=name, arrow=arrow)
+    name = name or fn.__name__
+    if name in ALL_METRICS:
+        raise ValueError(f"{name} is a built-in metric")
+    parameters = inspect.signature(fn).parameters.values()
+    if any(p.kind in (p.VAR_POSITIONAL, p.VAR_KEYWORD, p.POSITIONAL_ONLY) for p in parameters):
+        raise TypeError(f"metric {name} must name its arguments")
+    REGISTERED[name] = Metric(name, fn, tuple(p.name for p in parameters), frozenset(p.name for p in parameters if p.default is not p.empty), arrow)
+    return fn
+
+
+def evaluate(df: DataFrame, names: list, arguments: dict, keep=("id",)) -> DataFrame:
+    """registered metrics side by side.  ``arguments``: by argument name, a
+    column's name or expression, or a scalar in a one-tuple."""
+    given = {a: v[0] if isinstance(v, tuple) else _c(v) for a, v in arguments.items()}
+    return df.select(*keep, *[REGISTERED[n].column(given).alias(n) for n in names])
+
+
+def aligned(parts: dict, key: str = "example_id") -> DataFrame:
+    """arguments given as tables of their own (key, value), lined up by key; unequal lengths are an error."""
+    sizes = {name: df.count() for name, df in parts.items()}
+    if len(set(sizes.values())) > 1:
+        raise ValueError("arguments are not of one length: " + ", ".join(f"{name} {n}" for name, n in sizes.items()))
+    out = None
+    for name, df in parts.items():
+        value = next(c for c in df.columns if c != key)
+        df = df.select(key, F.col(value).alias(name))
+        out = df if out is None else out.join(df, key)
+    return out
+
+
 def compute_metrics(df: DataFrame, pred="pred", gold="gold", lang="lang", tense="tense", k=None,
                     names=None, keep=("id",), extra=None, parse_words: int | None = None) -> DataFrame:
     """F9 column form: one row per example, one nullable boolean per metric

@@ -8,6 +8,9 @@ by Spark from the data); everything is DataFrame functions, no Python per row.
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,6 +67,47 @@ def encode(df: DataFrame, key: str, tokens_col: str, vocab: DataFrame, add_eos:
     return g.select(key, (F.concat(ids, F.array(F.lit(EOS_ID))) if add_eos else ids).alias("ids"))
 
 
+TOKENIZER_BYTES = 256 << 20        # of a tokenizer's file, which every task gets
+
+
+def encode_external(df: DataFrame, text: str, tokenizer: str, out: str = "ids", add_eos: bool = False) -> DataFrame:
+    """H3 with an external tokenizer: ``df`` plus the token ids of ``text`` as array<int>.
+
+    ``tokenizer`` is the path of a file in the ``tokenizers`` library's JSON format;
+    Spark reads it, its size is checked, and it is broadcast once; a task loads it
+    once and encodes whole Arrow batches.  NULL text has NULL ids; ``add_eos``
+    appends ``EOS_ID``."""
+    spark = df.sparkSession
+    file = spark.read.format("binaryFile").load(tokenizer).select("length", "content")
+    if file.agg(F.sum("length")).first()[0] > TOKENIZER_BYTES:
+        raise ValueError(f"{tokenizer} is larger than {TOKENIZER_BYTES} bytes")
+    sent = spark.sparkContext.broadcast(bytes(file.where("length > 0").first().content))
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
+    end = [EOS_ID] if add_eos else []
+
+    def run(batches):
+        from tokenizers import Tokenizer
+
+        load = Tokenizer.from_buffer(sent.value)
+        for batch in batches:
+            texts = batch.column(text).to_pylist()
+            ids = iter(load.encode_batch([t for t in texts if t is not None], add_special_tokens=False))
+            made = [None if t is None else next(ids).ids + end for t in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.list_(pa.int32()))], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
+def word_tokenizer(vocab: DataFrame) -> str:
+    """A vocabulary (word, token_id) as a word-level tokenizer in the ``tokenizers`` library's JSON format.
+
+    For vocabularies of a grammar's size; the file's bound is checked when it is read."""
+    ids = {r.word: r.token_id for r in vocab.select("word", "token_id").toLocalIterator()}
+    return json.dumps({"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": None,
+                       "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "decoder": None,
+                       "model": {"type": "WordLevel", "vocab": {"<unk>": UNK_ID, **ids}, "unk_token": "<unk>"}})
+
+
 def truncate_ids(ids: Column, max_len: int, keep_eos: bool = True) -> Column:
     """H4: at most ``max_len`` ids; the end-of-sequence id stays last."""
     if not keep_eos:

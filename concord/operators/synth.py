@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import draws as D
 from ..functions import lexicon as L
 from ..functions.text import surface
-from ..sources.tables import ranked
+from ..sources.tables import ranked, running_total, stored
 
 
 # ---------------------------------------------------------------- lookups
@@ -107,6 +107,33 @@ def sample_shapes(keys: DataFrame, key: str = "id", salt="") -> DataFrame:
     return df.drop("_u", "_s")
 
 
+def sample_rules(keys: DataFrame, rules: DataFrame, weight: str = "weight", order: tuple = ("rule_id",), key: str = "id",
+                 slot: int = D.SLOT_SHAPE, salt="") -> DataFrame:
+    """B1/B2 with the grammar as a table: each key draws one of the weighted ``rules``.
+
+    Rule r owns the draws from the sum of the weights before it (in ``order``) up
+    to its own more.  The draws' range is cut into about as many buckets as there
+    are rules; a rule is copied to the buckets that it reaches into (fewer than
+    two a rule on average), and keys meet rules by bucket, an equi-join with
+    evenly filled buckets, then by bounds.  Rules of weight 0 are never drawn; the
+    weights are whole numbers with a sum below 2^31.  Columns: those of ``keys``
+    and ``rules``."""
+    with_lo = running_total(rules.where(F.col(weight) > 0), [F.col(c) for c in order], weight, "_lo", "rules")
+    total, n = with_lo.agg(F.sum(weight), F.count(F.lit(1))).first()
+    if not total:
+        return keys.crossJoin(rules.where("false"))
+    if total >= 1 << 31:
+        raise ValueError(f"weights sum to {total}; the draws reach below 2^31")
+    width = -(-int(total) // n)
+    div = lambda a: F.call_function("div", a.cast("bigint"), F.lit(width).cast("bigint"))                  # noqa: E731
+    hi = F.col("_lo") + F.col(weight)
+    by_bucket = with_lo.withColumn("_hi", hi).withColumn("_bucket", F.explode(F.sequence(div(F.col("_lo")), div(hi - 1))))
+    drawn = D.stage(keys, {"_u": D.pick(D.draw(F.col(key), slot, salt), int(total))})
+    drawn = D.stage(drawn, {"_bucket": div(F.col("_u"))})
+    out = drawn.join(by_bucket, "_bucket").where((F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi")))
+    return out.drop("_bucket", "_u", "_lo", "_hi")
+
+
 # ---------------------------------------------------------------- B3/B4/B6/B7
 def synthesize(keys: DataFrame, lang="en_RC_PP", pres_p=0.5, harmonize=False, key: str = "id", salt="",
                naive: bool = False) -> DataFrame:
@@ -227,7 +254,9 @@ def config_keys(keys: DataFrame, config=None) -> DataFrame:
     if not total:
         total = 1
     # bounded: one row per configured split; keys beyond a split's size are filtered at the join
-    kd = k.join(F.broadcast(config_table(spark, config)), F.col("place") < F.col("n"))
+    table = config_table(spark, config)
+    most = table.agg(F.max("n")).first()[0] or 0              # no key beyond the largest split is joined at all
+    kd = k.where(F.col("place") < most).join(F.broadcast(table), F.col("place") < F.col("n"))
     last = F.call_function("div", F.col("n") - 1 - F.col("place"), F.lit(total))
     kd = kd.withColumn("round", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
     return kd.select("lang", "dataset", "name", "grammar", "pres_p", "generator", "split", "key",
@@ -261,19 +290,20 @@ def preamble(words: Column, verb_pos: Column) -> Column:
     return F.array_join(F.slice(words, 1, verb_pos + 1), " ")
 
 
-def balanced_flags(annotated: DataFrame, quotas: dict | None = None) -> DataFrame:
-    """Every candidate with ``first`` (its preamble is new), ``quota`` and ``accepted``.
+def acceptance(annotated: DataFrame, quotas: dict | None = None) -> DataFrame:
+    """Candidates, unique preambles, accepted, skipped, too long and fill ratio per condition.
 
-    Rows are taken in key order while their condition is non-NULL and under
-    quota and their preamble is unseen.  The preamble determines the condition,
-    so the sequential rule equals: first row per preamble, then the first
-    ``quota`` of those per condition."""
-    q = quota_table(annotated.sparkSession, quotas)
-    first = F.row_number().over(Window.partitionBy("preamble").orderBy("id")) == 1
-    x = annotated.withColumn("first", first)
-    place = F.row_number().over(Window.partitionBy("condition", "first").orderBy("id"))
-    x = x.withColumn("_rc", F.when(F.col("first"), place)).join(F.broadcast(q), "condition", "left")
-    return x.withColumn("accepted", F.coalesce(F.col("first") & (F.col("_rc") <= F.col("quota")), F.lit(False))).drop("_rc")
+    A preamble has one condition, so the sequential rule accepts as many rows as
+    there are distinct preambles, up to the quota: counts alone decide, combined
+    map-side by preamble and then by condition."""
+    one = annotated.groupBy("condition", "preamble").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_words") > L.MAX_SENTENCE_WORDS).alias("long"))
+    c = one.groupBy("condition").agg(F.sum("n").alias("n_candidates"), F.count(F.lit(1)).alias("n_unique"), F.sum("long").alias("n_too_long"))
+    c = c.join(F.broadcast(quota_table(annotated.sparkSession, quotas)), "condition", "left")
+    c = c.withColumn("n_accepted", F.when(F.col("quota").isNotNull(), F.least("n_unique", F.col("quota").cast("bigint"))).otherwise(F.lit(0).cast("bigint")))
+    return c.select(F.coalesce("condition", F.lit("NULL")).alias("condition"), "n_candidates", "n_unique", "n_accepted",
+                    (F.col("n_candidates") - F.col("n_accepted")).alias("n_skipped"), "n_too_long", "quota",
+                    (F.col("n_accepted") / F.col("quota")).alias("fill"))
 
 
 def balanced_sample(annotated: DataFrame, quotas: dict | None = None) -> DataFrame:
@@ -282,14 +312,67 @@ def balanced_sample(annotated: DataFrame, quotas: dict | None = None) -> DataFra
     the exact quota join; the first row of a preamble is its smallest key, an
     aggregate with map-side combine."""
     quotas = quotas or L.BALANCED_QUOTAS
-    rest = [c for c in annotated.columns if c not in ("preamble", "id")]
-    first = annotated.groupBy("preamble").agg(F.min(F.struct("id", *rest)).alias("_f")).select("preamble", "_f.*")
-    ranked_ = first.withColumn("_rc", F.row_number().over(Window.partitionBy("condition").orderBy("id")))
+    ranked_ = _first_rows(annotated).withColumn("_rc", F.row_number().over(Window.partitionBy("condition").orderBy("id")))
     ranked_ = ranked_.filter((F.col("_rc") <= max(quotas.values())) & F.col("condition").isNotNull())
     return (ranked_.join(F.broadcast(quota_table(annotated.sparkSession, quotas)), "condition")
                    .filter(F.col("_rc") <= F.col("quota")).drop("_rc"))
 
 
+FIRST_DRAWS = 50_000               # sentences drawn before the rates are known
+IDLE_DRAWS = 50_000_000            # draws without a new sentence after which a category counts as impossible
+
+
+def numbered_draws(placed: DataFrame, total: int, lo: int, hi: int, salt: str) -> DataFrame:
+    """Draws lo..hi-1 (id, key, round, salt): draw i takes the (i mod total)-th key of ``placed`` (key, place) in round i div total."""
+    div = lambda a, b: F.call_function("div", a, F.lit(b).cast("bigint"))                  # noqa: E731
+    first = div(F.greatest(F.lit(lo).cast("bigint") - F.col("place") + (total - 1), F.lit(0).cast("bigint")), total)
+    last = div(F.lit(hi - 1).cast("bigint") - F.col("place") + total, total) - 1
+    rounds = placed.where(F.col("place") < hi).withColumn("round", F.explode(F.when(first <= last, F.sequence(first, last))))
+    return rounds.select((F.col("round") * total + F.col("place")).alias("id"), "key", "round", F.concat(F.lit(f"{salt}/"), F.col("round").cast("string")).alias("salt"))
+
+
+def balanced_full(keys: DataFrame, annotate, quotas: dict | None = None, salt: str = "balanced") -> DataFrame:
+    """B11 until every quota is full: rows are drawn on and on, key by key and, when
+    the keys end, again with fresh draws, as the sequential rule does; a row counts
+    while its condition is under quota and its preamble is unseen.
+
+    ``annotate`` turns draws (id, key, round, salt) into rows with condition and
+    preamble.  Draws are taken in slices of the sequence; how many come next
+    follows from the rate at which the slowest open category filled up to here,
+    and only rows of open categories with unseen preambles go on.  Where a slice
+    ends changes nothing, since preambles and ranks go by the draw's number.  A
+    slice's accepted rows are stored; the quotas are all that is collected."""
+    spark = keys.sparkSession
+    quotas = dict(quotas or L.BALANCED_QUOTAS)
+    placed = ranked_keys(keys).withColumnRenamed("id", "key")
+    total = placed.count()
+    taken, left, at, last_gain, size = None, quotas, 0, 0, FIRST_DRAWS
+    while total and left:
+        # aggregated first: filters on conditions stay above, and are not repeated in all that they are derived from
+        rows = _first_rows(annotate(numbered_draws(placed, total, at, at + size, salt))).join(F.broadcast(quota_table(spark, left)), "condition")
+        if taken is not None:
+            rows = rows.join(taken.select("preamble"), "preamble", "left_anti")
+        rank = F.row_number().over(Window.partitionBy("condition").orderBy("id"))
+        new = rows.withColumn("_rc", rank).where(F.col("_rc") <= F.col("quota")).drop("_rc", "quota")
+        new = stored(new, "balanced")
+        taken = new if taken is None else stored(taken.unionByName(new), "balanced-taken")
+        at += size
+        had = {r.condition: r["count"] for r in taken.groupBy("condition").count().collect()}
+        before, left = left, {c: q - had.get(c, 0) for c, q in quotas.items() if q > had.get(c, 0)}
+        last_gain = at if left != before else last_gain
+        if at - last_gain > IDLE_DRAWS:
+            raise ValueError(f"no sentences for {sorted(left)} among {IDLE_DRAWS} draws")
+        wanted = [n / max(had.get(c, 0), 1) * at for c, n in left.items()]
+        size = int(min(max([FIRST_DRAWS, *[1.1 * w for w in wanted]]), 20 * at))
+    return taken if taken is not None else stored(_first_rows(annotate(numbered_draws(placed, 1, 0, 0, salt))).where("false"), "balanced")
+
+
+def _first_rows(rows: DataFrame) -> DataFrame:
+    """The first row of each preamble, by id."""
+    rest = [c for c in rows.columns if c not in ("preamble", "id")]
+    return rows.groupBy("preamble").agg(F.min(F.struct("id", *rest)).alias("_f")).select("preamble", "_f.*")
+
+
 def quota_table(spark: SparkSession, quotas: dict | None = None) -> DataFrame:
     return spark.createDataFrame(list((quotas or L.BALANCED_QUOTAS).items()), "condition string, quota int")
 

@@ -198,7 +198,7 @@ def preds_ctes(p: str = "") -> list:
 
 
 def parse_ctes(p: str, src: str, text: str, lang_sql: str, k: str | None = None,
-               max_words: int | None = L.MAX_PARSE_WORDS, strip: str = r" [.?!]$") -> list:
+               max_words: int | None = None, strip: str = r" [.?!]$") -> list:
     """Tag + accept sentences of ``src`` (columns id, {text}[, {k}]).
 
     Produces {p}ptoks (id, stage, pos, w, tag, number) and {p}pacc (id, stage,

@@ -237,11 +237,7 @@ GROUP BY 1"""))
 def acceptance_accounting(spark, d):
     """Candidates, unique preambles, accepted, skipped, too long and fill
     ratio per condition, from one pass of flags."""
-    f = S.balanced_flags(_balanced_candidates(spark, d, "n_words"))
-    return f.groupBy(F.coalesce("condition", F.lit("NULL")).alias("condition")).agg(
-        F.count("*").alias("n_candidates"), F.count_if("first").alias("n_unique"), F.count_if("accepted").alias("n_accepted"),
-        F.count_if(~F.col("accepted")).alias("n_skipped"), F.count_if(F.col("n_words") > L.MAX_SENTENCE_WORDS).alias("n_too_long"),
-        F.max("quota").alias("quota"), (F.count_if("accepted") / F.max("quota")).alias("fill"))
+    return S.acceptance(_balanced_candidates(spark, d, "n_words"))
 
 
 @query("experiment_grid", _w(_PREFIX_CTES[:4] + [
@@ -336,7 +332,7 @@ def _scored(spark, d) -> DataFrame:
     return FX.preds_table(spark, d)
 
 
-@query("accepts_rcpp", _w(_PREDS + O.parse_ctes("a_", "preds", "pred", "'en_RC_PP'"), """
+@query("accepts_rcpp", _w(_PREDS + O.parse_ctes("a_", "preds", "pred", "'en_RC_PP'", max_words=L.MAX_PARSE_WORDS), """
 SELECT p.id, a.ok AS accepted FROM preds p JOIN a_pacc a ON a.id = p.id AND a.stage = 1"""))
 def accepts_rcpp(spark, d):
     """Does the (capped, lower-cased) prediction parse under the RC/PP grammar?"""
@@ -352,7 +348,7 @@ def two_stage_accept(spark, d):
     """Which stage accepted the prediction (1 full, 2 first k+1 words + [EOS], NULL none)."""
     s = _scored(spark, d)
     w = s.select("id", F.col("pred").alias("_pred"), F.col("lang").alias("_lang"), F.col("verb_pos").alias("_k"))
-    return M.with_two_stage_parse(w, L.MAX_PARSE_WORDS).select("id", F.col("_stage").alias("stage"))
+    return M.with_two_stage_parse(w).select("id", F.col("_stage").alias("stage"))
 
 
 def _trunc_sql(x, k):
@@ -377,7 +373,7 @@ _AGREE_SQL_CTES = _PREDS + O.parse_ctes("a_", "preds", "pred", "'en_RC_PP'", k="
 @query("agreement_attraction", _w(_AGREE_SQL_CTES, "SELECT id, agreement_attraction FROM agree"))
 def agreement_attraction(spark, d):
     """F5 per prediction."""
-    return M.compute_metrics(_scored(spark, d), k="verb_pos", names=["agreement_attraction"], parse_words=L.MAX_PARSE_WORDS)
+    return M.compute_metrics(_scored(spark, d), k="verb_pos", names=["agreement_attraction"])
 
 
 def _first_word_sql(x):
@@ -413,7 +409,7 @@ FROM {src} GROUP BY {g}"""
 
 def _scored_metrics(spark, d) -> DataFrame:
     s = _scored(spark, d)
-    return M.compute_metrics(s, k="verb_pos", keep=[c for c in s.columns if c not in ("pred", "gold")], parse_words=L.MAX_PARSE_WORDS)
+    return M.compute_metrics(s, k="verb_pos", keep=[c for c in s.columns if c not in ("pred", "gold")])
 
 
 @query("agreement_summary", _w(_ALL_METRICS_SQL, _summary_sql("long")))
@@ -593,7 +589,7 @@ FROM scored s JOIN meta m USING (id), ntest t)"""]
 
 def _results(spark, d) -> DataFrame:
     scored = FX.preds_table(spark, d)
-    metrics = M.compute_metrics(scored, k="verb_pos", keep=("id", "iteration"), parse_words=L.MAX_PARSE_WORDS)
+    metrics = M.compute_metrics(scored, k="verb_pos", keep=("id", "iteration"))
     metadata = FX.corpus(spark, d).select("id", *_RESULT_META)
     return C.assemble(metrics, metadata, sorted(M.METRICS), _run_params(spark), _MODEL, _TEST_SET)
 
@@ -831,7 +827,7 @@ def pad_mask(spark, d):
                     F.array_join(H.attention_mask(ids, PAD_LEN), " ").alias("attention_mask"))
 
 
-LABEL_LEN = 12
+LABEL_LEN = H.MAX_TARGET_LENGTH
 _TARGETS = O.corpus_ctes() + [
     f"itok AS (SELECT id, unnest(t) AS word, generate_subscripts(t, 1) AS pos FROM (SELECT id, {_tok_sql('tgt')} AS t FROM corpus))"] + _INPUTS[-2:]
 
@@ -986,7 +982,7 @@ WITH r AS (SELECT conv_id, role, turn, row_number() OVER (PARTITION BY conv_id,
 SELECT u.conv_id, CAST(u.k AS INTEGER) AS k, u.turn AS user_turn, a.turn AS assistant_turn
 FROM r u JOIN r a ON a.conv_id = u.conv_id AND a.k = u.k AND u.role = 'user' AND a.role = 'assistant'""")
 def ordinal_join(spark, d):
-    """A3: k-th user message paired with the k-th assistant message (ordinal zip)."""
+    """A zip by place within groups: the k-th user message of a conversation with its k-th assistant message."""
     c = FX.table(spark, d, "conversations").filter(F.col("role").isin("user", "assistant"))
     r = c.withColumn("k", F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn")).cast("int"))
     u = r.filter(F.col("role") == "user").select("conv_id", "k", F.col("turn").alias("user_turn"))
@@ -1064,7 +1060,7 @@ def score_files(spark, d):
         else:
             held.select(F.concat_ws("\t", "src", "tgt")).write.text(gold)
         IO.write_metadata(held, IO.metadata_path(gold) if kind == "json" else f"{base}/tsv/meta.json")
-        m = M.score_files(spark, f"{base}/predictions.txt", gold, use_constraint=True, parse_words=L.MAX_PARSE_WORDS,
+        m = M.score_files(spark, f"{base}/predictions.txt", gold, use_constraint=True,
                           metadata_path=None if kind == "json" else f"{base}/tsv/meta.json")
         m = M.summarize(m, sorted(M.METRICS), by=["tense"]).select(F.lit(kind).alias("gold_format"), "*")
         out = m if out is None else out.union(m)
@@ -1151,7 +1147,7 @@ def _stim_rows(spark, d, lang) -> DataFrame:
 
 def _agreement_query(name, lang):
     def q_(spark, d):
-        return M.compute_metrics(_stim_rows(spark, d, lang), names=["agreement_attraction"], parse_words=L.MAX_PARSE_WORDS)
+        return M.compute_metrics(_stim_rows(spark, d, lang), names=["agreement_attraction"])
     q_.__doc__ = f"F5 on predictions for {lang}-style items."
     QUERIES[name] = q_
     SQL[name] = _w(_stim_sql(lang) + [f"rows AS (SELECT id, {O.fmt('pred')} AS pred, {O.fmt('gold')} AS gold, {O.q(lang)} AS lang FROM stim)"]
@@ -1168,7 +1164,7 @@ _GEN_CTES = O.corpus_ctes(lang="en_RC_PP_gen", pres_p=1.0) + O.preds_ctes() + ["
 def agreement_rcpp_gen(spark, d):
     """F5 on predictions in the second vocabulary."""
     rows = FX.scored_input(FX.corpus(spark, d, lang="en_RC_PP_gen", pres_p=1.0))
-    return M.compute_metrics(rows, k="verb_pos", names=["agreement_attraction"], parse_words=L.MAX_PARSE_WORDS)
+    return M.compute_metrics(rows, k="verb_pos", names=["agreement_attraction"])
 
 
 _MIXED_LANGS = ["en_FVN_02", "en_VN_98", "xx_unknown", None]
@@ -1182,7 +1178,7 @@ def agreement_mixed(spark, d):
     which = F.call_function("div", F.col("id"), F.lit(4)) % 4
     lang = F.when(which == 0, "en_FVN_02").when(which == 1, "en_VN_98").when(which == 2, "xx_unknown")
     rows = _stim_rows(spark, d, "en_FVN_02").withColumn("lang", lang)
-    return M.compute_metrics(rows, names=["agreement_attraction"], keep=("id", "lang"), parse_words=L.MAX_PARSE_WORDS)
+    return M.compute_metrics(rows, names=["agreement_attraction"], keep=("id", "lang"))
 
 
 # ---- H12: allowed next tokens per position --------------------------------
@@ -1227,3 +1223,6 @@ def results_csv_roundtrip(spark, d):
     back = IO.read_checkpoint_results(spark, f"{base}/checkpoint=*/*.csv.gz", _RESULT_SCHEMA)
     placed = TB.ranked(back, [F.col("iteration"), F.col("line")], "place", "results")
     return placed.drop("line")
+
+
+from . import files_and_tables      # noqa: E402,F401  registers its queries

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from .tables import stored
+from .tables import ranked
 
 PAIR_SCHEMA = T.StructType([T.StructField("translation", T.StructType([
     T.StructField("src", T.StringType()), T.StructField("prefix", T.StringType()),
@@ -42,8 +42,9 @@ METADATA_SCHEMA = T.StructType([
 ])
 
 
-def with_ordinal(df: DataFrame, name: str = "example_id") -> DataFrame:
-    """A3: 0-based line number of a file-based table, over its files in path order.
+def with_ordinal(df: DataFrame, name: str = "example_id", within: tuple = ()) -> DataFrame:
+    """A3: 0-based line number of a file-based table, over its files in path order;
+    with ``within`` (partition columns of the folders), numbered anew for each of their values.
 
     A file block is read by one task in order, so ``monotonically_increasing_id``
     counts its rows; a table of the blocks' first ids and sizes (one row per
@@ -51,9 +52,9 @@ def with_ordinal(df: DataFrame, name: str = "example_id") -> DataFrame:
     block = ["_line_path", "_line_block"]
     x = df.select("*", F.col("_metadata.file_path").alias(block[0]), F.col("_metadata.file_block_start").alias(block[1]))
     x = x.withColumn("_line_id", F.monotonically_increasing_id())
-    blocks = x.groupBy(*block).agg(F.min("_line_id").alias("_line_first"), F.count(F.lit(1)).alias("_line_n"))
-    before = F.sum("_line_n").over(Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1))
-    blocks = blocks.withColumn("_line_shift", F.coalesce(before, F.lit(0)) - F.col("_line_first")).drop("_line_first", "_line_n")
+    blocks = x.groupBy(*within, *block).agg(F.min("_line_id").alias("_line_first"), F.count(F.lit(1)).alias("_line_n"))
+    before = F.sum("_line_n").over(Window.partitionBy(*within).orderBy(*block).rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.withColumn("_line_shift", F.coalesce(before, F.lit(0)) - F.col("_line_first")).drop("_line_first", "_line_n", *within)
     out = x.join(F.broadcast(blocks), block).withColumn(name, F.col("_line_id") + F.col("_line_shift"))
     return out.select(*df.columns, name)
 
@@ -70,14 +71,27 @@ def write_metadata(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.select(*cols).write.mode(mode).option("compression", "gzip").option("ignoreNullFields", "false").json(path)
 
 
-def write_dataset(df: DataFrame, path: str, order: list) -> None:
+LINES_PER_FILE = 250_000
+
+
+def in_files(df: DataFrame, line: str, n_lines: int, lines_per_file: int = LINES_PER_FILE) -> DataFrame:
+    """Rows with 0-based line numbers as the partitions of a written table: partition
+    k, which becomes the k-th file by name, holds the k-th ``lines_per_file`` lines in order."""
+    files = max(1, -(-n_lines // lines_per_file))
+    return df.repartitionById(files, F.call_function("div", F.col(line), F.lit(lines_per_file)).cast("int")).sortWithinPartitions(line)
+
+
+def write_dataset(df: DataFrame, path: str, order: list, lines_per_file: int = LINES_PER_FILE) -> None:
     """Pairs and metadata written side by side in the given order.
 
-    The ordered rows are stored first; both outputs then are plain scans of the
-    same files, so part k of one holds the rows of part k of the other."""
-    held = stored(df.orderBy(*order), "dataset")
-    write_pairs(held, path)
-    write_metadata(held, metadata_path(path))
+    The rows are numbered first (``ranked``: stored, no global window); a row's
+    number alone says which file it goes to and where it stands there, so the
+    files by name hold the order asked for, whatever a scan makes of the stored
+    rows, and file k of the pairs lines up with file k of the metadata."""
+    placed = ranked(df, order, "_line", "dataset")
+    n = placed.count()
+    write_pairs(in_files(placed, "_line", n, lines_per_file), path)
+    write_metadata(in_files(placed, "_line", n, lines_per_file), metadata_path(path))
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:

@@ -34,3 +34,16 @@ def ranked(df: DataFrame, order: list, rank: str, name: str) -> DataFrame:
     shift = held.groupBy(part).count().select(F.col(part), F.coalesce(F.sum("count").over(
         Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(rank))
     return held.join(F.broadcast(shift), part).withColumn(rank, F.col(rank) + F.col(place)).drop(part, place)
+
+
+def running_total(df: DataFrame, order: list, value: str, total: str, name: str) -> DataFrame:
+    """Add the sum of ``value`` over the rows before, in a total order: range
+    partitions are summed inside, then shifted by the sums of the partitions before them."""
+    part, inside = f"__{total}_part", f"__{total}_inside"
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = df.repartitionByRange(n, *order).withColumn(part, F.spark_partition_id())
+    before = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    held = stored(cut.withColumn(inside, F.coalesce(F.sum(value).over(before), F.lit(0))), name)
+    shift = held.groupBy(part).agg(F.sum(value).alias("__sum")).select(F.col(part), F.coalesce(F.sum("__sum").over(
+        Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(total))
+    return held.join(F.broadcast(shift), part).withColumn(total, F.col(total) + F.col(inside)).drop(part, inside)

@@ -52,8 +52,14 @@ def test_balanced_sample_respects_quotas_and_unique_preambles(spark):
         if cond is not None and counts.get(cond, 0) < quotas[cond] and r["preamble"] not in seen:
             acc.add(r["id"]); seen.add(r["preamble"]); counts[cond] = counts.get(cond, 0) + 1
     assert acc == {r["id"] for r in out.collect()}
-    flags = S.balanced_flags(cand, quotas)
-    assert acc == {r["id"] for r in flags.where("accepted").collect()} and flags.count() == len(rows)
+    table = {r.condition: r for r in S.acceptance(cand.withColumn("n_words", F.lit(5)), quotas).collect()}
+    assert sum(r.n_candidates for r in table.values()) == len(rows)
+    for c in {r["condition"] for r in rows}:
+        mine = [r for r in rows if r["condition"] == c]
+        got = table[c or "NULL"]
+        n = sum(r["id"] in acc for r in mine)
+        assert (got.n_candidates, got.n_unique, got.n_accepted, got.n_skipped, got.n_too_long) == (
+            len(mine), len({r["preamble"] for r in mine}), n, len(mine) - n, 0)
 
 
 def test_configured_splits_are_exact_and_independent(spark):
