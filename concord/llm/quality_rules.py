@@ -1,24 +1,27 @@
 """Quality rules with risk-controlled thresholds.
 
-Every document gets counts and, from them, one badness score per rule.  A
-rule's cutoff is chosen per stratum (language) from labelled documents so that
-the rule provably rejects few good ones:
-
-* The scores are cut into ``BINS`` fixed steps; a labelled histogram per
-  (stratum, rule) is one distributed aggregate over all labelled rows.
-* Cutoffs are tested from the mildest to the harshest (fixed-sequence
-  testing).  Cutoff b passes if the exact binomial tail P(X <= k) for
-  X ~ Bin(n, alpha / rules) is at most delta / (strata * rules), where k of the
-  n good labelled documents would be rejected: the upper Clopper-Pearson bound
-  of the false-rejection rate is then below alpha / rules.  The first failure
-  ends the sequence, so only the (stratum, rule) pairs need the Bonferroni
-  correction.
-* Among the certified cutoffs, the one with the largest
+Every document gets counts and, from them, one badness score per rule.  All
+rules together get cutoffs per stratum (language) from labelled documents, so
+that they provably reject few good ones:
+
+* The scores are cut into ``BINS`` fixed steps.  A stratum's *path* is a sequence of
+  ``LEVELS`` joint cutoffs, mild to harsh and nested: at each level every rule cuts
+  the same tail off the stratum's unlabelled documents, if the bad labelled ones are
+  ``ENRICHED`` times as frequent there (else it stays where it was).  The path is
+  made without the good labelled documents, so it is fixed before they are looked at.
+* Levels are tested from the mildest to the harshest (fixed-sequence testing): a
+  level passes if the exact binomial tail P(X <= k) for X ~ Bin(n, alpha) is
+  at most delta / strata, where any rule would reject k of the n good labelled
+  documents: the upper Clopper-Pearson bound of the joint false-rejection rate is
+  then below alpha.  The first failure ends the sequence, so only the strata
+  need the Bonferroni correction; with four strata, 86 good labels without a loss suffice.
+* Among the certified levels, the one with the largest
   bad share - ``GOOD_COST`` * good share is used, if it is positive.
 
 With probability 1 - delta, every stratum's good documents are rejected at a
 rate of at most alpha by all rules together.  Strata without enough labels get
-no cutoff and lose no document to the rules.
+no cutoff and lose no document to the rules.  What tasks take are histograms of
+fixed size: (stratum, rule, bin) for the paths, (stratum, level) for the tests.
 
 Defined cases: null text has no words (all counts 0, base_failed); a null
 language is a stratum of its own; a document with several labels is good only
@@ -43,6 +46,9 @@ ALPHA = 0.05                   # good documents that a stratum may lose
 DELTA = 0.05                   # probability that any stratum loses more
 BINS = 200                     # steps of a score
 GOOD_COST = 5.0                # what a rejected good share costs against a rejected bad one
+LEVELS = 32                    # joint cutoffs of a path
+MILDEST, HARSHER = 0.0005, 1.25        # the first tail, and the factor from one to the next
+ENRICHED = 2.0                 # bad documents in a tail against unlabelled ones
 MIN_WORDS = 50
 RULES = ("symbols", "dup_lines", "repeats", "capitals", "shouting", "long_words")
 
@@ -142,13 +148,14 @@ def binomial_tail(k: int, n: int, p: float) -> float:
 
 
 def choose(good: np.ndarray, bad: np.ndarray, alpha: float, delta: float) -> int:
-    """The cutoff bin for histograms by bin (``BINS + 1``: none)."""
-    n_good, n_bad = int(good.sum()), int(bad.sum())
+    """The best certified cutoff for counts by place, 0 kept by all: the places from the
+    last one down are cut off in turn (one past the last: no cutoff)."""
+    n_good, n_bad, none = int(good.sum()), int(bad.sum()), len(good)
     if not n_good or not n_bad:
-        return BINS + 1
-    best, value = BINS + 1, 0.0
+        return none
+    best, value = none, 0.0
     lost, caught = 0, 0
-    for b in range(BINS, 0, -1):
+    for b in range(none - 1, 0, -1):
         lost, caught = lost + int(good[b]), caught + int(bad[b])
         if binomial_tail(lost, n_good, alpha) > delta:
             break
@@ -158,36 +165,73 @@ def choose(good: np.ndarray, bad: np.ndarray, alpha: float, delta: float) -> int
     return best
 
 
-def cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+def path(reference: np.ndarray, bad: np.ndarray) -> np.ndarray:
+    """Joint cutoffs (levels x rules) from histograms (rules x bins) of reference and bad documents."""
+    every = not reference.sum()                                # all documents are labelled: the tails are those of the bad ones
+    reference = bad if every else reference
+    out = np.full((LEVELS, len(reference)), BINS + 1, np.int64)
+    for r, (own, wrong) in enumerate(zip(reference, bad)):
+        tail, caught = (np.append(h[::-1].cumsum()[::-1] / max(1, h.sum()), 0.0) for h in (own, wrong))
+        now = BINS + 1
+        for t in range(LEVELS):
+            cut = max(1, int(np.argmax(tail <= MILDEST * HARSHER ** t)))
+            if caught[cut] > 0 and (every or caught[cut] >= ENRICHED * tail[cut]):
+                now = min(now, cut)
+            out[t, r] = now
+    return out
+
+
+def paths(scored: DataFrame) -> DataFrame:
+    """(lang, path array<array<int>>) of scored (lang, bins, good: null where there is no label)."""
+    import pandas as pd
+
+    hist = scored.select("lang", "good", F.posexplode("bins").alias("rule", "bin")).groupBy("lang", "rule", "bin").agg(
+        F.count_if(F.col("good").isNull()).alias("reference"), F.count_if(~F.col("good")).alias("bad"), F.count_if("good").alias("good"))
+
+    def per_stratum(pdf: pd.DataFrame) -> pd.DataFrame:
+        counts = np.zeros((2, len(RULES), BINS + 1), np.int64)
+        for k, c in enumerate(("reference", "bad")):
+            np.add.at(counts[k], (pdf["rule"].to_numpy(), pdf["bin"].to_numpy()), pdf[c].to_numpy())
+        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "path": [path(*counts).tolist()]})
+
+    # strata without labels on both sides certify nothing
+    known = hist.groupBy("lang").agg(F.sum("good").alias("g"), F.sum("bad").alias("b")).where("g > 0 and b > 0").select(F.col("lang").alias("__lang"))
+    hist = hist.join(known, F.col("lang").eqNullSafe(F.col("__lang"))).drop("__lang", "good")
+    return hist.groupBy("lang").applyInPandas(per_stratum, "lang string, path array<array<int>>")
+
+
+def cutoffs(scored: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """One row per stratum: (lang, cuts array<int> in the order of ``RULES``).
 
-    ``labelled``: lang, bins, good boolean."""
+    ``scored``: lang, bins, good boolean (null: no label), one row per document."""
     import pandas as pd
 
-    hist = labelled.select("lang", "good", F.posexplode("bins").alias("rule", "bin")).groupBy("lang", "rule", "bin").agg(
-        F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
-    strata = max(1, labelled.select("lang").distinct().count())
-    rules = len(RULES)
+    ways = stored(paths(scored), "quality-paths")
+    strata = max(1, ways.count())
+    known = scored.where(F.col("good").isNotNull())
+    both = known.join(ways.select(F.col("lang").alias("__lang"), "path"), F.col("lang").eqNullSafe(F.col("__lang")))
+    rejects = lambda cut: F.exists(F.zip_with(cut, "bins", lambda c, b: b >= c), lambda x: x)              # noqa: E731
+    # nested levels: those that reject a document are the last ones
+    place = F.size(F.filter("path", rejects))
+    counts = both.select("lang", "good", place.alias("place")).groupBy("lang", "place").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+    counts = counts.join(ways.select(F.col("lang").alias("__lang"), "path"), F.col("lang").eqNullSafe(F.col("__lang"))).drop("__lang")
 
     def per_stratum(pdf: pd.DataFrame) -> pd.DataFrame:
-        cuts = []
-        for r in range(rules):
-            h = pdf[pdf["rule"] == r]
-            good, bad = np.zeros(BINS + 1, np.int64), np.zeros(BINS + 1, np.int64)
-            np.add.at(good, h["bin"].to_numpy(), h["good"].to_numpy())
-            np.add.at(bad, h["bin"].to_numpy(), h["bad"].to_numpy())
-            cuts.append(choose(good, bad, alpha / rules, delta / (strata * rules)))
+        good, bad = np.zeros(LEVELS + 1, np.int64), np.zeros(LEVELS + 1, np.int64)
+        good[pdf["place"]], bad[pdf["place"]] = pdf["good"], pdf["bad"]
+        b = choose(good, bad, alpha, delta / strata)
+        cuts = [BINS + 1] * len(RULES) if b > LEVELS else [int(c) for c in pdf["path"].iloc[0][LEVELS - b]]
         return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "cuts": [cuts]})
 
-    return hist.groupBy("lang").applyInPandas(per_stratum, "lang string, cuts array<int>")
+    return counts.groupBy("lang").applyInPandas(per_stratum, "lang string, cuts array<int>")
 
 
 def label_cutoffs(counted: DataFrame, labels: DataFrame) -> DataFrame:
     """The cutoffs that the labelled documents of ``counted`` (doc_id, lang, counts, bins) certify."""
     marks = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
-    # one row of a repeated document stands for all: the histogram counts documents
+    # one row of a repeated document stands for all: the histograms count documents
     one = counted.where(F.col(PREFIX + "n_words") > 0).groupBy("doc_id", "lang").agg(F.min(PREFIX + "bins").alias("bins"))
-    return cutoffs(one.join(marks, "doc_id").select("lang", "bins", "good"))
+    return cutoffs(stored(one.join(marks, "doc_id", "left").select("lang", "bins", "good"), "quality-scored"))
 
 
 def judged(counted: DataFrame, cuts: DataFrame) -> DataFrame:

@@ -49,6 +49,73 @@ def test_cutoff_respects_the_risk():
     assert Q.choose(good * 0, bad * 0, 0.02, 0.01) == Q.BINS + 1
 
 
+def histograms(bins):
+    out = np.zeros((len(Q.RULES), Q.BINS + 1), int)
+    for r in range(len(Q.RULES)):
+        np.add.at(out[r], bins[:, r], 1)
+    return out
+
+
+def drawn(rng, n, junk):
+    """Scores of good documents (rarely high in a rule) and of bad ones (half of them high in some)."""
+    bins = rng.geometric(0.25, (n, len(Q.RULES))) - 1
+    high = rng.random((n, len(Q.RULES))) < (0.12 if junk else 0.004)
+    return np.minimum(np.where(high, rng.integers(20, 120, bins.shape), bins), Q.BINS)
+
+
+def rejected(bins, cuts):
+    return (bins >= cuts).any(axis=1)
+
+
+def decide(way, good, bad, alpha, delta):
+    places = [np.bincount([sum(rejected(b[None], cuts)[0] for cuts in way) for b in x], minlength=Q.LEVELS + 1) for x in (good, bad)]
+    b = Q.choose(*places, alpha, delta)
+    return np.full(len(Q.RULES), Q.BINS + 1) if b > Q.LEVELS else way[Q.LEVELS - b]
+
+
+def test_paths_are_nested_and_only_enriched_rules_cut():
+    rng = np.random.default_rng(2)
+    reference, bad = drawn(rng, 3000, False), drawn(rng, 300, True)
+    bad[:, 5] = drawn(rng, 300, False)[:, 5] * 0           # rule 5 says nothing about bad documents
+    way = Q.path(histograms(reference), histograms(bad))
+    assert way.shape == (Q.LEVELS, len(Q.RULES)) and (np.diff(way, axis=0) <= 0).all()
+    assert (way[:, 5] == Q.BINS + 1).all() and (way[-1, :5] <= Q.BINS).all() and way.min() >= 1
+    assert (Q.path(histograms(reference[:0]), histograms(bad)) <= Q.BINS).any()
+
+
+def test_false_rejections_stay_under_alpha():
+    """Over many samples of labels, the true rate is over alpha in no more than delta of them; and something is certified."""
+    rng = np.random.default_rng(3)
+    world = drawn(rng, 20_000, False)
+    alpha, delta = 0.05, 0.1
+    over = certified = 0
+    for _ in range(150):
+        way = Q.path(histograms(drawn(rng, 400, False)), histograms(drawn(rng, 60, True)))
+        cuts = decide(way, drawn(rng, 120, False), drawn(rng, 60, True), alpha, delta)
+        certified += (cuts <= Q.BINS).any()
+        over += rejected(world, cuts).mean() > alpha
+    assert over <= 0.1 * 150 + 8 and certified > 75
+
+
+def test_certified_rules_reject_end_to_end(spark):
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))                                      # noqa: E731
+    fine = [" ".join(word() for _ in range(90)) for _ in range(500)]
+    junk = [" ".join(word() + (" ###" if k % 2 else " ") for k in range(90)) for _ in range(120)]
+    rows = [(k, t, "en") for k, t in enumerate(fine + junk)] + [(5000 + k, t, "de") for k, t in enumerate(fine[:30])]
+    labels = [(k, int(k < 500)) for k in range(620) if k % 3 == 0] + [(5000, 1), (5001, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int")
+    out = {r.doc_id: r for r in Q.report(docs, marks).collect()}
+    p = Q.PREFIX
+    bad = [out[k] for k in range(500, 620)]
+    assert all(not r[p + "kept"] and "symbols" in r[p + "failed"] and not r[p + "base_failed"] for r in bad)
+    assert sum(not out[k][p + "kept"] for k in range(500)) <= 0.05 * 500
+    assert all(out[5000 + k][p + "kept"] for k in range(30))   # two labels certify nothing
+    kept = {r.doc_id for r in Q.keep_good(docs, marks).collect()}
+    assert kept == {k for k, r in out.items() if r[p + "kept"]}
+
+
 def test_tables_with_odd_rows(spark):
     rows = [(1, "good words " * 40, "en", "x"), (1, "good words " * 40, "en", "x"), (None, None, None, "y"), (2, "", "en", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, kept string")
