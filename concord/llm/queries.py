@@ -194,6 +194,56 @@ def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"))
 
 
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS = r"'[^\x20\x09-\x0D]+'"
+
+OP2_SQL = f"""
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWERED}, {WORDS}) AS w FROM documents),
+sets AS (
+  SELECT r, doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM docs),
+nodes AS (SELECT min(r) AS node, s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+post AS (SELECT node, n, unnest(s) AS shingle FROM nodes),
+pairs AS (
+  SELECT a.node AS a, b.node AS b FROM post a JOIN post b ON a.shingle = b.shingle AND a.node <> b.node
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach(a, b) AS (SELECT node, node FROM nodes UNION SELECT reach.a, pairs.b FROM reach JOIN pairs ON pairs.a = reach.b),
+own AS (SELECT sets.r, sets.doc_id, len(sets.s) AS n, nodes.node FROM sets LEFT JOIN nodes ON nodes.s = sets.s),
+least_id AS (SELECT reach.a AS node, min(own.doc_id) AS id FROM reach JOIN own ON own.node = reach.b GROUP BY reach.a)
+SELECT own.doc_id, CAST(own.n AS BIGINT) AS n_shingles, coalesce(least_id.id, own.doc_id) AS component_id FROM own LEFT JOIN least_id USING (node)
+"""
+
+OP4_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), {WORDS}) AS w FROM documents),
+hashed AS (SELECT r, doc_id, list_transform(range(1, len(w) - 48), lambda i: hash(array_to_string(w[i:i + 49], ' '))) AS h FROM docs WHERE len(w) >= 50),
+windows AS (SELECT r, doc_id, unnest(h) AS h, generate_subscripts(h, 1) AS i FROM hashed),
+firsts AS (SELECT h, min(doc_id) AS first FROM windows GROUP BY h),
+covered AS (SELECT DISTINCT r, unnest(range(i, i + 50)) AS i FROM windows JOIN firsts USING (h) WHERE first < doc_id),
+placed AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM docs),
+kept AS (SELECT r, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS t FROM placed ANTI JOIN covered USING (r, i) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (r)
+"""
+
+OP5_SQL = rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+phrases AS (
+  SELECT DISTINCT item_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS s
+  FROM (SELECT item_id, w, least(len(w), 10) AS n FROM items WHERE len(w) > 0)),
+listed AS (
+  SELECT r, n, list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' ')) AS s
+  FROM docs, (SELECT DISTINCT n FROM phrases) WHERE len(w) >= n),
+places AS (SELECT r, n, unnest(s) AS s, generate_subscripts(s, 1) AS i FROM listed),
+found AS (SELECT r, places.n AS n, i, item_id FROM places JOIN phrases ON places.n = phrases.n AND places.s = phrases.s),
+hit AS (SELECT r, count(DISTINCT i) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS i FROM found) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM found) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
+"""
+
+
 QUERIES: dict = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_jaccard_join": op2_jaccard_join,
@@ -210,6 +260,9 @@ QUERIES: dict = {
     "op13_pii": op13_pii,
 }
 SQL: dict = {
+    "op2_jaccard_join": OP2_SQL,
+    "op4_substring_dedup": OP4_SQL,
+    "op5_decontamination": OP5_SQL,
     "op8_chat_formatting": OP8_SQL,
     "op11_vector_codes": OP11_SQL,
     "op12_filter_audit": OP12_SQL,
