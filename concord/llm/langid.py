@@ -2,8 +2,9 @@
 
 One model per language over the characters of words: a word is read with a
 boundary symbol on either side, contexts do not reach over it.  Counts of the
-longest n-grams come from a distributed aggregate over a sample of the learning
-rows of about ``FIT_BYTES`` bytes in all, shared evenly among the languages;
+longest n-grams come from a distributed aggregate over a sample of the distinct
+learning texts of about ``FIT_BYTES`` bytes in all, shared evenly among the languages,
+with one text of every language at least;
 shorter n-grams get continuation counts (distinct left neighbours).  For every
 order, the n-grams' hashes are one sorted array over all languages, with a
 column of interpolated probabilities per language; a second sorted array has the
@@ -11,8 +12,8 @@ back-off weights of the contexts.  The arrays' size is bounded by the sample,
 so they may be sent to every task.
 
 A text's cross-entropy is the mean of -log2 p over its words' characters and
-ends; the language with the lowest one is predicted.  A tenth of the sample is
-kept back to calibrate: the sharpness of the score (a softmax of negative
+ends; the language with the lowest one is predicted.  A tenth of the sample
+(but of each language's first text) is kept back to calibrate: the sharpness of the score (a softmax of negative
 cross-entropies, by likelihood), and per language the cross-entropy that 99.5 %
 of its texts stay below; predictions beyond it are flagged as rejected.
 
@@ -185,14 +186,17 @@ def predict(model: Model, column: pa.Array) -> tuple[list, np.ndarray, np.ndarra
 
 def fit(learn: DataFrame, budget: int = FIT_BYTES) -> Model:
     """A model from the rows (text, lang) of ``learn``; rows without either are left out."""
-    learn = learn.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
-    sizes = {r.lang: r.n for r in learn.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect() if r.n}
+    learn = learn.where("text IS NOT NULL AND lang IS NOT NULL").where(F.col("text").rlike(r"\p{L}")).select("text", "lang")
+    drawn = F.pmod(F.xxhash64(F.lit(7), "text"), F.lit(1_000_000))
+    sizes = {r.lang: r for r in learn.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n"), F.min(drawn).alias("least")).collect()}
     if not sizes:
         return Model([], [], [], [], [])
-    share = F.create_map(*[F.lit(v) for name, n in sizes.items() for v in (name, min(1.0, budget / len(sizes) / n))])
-    drawn = F.pmod(F.xxhash64(F.lit(7), "text"), F.lit(1_000_000))
-    held = F.pmod(F.xxhash64(F.lit(8), "text"), F.lit(KEPT_BACK)) == 0
-    sample = learn.where(drawn < share[F.col("lang")] * 1_000_000).withColumn("held", held)
+    # below its bound a text is drawn; the first one of a language always is, and is never kept back
+    bound = F.create_map(*[F.lit(v) for name, r in sizes.items() for v in (name, max(r.least + 1.0, 1_000_000 * budget / len(sizes) / r.n))])
+    least = F.create_map(*[F.lit(v) for name, r in sizes.items() for v in (name, r.least)])
+    held = (F.pmod(F.xxhash64(F.lit(8), "text"), F.lit(KEPT_BACK)) == 0) & (drawn != least[F.col("lang")])
+    # copies of a text count once, so they cannot fill the sample
+    sample = learn.where(drawn < bound[F.col("lang")]).distinct().withColumn("held", held)
     found: dict = {}
     for r in map_batches(sample.where("NOT held").select("text", "lang"), _count, "lang string, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow().to_batches():
         names, gram, n = r.column(0).to_pylist(), r.column(1).to_pylist(), r.column(2).to_numpy()
@@ -206,7 +210,7 @@ def fit(learn: DataFrame, budget: int = FIT_BYTES) -> Model:
 
 
 def _count(batches):
-    for batch in batches:
+    for batch in (part for whole in batches for part in W.slices(whole)):
         texts, langs = batch.column(0), np.array(batch.column(1).to_pylist(), object)
         for name in sorted(set(langs)):
             w = W.find(texts.filter(pa.array(langs == name)), W.SPACE, lower=True)
@@ -228,7 +232,7 @@ def calibrate(model: Model, held: DataFrame) -> Model:
 
     def run(batches):
         m = sent.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in W.slices(whole)):
             x, ok = entropies(m, batch.column(0))
             true = np.array([index.get(name, -1) for name in batch.column(1).to_pylist()])
             ok &= true >= 0

@@ -84,3 +84,19 @@ def test_ties_go_to_the_first_language():
     counts = {k: L.grams([b"ab", b"cd"])[0] for k in ("b", "a")}
     model = L.train({k: (np.unique(c, axis=0), np.ones(len(np.unique(c, axis=0)), int)) for k, c in counts.items()})
     assert L.predict(model, pa.array(["ab"]))[0] == ["a"]
+
+
+def test_every_language_is_learned_however_few_its_texts(spark):
+    rng = random.Random(30)
+    rows = []
+    for k in range(30):
+        letters = [chr(0x4E00 + 40 * k + i) for i in range(12)]
+        for _ in range(1 + k % 3):
+            rows.append((" ".join("".join(rng.choices(letters, k=5)) for _ in range(40)), f"l{k:02}"))
+    rows += [rows[0]] * 60 + [("123 456", "digits"), (None, "l00"), ("abc def", None)]
+    learn = spark.createDataFrame(rows, "text string, lang string")
+    model = L.fit(learn, budget=20_000)
+    assert model.languages == [f"l{k:02}" for k in range(30)]
+    own = learn.where("lang like 'l%' and text is not null")
+    got = L.identify(own, model, ["lang"]).collect()
+    assert all(r.lang == r[L.PREFIX + "pred"] for r in got)
