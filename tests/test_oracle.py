@@ -9,7 +9,9 @@ NAMES = ["surface", "metadata_row", "agreement_attraction", "agreement_summary",
          "curve_by_group", "balanced_sample", "splits", "config_rows", "harmonize", "closest_variant", "only_main_verb",
          "format_sentences", "metric_summary", "encode", "truncate_ids", "constraint_check", "ordinal_join",
          "unknown_word_rate", "flatten_lines", "incremental_missing", "pairs_roundtrip", "results_csv_roundtrip",
-         "score_files", "agreement_mixed", "allowed_by_position", "all_null_report", "batch_pad", "prepared_columns"]
+         "score_files", "agreement_mixed", "allowed_by_position", "all_null_report", "batch_pad", "prepared_columns",
+         "dataset_rerun", "rule_sample", "registered_metrics", "external_encode", "job_files", "lexicon_table_tags", "input_formats",
+         "acceptance_accounting", "label_pad"]
 
 
 @pytest.fixture(scope="module")
