@@ -4,14 +4,22 @@ Markup is stripped to lines, one per block element, in page order.  Elements
 that hold no article text (navigation, page headers and footers, sidebars,
 notices, adverts, forms, scripts, reader comments, found by tag, role, or a whole
 name of class or id) leave a gap of empty lines; one that holds the page's
-``main``, its only articles or most of its text stays.  Over the lines' text lengths, link text not
-counted, sums over sliding windows of ``WINDOW`` lines make up the distribution:
-text surges where a window's sum passes ``SURGE`` and dives where a window is
-empty again.  The lines between a surge and its dive are kept; once text has
-surged, gaps do not end it.  Inside an ``article`` or ``main`` element any text is
-a surge, so short articles are found too, and nothing else is kept if these hold
-most of the text that is found; without such an element and without a surge, the stretch around the densest window is taken, up to the dives on both
-sides.  Short copyright notices that close the page are no article text.
+``main``, its only articles or most of its text stays.
+
+Over the lines' text lengths, link text not counted, sums over sliding windows of
+``WINDOW`` lines make up the distribution.  Text surges where a window's sum passes
+the page's threshold and dives where ``WINDOW`` lines hold link text alone: menus
+and lists of links, whatever they are called.  The lines between a surge and its
+dive are kept; once text has surged, gaps and single links do not end it.
+
+An ``article`` or ``main`` is evidence, which lowers the threshold: inside one any
+unlinked text is a surge, so short articles are found too, and nothing outside is
+kept if they hold most of the text that surges.  Links beside the surge, fewer than
+a window of them, belong to it there.  A run of links ends an article only if unlinked
+text does not take it up again, so lists of links amid the text stay; a region of
+links alone is kept whole.  Elsewhere the threshold is ``SURGE`` characters, or, on
+pages that never pass it, the densest window's own sum.  Short copyright notices
+that close the page are no article text.
 
 Each page is a row of its own: one narrow Arrow map, nothing is shuffled.
 
@@ -253,6 +261,17 @@ def reach(found: list[tuple[str, int, bool]], at: int, step: int) -> int:
     return last
 
 
+def beside(found: list[tuple[str, int, bool]], at: int, step: int) -> int:
+    """The last of the links from ``at`` on, if they are fewer than a window; ``at`` if not."""
+    links = []
+    k = at + step
+    while 0 <= k < len(found) and not found[k][1]:
+        if found[k][0]:
+            links.append(k)
+        k += step
+    return links[-1] if links and len(links) < WINDOW else at
+
+
 def stretches(found: list[tuple[str, int, bool]], surge: int) -> list[int]:
     """The lines between each surge and its dive."""
     sums = window_sums(found)
@@ -267,26 +286,33 @@ def stretches(found: list[tuple[str, int, bool]], surge: int) -> list[int]:
     return kept
 
 
+def in_regions(found: list[tuple[str, int, bool]]) -> list[int]:
+    """The lines of regions from the first surge to the last dive, links beside them included."""
+    kept = stretches(found, 0)
+    if not kept:
+        return list(range(len(found)))             # links alone
+    return list(range(beside(found, kept[0], -1), beside(found, kept[-1], 1) + 1))
+
+
 def main_text(page: str | None) -> str:
     """The article's lines, joined by empty lines."""
     if not page:
         return ""
     found = lines(page)
-    beside = [x if not x[2] else ("", 0, False) for x in found]
-    beside = sum(beside[k][1] for k in stretches(beside[:len(beside) - closing(beside)], SURGE))
-    if any(region and t for t, _, region in found) and sum(n for _, n, region in found if region) >= beside:
-        found = [(t, len(t), region) for t, _, region in found if region or not t]
-        surge = 0
+    outside_regions = [x if not x[2] else ("", 0, False) for x in found]
+    outside_regions = sum(outside_regions[k][1] for k in stretches(outside_regions[:len(outside_regions) - closing(outside_regions)], SURGE))
+    if any(region and t for t, _, region in found) and sum(n for _, n, region in found if region) >= outside_regions:
+        found = [x for x in found if x[2] or not x[0]]
+        kept = in_regions(found)
     else:
         found = found[:len(found) - closing(found)]
-        surge = SURGE
-    kept = stretches(found, surge)
-    if not kept and any(n for _, n, _ in found):
-        found = [x for x in found if x[0]]
-        top = int(window_sums(found).argmax())
-        while not found[top][1]:
-            top += 1
-        kept = list(range(reach(found, top, -1), reach(found, top, 1) + 1))
+        kept = stretches(found, SURGE)
+        if not kept and any(n for _, n, _ in found):
+            found = [x for x in found if x[0]]
+            top = int(window_sums(found).argmax())
+            while not found[top][1]:
+                top += 1
+            kept = list(range(reach(found, top, -1), reach(found, top, 1) + 1))
     return "\n\n".join(found[k][0] for k in kept if found[k][0])
 
 

@@ -1,6 +1,9 @@
+import html
 import random
 
-from concord.llm.html_blocks import extract, main_text
+import pytest
+
+from concord.llm.html_blocks import extract, lines, main_text
 
 LONG = "This paragraph has quite a number of words, enough to be told from a menu by its length alone."
 
@@ -55,6 +58,66 @@ def test_wrappers_that_hold_the_text_stay():
     assert main_text(f"<body><div>{both}</div><ul>{'<li><a>x</a></li>' * 4}</ul><article><p>Teaser.</p></article></body>") == two
 
 
+NAMES = ["Weather at the coast", "A short history of salt", "Notes on old bridges", "How rivers turn"]
+PROSE = [
+    ["The wind turned in the night and by morning the harbour was full of boats that had not meant to come in.",
+     "Nobody had seen the tide so low in the month of May, and the children walked out to the second buoy.", "By noon it was over."],
+    ["Salt was carried over the pass in sacks of goat hair, two to a mule, and weighed again on the far side.",
+     "What the sacks lost to rain was charged to the driver; what they gained in stones was not.",
+     "A town could be built on such a road. Several were."],
+    ["Short lines.", "Also here.", "A bridge is older than its stones if the ford beneath it was used before there was a bridge to use instead.",
+     "It stands & holds."],
+    ["A river that is free to move will bend, and a bend that has begun will grow until the river cuts it off.",
+     "Étienne measured nineteen of them.", "The water is slow on the inside, where it drops its sand, and quick on the outside, where it takes it away."],
+]
+ITEMS = "".join(f"<li><a href='/{k}'>Another page of this site, number {k}</a></li>" for k in range(6))
+
+
+def paragraphs(k):
+    return "".join(f"<p>{html.escape(x)}</p>" for x in PROSE[k])
+
+
+# what stands around the text: nothing here has a telling tag or name, so that only the windows can leave the lists out
+INSIDE = {
+    "links before": lambda b: f"<article><ul>{ITEMS}</ul>{b}</article>",
+    "links after": lambda b: f"<main>{b}<ul>{ITEMS}</ul></main>",
+    "links on both sides": lambda b: f"<main><div>{ITEMS}</div><article>{b}<div><ul>{ITEMS}</ul></div></article></main>",
+    "links in cells": lambda b: f"<article><table><tr><td><a href=a>one</a></td><td><a href=b>two</a></td><td><a href=c>three</a></td></tr></table>{b}</article>",
+    "an unnamed block of tags": lambda b: f"<article>{b}<div><p><a href=a>salt</a></p><p><a href=b>roads</a></p><p><a href=c>mules</a></p><p><a href=d>rain</a></p></div></article>",
+}
+BARE = {
+    "links before": lambda b: f"<div><ul>{ITEMS}</ul></div><div>{b}</div>",
+    "links after": lambda b: f"<div>{b}</div><div><ul>{ITEMS}</ul></div>",
+    "links on both sides": lambda b: f"<ul>{ITEMS}</ul><section>{b}</section><ul>{ITEMS}</ul>",
+    "a line of the site's name": lambda b: f"<div>Our site</div><ul>{ITEMS}</ul><div>{b}</div><ul>{ITEMS}</ul><div>Made by us</div>",
+    "a notice that closes the page": lambda b: f"<div><ul>{ITEMS}</ul></div><div>{b}</div><ul>{ITEMS}</ul><div>Copyright 2020 the owner</div>",
+}
+
+
+@pytest.mark.parametrize("frames", [INSIDE, BARE])
+def test_labelled_pages(frames):
+    """Forty pages with their exact text, half of them without article or main; in each, windows drop lines."""
+    pages = 0
+    for name, frame in frames.items():
+        for k in range(4):
+            h = f"<html><head><title>{NAMES[k]}</title></head><body>{frame(f'<h1>{NAMES[k]}</h1>' * (frames is INSIDE) + paragraphs(k))}</body></html>"
+            want = "\n\n".join([NAMES[k]] * (frames is INSIDE) + PROSE[k])
+            assert main_text(h) == want, (name, k)
+            kept = want.split("\n\n")
+            assert all(x in [t for t, _, _ in lines(h)] for x in kept)             # the lists of names left all in,
+            assert len([t for t, _, _ in lines(h) if t]) >= len(kept) + 3          # and more, which the windows took out
+            pages += 1
+    assert pages == 20
+
+
+def test_links_amid_an_article_stay():
+    body = f"<p>{LONG}</p><ul>{ITEMS}</ul><p>{LONG}</p>"
+    links = "\n\n".join(f"Another page of this site, number {k}" for k in range(6))
+    assert main_text(f"<article>{body}</article>") == f"{LONG}\n\n{links}\n\n{LONG}"
+    assert main_text(f"<article><ul>{ITEMS}</ul></article>") == links
+    assert main_text(f"<article><p><a href=a>The head</a></p><p>{LONG}</p><p><a href=b>Source</a></p></article>") == f"The head\n\n{LONG}\n\nSource"
+
+
 def test_odd_pages():
     assert [main_text(x) for x in (None, "", "   ", "<", "<html></html>", "<nav>a</nav>")] == ["", "", "", "<", "", ""]
     assert main_text("a < b and c > d") == "a < b and c > d"
