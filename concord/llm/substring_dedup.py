@@ -25,7 +25,8 @@ words rather than one by one.
    finds the node's smallest document whatever its size.
 
 What is found for a content (stretches of windows and the smallest document that
-has them) goes back to all documents with that run.
+has them) goes back to all documents with that run, by id and print (a hash of the
+text), so rows that share an id, or have none, do not meet under one key.
 Words are known by 64-bit hashes.
 
 Defined cases: null or empty text has no words; documents shorter than a window
@@ -51,6 +52,7 @@ GROUP_RUNS = 25_000            # about BUCKET_WORDS words
 BUCKET_WORDS = 2_000_000
 LAST = (1 << 63) - 1               # the place of a null doc_id in the order
 PREFIX = "__substring_"
+PRINTS = 1 << 24               # prints of texts: few bytes, many parts of one id
 
 BASE = np.uint64(0xD1342543DE82EF95)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -129,7 +131,7 @@ def words_of(part: pa.RecordBatch):
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """Distinct (anchor, content, id) of docs (id, text)."""
+    """Distinct (anchor, content, id, print) of docs (id, print, text)."""
 
     def run(batches):
         for batch in batches:
@@ -139,14 +141,14 @@ def anchors(docs: DataFrame) -> DataFrame:
                 if not len(place):
                     continue
                 key, content = describe(h, place, first, last)
-                owner = np.array(part.column("id").to_pylist(), np.int64)[row[place]]
-                by = np.lexsort((content, key, owner))
+                owner, text = (np.array(part.column(c).to_pylist(), np.int64)[row[place]] for c in ("id", "print"))
+                by = np.lexsort((content, key, text, owner))
                 new = np.ones(len(by), bool)
-                new[1:] = (owner[by][1:] != owner[by][:-1]) | (key[by][1:] != key[by][:-1]) | (content[by][1:] != content[by][:-1])
+                new[1:] = np.any([x[by][1:] != x[by][:-1] for x in (owner, text, key, content)], axis=0)
                 by = by[new]
-                yield pa.RecordBatch.from_arrays([pa.array(key[by]), pa.array(content[by]), pa.array(owner[by])], names=["anchor", "content", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[by]) for x in (key, content, owner, text)], names=["anchor", "content", "id", "print"])
 
-    return map_batches(docs, run, "anchor long, content long, id long")
+    return map_batches(docs, run, "anchor long, content long, id long, print long")
 
 
 def describe(h: np.ndarray, place: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,7 +163,8 @@ def contents(pairs: DataFrame) -> DataFrame:
     """(anchor, content, low, high, kind) of the runs whose anchor several documents have.
 
     kind 0: the anchor's only content; 1: for a tree; 2: of a group too large for a task."""
-    each = pairs.groupBy("anchor", "content").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    each = pairs.groupBy("anchor", "content").agg(F.min(F.struct("id", "print")).alias("least"), F.max("id").alias("high"))
+    each = each.select("anchor", "content", F.col("least.id").alias("low"), F.col("least.print").alias("low_print"), "high")
     groups = each.groupBy("anchor").agg(F.min("low").alias("lo"), F.max("high").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
     kind = F.when(F.col("n") == 1, 0).when(F.col("n") <= GROUP_RUNS, 1).otherwise(2)
     return each.join(groups.select("anchor", kind.alias("kind")), "anchor")
@@ -172,7 +175,7 @@ def pieces(docs: DataFrame, each: DataFrame) -> DataFrame:
     its windows), sent by the smallest document that has them."""
     names = [c.split()[0] for c in RUN.split(", ")]
     types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-    asked = each.where("kind > 0").groupBy(F.col("low").alias("id")).agg(F.collect_list(F.struct("anchor", "content", "kind", "high")).alias("asked"))
+    asked = each.where("kind > 0").groupBy(F.col("low").alias("id"), F.col("low_print").alias("print")).agg(F.collect_list(F.struct("anchor", "content", "kind", "high")).alias("asked"))
 
     def run(batches):
         for batch in batches:
@@ -202,7 +205,7 @@ def pieces(docs: DataFrame, each: DataFrame) -> DataFrame:
                 for at in range(0, len(rows), 20_000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at:at + 20_000]), types)], names=names)
 
-    return map_batches(docs.join(asked.hint("shuffle_hash"), "id"), run, RUN)
+    return map_batches(docs.join(asked.hint("shuffle_hash"), ["id", "print"]), run, RUN)
 
 
 def tree(group: pa.Table) -> pa.Table:
@@ -246,8 +249,8 @@ def tree(group: pa.Table) -> pa.Table:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(id, marks array<struct<anchor, content, first, last>>): for documents of docs
-    (id, text), the stretches of their runs' windows that smaller documents have."""
+    """(id, print, marks array<struct<anchor, content, first, last>>): for documents of docs
+    (id, print, text), the stretches of their runs' windows that smaller documents have."""
     pairs = stored(anchors(docs), "substring-anchors")
     each = stored(contents(pairs), "substring-contents")
     sent = stored(pieces(docs, each), "substring-pieces")
@@ -261,7 +264,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     wide = wide.join(least, "window").where("least < high").select("anchor", "content", F.col("place").alias("first"), (F.col("place") + 1).alias("last"), F.col("least").alias("low"))
     found = trees.union(single).union(wide)
     marked = pairs.join(found, ["anchor", "content"]).where("low < id")
-    return marked.groupBy("id").agg(F.collect_list(F.struct("anchor", "content", "first", "last")).alias("marks"))
+    return marked.groupBy("id", "print").agg(F.collect_list(F.struct("anchor", "content", "first", "last")).alias("marks"))
 
 
 def removed(h: np.ndarray, row: np.ndarray, marks: list, rows: int) -> np.ndarray:
@@ -285,10 +288,10 @@ def removed(h: np.ndarray, row: np.ndarray, marks: list, rows: int) -> np.ndarra
 
 def deduplicate(docs: DataFrame, columns: list[str]) -> DataFrame:
     """``columns`` of docs with n_words, n_removed and the kept words (joined by spaces) under prefixed names."""
-    keyed = docs.withColumn(PREFIX + "id", F.coalesce(F.col("doc_id"), F.lit(LAST)))
-    marks = repeats(keyed.select(F.col(PREFIX + "id").alias("id"), "text"))
-    marks = marks.select(F.col("id").alias(PREFIX + "id"), F.col("marks").alias(PREFIX + "marks"))
-    joined = keyed.join(marks.hint("shuffle_hash"), PREFIX + "id", "left").select(*columns, F.col("text").alias(PREFIX + "text"), PREFIX + "marks")
+    keyed = docs.withColumns({PREFIX + "id": F.coalesce(F.col("doc_id"), F.lit(LAST)), PREFIX + "print": F.pmod(F.xxhash64("text"), F.lit(PRINTS))})
+    marks = repeats(keyed.select(F.col(PREFIX + "id").alias("id"), F.col(PREFIX + "print").alias("print"), "text"))
+    marks = marks.select(*[F.col(c).alias(PREFIX + c) for c in ("id", "print", "marks")])
+    joined = keyed.join(marks.hint("shuffle_hash"), [PREFIX + "id", PREFIX + "print"], "left").select(*columns, F.col("text").alias(PREFIX + "text"), PREFIX + "marks")
     schema = docs.select(*columns).schema.add(PREFIX + "n_words", "long").add(PREFIX + "n_removed", "long").add(PREFIX + "kept", "string")
     names = [f.name for f in schema]
 

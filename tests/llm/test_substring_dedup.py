@@ -74,6 +74,18 @@ def test_removal_equals_brute_force(spark, monkeypatch, group_runs):
     assert sum(r[2] for r in got) > 1000
 
 
+def test_many_null_ids(spark):
+    """Rows without an id, or with one id, do not share their marks: five times the rows, not 25 times the work."""
+    rng = random.Random(12)
+    passage = " ".join(f"p{rng.randint(0, 900)}" for _ in range(60))
+    rows = [(1, passage)] + [(None if k % 2 else 7, f"{passage if k % 3 else ''} {' '.join(f'w{rng.randint(0, 9000)}' for _ in range(20))}") for k in range(5000)]
+    df, p = spark.createDataFrame(rows, "doc_id long, text string").repartition(4), S.PREFIX
+    marks = S.repeats(df.selectExpr(f"coalesce(doc_id, {S.LAST}) AS id", f"pmod(xxhash64(text), {S.PRINTS}) AS print", "text"))
+    assert marks.selectExpr("max(size(marks))").first()[0] <= 8
+    got = [(r.doc_id, r[p + "n_words"], r[p + "n_removed"], r[p + "kept"]) for r in S.deduplicate(df, ["doc_id"]).collect()]
+    assert sorted(got, key=lambda r: (r[0] is None, r[0] or 0, r[1:])) == brute(rows)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert S.deduplicate(df, ["doc_id"]).count() == 0
