@@ -10,9 +10,13 @@ Words that occur in no phrase can be in no occurrence: they are one separator
 symbol, and runs of phrase words shorter than the shortest phrase are left out
 of the index, which keeps it small without losing an occurrence.
 
-The phrases are a stated query set, sent to the tasks in blocks of at most
-``BLOCK_BYTES`` of benchmark text; documents stay where they lie and are never
-shuffled.  A word is known by a 64-bit hash.
+The phrases are a stated query set, in blocks of about ``BLOCK_BYTES`` of benchmark
+text at most (an item is never cut).  One block at a time is collected, sent to the
+tasks, searched for in all documents and released; each pass adds its spans and items
+to those of the passes before, and is stored, so neither the driver nor a task ever
+holds more than a block.  A benchmark of one block takes a single pass and stores
+nothing.  Documents stay where they lie and are never shuffled.  A word is known by a
+64-bit hash.
 
 Defined cases: null or empty text has no words, no hits; an item without words
 has no phrase; repeated items count once by item_id, a null item_id as "null";
@@ -22,6 +26,8 @@ repeated documents are treated alike; empty tables give empty results.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .common import map_batches
+from .common import map_batches, stored
 from .fm_index import FMIndex
 
 WINDOW = 10
@@ -107,45 +113,62 @@ def find(phrases: Phrases, column: pa.Array) -> tuple[W.Words, dict[int, list],
     return w, spans, items
 
 
-def blocks(benchmark: DataFrame) -> list[Phrases]:
-    """The benchmark's phrases in blocks of bounded size."""
+def blocks(benchmark: DataFrame) -> Iterator[tuple[Phrases, bool]]:
+    """The benchmark's phrases in blocks of bounded size, one at a time, and whether it is the last."""
     items = benchmark.where("text IS NOT NULL").select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("name"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(2 * total / BLOCK_BYTES))     # hashed to blocks of half the bound on average
-    part = F.pmod(F.xxhash64("name", "text"), F.lit(n))
-    return [Phrases([(r.name, r.text) for r in items.where(part == k).collect()]) for k in range(n)]
+    if n > 1:                                          # in files by block, so that a block reads its own
+        items = stored(items.withColumn("block", F.pmod(F.xxhash64("name", "text"), F.lit(n))).repartitionByRange("block").sortWithinPartitions("block"), "decon-items")
+    for k in range(n):
+        yield Phrases([(r.name, r.text) for r in (items.where(F.col("block") == k) if n > 1 else items).select("name", "text").collect()]), k == n - 1
 
 
 FOUND = T.StructType().add("n_words", T.LongType()).add(
     "spans", T.ArrayType(T.StructType().add("first", T.IntegerType()).add("last", T.IntegerType()))).add("items", T.ArrayType(T.StringType()))
+SPANS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, columns: list[str]) -> DataFrame:
-    """``columns`` of docs with n_words, spans (hit words, first to before last) and items under prefixed names."""
-    schema = docs.select(*columns).schema
+def search(docs: DataFrame, phrases, columns: list[str]) -> DataFrame:
+    """``columns`` of docs and its text, n_words, spans and items under prefixed names; spans and items that docs has are kept."""
+    schema = docs.select(*columns, PREFIX + "text").schema
     for f in FOUND:
         schema = schema.add(PREFIX + f.name, f.dataType)
-    sent = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks(benchmark)]
-    names = [f.name for f in schema]
+    names, more = [f.name for f in schema], PREFIX + "spans" in docs.columns
 
     def run(batches):
         for batch in batches:
             for part in W.slices(batch, PREFIX + "text"):
-                spans: dict[int, list] = {}
-                items: dict[int, set[str]] = {}
-                for block in sent:
-                    w, more, named = find(block.value, part.column(PREFIX + "text"))
-                    for r, s in more.items():
-                        spans[r] = merge(spans.get(r, []) + s)
-                        items[r] = items.get(r, set()) | named[r]
+                w, spans, items = find(phrases.value, part.column(PREFIX + "text"))
+                if more:
+                    for r, (s, named) in enumerate(zip(part.column(PREFIX + "spans").to_pylist(), part.column(PREFIX + "items").to_pylist())):
+                        if s:
+                            spans[r] = merge(spans.get(r, []) + [[x["first"], x["last"]] for x in s])
+                            items[r] = items.get(r, set()) | set(named)
                 rows = range(part.num_rows)
                 arrays = [part.column(c) for c in columns] + [
-                    pa.array(w.counts, pa.int64()),
-                    pa.array([[{"first": a, "last": b} for a, b in spans.get(r, ())] for r in rows], pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))),
+                    part.column(PREFIX + "text"), pa.array(w.counts, pa.int64()),
+                    pa.array([[{"first": a, "last": b} for a, b in spans.get(r, ())] for r in rows], SPANS),
                     pa.array([sorted(items.get(r, ())) for r in rows], pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return map_batches(docs.select(*columns, F.col("text").alias(PREFIX + "text")), run, schema)
+    return map_batches(docs, run, schema)
+
+
+def mark(docs: DataFrame, benchmark: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of docs with n_words, spans (hit words, first to before last) and items under prefixed names."""
+    return search_all(docs.select(*columns, F.col("text").alias(PREFIX + "text")), blocks(benchmark), columns).drop(PREFIX + "text")
+
+
+def search_all(held: DataFrame, parts: Iterator[tuple[Phrases, bool]], columns: list[str]) -> DataFrame:
+    """``search`` for block after block; all passes but the last are stored."""
+    for phrases, last in parts:
+        sent = held.sparkSession.sparkContext.broadcast(phrases)
+        held = search(held, sent, columns)
+        if not last:
+            held = stored(held, "decon-found")
+            sent.unpersist()
+    return held
 
 
 def merge(spans: list) -> list:
@@ -158,6 +181,17 @@ def merge(spans: list) -> list:
     return out
 
 
+def without(text: str, w: W.Words, at_row: int, spans: list) -> str:
+    """A text without the words of its spans."""
+    base, end = int(w.first[at_row]), int(w.first[at_row + 1])
+    start = int(w.off[at_row])
+    data, at, kept = text.encode(), 0, []
+    for a, b in spans:
+        kept.append(data[at:w.start[base + a] - start])
+        at = int(w.start[base + b] if base + b < end else w.end[end - 1]) - start
+    return b"".join([*kept, data[at:]]).decode()
+
+
 def cut(text: str, sent: list[Phrases]) -> str:
     """The text without its removal spans, until none is left."""
     while True:
@@ -167,42 +201,75 @@ def cut(text: str, sent: list[Phrases]) -> str:
             gone += spans.get(0, [])
         if not gone:
             return text
-        data, at, kept = text.encode(), 0, []
-        for a, b in merge(gone):
-            kept.append(data[at:w.start[a]])
-            at = int(w.start[b]) if b < len(w.start) else int(w.end[b - 1])
-        text = b"".join([*kept, data[at:]]).decode()
+        text = without(text, w, 0, merge(gone))
+
+
+def changed(part: pa.RecordBatch, new: dict[int, str]) -> pa.RecordBatch:
+    """Rows with new texts (and their n_chars); those that have lost all words go."""
+    names, arrays = part.schema.names, part.columns
+    for name, value in (("text", lambda t: t), ("n_chars", len)):
+        if name in names:
+            k = names.index(name)
+            values = arrays[k].to_pylist()
+            for r, t in new.items():
+                values[r] = value(t)
+            arrays[k] = pa.array(values, part.schema.field(k).type)
+    hit, left = list(new), np.ones(part.num_rows, bool)
+    left[hit] = W.find(pa.array(list(new.values()), pa.string()), W.ALNUM, lower=True).counts > 0
+    return pa.RecordBatch.from_arrays(arrays, schema=part.schema).filter(pa.array(left))
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the benchmark's windows; a document that loses all its words goes."""
-    schema = docs.schema
-    sent = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks(benchmark)]
-    at_text, names = schema.names.index("text"), schema.names
-    at_chars = names.index("n_chars") if "n_chars" in names else None
+    """``docs`` without the benchmark's windows; a document that loses all its words goes.
+
+    A benchmark of one block is searched for and cut in one pass.  With more blocks,
+    all are searched for in turn before anything is cut, and the documents that were
+    cut go through another round, until none has a window left."""
+    parts = blocks(benchmark)
+    phrases, last = next(parts)
+    if last:
+        return remove_block(docs, phrases)
+    parts, clean = chain([(phrases, last)], parts), []
+    while True:
+        named = docs.columns
+        found = stored(search_all(docs.withColumn(PREFIX + "text", F.col("text")), parts, named).drop(PREFIX + "text"), "decon-round")
+        clean.append(found.where(F.size(PREFIX + "spans") == 0).select(*named))
+        hit = found.where(F.size(PREFIX + "spans") > 0)
+        if hit.isEmpty():
+            break
+        docs, parts = stored(cut_found(hit, docs.schema), "decon-cut"), blocks(benchmark)
+    out = clean[0]
+    for more in clean[1:]:
+        out = out.union(more)
+    return out
+
+
+def cut_found(hit: DataFrame, schema: T.StructType) -> DataFrame:
+    """Documents without the spans that were found in them."""
 
     def run(batches):
-        all_blocks = [b.value for b in sent]
         for batch in batches:
             for part in W.slices(batch, "text"):
-                hit = sorted(set().union(*(find(b, part.column(at_text))[1] for b in all_blocks)))
+                w = W.find(part.column("text"), W.ALNUM, lower=True)
+                texts, spans = part.column("text").to_pylist(), part.column(PREFIX + "spans").to_pylist()
+                new = {r: without(texts[r], w, r, [(x["first"], x["last"]) for x in s]) for r, s in enumerate(spans)}
+                yield changed(part.select(schema.names), new)
+
+    return map_batches(hit, run, schema)
+
+
+def remove_block(docs: DataFrame, phrases: Phrases) -> DataFrame:
+    """``remove_spans`` for the phrases of one block."""
+    sent = docs.sparkSession.sparkContext.broadcast(phrases)
+
+    def run(batches):
+        for batch in batches:
+            for part in W.slices(batch, "text"):
+                hit = find(sent.value, part.column("text"))[1]
                 if not hit:
                     yield part
                     continue
-                texts = part.column(at_text).to_pylist()
-                for r in hit:
-                    texts[r] = cut(texts[r], all_blocks)
-                arrays = part.columns
-                new = pa.array(texts, part.schema.field(at_text).type)
-                arrays[at_text] = new
-                if at_chars is not None:
-                    chars = part.column(at_chars).to_pylist()
-                    for r in hit:
-                        chars[r] = len(texts[r])
-                    arrays[at_chars] = pa.array(chars, part.schema.field(at_chars).type)
-                left = np.ones(part.num_rows, bool)
-                left[hit] = W.find(new, W.ALNUM, lower=True).counts[hit] > 0
-                yield pa.RecordBatch.from_arrays(arrays, schema=part.schema).filter(pa.array(left))
-
-    return map_batches(docs, run, schema)
+                texts = part.column("text").to_pylist()
+                yield changed(part, {r: cut(texts[r], [sent.value]) for r in sorted(hit)})
 
+    return map_batches(docs, run, docs.schema)

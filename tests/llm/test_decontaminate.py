@@ -70,3 +70,28 @@ def test_frames(spark):
     kept = {(r.doc_id, r.text, r.spans, r.n_chars) for r in D.remove_spans(docs, bench).collect()}
     assert kept == {(1, "Before it. and after", "s", 20), (None, None, "s", 0), (3, "clean words", "s", None)}
     assert D.remove_spans(docs.limit(0), bench).count() == 0 and D.remove_spans(docs, bench.limit(0)).count() == 4
+
+
+def test_blocks_one_at_a_time(spark, monkeypatch):
+    """A benchmark of several blocks gives the spans, items and texts of a single one."""
+    rng = np.random.default_rng(4)
+    v = ["a", "B", "c-d", "é", "X1", "two"]
+    say = lambda n: " ".join(rng.choice(v, n))                 # noqa: E731
+    items = [(k, say(int(n))) for k, n in enumerate(rng.integers(1, 16, 40))] + [(None, "solo"), (50, None), (3, say(12))]
+    long_ = [t for _, t in items if t and len(words(t)) > 9]
+    rows = [(k, f"{say(int(n))} {rng.choice(long_)} {say(2)}", 1) for k, n in enumerate(rng.integers(0, 30, 40))] + [(None, None, None), (7, "", 0), (8, "SOLO", 4), (9, "quite clean", 11)]
+    # what is left of this after a cut is a window again
+    w = words(long_[0])
+    rows.append((99, " ".join(["x1x", *w[:5], *words(long_[1]), *w[5:], "y1y"]), 5))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    key = lambda r: (r[0] is None, r[0] or 0, str(r[1:]))      # noqa: E731
+    marked = lambda: sorted(map(tuple, D.mark(docs, bench, ["doc_id"]).collect()), key=key)       # noqa: E731
+    kept = lambda: sorted(map(tuple, D.remove_spans(docs, bench).collect()), key=key)             # noqa: E731
+    one = marked(), kept()
+    monkeypatch.setattr(D, "BLOCK_BYTES", 800)
+    parts = list(D.blocks(bench))
+    assert len(parts) >= 3 and [last for _, last in parts] == [False] * (len(parts) - 1) + [True]
+    assert (marked(), kept()) == one
+    named = [(str(i) if i is not None else "null", t) for i, t in items if t is not None]
+    assert sorted((n, sum(x["last"] - x["first"] for x in s), sorted(i)) for _, n, s, i in one[0]) == sorted(brute([t for _, t, _ in rows], named))
