@@ -121,7 +121,12 @@ def nodes(docs: DataFrame) -> DataFrame:
 
 
 def pivots(docs: DataFrame) -> DataFrame:
-    """(pivot, node, n): each node's pivots, once per partition."""
+    """(key, known, pivot, node, n): each node's pivots, once per partition.
+
+    A pivot that several nodes of a slice of the task's texts have is ``known`` to be
+    shared: those rows are dealt by a key of their own, and one row stands for them
+    under the pivot.  A pivot that very many nodes have so brings a row per slice, not
+    per node, to one place."""
 
     def run(batches):
         done: set[int] = set()                                 # nodes of this partition
@@ -136,15 +141,23 @@ def pivots(docs: DataFrame) -> DataFrame:
                         fresh[r] = True
                 take = np.where(fresh, np.minimum(n, n - need(n) + extra(n)), 0)
                 at = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take) + np.repeat(edge[:-1], take)
-                yield pa.RecordBatch.from_arrays([pa.array(shingle[at].view(np.int64)), pa.array(np.repeat(node, take)), pa.array(np.repeat(n, take).astype(np.int32))], names=["pivot", "node", "n"])
+                pivot, node, n = shingle[at], np.repeat(node, take), np.repeat(n, take).astype(np.int32)
+                _, first, own, count = np.unique(pivot, return_index=True, return_inverse=True, return_counts=True)
+                known = count[own] > 1
+                key = np.where(known, pivot ^ W.mix(node.view(np.uint64)), pivot)
+                stands = first[count > 1]
+                both = lambda a, b: pa.array(np.concatenate([a, b[stands]]))               # noqa: E731
+                yield pa.RecordBatch.from_arrays([
+                    both(key.view(np.int64), pivot.view(np.int64)), both(known, np.zeros(len(known), bool)),
+                    both(pivot.view(np.int64), pivot.view(np.int64)), both(node, node), both(n, n)], names=["key", "known", "pivot", "node", "n"])
 
-    return map_batches(docs, run, "pivot long, node long, n int")
+    return map_batches(docs, run, "key long, known boolean, pivot long, node long, n int")
 
 
 def survivors(docs: DataFrame) -> DataFrame:
     """(node, n, pivots): nodes that share enough pivots with others."""
-    own = Window.partitionBy("pivot")
-    shared = pivots(docs).withColumns({"lo": F.min("node").over(own), "hi": F.max("node").over(own)}).where("lo <> hi")
+    own = Window.partitionBy("key", "known")
+    shared = pivots(docs).withColumns({"lo": F.min("node").over(own), "hi": F.max("node").over(own)}).where("known or lo <> hi")
     return shared.groupBy("node").agg(F.first("n").alias("n"), F.collect_set("pivot").alias("pivots")).where(
         F.size("pivots") >= least_shared(F.col("n")))
 
@@ -157,8 +170,9 @@ def regions(kept: DataFrame) -> DataFrame:
     may share besides.  At a crowded pivot, all documents that fit the size of a
     crowded document are connected to one of them."""
     each = kept.select("node", F.col("n").cast("long").alias("n"), F.explode("pivots").alias("pivot"))
-    by = Window.partitionBy("pivot")
-    each = each.withColumn("df", F.count(F.lit(1)).over(by)).where("df > 1")
+    # what is known of a pivot is counted map-side and stored: joins back are broadcast if it is small, else split at hot pivots
+    often = stored(each.groupBy("pivot").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "jaccard-often")
+    each = each.join(often, "pivot")
     each = each.withColumn("busy", F.sum((F.col("df") > CROWDED).cast("int")).over(Window.partitionBy("node")))
     each = stored(each, "jaccard-pivots")
     few = each.where(F.col("df") <= CROWDED)
@@ -167,10 +181,10 @@ def regions(kept: DataFrame) -> DataFrame:
     met = a.join(b, "pivot").where(fit).groupBy("node_a", "node_b", "n_a", "n_b", "busy_a", "busy_b").agg(F.count(F.lit(1)).alias("c"))
     must = F.least(extra_col(F.col("n_a")), extra_col(F.col("n_b"))) - F.least("busy_a", "busy_b")
     near = met.where(F.col("c") >= F.greatest(F.lit(1), must)).select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
-    crowded = F.when(F.col("busy") >= extra_col(F.col("n")), F.col("n"))
-    many = each.where(F.col("df") > CROWDED).withColumns({"least": F.min(crowded).over(by), "most": F.max(crowded).over(by)})
-    many = many.where((5 * F.col("n") >= 4 * F.col("least")) & (4 * F.col("n") <= 5 * F.col("most")))
-    many = many.select("node", F.min("node").over(by).alias("low"))
+    many = each.where(F.col("df") > CROWDED)
+    limits = many.where(F.col("busy") >= extra_col(F.col("n"))).groupBy("pivot").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    many = many.join(stored(limits, "jaccard-limits"), "pivot").where((5 * F.col("n") >= 4 * F.col("least")) & (4 * F.col("n") <= 5 * F.col("most")))
+    many = many.join(stored(many.groupBy("pivot").agg(F.min("node").alias("low")), "jaccard-low"), "pivot")
     edges = near.union(many.select(F.col("node").alias("u"), F.col("low").alias("v")).distinct())
     found = components(edges, "jaccard-regions").select(F.col("u").alias("node"), F.col("root").alias("region"))
     return found.union(found.select(F.col("region").alias("node"), "region").distinct())

@@ -215,3 +215,24 @@ def test_components(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert J.classes(df).count() == 0 and J.keep_first(df).count() == 0
+
+
+def test_hot_pivots_take_a_row_per_slice(spark):
+    """A passage of 600 texts: its pivots meet in one place once per slice, and no shared pivot is lost."""
+    rng = random.Random(21)
+    passage = " ".join(f"p{k}" for k in range(30))
+    rows = [(k, passage + " " + " ".join(f"u{rng.random()}" for _ in range(6))) for k in range(600)]
+    docs = J.keyed(frame(spark, rows).select("doc_id", "text")).repartition(3)
+    got = J.pivots(docs).collect()
+    of = {}
+    for r in got:
+        of.setdefault(r.pivot, set()).add(r.node)
+    hot = {p for p, nodes in of.items() if len(nodes) == 600}
+    assert hot and all(sum(r.key == p and not r.known for r in got) <= 3 for p in hot)
+    least = {r.node: r.l for r in J.pivots(docs).select("node", J.least_shared(J.F.col("n")).alias("l")).distinct().collect()}
+    want = {}
+    for p, nodes in of.items():
+        for x in nodes if len(nodes) > 1 else ():
+            want.setdefault(x, set()).add(p)
+    kept = {r.node: set(r.pivots) for r in J.survivors(docs).collect()}
+    assert kept == {x: ps for x, ps in want.items() if len(ps) >= least[x]} and kept
