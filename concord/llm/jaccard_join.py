@@ -49,6 +49,7 @@ from .components import components
 
 SHINGLE = 5
 CROWDED = 16
+SPREAD = 1000                      # nodes of a crowded pivot in one place
 SHORT, MIDDLE = 100, 400           # shingles: documents with all, with two fifths of their shingles as pivots
 REGION_SHINGLES = 8_000_000        # in a task: 64 MB of hashes, some 400 MB while they are sorted
 PIVOTS, MEET = 8, 32               # pivots that are kept, and documents that are met at once, in a region's task
@@ -121,12 +122,12 @@ def nodes(docs: DataFrame) -> DataFrame:
 
 
 def pivots(docs: DataFrame) -> DataFrame:
-    """(key, known, pivot, node, n): each node's pivots, once per partition.
+    """(key, pivot, node, n): each node's pivots, once per partition.
 
-    A pivot that several nodes of a slice of the task's texts have is ``known`` to be
-    shared: those rows are dealt by a key of their own, and one row stands for them
-    under the pivot.  A pivot that very many nodes have so brings a row per slice, not
-    per node, to one place."""
+    A pivot that several nodes of a slice of the task's texts have is known to be shared:
+    those rows name the pivot and are dealt by keys of their own, and one row stands for
+    them under the pivot.  A pivot that very many nodes have so brings a row per slice,
+    not per node, to one place.  The other rows' pivot is null: it is the key."""
 
     def run(batches):
         done: set[int] = set()                                 # nodes of this partition
@@ -146,19 +147,19 @@ def pivots(docs: DataFrame) -> DataFrame:
                 known = count[own] > 1
                 key = np.where(known, pivot ^ W.mix(node.view(np.uint64)), pivot)
                 stands = first[count > 1]
-                both = lambda a, b: pa.array(np.concatenate([a, b[stands]]))               # noqa: E731
-                yield pa.RecordBatch.from_arrays([
-                    both(key.view(np.int64), pivot.view(np.int64)), both(known, np.zeros(len(known), bool)),
-                    both(pivot.view(np.int64), pivot.view(np.int64)), both(node, node), both(n, n)], names=["key", "known", "pivot", "node", "n"])
+                more = lambda a, b: np.concatenate([a, b[stands]])                         # noqa: E731
+                named = pa.array(more(pivot, pivot).view(np.int64), mask=more(~known, known))
+                yield pa.RecordBatch.from_arrays([pa.array(more(key, pivot).view(np.int64)), named, pa.array(more(node, node)), pa.array(more(n, n))],
+                                                 names=["key", "pivot", "node", "n"])
 
-    return map_batches(docs, run, "key long, known boolean, pivot long, node long, n int")
+    return map_batches(docs, run, "key long, pivot long, node long, n int")
 
 
 def survivors(docs: DataFrame) -> DataFrame:
     """(node, n, pivots): nodes that share enough pivots with others."""
-    own = Window.partitionBy("key", "known")
-    shared = pivots(docs).withColumns({"lo": F.min("node").over(own), "hi": F.max("node").over(own)}).where("known or lo <> hi")
-    return shared.groupBy("node").agg(F.first("n").alias("n"), F.collect_set("pivot").alias("pivots")).where(
+    own = Window.partitionBy("key", "pivot")
+    shared = pivots(docs).withColumns({"lo": F.min("node").over(own), "hi": F.max("node").over(own)}).where("pivot IS NOT NULL OR lo <> hi")
+    return shared.groupBy("node").agg(F.first("n").alias("n"), F.collect_set(F.coalesce("pivot", "key")).alias("pivots")).where(
         F.size("pivots") >= least_shared(F.col("n")))
 
 
@@ -170,7 +171,7 @@ def regions(kept: DataFrame) -> DataFrame:
     may share besides.  At a crowded pivot, all documents that fit the size of a
     crowded document are connected to one of them."""
     each = kept.select("node", F.col("n").cast("long").alias("n"), F.explode("pivots").alias("pivot"))
-    # what is known of a pivot is counted map-side and stored: joins back are broadcast if it is small, else split at hot pivots
+    # counted map-side and stored: a join back that the planner can split at hot pivots
     often = stored(each.groupBy("pivot").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "jaccard-often")
     each = each.join(often, "pivot")
     each = each.withColumn("busy", F.sum((F.col("df") > CROWDED).cast("int")).over(Window.partitionBy("node")))
@@ -181,10 +182,14 @@ def regions(kept: DataFrame) -> DataFrame:
     met = a.join(b, "pivot").where(fit).groupBy("node_a", "node_b", "n_a", "n_b", "busy_a", "busy_b").agg(F.count(F.lit(1)).alias("c"))
     must = F.least(extra_col(F.col("n_a")), extra_col(F.col("n_b"))) - F.least("busy_a", "busy_b")
     near = met.where(F.col("c") >= F.greatest(F.lit(1), must)).select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
+    # a pivot's limits stand once per SPREAD of its nodes, so that a hot pivot's nodes meet them in many places
+    parts = F.ceil(F.col("df") / SPREAD)
     many = each.where(F.col("df") > CROWDED)
-    limits = many.where(F.col("busy") >= extra_col(F.col("n"))).groupBy("pivot").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    many = many.join(stored(limits, "jaccard-limits"), "pivot").where((5 * F.col("n") >= 4 * F.col("least")) & (4 * F.col("n") <= 5 * F.col("most")))
-    many = many.join(stored(many.groupBy("pivot").agg(F.min("node").alias("low")), "jaccard-low"), "pivot")
+    limits = many.where(F.col("busy") >= extra_col(F.col("n"))).groupBy("pivot").agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.min("node").alias("low"), F.first(parts).alias("parts"))
+    limits = stored(limits.select("pivot", "least", "most", "low", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")), "jaccard-limits")
+    many = many.withColumn("part", F.pmod(F.xxhash64("node"), parts)).join(limits, ["pivot", "part"])
+    many = many.where((5 * F.col("n") >= 4 * F.col("least")) & (4 * F.col("n") <= 5 * F.col("most")))
     edges = near.union(many.select(F.col("node").alias("u"), F.col("low").alias("v")).distinct())
     found = components(edges, "jaccard-regions").select(F.col("u").alias("node"), F.col("root").alias("region"))
     return found.union(found.select(F.col("region").alias("node"), "region").distinct())
