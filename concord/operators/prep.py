@@ -52,13 +52,35 @@ def vocabulary(df: DataFrame, tokens_col: str) -> DataFrame:
     return placed.select("word", "n", (F.col("place") + FIRST_WORD_ID).cast("int").alias("token_id"))
 
 
-def encode(df: DataFrame, key: str, tokens_col: str, vocab: DataFrame, add_eos: bool = True) -> DataFrame:
+SMALL_VOCABULARY = 512             # words that are looked up inside a row
+
+
+def small_vocabulary(vocab: DataFrame) -> dict | None:
+    """{word: token_id} of a vocabulary of at most ``SMALL_VOCABULARY`` words (a grammar's), most frequent first; else None."""
+    rows = vocab.select("word", "token_id").orderBy("token_id").limit(SMALL_VOCABULARY + 1).collect()
+    return {r.word: r.token_id for r in rows} if len(rows) <= SMALL_VOCABULARY else None
+
+
+def small_ids(words_col: Column, ids: dict) -> Column:
+    """Token ids of an array of words by a literal map (unknown -> UNK)."""
+    if not ids:
+        return F.transform(words_col, lambda w: F.lit(UNK_ID))
+    known = F.create_map(*[F.lit(x) for kv in ids.items() for x in kv])
+    return F.transform(words_col, lambda w: F.coalesce(F.try_element_at(known, w), F.lit(UNK_ID)))
+
+
+def encode(df: DataFrame, key: str, tokens_col: str, vocab: DataFrame, add_eos: bool = True, unique: bool = False) -> DataFrame:
     """H3: token ids per row (unknown -> UNK, EOS appended).
 
-    Tokens are exploded with their position (rows without tokens stay), joined
-    to the vocabulary and put together again per row.  How the vocabulary is
-    joined is left to the adaptive planner, which knows its size in bytes and
-    splits the partitions of frequent words."""
+    Where a key has one row (``unique``) and the vocabulary is a grammar's, words
+    are looked up inside the row.  Otherwise tokens are exploded with their position
+    (rows without tokens stay), joined to the vocabulary and put together again per
+    key.  How the vocabulary is joined is left to the adaptive planner, which
+    knows its size in bytes and splits the partitions of frequent words."""
+    small = small_vocabulary(vocab) if unique else None
+    if small is not None:
+        ids = F.coalesce(small_ids(F.col(tokens_col), small), F.array().cast("array<int>"))
+        return df.select(key, (F.concat(ids, F.array(F.lit(EOS_ID))) if add_eos else ids).alias("ids"))
     ex = df.select(key, F.posexplode_outer(tokens_col).alias("pos", "word"))
     j = ex.join(vocab.select("word", "token_id"), "word", "left")
     tok = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("token_id")))
@@ -150,7 +172,7 @@ def forced_prefix(gold: Column, k: Column) -> Column:
     return truncate_words(gold, k)
 
 
-def allowed_by_position(df: DataFrame, key: str, prefix_col: str, alts_col: str, vocab: DataFrame) -> DataFrame:
+def allowed_by_position(df: DataFrame, key: str, prefix_col: str, alts_col: str, vocab: DataFrame, unique: bool = False) -> DataFrame:
     """The token ids that a decoder may emit at each position of a row.
 
     ``prefix_col``: the words of the forced prefix, which alone are allowed at
@@ -158,9 +180,24 @@ def allowed_by_position(df: DataFrame, key: str, prefix_col: str, alts_col: str,
     Alternatives end with EOS and are padded to the longest; the last position
     is stripped.  At a position, an alternative that has just ended opens a new
     word (``opens_word``), one that ended before opens everything (``open_all``),
-    the others allow their token."""
+    the others allow their token.  Where a key has one row (``unique``) and the
+    vocabulary is a grammar's, positions are made inside the row."""
     n = F.size(prefix_col)
     longest = F.aggregate(F.transform(alts_col, lambda a: F.size(a)), F.lit(0), lambda m, k: F.greatest(m, k))
+    small = small_vocabulary(vocab) if unique else None
+    if small is not None:
+        rows = df.select(key, small_ids(F.col(prefix_col), small).alias("_p"), F.transform(alts_col, lambda a: small_ids(a, small)).alias("_a"))
+        n, sizes = F.size("_p"), F.transform("_a", lambda a: F.size(a))
+        longest = F.coalesce(F.array_max(sizes), F.lit(0))
+
+        def after(j):
+            here = F.array_compact(F.transform("_a", lambda a: F.get(a, j)))
+            return F.struct((n + j).cast("int").alias("pos"), F.array_sort(F.array_distinct(here)).alias("allowed"),
+                            F.exists("_a", lambda a: F.size(a) == j).alias("opens_word"), F.exists("_a", lambda a: F.size(a) < j).alias("open_all"))
+
+        forced = F.transform("_p", lambda t, i: F.struct(i.alias("pos"), F.array(t).alias("allowed"), F.lit(False).alias("opens_word"), F.lit(False).alias("open_all")))
+        places = F.when(longest > 0, F.sequence(F.lit(0), longest - 1)).otherwise(F.array().cast("array<int>"))
+        return rows.select(key, F.explode(F.concat(forced, F.transform(places, after))).alias("_i")).select(key, "_i.*")
 
     def item(pos, word, mark):
         return F.struct(pos.cast("int").alias("pos"), word.alias("word"), F.lit(mark).alias("mark"))
