@@ -3,11 +3,15 @@
 
 from __future__ import annotations
 
+import os
+import re
+from itertools import groupby
+
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import ranked
-
+from ..sources.tables import ranked, stored
 
 
 def lines(text: Column) -> Column:
@@ -74,22 +78,112 @@ def select_items(df: DataFrame, path_col: str, globs: list | None = None, suffix
     return out.orderBy(path_col)
 
 
+def _tasks(spark: SparkSession) -> int:
+    """Tasks for work that counts by file, not by byte."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
+def _qualified(spark: SparkSession, path: str):
+    """The store that ``path`` lies in and the path with the store's name."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return store, store.makeQualified(at)
+
+
+def folder_name(name: str, value: str | None) -> str:
+    """``name=value`` as Spark names the folders of partitioned tables."""
+    value = "".join(f"%{ord(c):02X}" if c in "\"#%'*/:=?\\{[]^\x7f" or c < " " else c for c in value or "")
+    return f"{name}={value or '__HIVE_DEFAULT_PARTITION__'}"
+
+
+def _write_files(rows, base: str, folders: list) -> None:
+    """One task's rows, sorted by folder, as files: each is put in place when it is whole, so a second attempt replaces it."""
+    name = f"part-{TaskContext.get().partitionId():05d}.txt"
+    for values, some in groupby(rows, lambda r: tuple(r)[:-1]):
+        folder = os.path.join(base, *map(folder_name, folders, values))
+        os.makedirs(folder, exist_ok=True)
+        part = os.path.join(folder, f".{name}-{TaskContext.get().taskAttemptId()}")
+        with open(part, "w", encoding="utf-8", newline="") as out:
+            out.writelines((r[-1] or "") + "\n" for r in some)
+        os.replace(part, os.path.join(folder, name))
+
+
 def write_items(df: DataFrame, path: str, folders: list, text: str) -> None:
-    """One text file per row, in a folder for each value of ``folders``."""
-    df.select(*folders, text).write.mode("overwrite").partitionBy(*folders).text(path)
+    """One text file per row, in a folder for each value of ``folders``.
+
+    Rows are dealt by folder, so all tasks have as many files to write; rows of one folder share a file.
+    In a folder that all machines share as a file system (``file:``) the tasks write files themselves:
+    Spark's writer starts a process for the permissions of every file and folder there, some 20 ms a file."""
+    spark = df.sparkSession
+    named = [F.nullif(F.col(c).cast("string"), F.lit("")).alias(c) for c in folders]       # both have one folder
+    dealt = df.select(*named, text).repartition(_tasks(spark), *folders)
+    store, at = _qualified(spark, path)
+    if store.getScheme() != "file":
+        dealt.write.mode("overwrite").partitionBy(*folders).text(path)
+        return
+    dealt.where("false").write.mode("overwrite").partitionBy(*folders).text(path)
+    base = at.toUri().getPath()
+    dealt.sortWithinPartitions(*folders).foreachPartition(lambda rows: _write_files(rows, base, folders))
+
+
+def file_glob(glob: str) -> str:
+    """A glob of Hadoop's as a regular expression for a file, or for any file below a folder that it
+    names: * and ? within one folder, [..] and [^..] classes, {..,..} alternatives, \\ before a literal."""
+    out, i, depth = "", 0, 0
+    while i < len(glob):
+        c = glob[i]
+        if c == "[" and (end := glob.find("]", i + 2)) > 0:
+            body = glob[i + 1:end]
+            out += ("[^/" if body[0] in "!^" else "[") + "".join("\\" + x if x in "[\\&^" else x for x in body[body[0] in "!^":]) + "]"
+            i = end
+        elif c in "{}":
+            out, depth = out + ("(?:" if c == "{" else ")"), depth + (1 if c == "{" else -1)
+        elif c == "," and depth:
+            out += "|"
+        elif c in "*?":
+            out += "[^/]*" if c == "*" else "[^/]"
+        else:
+            if c == "\\":
+                i, c = i + 1, glob[i + 1]
+            out += c if c.isalnum() or c == "/" else "\\" + c
+        i += 1
+    return out + "(?:/.*)?$"
+
+
+def _rooted(spark: SparkSession, glob: str) -> tuple[str, str]:
+    """The folder above the first part of ``glob`` that holds a pattern, and the files' expression; both with the store's name."""
+    parts = glob.split("/")
+    k = next((k for k, x in enumerate(parts) if any(c in "{}[]*?\\" for c in x)), len(parts))
+    root = _qualified(spark, "/".join(parts[:k]) or ("/" if glob.startswith("/") else "."))[1].toString()
+    store, below = re.fullmatch(r"([^/]*:(?://[^/]*)?)?(.*)", root.rstrip("/")).groups()
+    literal = "".join(c if c.isalnum() or c == "/" else "\\" + c for c in below)
+    rest = file_glob("/" + "/".join(parts[k:])) if k < len(parts) else "(?:/.*)?$"
+    return root, "^" + re.escape(store or "") + "(?://)?" + literal + rest
 
 
 def read_items(spark: SparkSession, globs: list, suffix: str | None = None, regex: str | None = None) -> DataFrame:
     """(place, path, text) of the files that any of the globs names, each once,
     in path order; optionally only paths with a suffix, or that a regex matches from the start.
 
-    Files are read whole, one row each; globs may overlap."""
-    files = spark.read.text(globs, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    Files are read whole, one row each; globs may overlap. What lies below the globs' plain
+    beginnings is listed once, by tasks, and the globs are then matched with the paths, so
+    a glob may name no file (its plain beginning must exist); as elsewhere in Spark, files
+    and folders below it whose names begin with _ or . are left out. Files are read once, and stored."""
+    rooted = sorted({_rooted(spark, g) for g in globs})
+    roots = []
+    for root, _ in rooted:
+        if not any(root == r or root.startswith(r.rstrip("/") + "/") for r in roots):
+            roots.append(root)
+    files = spark.read.option("recursiveFileLookup", "true").text(roots, wholetext=True)
+    path = F.col("_metadata.file_path")
+    plain = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))          # file_path has escapes
+    files = files.where(plain.rlike("|".join(x for _, x in rooted)))
     if suffix:
-        files = files.where(F.col("path").endswith(suffix))
+        files = files.where(path.endswith(suffix))
     if regex:
-        files = files.where(F.col("path").rlike("^(?:" + regex + ")"))
-    return ranked(files.dropDuplicates(["path"]), [F.col("path")], "place", "items").select("place", "path", "text")
+        files = files.where(path.rlike("^(?:" + regex + ")"))
+    files = stored(files.select(path.alias("path"), F.col("value").alias("text")).coalesce(_tasks(spark)), "items-read")
+    return ranked(files, [F.col("path")], "place", "items").select("place", "path", "text")
 
 
 def flatten(text: Column) -> Column:

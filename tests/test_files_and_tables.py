@@ -175,6 +175,40 @@ def test_job_files_are_read_once_in_order(spark, tmp_path):
     assert [(r.place, r.path.rsplit("/", 2)[1:], r.text) for r in got if r.text] == [(0, ["a", "1.sh"], "x\n\ny"), (1, ["b", "2.sh"], "#!/bin/sh\n#SBATCH --time=1\n")]
 
 
+def test_items_are_written_by_the_tasks_and_listed_once(spark, tmp_path):
+    rows = [("x y", k, f"#!/bin/sh\n{k}") for k in range(40)] + [("b", 7, None), ("b%c", 7, "twice"), ("b%c", 7, "twice")]
+    df = spark.createDataFrame(rows, "lang string, job long, script string")
+    odd = df.limit(1).select(F.explode(F.array(*map(F.lit, ["".join(map(chr, range(1, 128))), "", "é +~", None]))).alias("v"), "script")
+    odd.write.partitionBy("v").text(str(tmp_path / "spark"))
+    J.write_items(odd, str(tmp_path / "own"), ["v"], "script")
+    assert {f.name for f in (tmp_path / "own").glob("v=*")} == {f.name for f in (tmp_path / "spark").glob("v=*")}
+    assert sorted(r.text for r in J.read_items(spark, [f"{tmp_path}/own/v=é +*/*", f"{tmp_path}/own/v=_*"]).collect()) == ["#!/bin/sh\n0\n", "#!/bin/sh\n0\n" * 2]
+    J.write_items(df, str(tmp_path / "jobs"), ["lang", "job"], "script")
+    J.write_items(df, str(tmp_path / "jobs"), ["lang", "job"], "script")
+    files = list((tmp_path / "jobs").rglob("part-*.txt"))
+    assert len(files) == 42 and len({f.parent for f in files}) == 42 and not list((tmp_path / "jobs").rglob("*/.*.crc"))
+    for folder, name in (("jobs/lang=b/job=7/_left", "part-0.txt"), ("jobs/lang=b", "other.txt"), ("else/where", "part-1.txt")):
+        (tmp_path / folder).mkdir(parents=True, exist_ok=True)
+        (tmp_path / folder / name).write_text("other")
+    base = f"{tmp_path}/jobs"
+    globs = [f"{base}/*/job=*/*", f"file://{base}/lang=x*/job=1?", f"{base}/lang={{b*,x y}}/job=[!1-6]/part-*", f"{base}/lang=b/job=99*"]
+    got = J.read_items(spark, globs, suffix=".txt").orderBy("place").collect()
+    assert [r.place for r in got] == list(range(42)) and [r.path for r in got] == sorted(r.path for r in got)
+    assert sorted(r.text for r in got) == sorted([f"#!/bin/sh\n{k}\n" for k in range(40)] + ["\n", "twice\ntwice\n"])
+    few = J.read_items(spark, [f"{base}/lang={{b*,x y}}/job=[!0-6]/p*"], regex=".*x%20y").collect()
+    assert sorted(r.text for r in few) == [f"#!/bin/sh\n{k}\n" for k in (7, 8, 9)]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        J.read_items(spark, [f"{tmp_path}/missing/*"])
+
+
+def test_items_of_a_folder_named_by_a_glob(spark, tmp_path):
+    for folder in ("a/x", "a/y", "b"):
+        (tmp_path / folder).mkdir(parents=True)
+        (tmp_path / folder / "1.sh").write_text(folder)
+    got = J.read_items(spark, [f"{tmp_path}/a*", f"{tmp_path}/b/1.sh", f"{tmp_path}/a/x"]).orderBy("place").collect()
+    assert [(r.place, r.text) for r in got] == [(0, "a/x"), (1, "a/y"), (2, "b")]
+
+
 def test_running_total(spark):
     rows = [(k, (k * 7) % 11) for k in range(500)]
     got = TB.running_total(spark.createDataFrame(rows, "k int, v long").repartition(7), [F.desc("k")], "v", "before", "test").collect()
