@@ -117,6 +117,30 @@ def test_a_lexicon_table_tags_like_the_grammar(spark):
         assert got[r.id].n_tokens == len(r.tokens)
 
 
+def test_words_ask_the_lexicon_once_per_block(spark, monkeypatch):
+    rows = [(k, [f"w{(k * i) % 13}" for i in range(k % 40)]) for k in range(400)] + [(1000, None), (1001, ["w1", None, 'q"\\ é\n']), (None, ["w1"]), (None, None), (7, ["w2", "x"]), (7, ["w2", "x"])]
+    df = spark.createDataFrame(rows, "k int, t array<string>")
+    lexicon = spark.createDataFrame([(f"w{i}", f"{i:x}-") for i in range(9)] + [("w3", "0-"), (None, "n-"), ("w8", None), ("w10", None), ("never", "z-")], "word string, code string")
+    code = {f"w{i}": f"{i:x}-" for i in range(9)} | {"w3": "0-"}
+    of = {}
+    for k, t in rows:
+        of.setdefault(k, []).extend(enumerate(code.get(w, A.UNKNOWN) for w in t or []))
+    want = sorted(((k is None, k or 0), [c for _, c in sorted(of[k])] if k is not None else []) for k, _ in rows)
+    for words in (A.BLOCK_WORDS, 100):
+        monkeypatch.setattr(A, "BLOCK_WORDS", words)
+        got = A.tag_words(df, "k", "t", lexicon)
+        assert sorted(((r.k is None, r.k or 0), r.codes) for r in got.collect()) == want
+        assert all(r.n_tokens == len(r.codes) for r in got.collect())
+    many = spark.range(3000).select("id", F.array_repeat(F.lit("the"), 200).alias("t"))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = A.tag_words(many, "id", "t", lexicon)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert "collect_list" not in plan and "posexplode" not in plan       # no row for each word of each row
+
+
 def test_registered_metrics(spark):
     df = spark.createDataFrame([(1, "a b", "a b c"), (2, None, "x"), (3, "q", "q")], "id long, pred string, gold string")
 
