@@ -159,7 +159,7 @@ def proposals(tagger: Tagger, texts: list[str], starts: list[list[int]] | None =
             for start, end, kind, least in runs(tagger.tags, p, q):
                 cut = (start == 0 and s > 0) or (end == WINDOW and s + WINDOW < len(text))
                 if not cut and least >= SURE and passes(kind, text[s + start:s + end]):
-                    found[r].append((s + start, s + end, kind, least))
+                    found[r].append((s + start, s + end, kind, round(float(least), 3)))     # last digits depend on which windows are read together
     return found
 
 
