@@ -1,5 +1,6 @@
 """Work is dealt over all tasks, generated code is small enough for the JVM to compile, grammar-sized vocabularies need no shuffle."""
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,8 @@ from concord.functions import lexicon as L
 from concord.operators import annotate as A
 from concord.operators import prep as H
 from concord.operators import synth as S
+from concord.sources import io as IO
+from concord.sources import tables as TB
 from conftest import SF_SMALL
 
 
@@ -76,3 +79,52 @@ def test_small_vocabulary_places_inside_the_row(spark):
     got = [sorted(map(tuple, ((r.id, r.pos, tuple(r.allowed), r.opens_word, r.open_all) for r in H.allowed_by_position(df, "id", "p", "a", v, unique=u).collect())))
            for u in (False, True)]
     assert got[0] == got[1] and len(got[0]) == 10
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {f for f in (files.apply(i).getName() for i in range(files.size())) if f.startswith("shuffle_")}
+
+
+def test_ranks_shuffle_rows_once_and_drop_the_shuffle(spark, monkeypatch):
+    plans, own = [], TB.stored
+    monkeypatch.setattr(TB, "stored", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or own(df, name))
+    before = shuffle_files(spark)
+    rows = [(k % 50 if k % 9 else None, k) for k in range(3000)]
+    got = TB.ranked(spark.createDataFrame(rows, "a int, b int").repartition(3), [F.desc("a"), F.asc("b")], "place", "test").collect()
+    want = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    assert [(r.a, r.b) for r in sorted(got, key=lambda r: r.place)] == want and sorted(r.place for r in got) == list(range(3000))
+    assert plans[0].count("rangepartitioning") == 1 and "hashpartitioning" not in plans[0]
+    for _ in range(50):
+        written = own(spark.range(1000).repartition(5).withColumnRenamed("id", "k"), "test")
+        left = shuffle_files(spark) - before
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left and written.count() == 1000
+    assert spark.conf.get(TB.CLEANUP, None) is None
+
+
+def test_datasets_move_only_what_they_write(spark, tmp_path, monkeypatch):
+    stored, own = [], IO.stored
+    monkeypatch.setattr(IO, "stored", lambda df, name: stored.append(df.columns) or own(df, name))
+    cols = [F.concat(F.lit(x), F.col("id")).alias(x) for x in ("src", "prefix", "tgt", "main_verb", "other")]
+    df = spark.range(900).select((F.col("id") * 7 % 900).alias("id"), *cols, F.sequence(F.lit(0), F.col("id")).alias("wide"))
+    IO.write_dataset(df, str(tmp_path / "a.json"), ["id"], lines_per_file=200)
+    assert stored == [["id", "src", "prefix", "tgt", "main_verb"]]
+    pairs, meta = IO.read_pairs(spark, str(tmp_path / "a.json")), IO.read_metadata(spark, str(tmp_path / "a_metadata.json"))
+    got = IO.pairs_with_metadata(pairs.drop(*IO.CONSTRAINTS), meta).orderBy("example_id").collect()
+    want = df.orderBy("id").collect()
+    assert [(r.src, r.tgt, r.main_verb) for r in got] == [(r.src, r.tgt, r.main_verb) for r in want]
+    assert len(list((tmp_path / "a.json").glob("part-*"))) == 5
+    IO.write_dataset(df, str(tmp_path / "b.json"), [F.desc("other"), F.col("id")])
+    assert [r.src for r in IO.read_pairs(spark, str(tmp_path / "b.json")).orderBy("example_id").collect()] == [
+        r.src for r in df.orderBy(F.desc("other")).collect()]
+
+
+def test_counting_lines_needs_no_line_numbers(spark, tmp_path):
+    spark.range(300).select(F.col("id").cast("string")).repartition(3).write.text(str(tmp_path / "p"))
+    lines = IO.read_predictions(spark, str(tmp_path / "p"))
+    counted = lines.groupBy().count()
+    assert "Join" not in counted._jdf.queryExecution().optimizedPlan().toString() and counted.first()[0] == 300
+    assert sorted(r.example_id for r in lines.collect()) == list(range(300))
