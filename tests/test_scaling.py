@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 import __spark_entry__ as E
 from concord.functions import draws as D
 from concord.functions import lexicon as L
+from concord.functions import text as T
 from concord.operators import annotate as A
 from concord.operators import prep as H
 from concord.operators import synth as S
+from concord.plans import fixtures as FX
+from concord.plans import queries as Q
+from concord.plans.queries import METADATA_ORDER
 from concord.sources import io as IO
 from concord.sources import tables as TB
 from conftest import SF_SMALL
@@ -36,6 +40,50 @@ def test_generated_methods_are_compiled(spark, capsys, name):
     assert sizes and max(sizes) <= 8000          # the JVM interprets longer methods
 
 
+def method_sizes(spark, capsys, frame):
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        frame().explain(mode="codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    return [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+
+
+def test_rows_of_written_files_are_compiled(spark, capsys):
+    c = FX.corpus(spark, SF_SMALL)
+    names = ["id", "src", "prefix", "tgt", *METADATA_ORDER]
+    for frame in (lambda: c, lambda: c.select(names), lambda: FX.corrupt(c).select(*names, "pred"),
+                  lambda: FX.scored_input(c).select("id", "iteration", "pred", "gold", "verb_pos", *Q._RESULT_META)):
+        sizes = method_sizes(spark, capsys, frame)
+        assert sizes and max(sizes) <= 8000
+
+
+def test_results_are_computed_from_sentences_written_once(spark):
+    once = Q._results(spark, SF_SMALL, once=True)
+    plan = once._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "md5" not in plan
+    plain = Q._results(spark, SF_SMALL)
+    assert once.dtypes == plain.dtypes and once.count() == plain.count() > 0
+    assert once.exceptAll(plain).count() == plain.exceptAll(once).count() == 0
+
+
+def test_spaces_and_tags_of_odd_text(spark):
+    odd = ["", " ", "a", "\t a  b\n", "a\x0bb \x0b c\f", "a\t\tb c", "\u00a0a\u2003 b \u00a0", "a.b ,c  !", "\r\n", None, "  don't\r", "a\x0b"]
+    ws = r"[ \t\n\r\f\x0b]"
+    strip = lambda x: re.sub(rf"\A{ws}+|{ws}+\Z", "", x)                       # noqa: E731
+    said = lambda x: re.sub(f"{ws}+", " ", re.sub(r"([?.,!'])", r" \1", strip(x)))                # noqa: E731
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(odd)], "k int, x string")
+    for r in df.select("x", T.strip_ws("x").alias("s"), T.format_sentence("x").alias("f"), T.words("x").alias("w")).collect():
+        want = (None, None, None) if r.x is None else (strip(r.x), said(r.x), [w for w in re.split(f"{ws}+", r.x) if w])
+        assert (r.s, r.f, r.w) == want
+    tags = spark.createDataFrame([("DNPDNVDN",), ("DAKE?",), ("",), (None,)], "t string").select(A.pos_sequence(F.col("t")).alias("p"))
+    assert [r.p for r in tags.collect()] == ["[D] [N] [P] [D] [N] [V] [D] [N]", "[D] [ADJ] [Comp] [EOS] [?]", "[]", None]
+    for intros, own in (("", ""), ("P", "PP"), ("PCCP", "PP_RC_RC_PP"), (None, None)):
+        labels = A.structure_labels(F.lit(intros).cast("string"))
+        assert spark.range(1).select(labels["own"].alias("o")).first().o == own
+
+
 def test_positions_draw_their_own_words_and_numbers(spark):
     keys = spark.range(0, 300)
     slots = {f"w{i}": D.word_slot(i) for i in range(5)} | {f"n{i}": D.number_slot(i) for i in range(5)}
