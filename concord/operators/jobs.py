@@ -5,8 +5,11 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import groupby
+import unicodedata
+from functools import reduce
+from itertools import groupby, islice
 
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -161,6 +164,93 @@ def _rooted(spark: SparkSession, glob: str) -> tuple[str, str]:
     return root, "^" + re.escape(store or "") + "(?://)?" + literal + rest
 
 
+def _hidden(name: str) -> bool:
+    """Files and folders that Spark's listing leaves out."""
+    return (name.startswith("_") and "=" not in name and not name.startswith(("_metadata", "_common_metadata"))
+            or name.startswith(".") or name.endswith("._COPYING_"))
+
+
+def _escaped(path: str) -> str:
+    """A local path as the URI that Spark's ``_metadata.file_path`` has for it."""
+    def one(c):
+        plain = c.isalnum() or c in "_-!.~'()*:@&=+$,;/" if c < "\x80" else c > "\x9f" and unicodedata.category(c)[0] != "Z"
+        return c if plain else "".join(f"%{x:02X}" for x in c.encode())
+    return "file:" + "".join(map(one, path))
+
+
+def _in_batches(rows, names: list, types: list, most: int = 10_000):
+    while some := list(islice(rows, most)):
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*some), types)], names)
+
+
+FOUND = "at string, folder boolean"
+
+
+def _list_folders(batches):
+    """What lies in the folders ``at``; a file is its own and only entry.  Empty files hold no item."""
+    def entries(at):
+        if not os.path.isdir(at):
+            return [(os.path.basename(at), at, False, os.path.getsize(at))]
+        with os.scandir(at) as found:
+            return [(e.name, e.path, e.is_dir(), 0 if e.is_dir() else e.stat().st_size) for e in found if e.is_dir() or os.path.exists(e.path)]
+    rows = ((at, folder) for batch in batches for top in batch["at"].to_pylist() for name, at, folder, size in entries(top)
+            if not _hidden(name) and (folder or size and not (name.startswith("_") and "=" not in name)))
+    yield from _in_batches(rows, ["at", "folder"], [pa.string(), pa.bool_()])
+
+
+def _read_files(batches):
+    """(path, content) of the files ``at``, a few MB at a time."""
+    path, content, size = [], [], 0
+    for batch in batches:
+        for uri, at in zip(batch["path"].to_pylist(), batch["at"].to_pylist()):
+            with open(at, "rb") as f:
+                path.append(uri)
+                content.append(f.read())
+            size += len(content[-1])
+            if size > 4 << 20 or len(path) == 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array(content, pa.binary())], ["path", "content"])
+                path, content, size = [], [], 0
+    if path:
+        yield pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array(content, pa.binary())], ["path", "content"])
+
+
+def _packed(spark: SparkSession) -> tuple:
+    """Ends of the names of files that Spark's readers unpack."""
+    conf, jvm = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop
+    return tuple(jvm.util.ReflectionUtils.newInstance(c, conf).getDefaultExtension() for c in jvm.io.compress.CompressionCodecFactory.getCodecClasses(conf))
+
+
+def _escape_globs(path: str) -> str:
+    return re.sub(r"([{}\[\]*?\\])", r"\\\1", path)
+
+
+SPARKS_FILES = 10_000              # files of one scan of Spark's, whose list the driver holds
+
+
+def _shared_files(spark: SparkSession, roots: list, chosen) -> DataFrame:
+    """(path, text) of the files below ``roots``, folders that all machines share, of which ``chosen`` keeps the paths.
+
+    Folders are listed by tasks, level by level, and files are read by tasks: the driver
+    holds no list of files.  Packed files are left to Spark's reader, some at a time."""
+    n, at = _tasks(spark), [_qualified(spark, r)[1].toUri().getPath() for r in roots]
+    folders, levels = spark.createDataFrame([(x,) for x in at], "at string"), []
+    while folders is not None:
+        found = stored(folders.repartition(n).mapInArrow(_list_folders, FOUND), "items-listed")
+        levels.append(found.where("not folder").select("at"))
+        folders = found.where("folder").select("at")
+        folders = folders if folders.head(1) else None
+    uri = F.arrow_udf(lambda x: pa.array(map(_escaped, x.to_pylist()), pa.string()), "string")
+    files = stored(chosen(reduce(DataFrame.union, levels).select("at", uri("at").alias("path"))), "items-chosen")
+    packed = reduce(lambda c, x: c | F.col("path").endswith(x), _packed(spark), F.lit(False))
+    read = files.where(~packed).repartition(n).mapInArrow(_read_files, "path string, content binary")
+    parts = [stored(read.select("path", F.col("content").cast("string").alias("text")), "items-read")]
+    rows = files.where(packed).toLocalIterator()
+    while some := [_escape_globs(r["at"]) for r in islice(rows, SPARKS_FILES)]:
+        own = spark.read.text(some, wholetext=True)
+        parts.append(stored(own.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")), "items-unpacked"))
+    return reduce(DataFrame.union, parts)
+
+
 def read_items(spark: SparkSession, globs: list, suffix: str | None = None, regex: str | None = None) -> DataFrame:
     """(place, path, text) of the files that any of the globs names, each once,
     in path order; optionally only paths with a suffix, or that a regex matches from the start.
@@ -168,21 +258,30 @@ def read_items(spark: SparkSession, globs: list, suffix: str | None = None, rege
     Files are read whole, one row each; globs may overlap. What lies below the globs' plain
     beginnings is listed once, by tasks, and the globs are then matched with the paths, so
     a glob may name no file (its plain beginning must exist); as elsewhere in Spark, files
-    and folders below it whose names begin with _ or . are left out. Files are read once, and stored."""
+    and folders below it whose names begin with _ or . are left out. Files are read once, and stored.
+    In a folder that all machines share as a file system (``file:``) tasks read the files
+    themselves; elsewhere Spark's scan does, whose list of files the driver holds."""
     rooted = sorted({_rooted(spark, g) for g in globs})
     roots = []
     for root, _ in rooted:
         if not any(root == r or root.startswith(r.rstrip("/") + "/") for r in roots):
             roots.append(root)
-    files = spark.read.option("recursiveFileLookup", "true").text(roots, wholetext=True)
-    path = F.col("_metadata.file_path")
-    plain = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))          # file_path has escapes
-    files = files.where(plain.rlike("|".join(x for _, x in rooted)))
-    if suffix:
-        files = files.where(path.endswith(suffix))
-    if regex:
-        files = files.where(path.rlike("^(?:" + regex + ")"))
-    files = stored(files.select(path.alias("path"), F.col("value").alias("text")).coalesce(_tasks(spark)), "items-read")
+
+    def chosen(files):
+        path = F.col("path")
+        plain = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))          # paths have escapes
+        files = files.where(plain.rlike("|".join(x for _, x in rooted)))
+        if suffix:
+            files = files.where(path.endswith(suffix))
+        return files.where(path.rlike("^(?:" + regex + ")")) if regex else files
+
+    stores = [_qualified(spark, r) for r in roots]
+    if all(store.getScheme() == "file" and store.exists(at) for store, at in stores):
+        files = _shared_files(spark, roots, chosen)
+    else:
+        files = spark.read.option("recursiveFileLookup", "true").text(roots, wholetext=True)
+        files = chosen(files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
+        files = stored(files.coalesce(_tasks(spark)), "items-read")
     return ranked(files, [F.col("path")], "place", "items").select("place", "path", "text")
 
 

@@ -1,5 +1,6 @@
 """Written order, the datasets' log, full quotas, grammars and lexicons as tables,
 registered metrics, external tokenizers, job files."""
+import gzip
 import os
 
 import pyarrow as pa
@@ -225,6 +226,28 @@ def test_items_are_written_by_the_tasks_and_listed_once(spark, tmp_path):
         J.read_items(spark, [f"{tmp_path}/missing/*"])
 
 
+def test_items_are_listed_and_read_by_the_tasks(spark, tmp_path, monkeypatch):
+    names = ["a b.txt", "p%20q.txt", "plus+.txt", "é\u00a0x.txt", "日本.txt", "q?#.txt", "b[1]{2}*.txt", "empty.txt", "_hid.txt", "_k=v.txt", ".dot.txt",
+             "_metadata.txt", "x._COPYING_", "g[1].gz", "tilde~!'()&;@,$.txt", "ctl\x01.txt", "back\\s.txt", 'quo"t<e>|^`.txt']
+    for d in ("d1", "d2/x=1/y z", "_h", ".h", "_metadata_d", "_p=1"):
+        (tmp_path / d).mkdir(parents=True)
+        for n in names:
+            body = b"" if n == "empty.txt" else f"{d}\r\n{n}\n".encode() + b"\xff\xfe"
+            (tmp_path / d / n).write_bytes(gzip.compress(body) if n.endswith("gz") else body)
+    (tmp_path / "d1" / "gone.txt").symlink_to(tmp_path / "nowhere")
+    scan = spark.read.option("recursiveFileLookup", "true").text(str(tmp_path), wholetext=True)
+    want = sorted((r.path, r.t) for r in scan.select(F.col("_metadata.file_path").alias("path"), F.hex("value").alias("t")).collect())
+    plans, own = [], J.stored
+    monkeypatch.setattr(J, "stored", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or own(df, name))
+    got = J.read_items(spark, [f"{tmp_path}/d?/*", f"{tmp_path}/_*", f"{tmp_path}/*/x=1"]).select("place", "path", F.hex("text").alias("t")).collect()
+    assert sorted((r.path, r.t) for r in got) == want and [r.path for r in sorted(got)] == [p for p, _ in want] and len(want) > 50
+    # the driver has a list of the packed files alone
+    assert {name for name, plan in plans if "FileScan text" in plan} == {"items-unpacked"}
+    one = J.read_items(spark, [f"{tmp_path}/d1/a b.txt", f"{tmp_path}/d1/_hid.txt"]).collect()
+    assert [(r.place, r.path.rsplit("/", 1)[1]) for r in one] == [(0, "a%20b.txt")]
+    assert J.read_items(spark, [f"{tmp_path}/d2/*.sh"]).collect() == []
+
+
 def test_items_of_a_folder_named_by_a_glob(spark, tmp_path):
     for folder in ("a/x", "a/y", "b"):
         (tmp_path / folder).mkdir(parents=True)
