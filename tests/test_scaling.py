@@ -174,3 +174,11 @@ def test_counting_lines_needs_no_line_numbers(spark, tmp_path):
     counted = lines.groupBy().count()
     assert "Join" not in counted._jdf.queryExecution().optimizedPlan().toString() and counted.first()[0] == 300
     assert sorted(r.example_id for r in lines.collect()) == list(range(300))
+
+
+def test_scored_rows_are_computed_before_they_are_sorted(spark, monkeypatch):
+    plans, own = {}, TB.stored
+    monkeypatch.setattr(TB, "stored", lambda df, name: plans.update({name: df._jdf.queryExecution().optimizedPlan().toString()}) or own(df, name))
+    assert E.queries()["score_files"](spark, SF_SMALL).count() == 20
+    assert {name for name, plan in plans.items() if "Sort" in plan} == {"score-sorted"}
+    assert {name for name, plan in plans.items() if "md5" in plan} == {"score-rows"}
